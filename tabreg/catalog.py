@@ -274,6 +274,88 @@ def q_default_run(spark, d):
     return _run(spark, d, LINEAR).log()
 
 
+def q_stump_split(spark, d):
+    """One round of leaf-wise boosting with two leaves on ``part``: the exact best split of
+    ``p_size`` for ``p_retailprice`` (50 distinct sizes, one bin each)."""
+    from .plans.leafwise import LeafwiseBooster
+
+    raw = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_retailprice").alias("label"), "p_size")
+    m = LeafwiseBooster(["p_size"], n_estimators=1, num_leaves=2, min_child_samples=20).fit(raw)
+    rows = [(f, thr, nl, nr, round(lv, 6), round(rv, 6), round(g, 2)) for f, thr, nl, nr, lv, rv, g in m.stump_rows()]
+    return spark.createDataFrame(rows, "feature string, threshold double, n_left long, n_right long, "
+                                       "left_value double, right_value double, gain double")
+
+
+_SEARCH = {}
+
+
+def _search(spark, d):
+    """The grid search of frame A (boosted trees, small grid), once per session and folder."""
+    from .plans.runs import search_run
+
+    k = (id(spark), d)
+    if k not in _SEARCH:
+        _SEARCH[k] = search_run(_a(spark, d), BOOSTED, A_KEY, QUICK_GRID, drop=A_DROP, parallelism=4)
+    return _SEARCH[k]
+
+
+def q_cv_scores(spark, d):
+    return _search(spark, d).scores
+
+
+def q_cv_best(spark, d):
+    from .plans.tuning import best_candidate
+
+    return best_candidate(_search(spark, d).scores)
+
+
+def q_search_run(spark, d):
+    return _search(spark, d).log()
+
+
+def q_params_roundtrip(spark, d):
+    """The search's best parameters written as JSON (S3) and read back."""
+    import json
+
+    from .sources.params import read_params_frame, write_params
+
+    res = _search(spark, d)
+    path = fresh_dir(spark, "params")
+    write_params(spark, json.loads(res.fitted.params_json()), path)
+    return read_params_frame(spark, path)
+
+
+def q_tuned_run(spark, d):
+    """The saved best parameters drive the final fit (model inferred from their shape, M8)."""
+    import json
+
+    from .plans.runs import final_run
+    from .sources.params import write_params
+
+    res = _search(spark, d)
+    path = fresh_dir(spark, "params")
+    write_params(spark, json.loads(res.fitted.params_json()), path)
+    return final_run(_a(spark, d), None, A_KEY, path, drop=A_DROP).summary()
+
+
+def q_run_log(spark, d):
+    """E1 runs of two models appended to one fresh log and read back."""
+    from .sources.runlog import append_run_log, read_run_log
+
+    path = fresh_dir(spark, "run_log")
+    for model in (LINEAR, FOREST):
+        append_run_log(_run(spark, d, model).log(), path)
+    return read_run_log(spark, path)
+
+
+def q_inspect_run(spark, d):
+    """Unscaled preparation, leaf-wise boosting, the worst five predictions."""
+    from .plans.runs import inspect_run
+
+    _res, _best, worst = inspect_run(_a(spark, d), LEAFWISE, A_KEY, drop=A_DROP, params=QUICK[LEAFWISE])
+    return worst
+
+
 def q_lines_linear(spark, d):
     """Frame L (volume): default linear run over all line items."""
     from .plans.runs import default_run
@@ -318,6 +400,14 @@ QUERIES = {
     "importances_top": q_importances_top,
     "default_run": q_default_run,
     "lines_linear": q_lines_linear,
+    "stump_split": q_stump_split,
+    "cv_scores": q_cv_scores,
+    "cv_best": q_cv_best,
+    "search_run": q_search_run,
+    "params_roundtrip": q_params_roundtrip,
+    "tuned_run": q_tuned_run,
+    "run_log": q_run_log,
+    "inspect_run": q_inspect_run,
 }
 
 
@@ -435,6 +525,15 @@ ORACLE_SQL = {
         SELECT count(*) AS n, round(regr_slope(label, n_words), 6) AS slope,
                round(regr_intercept(label, n_words), 4) AS intercept
         FROM f WHERE {SPLIT_SQL} = 'train'""",
+    "stump_split": """WITH h AS (SELECT p_size AS v, sum(p_retailprice) AS g, count(*) AS n FROM part GROUP BY p_size),
+        tot AS (SELECT sum(g) AS gt, sum(n) AS nt FROM h),
+        c AS (SELECT v, sum(g) OVER (ORDER BY v) AS gl, sum(n) OVER (ORDER BY v) AS nl FROM h),
+        s AS (SELECT v, gl, nl, gt - gl AS gr, nt - nl AS nr, gt, nt FROM c, tot WHERE nl >= 20 AND nt - nl >= 20)
+        SELECT 'p_size' AS feature, CAST(v AS DOUBLE) AS threshold, CAST(nl AS BIGINT) AS n_left,
+               CAST(nr AS BIGINT) AS n_right, round(gl / nl - gt / nt, 6) AS left_value,
+               round(gr / nr - gt / nt, 6) AS right_value,
+               round(gl * gl / nl + gr * gr / nr - gt * gt / nt, 2) AS gain
+        FROM s ORDER BY gl * gl / nl + gr * gr / nr - gt * gt / nt DESC, v LIMIT 1""",
 }
 
 

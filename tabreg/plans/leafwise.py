@@ -39,6 +39,14 @@ from pyspark.sql import functions as F
 
 from ..session import shared_dir
 
+
+def _dlit(x: float) -> str:
+    """A double literal in Spark SQL text."""
+    x = float(x)
+    if math.isfinite(x):
+        return f"{x!r}D"
+    return f"CAST('{'NaN' if math.isnan(x) else ('Infinity' if x > 0 else '-Infinity')}' AS DOUBLE)"
+
 TREES_PER_COLUMN = 10
 
 
@@ -67,6 +75,7 @@ class Tree:
     splits: dict = field(default_factory=dict)
     leaves: dict = field(default_factory=dict)
     gains: dict = field(default_factory=dict)
+    counts: dict = field(default_factory=dict)
 
 
 class LeafwiseModel:
@@ -77,27 +86,29 @@ class LeafwiseModel:
         self.edges = edges
         self.learning_rate = learning_rate
 
-    def _tree_expr(self, tree: Tree, node: int, raw: bool) -> Column:
+    def _tree_sql(self, tree: Tree, node: int, raw: bool) -> str:
         if node in tree.leaves:
-            return F.lit(self.learning_rate * tree.leaves[node])
+            return _dlit(self.learning_rate * tree.leaves[node])
         f, b, thr, left, right = tree.splits[node]
-        cond = (F.col(f"`{self.feature_names[f]}`") <= F.lit(thr)) if raw else (F.col(f"_b{f}") <= F.lit(b))
-        return F.when(cond, self._tree_expr(tree, left, raw)).otherwise(self._tree_expr(tree, right, raw))
+        name = self.feature_names[f].replace("`", "``")
+        cond = f"`{name}` <= {_dlit(thr)}" if raw else f"_b{f} <= {b}"
+        return (f"CASE WHEN {cond} THEN {self._tree_sql(tree, left, raw)} "
+                f"ELSE {self._tree_sql(tree, right, raw)} END")
+
+    def tree_sql(self, i: int, raw: bool = True) -> str:
+        return self._tree_sql(self.trees[i], 0, raw)
 
     def tree_expr(self, i: int, raw: bool = True) -> Column:
-        return self._tree_expr(self.trees[i], 0, raw)
+        return F.expr(self.tree_sql(i, raw))
 
     def transform(self, df: DataFrame, out: str = "prediction") -> DataFrame:
         """Adds the prediction; trees are summed in chunks of columns to keep each generated
         method small for whole-stage codegen."""
-        parts = []
+        parts = [_dlit(self.init)]
         for s in range(0, len(self.trees), TREES_PER_COLUMN):
-            chunk = [self.tree_expr(i) for i in range(s, min(s + TREES_PER_COLUMN, len(self.trees)))]
-            parts.append(sum(chunk[1:], chunk[0]))
-        pred = F.lit(self.init)
-        for p in parts:
-            pred = pred + p
-        return df.withColumn(out, pred.cast("double"))
+            chunk = [self.tree_sql(i) for i in range(s, min(s + TREES_PER_COLUMN, len(self.trees)))]
+            parts.append("(" + " + ".join(chunk) + ")")
+        return df.withColumn(out, F.expr(" + ".join(parts)).cast("double"))
 
     def importances(self, kind: str = "split") -> list[float]:
         out = [0.0] * len(self.feature_names)
@@ -109,6 +120,20 @@ class LeafwiseModel:
             out = [v / tot if tot else 0.0 for v in out]
         return out
 
+    def stump_rows(self) -> list[tuple]:
+        """(feature, threshold, n_left, n_right, left_value, right_value, gain) of each tree's root
+        split; leaf values are mean residuals before the learning rate."""
+        rows = []
+        for t in self.trees:
+            if 0 not in t.splits:
+                continue
+            f, _b, thr, left, right = t.splits[0]
+            lv = t.leaves.get(left)
+            rv = t.leaves.get(right)
+            rows.append((self.feature_names[f], float(thr), int(t.counts[left]), int(t.counts[right]),
+                         None if lv is None else float(lv), None if rv is None else float(rv), float(t.gains[0])))
+        return rows
+
     def split_rows(self) -> list[tuple]:
         """(tree, node, feature, threshold, gain, left, right) of every actual split."""
         rows = []
@@ -132,15 +157,20 @@ class LeafwiseBooster:
     # ------------------------------------------------------------------ binning
 
     def _edges(self, data: DataFrame, nf: int) -> tuple[list[list[float]], float, int]:
+        """Bin edges per feature, from one ``approxQuantile`` pass (Greenwald-Khanna sketches,
+        bounded memory). A feature whose quantiles take fewer than ``max_bin`` values may have
+        few distinct values; those features get one exact, bounded distinct job, and if they do
+        have at most ``max_bin`` values each value becomes an edge (one bin per value)."""
         xs = [f"_x{i}" for i in range(nf)]
-        row = data.agg(F.avg("_y").alias("m"), F.count("*").alias("n"),
-                       *[F.approx_count_distinct(x, 0.02).alias(f"d{i}") for i, x in enumerate(xs)]).collect()[0]
-        few = [i for i in range(nf) if row[f"d{i}"] <= 2 * self.max_bin]
-        edges: dict[int, list[float]] = {}
+        row = data.agg(F.avg("_y").alias("m"), F.count("*").alias("n")).collect()[0]
+        probs = [k / self.max_bin for k in range(1, self.max_bin)]
+        qs = data.approxQuantile(xs, probs, self.quantile_error)
+        edges = {i: sorted(set(q)) for i, q in enumerate(qs)}
+        few = [i for i in range(nf) if len(edges[i]) < self.max_bin // 2]
         if few:
-            pairs = F.array(*[F.struct(F.lit(i).alias("f"), F.col(xs[i]).alias("v")) for i in few])
-            bound = len(few) * 2 * self.max_bin
-            vals = (data.select(F.explode(pairs).alias("p")).select("p.*").where(F.col("v").isNotNull())
+            bound = len(few) * self.max_bin
+            pairs = ", ".join(f"named_struct('f', {i}, 'v', _x{i})" for i in few)
+            vals = (data.selectExpr(f"inline(array({pairs}))").where("v IS NOT NULL")
                     .distinct().limit(bound + 1).collect())
             if len(vals) <= bound:
                 per = {i: [] for i in few}
@@ -149,12 +179,6 @@ class LeafwiseBooster:
                 for i in few:
                     if len(per[i]) <= self.max_bin:
                         edges[i] = sorted(per[i])
-        rest = [i for i in range(nf) if i not in edges]
-        if rest:
-            probs = [k / self.max_bin for k in range(1, self.max_bin)]
-            qs = data.approxQuantile([xs[i] for i in rest], probs, self.quantile_error)
-            for i, q in zip(rest, qs):
-                edges[i] = sorted(set(q))
         return [edges[i] or [0.0] for i in range(nf)], row["m"], row["n"]
 
     @staticmethod
@@ -166,17 +190,17 @@ class LeafwiseBooster:
 
     # ------------------------------------------------------------------ histograms
 
-    def _route(self, nodes: dict, node: int, targets: set) -> Column | None:
+    def _route(self, nodes: dict, node: int, targets: set) -> str | None:
+        """SQL text routing a row to the target node it reaches, NULL elsewhere; subtrees without
+        targets are pruned."""
         n = nodes[node]
         if n.children is None:
-            return F.lit(node) if node in targets else None
+            return str(node) if node in targets else None
         left = self._route(nodes, n.children[0], targets)
         right = self._route(nodes, n.children[1], targets)
         if left is None and right is None:
             return None
-        cond = F.col(f"_b{n.feature}") <= F.lit(n.bin)
-        return F.when(cond, left if left is not None else F.lit(None)).otherwise(
-            right if right is not None else F.lit(None))
+        return f"CASE WHEN _b{n.feature} <= {n.bin} THEN {left or 'NULL'} ELSE {right or 'NULL'} END"
 
     def _hist_job(self, data: DataFrame, nodes: dict, targets: list[int], nf: int, nb: int) -> None:
         direct, derived = [], []
@@ -196,10 +220,10 @@ class LeafwiseBooster:
             else:
                 direct.append(t)
         route = self._route(nodes, 0, set(direct))
-        bins = [F.col(f"_b{i}") for i in range(nf)]
-        hist = (data.select(route.alias("node"), (F.col("_y") - F.col("_p")).alias("g"), *bins)
-                .where(F.col("node").isNotNull())
-                .select("node", "g", F.posexplode(F.array(*bins)).alias("f", "b"))
+        bins = ", ".join(f"_b{i}" for i in range(nf))
+        hist = (data.selectExpr(f"CAST({route} AS INT) AS node", "_y - _p AS g", f"array({bins}) AS bins")
+                .where("node IS NOT NULL")
+                .selectExpr("node", "g", "posexplode(bins) AS (f, b)")
                 .groupBy("node", "f", "b").agg(F.sum("g").alias("G"), F.count("*").alias("n"))
                 .collect())
         self.jobs += 1
@@ -266,10 +290,12 @@ class LeafwiseBooster:
             b = nodes[best]
             tree.splits[best] = (b.feature, b.bin, edges[b.feature][b.bin], *b.children)
             tree.gains[best] = b.gain
+            tree.counts[best] = b.n
             leaves.remove(best)
             leaves.extend(b.children)
         for l in leaves:
             tree.leaves[l] = nodes[l].value
+            tree.counts[l] = nodes[l].n
         return tree
 
     # ------------------------------------------------------------------ fit
@@ -291,8 +317,8 @@ class LeafwiseBooster:
         bin_cols = [f"_b{i}" for i in range(nf)]
         for t in range(self.n_estimators):
             if t > 0:
-                step = model._tree_expr(model.trees[-1], 0, raw=False)
-                nxt = rows.select("_y", *bin_cols, (F.col("_p") + step).alias("_p"))
+                step = model._tree_sql(model.trees[-1], 0, raw=False)
+                nxt = rows.selectExpr("_y", *bin_cols, f"_p + {step} AS _p")
                 if self.checkpoint_every and t % self.checkpoint_every == 0:
                     nxt = nxt.checkpoint(eager=True)
                 nxt = nxt.persist(StorageLevel.MEMORY_AND_DISK)
