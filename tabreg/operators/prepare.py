@@ -131,7 +131,9 @@ class Preparer:
         self.approx_median, self.max_categories = approx_median, max_categories
 
     def select_features(self, df: DataFrame) -> tuple[DataFrame, list[str]]:
-        df = C.drop_strict(df, self.drop) if self.strict_drop else C.drop_lenient(df, self.drop)
+        # The reference drops its ``Id``; here the key is kept as the row key (never a feature).
+        drop = [c for c in self.drop if c != self.key]
+        df = C.drop_strict(df, drop) if self.strict_drop else C.drop_lenient(df, drop)
         return C.split_label(df, self.label, self.key)
 
     def fit(self, df: DataFrame) -> FittedPrep:

@@ -132,7 +132,8 @@ def _collect_pass(df: DataFrame, targets: list[_Target]) -> None:
 
 
 def fit_medians(df: DataFrame, columns: list[str], approx: bool = False, accuracy: int = 10_000,
-                allow_all_null: bool = False) -> dict[str, float | None]:
+                allow_all_null: bool = False, buckets: int = BUCKETS,
+                collect_limit: int = COLLECT_LIMIT) -> dict[str, float | None]:
     """Median of each column over its non-null values; an even count averages the two middle values."""
     if not columns:
         return {}
@@ -147,7 +148,7 @@ def fit_medians(df: DataFrame, columns: list[str], approx: bool = False, accurac
             n = ranges[c][0]
             if n:
                 ranks[c] = sorted({(n - 1) // 2, n // 2})
-        stats = order_statistics(df, ranks, ranges)
+        stats = order_statistics(df, ranks, ranges, buckets, collect_limit)
         out = {}
         for c in columns:
             n = ranges[c][0]
