@@ -150,15 +150,14 @@ class Preparer:
         passthrough = [c for c in bools if c not in bool_gaps]
         categorical = [c for c in features if c in text or c in bool_gaps]
 
-        medians = S.fit_medians(df, numeric, approx=self.approx_median)
-        cat_df = df.select(*[
+        cat_df = df.select(*[_q(c) for c in numeric], *[
             (F.when(_q(c), F.lit("True")).when(~_q(c), F.lit("False")).alias(c) if c in bool_gaps else _q(c))
             for c in categorical])
-        modes, domains = S.fit_modes_and_domains(cat_df, categorical, self.max_categories)
-        scale = {}
-        if self.scale and numeric:
-            filled = df.select(*[fill_median_expr(c, medians[c]).alias(c) for c in numeric])
-            scale = S.fit_scale(filled, numeric)
+        # One job: numeric ranges and moments plus text value counts; then the median refinement.
+        ranges, moments, counts, total = S.profile(cat_df, numeric, categorical, self.max_categories)
+        medians = S.fit_medians(df, numeric, approx=self.approx_median, ranges=ranges)
+        modes, domains = S.modes_and_domains(counts, self.max_categories)
+        scale = {c: S.filled_moments(total, moments[c], medians[c]) for c in numeric} if self.scale else {}
         kept = [c for c in features if c in numeric or c in passthrough]
         names = kept + dummy_names(categorical, domains, kept)
         return FittedPrep(self.key, self.label, numeric, categorical, passthrough, medians, modes, scale,

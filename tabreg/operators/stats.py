@@ -133,7 +133,7 @@ def _collect_pass(df: DataFrame, targets: list[_Target]) -> None:
 
 def fit_medians(df: DataFrame, columns: list[str], approx: bool = False, accuracy: int = 10_000,
                 allow_all_null: bool = False, buckets: int = BUCKETS,
-                collect_limit: int = COLLECT_LIMIT) -> dict[str, float | None]:
+                collect_limit: int = COLLECT_LIMIT, ranges=None) -> dict[str, float | None]:
     """Median of each column over its non-null values; an even count averages the two middle values."""
     if not columns:
         return {}
@@ -142,7 +142,7 @@ def fit_medians(df: DataFrame, columns: list[str], approx: bool = False, accurac
                        for i, c in enumerate(columns)]).collect()[0]
         out = {c: row[f"m{i}"] for i, c in enumerate(columns)}
     else:
-        ranges = column_ranges(df, columns)
+        ranges = ranges or column_ranges(df, columns)
         ranks = {}
         for c in columns:
             n = ranges[c][0]
@@ -234,5 +234,74 @@ def fit_scale(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float
     return {c: (row[f"m{i}"], row[f"s{i}"]) for i, c in enumerate(columns)}
 
 
+def profile(df: DataFrame, numeric: list[str], text: list[str], max_categories: int = 1000):
+    """One job for everything the preparation fits besides the median refinement.
+
+    Rows are unpivoted to (column, text value, number) and grouped by (column, text value): a
+    numeric column forms one group (its text value is NULL) carrying count, min, max, mean and
+    the population variance of its non-null values; a text column forms one group per distinct
+    value carrying its count. Partial aggregation runs map-side, so the shuffle and the collected
+    result hold at most ``numeric + text x max_categories`` rows; one row beyond that bound
+    raises instead of flooding the driver.
+
+    Returns (ranges, moments, value counts, rows): ranges[c] = (n, min, max), moments[c] =
+    (n, mean, var_pop), counts[c] = [(value, n), ...], rows = row count (None without numerics).
+    """
+    if not numeric and not text:
+        return {}, {}, {}, None
+    items = [F.struct(F.lit(c).alias("c"), F.lit(True).alias("num"), F.lit(None).cast("string").alias("t"),
+                      _q(c).cast("double").alias("x")) for c in numeric]
+    items += [F.struct(F.lit(c).alias("c"), F.lit(False).alias("num"), _q(c).cast("string").alias("t"),
+                       F.lit(None).cast("double").alias("x")) for c in text]
+    long = df.select(F.explode(F.array(*items)).alias("s")).select("s.*")
+    grouped = (long.where(F.col("num") | F.col("t").isNotNull())
+               .groupBy("c", "t")
+               .agg(F.count("*").alias("rows"), F.count("x").alias("n"), F.min("x").alias("lo"),
+                    F.max("x").alias("hi"), F.avg("x").alias("mean"), F.var_pop("x").alias("var")))
+    bound = len(numeric) + len(text) * max_categories
+    got = grouped.limit(bound + 1).collect()
+    if len(got) > bound:
+        raise TooManyCategories(f"more than {max_categories} categories per column on average in {text}")
+    ranges, moments, counts, total = {}, {}, {c: [] for c in text}, None
+    num = set(numeric)
+    for r in got:
+        if r["c"] in num and r["t"] is None:
+            ranges[r["c"]] = (r["n"], r["lo"], r["hi"])
+            moments[r["c"]] = (r["n"], r["mean"], r["var"])
+            total = r["rows"]
+        elif r["t"] is not None:
+            counts[r["c"]].append((r["t"], r["rows"]))
+    return ranges, moments, counts, total
+
+
+def modes_and_domains(counts: dict[str, list[tuple[str, int]]], max_categories: int = 1000):
+    """Mode (most rows, ties to the smallest value) and sorted domain of each text column."""
+    modes, domains = {}, {}
+    for c, vals in counts.items():
+        if not vals:
+            raise AllNullColumn(c)
+        if len(vals) > max_categories:
+            raise TooManyCategories(f"column {c!r} has {len(vals)} categories (limit {max_categories})")
+        modes[c] = min(vals, key=lambda vn: (-vn[1], vn[0]))[0]
+        domains[c] = sorted(v for v, _ in vals)
+    return modes, domains
+
+
+def filled_moments(n_rows: int, moments: tuple, fill: float) -> tuple[float, float]:
+    """Mean and population std after filling the gaps with ``fill``, from the non-null moments.
+
+    The gaps form a second group of ``n_rows - n`` copies of ``fill`` with zero variance; the two
+    groups combine by the parallel update of Chan, Golub and LeVeque (stable, no second pass)."""
+    n_a, mean_a, var_a = moments
+    n_b = n_rows - n_a
+    if n_a == 0:
+        return float(fill), 0.0
+    n = n_a + n_b
+    delta = fill - mean_a
+    mean = mean_a + delta * n_b / n
+    m2 = var_a * n_a + delta * delta * n_a * n_b / n
+    return mean, math.sqrt(max(m2 / n, 0.0))
+
+
 def safe_std(s: float | None) -> float:
     return 1.0 if s is None or s == 0.0 or math.isnan(s) else s

@@ -55,11 +55,25 @@ class RunResult:
 
 
 def _prepare_split(df: DataFrame, key: str, label: str, drop, scale: bool, test_size: float, seed: int):
-    prep = Preparer(label=label, key=key, drop=drop, scale=scale).fit(df)
-    rows = train_test_split(prep.transform(df), key, test_size, seed).persist(StorageLevel.MEMORY_AND_DISK)
+    """Project the source to key, label and features once and persist that (the fit statistics,
+    the transform and every model pass then read it instead of rescanning and re-deriving the
+    source), then tag the seeded split on the prepared rows, also persisted."""
+    base, _ = Preparer(label=label, key=key, drop=drop).select_features(df)
+    base = base.persist(StorageLevel.MEMORY_AND_DISK)
+    prep = Preparer(label=label, key=key, drop=[], scale=scale).fit(base)
+    rows = train_test_split(prep.transform(base), key, test_size, seed).persist(StorageLevel.MEMORY_AND_DISK)
     train = rows.where(F.col("split") == TRAIN).drop("split")
     test = rows.where(F.col("split") == TEST).drop("split")
-    return prep, rows, train, test
+    return prep, _Persisted([base, rows]), train, test
+
+
+class _Persisted:
+    def __init__(self, frames):
+        self.frames = frames
+
+    def unpersist(self):
+        for f in self.frames:
+            f.unpersist()
 
 
 def _score(fitted: FittedModel, test: DataFrame, key: str, label: str):
