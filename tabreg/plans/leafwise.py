@@ -146,7 +146,11 @@ class LeafwiseModel:
 class LeafwiseBooster:
     def __init__(self, feature_names, label: str = "label", n_estimators: int = 100, learning_rate: float = 0.1,
                  num_leaves: int = 31, min_child_samples: int = 20, max_bin: int = 255,
-                 checkpoint_every: int = 10, quantile_error: float = 1e-3):
+                 checkpoint_every: int = 10, quantile_error: float = 1e-3, histogram: str = "arrow",
+                 driver_merge_cells: int = 4_000_000):
+        if histogram not in ("arrow", "sql"):
+            raise ValueError("histogram must be 'arrow' or 'sql'")
+        self.histogram, self.driver_merge_cells = histogram, driver_merge_cells
         self.feature_names = list(feature_names)
         self.label = label
         self.n_estimators, self.learning_rate = n_estimators, learning_rate
@@ -219,19 +223,11 @@ class LeafwiseBooster:
                 (direct if small else derived).append(t)
             else:
                 direct.append(t)
-        route = self._route(nodes, 0, set(direct))
-        bins = ", ".join(f"_b{i}" for i in range(nf))
-        hist = (data.selectExpr(f"CAST({route} AS INT) AS node", "_y - _p AS g", f"array({bins}) AS bins")
-                .where("node IS NOT NULL")
-                .selectExpr("node", "g", "posexplode(bins) AS (f, b)")
-                .groupBy("node", "f", "b").agg(F.sum("g").alias("G"), F.count("*").alias("n"))
-                .collect())
+        if self.histogram == "arrow" and len(direct) * nf * nb <= 20_000_000:
+            arrays = self._hist_arrow(data, nodes, direct, nf, nb)
+        else:
+            arrays = self._hist_sql(data, nodes, direct, nf, nb)
         self.jobs += 1
-        arrays = {t: (np.zeros((nf, nb)), np.zeros((nf, nb))) for t in direct}
-        for r in hist:
-            g, c = arrays[r["node"]]
-            g[r["f"], r["b"]] = r["G"]
-            c[r["f"], r["b"]] = r["n"]
         for t in direct:
             self._set_hist(nodes[t], *arrays[t])
         for t in derived:
@@ -240,10 +236,74 @@ class LeafwiseBooster:
             pg, pn = parent.hist
             sg, sn = nodes[sib].hist
             self._set_hist(nodes[t], pg - sg, pn - sn)
-        for t in targets:   # a parent's histogram is no longer needed once both children have theirs
-            p = nodes[t].parent
-            if p is not None and all(nodes[c].hist is not None for c in nodes[p].children):
-                nodes[p].hist = None
+
+    def _hist_sql(self, data: DataFrame, nodes: dict, direct: list[int], nf: int, nb: int) -> dict:
+        """JVM path: route with a generated CASE, explode (feature, bin), ``groupBy`` with map-side
+        partial aggregation."""
+        route = self._route(nodes, 0, set(direct))
+        bins = ", ".join(f"_b{i}" for i in range(nf))
+        hist = (data.selectExpr(f"CAST({route} AS INT) AS node", "_y - _p AS g", f"array({bins}) AS bins")
+                .where("node IS NOT NULL")
+                .selectExpr("node", "g", "posexplode(bins) AS (f, b)")
+                .groupBy("node", "f", "b").agg(F.sum("g").alias("G"), F.count("*").alias("n"))
+                .toPandas())       # Arrow transfer of at most nodes x features x bins rows
+        arrays = {t: (np.zeros((nf, nb)), np.zeros((nf, nb))) for t in direct}
+        node_ids = hist["node"].to_numpy()
+        fs, bs = hist["f"].to_numpy(), hist["b"].to_numpy()
+        gs, ns = hist["G"].to_numpy(dtype=float), hist["n"].to_numpy(dtype=float)
+        for t in direct:
+            m = node_ids == t
+            g, c = arrays[t]
+            g[fs[m], bs[m]] = gs[m]
+            c[fs[m], bs[m]] = ns[m]
+        return arrays
+
+    def _hist_arrow(self, data: DataFrame, nodes: dict, direct: list[int], nf: int, nb: int) -> dict:
+        """Arrow path: each task routes its rows and bins them with ``np.bincount`` into one
+        (targets x features x bins) array, emitted once per partition as its non-zero cells.
+        Partials are merged on the driver when partitions x cells is small, else by a ``groupBy``
+        on the cell (a shuffle of partial histograms only)."""
+        import pyarrow as pa
+
+        table = [(n.id, n.feature, n.bin, n.children[0], n.children[1]) for n in nodes.values() if n.children]
+        slot = np.full(max(nodes) + 1, -1, dtype=np.int64)
+        slot[direct] = np.arange(len(direct))
+        size = len(direct) * nf * nb
+        cols = [f"_b{i}" for i in range(nf)]
+
+        def partial(batches):
+            G = np.zeros(size)
+            N = np.zeros(size)
+            for batch in batches:
+                if batch.num_rows == 0:
+                    continue
+                y = batch.column("_y").to_numpy(zero_copy_only=False)
+                p = batch.column("_p").to_numpy(zero_copy_only=False)
+                B = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in cols], axis=1).astype(np.int64)
+                node = np.zeros(len(y), dtype=np.int64)
+                for nid, f, b, left, right in table:       # parents before children
+                    m = node == nid
+                    if m.any():
+                        node[m] = np.where(B[m, f] <= b, left, right)
+                t = slot[node]
+                keep = t >= 0
+                if not keep.any():
+                    continue
+                cell = (t[keep, None] * nf + np.arange(nf)[None, :]) * nb + B[keep]
+                G += np.bincount(cell.ravel(), weights=np.repeat((y - p)[keep], nf), minlength=size)
+                N += np.bincount(cell.ravel(), minlength=size)
+            nz = np.nonzero(N)[0]
+            yield pa.RecordBatch.from_arrays([pa.array(nz, pa.int64()), pa.array(G[nz]), pa.array(N[nz])],
+                                             names=["cell", "G", "n"])
+
+        parts = data.mapInArrow(partial, "cell long, G double, n double")
+        if self._partitions * size > self.driver_merge_cells:
+            parts = parts.groupBy("cell").agg(F.sum("G").alias("G"), F.sum("n").alias("n"))
+        pdf = parts.toPandas()
+        cells = pdf["cell"].to_numpy()
+        G = np.bincount(cells, weights=pdf["G"].to_numpy(), minlength=size).reshape(len(direct), nf, nb)
+        N = np.bincount(cells, weights=pdf["n"].to_numpy(), minlength=size).reshape(len(direct), nf, nb)
+        return {t: (G[i], N[i]) for i, t in enumerate(direct)}
 
     def _set_hist(self, node: _Node, g: np.ndarray, c: np.ndarray) -> None:
         node.hist = (g, c)
@@ -264,10 +324,19 @@ class LeafwiseBooster:
 
     # ------------------------------------------------------------------ growth
 
-    def _grow(self, data: DataFrame, nf: int, nb: int, edges) -> Tree:
+    def _grow(self, data: DataFrame, nf: int, nb: int, edges, root_hist=None) -> tuple[Tree, tuple]:
+        """Grow one tree; returns it with the root histogram of the *next* tree.
+
+        The next root histogram needs no job: every row's gradient drops by ``learning_rate x``
+        its leaf value, so G_root' = G_root - lr * sum over leaves of value x N_leaf, with the
+        count histograms N_leaf already at hand; N_root does not change."""
         nodes = {0: _Node(0, None)}
         next_id = 1
-        self._hist_job(data, nodes, [0], nf, nb)
+        if root_hist is None:
+            self._hist_job(data, nodes, [0], nf, nb)
+        else:
+            self._set_hist(nodes[0], *root_hist)
+        root_g, root_n = nodes[0].hist
         leaves = [0]
         tree = Tree()
         while len(leaves) < self.num_leaves:
@@ -293,10 +362,13 @@ class LeafwiseBooster:
             tree.counts[best] = b.n
             leaves.remove(best)
             leaves.extend(b.children)
+            b.hist = None      # both children hold their own histograms now
+        next_g = root_g.copy()
         for l in leaves:
             tree.leaves[l] = nodes[l].value
             tree.counts[l] = nodes[l].n
-        return tree
+            next_g -= self.learning_rate * nodes[l].value * nodes[l].hist[1]
+        return tree, (next_g, root_n)
 
     # ------------------------------------------------------------------ fit
 
@@ -313,8 +385,10 @@ class LeafwiseBooster:
         bins = [F.col(f"_bd{i}").cast("int").alias(f"_b{i}") for i in range(nf)]
         rows = bucketizer.transform(data).select("_y", *bins, F.lit(float(init)).alias("_p"))
         rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+        self._partitions = rows.rdd.getNumPartitions()
         model = LeafwiseModel(self.feature_names, init, [], edges, self.learning_rate)
         bin_cols = [f"_b{i}" for i in range(nf)]
+        root_hist = None
         for t in range(self.n_estimators):
             if t > 0:
                 step = model._tree_sql(model.trees[-1], 0, raw=False)
@@ -322,11 +396,11 @@ class LeafwiseBooster:
                 if self.checkpoint_every and t % self.checkpoint_every == 0:
                     nxt = nxt.checkpoint(eager=True)
                 nxt = nxt.persist(StorageLevel.MEMORY_AND_DISK)
-                tree = self._grow(nxt, nf, nb, edges)
+                tree, root_hist = self._grow(nxt, nf, nb, edges, root_hist)
                 rows.unpersist()
                 rows = nxt
             else:
-                tree = self._grow(rows, nf, nb, edges)
+                tree, root_hist = self._grow(rows, nf, nb, edges)
             model.trees.append(tree)
             if not tree.splits:
                 break    # no leaf can be split any more; further trees would be the same constant
