@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,18 +51,19 @@ def train_test_exact(df: DataFrame, key: str, test_size: float = 0.2, seed: int
     ordered by key with a top-k over just the tied rows.
     """
     h = key_hash(F.col(key), seed)
-    hashed = df.select(F.col(key), h.alias("_h"))
-    n = hashed.count()
-    n_test = math.ceil(test_size * n)
-    if n_test == 0:
-        return df.withColumn(out, F.lit(TRAIN))
-    if n_test >= n:
-        return df.withColumn(out, F.lit(TEST))
+    # The narrow (key, hash) frame feeds four small jobs; persist it instead of rehashing the source.
+    hashed = df.select(F.col(key), h.alias("_h")).persist(StorageLevel.MEMORY_AND_DISK)
     ranges = column_ranges(hashed, ["_h"])
+    n = ranges["_h"][0]
+    n_test = math.ceil(test_size * n)
+    if n_test == 0 or n_test >= n:
+        hashed.unpersist()
+        return df.withColumn(out, F.lit(TRAIN if n_test == 0 else TEST))
     t = int(order_statistics(hashed, {"_h": [n_test - 1]}, ranges)[("_h", n_test - 1)])
     n_below = hashed.where(F.col("_h") < t).count()
     take = n_test - n_below
     tied = hashed.where(F.col("_h") == t).orderBy(F.col(key)).limit(take).agg(F.max(key).alias("k")).collect()[0]["k"]
+    hashed.unpersist()
     is_test = (h < F.lit(t)) | ((h == F.lit(t)) & (F.col(key) <= F.lit(tied)))
     return df.withColumn(out, F.when(is_test, F.lit(TEST)).otherwise(F.lit(TRAIN)))
 

@@ -67,7 +67,7 @@ def spark_estimator(model: str, params: dict | None = None, seed: int = SEED, ma
         return GBTRegressor(maxIter=int(p["n_estimators"]), maxDepth=_depth(p["max_depth"]),
                             stepSize=float(p["learning_rate"]), lossType="squared", subsamplingRate=1.0,
                             featureSubsetStrategy="all", minInstancesPerNode=int(p.get("min_samples_leaf", 1)),
-                            maxBins=max_bins, seed=seed, cacheNodeIds=True, checkpointInterval=10, **common)
+                            maxBins=max_bins, seed=seed, cacheNodeIds=False, checkpointInterval=10, **common)
     if model == FOREST:
         return RandomForestRegressor(numTrees=int(p["n_estimators"]), maxDepth=_depth(p["max_depth"]),
                                      minInstancesPerNode=int(p["min_samples_leaf"]), featureSubsetStrategy="all",
