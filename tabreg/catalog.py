@@ -356,6 +356,14 @@ def q_inspect_run(spark, d):
     return worst
 
 
+def q_inspect_search(spark, d):
+    """E5: unscaled preparation, small boosted grid search, then the worst five test predictions."""
+    from .plans.runs import search_run
+
+    res = search_run(_a(spark, d), BOOSTED, A_KEY, QUICK_GRID, drop=A_DROP, scale=False, parallelism=4)
+    return reports.worst_k(res.scored, A_KEY, 5)
+
+
 def q_lines_linear(spark, d):
     """Frame L (volume): default linear run over all line items."""
     from .plans.runs import default_run
@@ -408,6 +416,7 @@ QUERIES = {
     "tuned_run": q_tuned_run,
     "run_log": q_run_log,
     "inspect_run": q_inspect_run,
+    "inspect_search": q_inspect_search,
 }
 
 

@@ -72,6 +72,7 @@ class FittedPrep:
     feature_names: list[str]
     bool_as_text: list[str] = field(default_factory=list)
     scaled: bool = True
+    drop_last: bool = False
 
     def _text(self, c: str) -> Column:
         if c in self.bool_as_text:
@@ -98,7 +99,8 @@ class FittedPrep:
                 out.append(_q(c).cast("double").alias(c))
         for c in self.categorical:
             filled = F.coalesce(self._text(c), F.lit(self.modes[c]))
-            out.extend(one_hot_exprs(c, filled, self.domains[c]))
+            domain = self.domains[c][:-1] if self.drop_last else self.domains[c]
+            out.extend(one_hot_exprs(c, filled, domain))
         return df.select(*out)
 
     def stats_rows(self) -> list[tuple]:
@@ -118,14 +120,16 @@ class FittedPrep:
 class Preparer:
     """Fit fill, scale and encoding statistics, then transform with them.
 
-    ``fit_scope`` is informational: the reference fits on all rows before the split (parity); pass
-    only the training rows to ``fit`` for a leak-free variant, in which case unseen test categories
-    encode to all zeros.
+    The reference fits on all rows before the split (parity, ``fit_scope='all'`` in the runs); fit
+    on the training rows only (``fit_scope='train'``) for a leak-free variant, in which case unseen
+    test categories encode to all zeros. ``drop_last`` leaves out each text column's last category
+    so linear coefficients are identifiable (the reference keeps every category).
     """
 
     def __init__(self, label: str = C.REFERENCE_LABEL, key: str | None = None, drop=C.REFERENCE_DROP,
                  strict_drop: bool = False, scale: bool = True, approx_median: bool = False,
-                 max_categories: int = 1000):
+                 max_categories: int = 1000, drop_last: bool = False):
+        self.drop_last = drop_last
         self.label, self.key, self.drop = label, key, list(drop)
         self.strict_drop, self.scale = strict_drop, scale
         self.approx_median, self.max_categories = approx_median, max_categories
@@ -160,8 +164,11 @@ class Preparer:
         scale = {c: S.filled_moments(total, moments[c], medians[c]) for c in numeric} if self.scale else {}
         kept = [c for c in features if c in numeric or c in passthrough]
         names = kept + dummy_names(categorical, domains, kept)
+        if self.drop_last:     # identifiable linear coefficients: leave out each column's last category
+            last = {f"{c}_{domains[c][-1]}" for c in categorical}
+            names = [n for n in names if n not in last]
         return FittedPrep(self.key, self.label, numeric, categorical, passthrough, medians, modes, scale,
-                          domains, names, bool_gaps, self.scale)
+                          domains, names, bool_gaps, self.scale, self.drop_last)
 
 
 def prepare(df: DataFrame, label: str, key: str | None = None, drop=C.REFERENCE_DROP, scale: bool = True,

@@ -54,14 +54,21 @@ class RunResult:
                                      "model string, n_test long, mae double, r2 double")
 
 
-def _prepare_split(df: DataFrame, key: str, label: str, drop, scale: bool, test_size: float, seed: int):
+def _prepare_split(df: DataFrame, key: str, label: str, drop, scale: bool, test_size: float, seed: int,
+                   fit_scope: str = "all"):
     """Project the source to key, label and features once and persist that (the fit statistics,
     the transform and every model pass then read it instead of rescanning and re-deriving the
-    source), then tag the seeded split on the prepared rows, also persisted."""
+    source), then tag the seeded split on the prepared rows, also persisted.
+
+    ``fit_scope='all'`` fits the preparation on every row before the split, as the reference does;
+    ``'train'`` fits it on the training rows only (the split depends on the key alone)."""
+    if fit_scope not in ("all", "train"):
+        raise ValueError("fit_scope must be 'all' or 'train'")
     base, _ = Preparer(label=label, key=key, drop=drop).select_features(df)
-    base = base.persist(StorageLevel.MEMORY_AND_DISK)
-    prep = Preparer(label=label, key=key, drop=[], scale=scale).fit(base)
-    rows = train_test_split(prep.transform(base), key, test_size, seed).persist(StorageLevel.MEMORY_AND_DISK)
+    base = train_test_split(base, key, test_size, seed).persist(StorageLevel.MEMORY_AND_DISK)
+    fit_rows = base if fit_scope == "all" else base.where(F.col("split") == TRAIN)
+    prep = Preparer(label=label, key=key, drop=["split"], scale=scale).fit(fit_rows)
+    rows = prep.transform(base, keep=["split"]).persist(StorageLevel.MEMORY_AND_DISK)
     train = rows.where(F.col("split") == TRAIN).drop("split")
     test = rows.where(F.col("split") == TEST).drop("split")
     return prep, _Persisted([base, rows]), train, test
@@ -83,9 +90,9 @@ def _score(fitted: FittedModel, test: DataFrame, key: str, label: str):
 
 def fit_and_score(df: DataFrame, model: str, key: str, label: str = "label", drop=REFERENCE_DROP,
                   params: dict | None = None, name: str | None = None, scale: bool = True,
-                  test_size: float = 0.2, seed: int = 42) -> RunResult:
+                  test_size: float = 0.2, seed: int = 42, fit_scope: str = "all") -> RunResult:
     t0 = time.monotonic()
-    prep, rows, train, test = _prepare_split(df, key, label, drop, scale, test_size, seed)
+    prep, rows, train, test = _prepare_split(df, key, label, drop, scale, test_size, seed, fit_scope)
     fitted = fit_model(model, train, prep.feature_names, params, label=label, seed=seed)
     scored, metrics = _score(fitted, test, key, label)
     total = time.monotonic() - t0
@@ -104,10 +111,11 @@ def default_run(df: DataFrame, model: str, key: str, label: str = "label", drop=
 
 def search_run(df: DataFrame, model: str, key: str, grid: dict, label: str = "label", drop=REFERENCE_DROP,
                params_path: str | None = None, log_path: str | None = None, folds: int = FOLDS,
-               parallelism: int = 2, scale: bool = True, test_size: float = 0.2, seed: int = 42) -> RunResult:
+               parallelism: int = 2, scale: bool = True, test_size: float = 0.2, seed: int = 42,
+               fit_scope: str = "all") -> RunResult:
     """Grid search with k folds on the training rows, refit the winner, score the test rows."""
     t0 = time.monotonic()
-    prep, rows, train, test = _prepare_split(df, key, label, drop, scale, test_size, seed)
+    prep, rows, train, test = _prepare_split(df, key, label, drop, scale, test_size, seed, fit_scope)
     scores = cv_scores(model, train, prep.feature_names, grid, key, folds, parallelism=parallelism, label=label)
     scores = scores.cache()
     best = best_candidate(scores).collect()[0]

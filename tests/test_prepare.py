@@ -83,3 +83,23 @@ def test_label_never_filled_or_scaled(spark):
     assert sorted(r["label"] for r in rows.collect()) == [100.0, 200.0, 300.0]
     xs = sorted(r["x"] for r in rows.collect())
     assert np.allclose(xs, sorted((np.array([1, 2, 3]) - 2) / np.std([1, 2, 3])))
+
+
+def test_drop_last_leaves_out_last_category(spark):
+    df = spark.createDataFrame([(1, 1.0, "a", 1.0), (2, 2.0, "b", 2.0), (3, 3.0, "c", 2.0)],
+                               "k long, label double, t string, x double")
+    fitted = Preparer("label", "k", drop=[], drop_last=True).fit(df)
+    assert fitted.feature_names == ["x", "t_a", "t_b"]
+    assert fitted.transform(df).columns == ["k", "label", "x", "t_a", "t_b"]
+
+
+def test_fit_scope_train_only(spark):
+    from tabreg.frames import frame_a
+    from tabreg.plans.runs import fit_and_score
+
+    a = frame_a(spark, "/root/testdata/sf0.01")
+    full = fit_and_score(a, "LinearRegression", "doc_id", drop=["text"])
+    leak_free = fit_and_score(a, "LinearRegression", "doc_id", drop=["text"], fit_scope="train")
+    assert leak_free.metrics["n"] == full.metrics["n"] == 198
+    assert leak_free.prep.scale["n_words"] != full.prep.scale["n_words"]
+    assert leak_free.metrics["r2"] > 0.7
