@@ -535,9 +535,9 @@ ORACLE_SQL = {
                round(regr_intercept(label, n_words), 4) AS intercept
         FROM f WHERE {SPLIT_SQL} = 'train'""",
     "stump_split": """WITH h AS (SELECT p_size AS v, sum(p_retailprice) AS g, count(*) AS n FROM part GROUP BY p_size),
-        tot AS (SELECT sum(g) AS gt, sum(n) AS nt FROM h),
-        c AS (SELECT v, sum(g) OVER (ORDER BY v) AS gl, sum(n) OVER (ORDER BY v) AS nl FROM h),
-        s AS (SELECT v, gl, nl, gt - gl AS gr, nt - nl AS nr, gt, nt FROM c, tot WHERE nl >= 20 AND nt - nl >= 20)
+        c AS (SELECT v, sum(g) OVER (ORDER BY v) AS gl, sum(n) OVER (ORDER BY v) AS nl,
+                     sum(g) OVER () AS gt, sum(n) OVER () AS nt FROM h),
+        s AS (SELECT v, gl, nl, gt - gl AS gr, nt - nl AS nr, gt, nt FROM c WHERE nl >= 20 AND nt - nl >= 20)
         SELECT 'p_size' AS feature, CAST(v AS DOUBLE) AS threshold, CAST(nl AS BIGINT) AS n_left,
                CAST(nr AS BIGINT) AS n_right, round(gl / nl - gt / nt, 6) AS left_value,
                round(gr / nr - gt / nt, 6) AS right_value,
