@@ -103,6 +103,48 @@ class FittedPrep:
             out.extend(one_hot_exprs(c, filled, domain))
         return df.select(*out)
 
+    def to_vector(self, df: DataFrame, out: str = "features", sparse: bool = True,
+                  keep: list[str] | None = None) -> DataFrame:
+        """Key, label and one feature vector in ``feature_names`` order.
+
+        ``sparse=True`` is the path for wide text columns: each is mode-filled, indexed against its
+        fitted (sorted) domain with a ``StringIndexerModel`` and one-hot encoded by a
+        ``OneHotEncoderModel`` into a sparse vector, so thousands of categories never become
+        thousands of columns. Unseen values take the extra 'keep' slot, which the encoder drops, so
+        they encode to all zeros as in the dense path."""
+        from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
+
+        head = [c for c in (self.key, self.label) if c and c in df.columns] + list(keep or [])
+        if not sparse or not self.categorical:
+            dense = self.transform(df, keep=keep)
+            return VectorAssembler(inputCols=self.feature_names, outputCol=out,
+                                   handleInvalid="error").transform(dense).select(*head, out)
+        num, passing = set(self.numeric), set(self.passthrough)
+        cols = [_q(c) for c in head]
+        kept = []
+        for c in self.feature_names:
+            if c in num:
+                v = fill_median_expr(c, self.medians[c])
+                cols.append((scale_expr(v, *self.scale[c]) if self.scaled else v).alias(c))
+                kept.append(c)
+            elif c in passing:
+                cols.append(_q(c).cast("double").alias(c))
+                kept.append(c)
+        txt = [f"_txt{i}" for i in range(len(self.categorical))]
+        cols += [F.coalesce(self._text(c), F.lit(self.modes[c])).alias(t) for c, t in zip(self.categorical, txt)]
+        rows = df.select(*cols)
+        idx = [f"_idx{i}" for i in range(len(txt))]
+        vec = [f"_vec{i}" for i in range(len(txt))]
+        for c, t, i in zip(self.categorical, txt, idx):
+            labels = self.domains[c][:-1] if self.drop_last else self.domains[c]
+            # One model per column: the multi-column constructor pads shorter label lists with nulls.
+            rows = StringIndexerModel.from_labels(labels, inputCol=t, outputCol=i, handleInvalid="keep").transform(rows)
+        # Each index column's nominal metadata is its labels plus '__unknown' (the 'keep' slot), so
+        # this fit reads no rows; dropLast removes exactly that slot: unseen values are all zeros.
+        enc = OneHotEncoder(inputCols=idx, outputCols=vec, dropLast=True, handleInvalid="error")
+        rows = enc.fit(rows).transform(rows)
+        return VectorAssembler(inputCols=kept + vec, outputCol=out, handleInvalid="error").transform(rows).select(*head, out)
+
     def stats_rows(self) -> list[tuple]:
         """(column, kind, value) rows of everything fitted, as text."""
         rows = []

@@ -55,7 +55,7 @@ class RunResult:
 
 
 def _prepare_split(df: DataFrame, key: str, label: str, drop, scale: bool, test_size: float, seed: int,
-                   fit_scope: str = "all"):
+                   fit_scope: str = "all", sparse: bool = False):
     """Project the source to key, label and features once and persist that (the fit statistics,
     the transform and every model pass then read it instead of rescanning and re-deriving the
     source), then tag the seeded split on the prepared rows, also persisted.
@@ -68,7 +68,8 @@ def _prepare_split(df: DataFrame, key: str, label: str, drop, scale: bool, test_
     base = train_test_split(base, key, test_size, seed).persist(StorageLevel.MEMORY_AND_DISK)
     fit_rows = base if fit_scope == "all" else base.where(F.col("split") == TRAIN)
     prep = Preparer(label=label, key=key, drop=["split"], scale=scale).fit(fit_rows)
-    rows = prep.transform(base, keep=["split"]).persist(StorageLevel.MEMORY_AND_DISK)
+    prepared = prep.to_vector(base, keep=["split"]) if sparse else prep.transform(base, keep=["split"])
+    rows = prepared.persist(StorageLevel.MEMORY_AND_DISK)
     train = rows.where(F.col("split") == TRAIN).drop("split")
     test = rows.where(F.col("split") == TEST).drop("split")
     return prep, _Persisted([base, rows]), train, test
@@ -90,9 +91,13 @@ def _score(fitted: FittedModel, test: DataFrame, key: str, label: str):
 
 def fit_and_score(df: DataFrame, model: str, key: str, label: str = "label", drop=REFERENCE_DROP,
                   params: dict | None = None, name: str | None = None, scale: bool = True,
-                  test_size: float = 0.2, seed: int = 42, fit_scope: str = "all") -> RunResult:
+                  test_size: float = 0.2, seed: int = 42, fit_scope: str = "all", sparse: bool = False) -> RunResult:
+    """``sparse=True`` feeds Spark ML models one sparse vector (wide text columns) instead of one
+    column per category; the leaf-wise booster needs the named columns."""
+    if sparse and model == "LGBM":
+        raise ValueError("the leaf-wise booster reads named feature columns; use sparse=False")
     t0 = time.monotonic()
-    prep, rows, train, test = _prepare_split(df, key, label, drop, scale, test_size, seed, fit_scope)
+    prep, rows, train, test = _prepare_split(df, key, label, drop, scale, test_size, seed, fit_scope, sparse)
     fitted = fit_model(model, train, prep.feature_names, params, label=label, seed=seed)
     scored, metrics = _score(fitted, test, key, label)
     total = time.monotonic() - t0

@@ -103,3 +103,31 @@ def test_fit_scope_train_only(spark):
     assert leak_free.metrics["n"] == full.metrics["n"] == 198
     assert leak_free.prep.scale["n_words"] != full.prep.scale["n_words"]
     assert leak_free.metrics["r2"] > 0.7
+
+
+def test_sparse_vector_equals_dense_columns(spark):
+    from pyspark.ml.functions import vector_to_array
+
+    from tabreg.frames import frame_a
+
+    a = frame_a(spark, "/root/testdata/sf0.01")
+    fitted = Preparer("label", "doc_id", drop=["text"]).fit(a)
+    dense = fitted.transform(a)
+    vec = fitted.to_vector(a).select("doc_id", vector_to_array("features").alias("v"))
+    got = {r["doc_id"]: r["v"] for r in vec.collect()}
+    for r in dense.collect():
+        want = [float(r[n]) for n in fitted.feature_names]
+        assert np.allclose(got[r["doc_id"]], want)
+    unseen = spark.createDataFrame([(10**9, 1.0, 5.0, "xx", "zz", "t")], a.schema)
+    v = fitted.to_vector(unseen).select(vector_to_array("features").alias("v")).collect()[0]["v"]
+    assert sum(v[1:]) == 0.0
+
+
+def test_sparse_run_matches_dense_run(spark):
+    from tabreg.frames import frame_a
+    from tabreg.plans.runs import fit_and_score
+
+    a = frame_a(spark, "/root/testdata/sf0.01")
+    dense = fit_and_score(a, "GradientBoosting", "doc_id", drop=["text"], params={"n_estimators": 5})
+    sparse = fit_and_score(a, "GradientBoosting", "doc_id", drop=["text"], params={"n_estimators": 5}, sparse=True)
+    assert abs(dense.metrics["mae"] - sparse.metrics["mae"]) < 1e-6
