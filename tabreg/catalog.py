@@ -8,9 +8,7 @@ same way on both sides. Model fits and searches are checked by row count and by
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import frame_a, frame_b, frame_l
@@ -19,7 +17,7 @@ from .functions.metrics import evaluate_frame
 from .operators import columns as C
 from .operators import stats as S
 from .operators.prepare import Preparer, fill_median_expr, fill_mode_expr, one_hot_exprs, scale_expr
-from .operators.split import TEST, TRAIN, k_fold, key_hash, train_test_exact, train_test_split
+from .operators.split import TEST, TRAIN, k_fold, train_test_exact, train_test_split
 from .plans import reports
 from .plans.models import BOOSTED, FOREST, LEAFWISE, LINEAR, fit_model
 from .session import fresh_dir

@@ -48,6 +48,7 @@ def _dlit(x: float) -> str:
     return f"CAST('{'NaN' if math.isnan(x) else ('Infinity' if x > 0 else '-Infinity')}' AS DOUBLE)"
 
 TREES_PER_COLUMN = 10
+ARROW_MAX_CELLS = 4_000_000
 
 
 @dataclass
@@ -223,7 +224,9 @@ class LeafwiseBooster:
                 (direct if small else derived).append(t)
             else:
                 direct.append(t)
-        if self.histogram == "arrow" and len(direct) * nf * nb <= 20_000_000:
+        # The Arrow path holds two dense float64 arrays of targets x features x bins per task;
+        # past 4M cells (64 MB) the JVM path (spilling hash aggregation) takes over.
+        if self.histogram == "arrow" and len(direct) * nf * nb <= ARROW_MAX_CELLS:
             arrays = self._hist_arrow(data, nodes, direct, nf, nb)
         else:
             arrays = self._hist_sql(data, nodes, direct, nf, nb)
