@@ -62,6 +62,7 @@ def main() -> None:
     def run_a(model: str, params: dict | None, name: str | None = None):
         p = shrink({**FACTORY[model], **(params or {})})
         res = fit_and_score(frame_a(spark, sf_dir), model, "doc_id", drop=["text"], params=p, name=name)
+        res.release()
         return {"mae": res.metrics["mae"], "r2": res.metrics["r2"], "n_test": res.metrics["n"]}
 
     def prepare_lines():
@@ -76,6 +77,7 @@ def main() -> None:
 
     def lr_lines():
         res = default_run(frame_l(spark, sf_dir), "LinearRegression", "row_key", drop=[])
+        res.release()
         return {"mae": res.metrics["mae"], "r2": res.metrics["r2"], "n_test": res.metrics["n"]}
 
     # Cheap queries first, the two longest reference runs (100 trees x 31 leaves, 500 trees) last.

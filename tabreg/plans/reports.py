@@ -47,9 +47,10 @@ def top_importances(imp: DataFrame, k: int = 20) -> DataFrame:
     return imp.orderBy(F.col("importance").desc(), F.col("feature").asc()).limit(k)
 
 
-def write_report_tables(path: str, scored: DataFrame, key: str, imp: DataFrame | None = None) -> None:
+def write_report_tables(path: str, scored: DataFrame, key: str, imp: DataFrame | None = None,
+                        label: str = "label") -> None:
     """Write the plotted rows (S6): residual rows, the ideal line and importances."""
-    residual_rows(scored, key).write.mode("overwrite").parquet(f"{path}/residuals")
-    ideal_line(scored).write.mode("overwrite").parquet(f"{path}/ideal_line")
+    residual_rows(scored, key, label).write.mode("overwrite").parquet(f"{path}/residuals")
+    ideal_line(scored, label).write.mode("overwrite").parquet(f"{path}/ideal_line")
     if imp is not None:
         imp.write.mode("overwrite").parquet(f"{path}/importances")

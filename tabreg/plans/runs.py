@@ -47,6 +47,14 @@ class RunResult:
     def importances(self) -> DataFrame:
         return reports.importance_frame(self.scored.sparkSession, self.fitted.importances())
 
+    def release(self) -> None:
+        """Drop the cached scored rows once the reports that need them are written."""
+        self.scored.unpersist()
+
+    def write_reports(self, path: str, key: str | None = None) -> None:
+        """The rows behind the reference's charts (residuals, ideal line, importances)."""
+        reports.write_report_tables(path, self.scored, key or self.prep.key, self.importances(), self.prep.label)
+
     def summary(self) -> DataFrame:
         spark = self.scored.sparkSession
         m = self.metrics
@@ -106,18 +114,21 @@ def fit_and_score(df: DataFrame, model: str, key: str, label: str = "label", dro
 
 
 def default_run(df: DataFrame, model: str, key: str, label: str = "label", drop=REFERENCE_DROP,
-                log_path: str | None = None, params: dict | None = None, **kw) -> RunResult:
+                log_path: str | None = None, params: dict | None = None, report_path: str | None = None,
+                **kw) -> RunResult:
     """Factory settings (``params`` may shrink them for a quick run)."""
     res = fit_and_score(df, model, key, label, drop, params=params, **kw)
     if log_path:
         append_run_log(res.log(), log_path)
+    if report_path:
+        res.write_reports(report_path, key)
     return res
 
 
 def search_run(df: DataFrame, model: str, key: str, grid: dict, label: str = "label", drop=REFERENCE_DROP,
                params_path: str | None = None, log_path: str | None = None, folds: int = FOLDS,
                parallelism: int = 2, scale: bool = True, test_size: float = 0.2, seed: int = 42,
-               fit_scope: str = "all") -> RunResult:
+               fit_scope: str = "all", report_path: str | None = None) -> RunResult:
     """Grid search with k folds on the training rows, refit the winner, score the test rows."""
     t0 = time.monotonic()
     prep, rows, train, test = _prepare_split(df, key, label, drop, scale, test_size, seed, fit_scope)
@@ -137,11 +148,14 @@ def search_run(df: DataFrame, model: str, key: str, grid: dict, label: str = "la
                     cv_mae=float(best["cv_mae"]), scores=scores)
     if log_path:
         append_run_log(res.log(), log_path)
+    if report_path:
+        res.write_reports(report_path, key)
     return res
 
 
 def final_run(df: DataFrame, model: str | None, key: str, params_path: str, label: str = "label",
-              drop=REFERENCE_DROP, log_path: str | None = None, **kw) -> RunResult:
+              drop=REFERENCE_DROP, log_path: str | None = None, report_path: str | None = None,
+              **kw) -> RunResult:
     """Fit with saved parameters. With ``model=None`` the model is inferred from the parameter
     shape (M8)."""
     params = read_params(df.sparkSession, params_path)
@@ -152,6 +166,8 @@ def final_run(df: DataFrame, model: str | None, key: str, params_path: str, labe
     res = fit_and_score(df, model, key, label, drop, params=params, name=name, **kw)
     if log_path:
         append_run_log(res.log(), log_path)
+    if report_path:
+        res.write_reports(report_path, key)
     return res
 
 

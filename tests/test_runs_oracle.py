@@ -67,7 +67,10 @@ def test_house_like_csv_end_to_end(spark, tmp_dir):
     _house_like(csv)
     raw = read_csv(spark, csv)
     log = os.path.join(tmp_dir, "log")
-    res = default_run(raw, "LinearRegression", key="Id", label="SalePrice", log_path=log)
+    reports_dir = os.path.join(tmp_dir, "reports")
+    res = default_run(raw, "LinearRegression", key="Id", label="SalePrice", log_path=log, report_path=reports_dir)
+    assert spark.read.parquet(f"{reports_dir}/residuals").count() == res.metrics["n"]
+    assert spark.read.parquet(f"{reports_dir}/importances").count() == len(res.prep.feature_names)
     assert set(res.prep.feature_names) >= {"LotArea", "YearBuilt", "Street_Grvl", "Street_Pave", "Zone_RL"}
     assert not any(c.startswith(("Alley", "PoolQC", "Fence")) for c in res.prep.feature_names)
     assert res.metrics["r2"] > 0.8
