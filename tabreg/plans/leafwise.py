@@ -55,6 +55,7 @@ ARROW_MAX_CELLS = 4_000_000
 class _Node:
     id: int
     parent: int | None
+    depth: int = 0
     n: float = 0.0
     G: float = 0.0
     hist: tuple | None = None          # (G[F, B], n[F, B]) while children may still be needed
@@ -148,10 +149,11 @@ class LeafwiseBooster:
     def __init__(self, feature_names, label: str = "label", n_estimators: int = 100, learning_rate: float = 0.1,
                  num_leaves: int = 31, min_child_samples: int = 20, max_bin: int = 255,
                  checkpoint_every: int = 10, quantile_error: float = 1e-3, histogram: str = "arrow",
-                 driver_merge_cells: int = 4_000_000):
+                 driver_merge_cells: int = 4_000_000, max_depth: int | None = None):
         if histogram not in ("arrow", "sql"):
             raise ValueError("histogram must be 'arrow' or 'sql'")
         self.histogram, self.driver_merge_cells = histogram, driver_merge_cells
+        self.max_depth = None if max_depth is None or max_depth <= 0 else int(max_depth)
         self.feature_names = list(feature_names)
         self.label = label
         self.n_estimators, self.learning_rate = n_estimators, learning_rate
@@ -343,7 +345,8 @@ class LeafwiseBooster:
         leaves = [0]
         tree = Tree()
         while len(leaves) < self.num_leaves:
-            cands = [l for l in leaves if nodes[l].gain > 0]
+            cands = [l for l in leaves if nodes[l].gain > 0
+                     and (self.max_depth is None or nodes[l].depth < self.max_depth)]
             if not cands:
                 break
             best = min(cands, key=lambda l: (-nodes[l].gain, l))
@@ -355,7 +358,7 @@ class LeafwiseBooster:
                 for l in [best] + others:
                     nodes[l].children = (next_id, next_id + 1)
                     for c in nodes[l].children:
-                        nodes[c] = _Node(c, l)
+                        nodes[c] = _Node(c, l, nodes[l].depth + 1)
                         targets.append(c)
                     next_id += 2
                 self._hist_job(data, nodes, targets, nf, nb)

@@ -130,7 +130,8 @@ def fit_model(model: str, train: DataFrame, feature_names: list[str], params: di
 
 def _leafwise_args(p: dict) -> dict:
     return dict(n_estimators=int(p["n_estimators"]), learning_rate=float(p["learning_rate"]),
-                num_leaves=int(p["num_leaves"]), min_child_samples=int(p.get("min_child_samples", 20)))
+                num_leaves=int(p["num_leaves"]), min_child_samples=int(p.get("min_child_samples", 20)),
+                max_depth=p.get("max_depth"))
 
 
 def prediction_frame(fitted: FittedModel, df: DataFrame, key: str, label: str = "label") -> DataFrame:

@@ -134,3 +134,16 @@ def test_boosting_train_loss_never_rises(spark):
     assert all(b <= a + 1e-12 for a, b in zip(losses, losses[1:]))
     gains = m.importances("gain")
     assert abs(sum(gains) - 1) < 1e-9
+
+
+def test_leafwise_max_depth_limits_tree(spark):
+    rng = np.random.default_rng(2)
+    X = rng.integers(0, 10, size=(400, 3)).astype(float)
+    y = X[:, 0] * 2 + X[:, 1] + rng.normal(0, 1, 400)
+    pdf = pd.DataFrame(X, columns=["a", "b", "c"]).assign(label=y)
+    m = LeafwiseBooster(["a", "b", "c"], n_estimators=1, num_leaves=31, min_child_samples=5,
+                        max_depth=2).fit(spark.createDataFrame(pdf))
+    t = m.trees[0]
+    assert len(t.leaves) <= 4 and len(t.splits) <= 3
+    # depth 2 with all positive-gain splits is the level-wise tree: root plus its two children
+    assert set(t.splits) == {0, 1, 2}
