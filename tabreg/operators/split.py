@@ -14,6 +14,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .stats import column_ranges, order_statistics
 
 TEST = "test"
@@ -52,7 +53,7 @@ def train_test_exact(df: DataFrame, key: str, test_size: float = 0.2, seed: int
     """
     h = key_hash(F.col(key), seed)
     # The narrow (key, hash) frame feeds four small jobs; persist it instead of rehashing the source.
-    hashed = df.select(F.col(key), h.alias("_h")).persist(StorageLevel.MEMORY_AND_DISK)
+    hashed = spread(df.select(F.col(key), h.alias("_h"))).persist(StorageLevel.MEMORY_AND_DISK)
     ranges = column_ranges(hashed, ["_h"])
     n = ranges["_h"][0]
     n_test = math.ceil(test_size * n)

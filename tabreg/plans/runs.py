@@ -20,6 +20,7 @@ from ..operators.columns import REFERENCE_DROP
 from ..operators.prepare import FittedPrep, Preparer
 from ..operators.split import TEST, TRAIN, train_test_split
 from ..sources.params import read_params, write_params
+from ..session import spread
 from ..sources.runlog import append_run_log, log_row
 from . import reports
 from .models import (DEFAULT_RUN_NAMES, FittedModel, final_run_name, fit_model, infer_model,
@@ -73,7 +74,7 @@ def _prepare_split(df: DataFrame, key: str, label: str, drop, scale: bool, test_
     if fit_scope not in ("all", "train"):
         raise ValueError("fit_scope must be 'all' or 'train'")
     base, _ = Preparer(label=label, key=key, drop=drop).select_features(df)
-    base = train_test_split(base, key, test_size, seed).persist(StorageLevel.MEMORY_AND_DISK)
+    base = spread(train_test_split(base, key, test_size, seed)).persist(StorageLevel.MEMORY_AND_DISK)
     fit_rows = base if fit_scope == "all" else base.where(F.col("split") == TRAIN)
     prep = Preparer(label=label, key=key, drop=["split"], scale=scale).fit(fit_rows)
     prepared = prep.to_vector(base, keep=["split"]) if sparse else prep.transform(base, keep=["split"])
