@@ -16,10 +16,12 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import DummyNameClash
+from ..session import spread
 from . import columns as C
 from . import stats as S
 
@@ -182,7 +184,19 @@ class Preparer:
         return C.split_label(df, self.label, self.key)
 
     def fit(self, df: DataFrame) -> FittedPrep:
+        # Like Spark ML's multi-pass estimators: an input that is not persisted is projected to
+        # the features, spread if under-partitioned, and persisted for the fit's passes only.
+        own_cache = df.storageLevel == StorageLevel.NONE
         df, features = self.select_features(df)
+        if own_cache:
+            df = spread(df).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            return self._fit(df, features)
+        finally:
+            if own_cache:
+                df.unpersist()
+
+    def _fit(self, df: DataFrame, features: list[str]) -> FittedPrep:
         roles = C.column_roles(df, features)
         numeric = [c for c in features if roles[c] == "numeric"]
         text = [c for c in features if roles[c] == "categorical"]
