@@ -147,3 +147,23 @@ def test_leafwise_max_depth_limits_tree(spark):
     assert len(t.leaves) <= 4 and len(t.splits) <= 3
     # depth 2 with all positive-gain splits is the level-wise tree: root plus its two children
     assert set(t.splits) == {0, 1, 2}
+
+
+def test_leafwise_several_trees_equal_brute_force(spark):
+    """Trees after the first start from the root histogram derived on the driver; every tree and
+    the final predictions must still equal brute-force best-first boosting."""
+    rng = np.random.default_rng(11)
+    X = rng.integers(0, 12, size=(300, 3)).astype(float)
+    y = np.where(X[:, 0] > 5, 10.0, 0.0) + X[:, 1] ** 1.5 + rng.normal(0, 1, 300)
+    pdf = pd.DataFrame(X, columns=["a", "b", "c"]).assign(label=y)
+    m = LeafwiseBooster(["a", "b", "c"], n_estimators=3, learning_rate=0.1, num_leaves=6,
+                        min_child_samples=15, checkpoint_every=2).fit(spark.createDataFrame(pdf))
+    pred = np.full(len(y), y.mean())
+    for tree in m.trees:
+        splits, leaves = _brute_tree(X, y - pred, 6, 15)
+        mine = sorted((f, thr, round(tree.gains[n], 6)) for n, (f, _b, thr, _l, _r) in tree.splits.items())
+        assert mine == splits
+        for idx in leaves:
+            pred[idx] += 0.1 * (y[idx] - pred[idx]).mean()
+    got = m.transform(spark.createDataFrame(pdf)).toPandas()
+    assert np.allclose(got["prediction"].to_numpy(), pred)
