@@ -128,7 +128,7 @@ def default_run(df: DataFrame, model: str, key: str, label: str = "label", drop=
 
 def search_run(df: DataFrame, model: str, key: str, grid: dict, label: str = "label", drop=REFERENCE_DROP,
                params_path: str | None = None, log_path: str | None = None, folds: int = FOLDS,
-               parallelism: int = 2, scale: bool = True, test_size: float = 0.2, seed: int = 42,
+               parallelism: int = 4, scale: bool = True, test_size: float = 0.2, seed: int = 42,
                fit_scope: str = "all", report_path: str | None = None) -> RunResult:
     """Grid search with k folds on the training rows, refit the winner, score the test rows."""
     t0 = time.monotonic()

@@ -43,7 +43,7 @@ def candidates_frame(spark: SparkSession, grid: dict[str, list]) -> DataFrame:
 
 
 def cv_scores(model: str, train: DataFrame, feature_names: list[str], grid: dict[str, list], key: str,
-              folds: int = FOLDS, fold_seed: int = 43, parallelism: int = 2, label: str = "label") -> DataFrame:
+              folds: int = FOLDS, fold_seed: int = 43, parallelism: int = 4, label: str = "label") -> DataFrame:
     """(candidate, params, fold, mae) for every candidate x fold, fitted on the other folds."""
     spark = train.sparkSession
     cands = param_grid(grid)
