@@ -78,6 +78,13 @@ def normal_words(text: bytes | None) -> list[bytes]:
     return text.translate(_NORMAL).split() if text else []
 
 
+def word_bounds(text: bytes) -> list[tuple[int, int]]:
+    """Byte ranges of ``normal_words``."""
+    inside = np.frombuffer(text.translate(_NORMAL), np.uint8) != 32
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).astype(np.int8))).tolist()
+    return list(zip(edges[::2], edges[1::2], strict=True))
+
+
 def hash_words(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
