@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontamination, language_id, packing, token_counts
+from . import decontamination, language_id, packing, quality, token_counts
 
-MODULES = (token_counts, packing, decontamination, language_id)
+MODULES = (token_counts, packing, quality, decontamination, language_id)
 
 
 def queries() -> dict:
