@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, language_id, packing, quality, token_counts
+from . import chat, decontamination, language_id, packing, quality, token_counts, warc
 
-MODULES = (token_counts, chat, packing, quality, decontamination, language_id)
+MODULES = (token_counts, chat, warc, packing, quality, decontamination, language_id)
 
 
 def queries() -> dict:
