@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, embeddings, language_id, packing, quality, token_counts, warc
+from . import chat, decontamination, embeddings, language_id, ngram_join, packing, quality, token_counts, warc
 
-MODULES = (token_counts, chat, embeddings, warc, packing, quality, decontamination, language_id)
+MODULES = (token_counts, chat, embeddings, warc, packing, ngram_join, quality, decontamination, language_id)
 
 
 def queries() -> dict:
