@@ -20,13 +20,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabreg.llm import decontamination, ngram_join, packing, quality, substring_dedup
-from tabreg.llm.common import table, written
+from tabreg.llm.common import free_name, table, written
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.learn(docs, table(spark, sf_dir, "labels"))
-    scored = quality.score(docs, model, name="__score")
-    return scored.where(F.col("__score") >= quality.THRESHOLD).drop("__score")
+    name = free_name(docs, "__score")
+    return quality.score(docs, model, name=name).where(F.col(name) >= quality.THRESHOLD).drop(name)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

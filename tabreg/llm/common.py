@@ -11,6 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from tabreg.session import shared_dir
 
@@ -36,10 +37,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def arrow_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-               schema: str) -> DataFrame:
-    """``mapInArrow`` on the frame's own partitioning."""
-    return df.mapInArrow(fn, schema)
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it as long as the frame has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def map_columns(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+                schema: StructType) -> DataFrame:
+    """``mapInArrow`` for frames with any column names: the function sees and returns ``c0, c1, ...``."""
+    plain = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(schema.fields)])
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(fn, plain).toDF(*schema.names)
 
 
 def id_and_bytes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -25,9 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from .common import BATCH_BYTES, chunks, id_and_bytes, normal_words, record_batch, table
+from .common import BATCH_BYTES, chunks, id_and_bytes, map_columns, normal_words, record_batch, table, word_bounds
 
 WINDOW = 13
 #: A document is contaminated if hit words are at least one in so many.
@@ -221,7 +220,7 @@ def without_contaminated(docs: DataFrame, shards: list, text_col: str = "text",
                 clean = pa.array([h == 0 or one_in * h < n for h, (n, _, _) in zip(hits, found, strict=True)], pa.bool_())
                 yield pa.RecordBatch.from_arrays(part.columns[:-1], schema=batch.schema).filter(clean)
 
-    return docs.mapInArrow(run, StructType(schema.fields))
+    return map_columns(docs, run, schema)
 
 
 def cut_spans(docs: DataFrame, shards: list, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
@@ -231,8 +230,6 @@ def cut_spans(docs: DataFrame, shards: list, id_col: str = "doc_id", text_col: s
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_removed", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .common import word_bounds
-
         for batch, texts in chunks(batches, limit=_slice_bytes(shards)):
             out: list = []
             for text, (n, spans, _) in zip(texts, _search(shards, texts), strict=True):

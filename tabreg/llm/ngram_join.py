@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, gram_hashes, hash_words, id_and_bytes, mix, normal_words, record_batch, table, written
+from .common import chunks, free_name, gram_hashes, hash_words, id_and_bytes, mix, normal_words, record_batch, table, written
 from .components import connected_components, pair_roots, tiles
 
 WORDS = 5
@@ -204,15 +204,15 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one document of each group: the smallest id, and one row of that id."""
     groups = written(jaccard_groups(docs, id_col, text_col, **options), "groups")
-    q = F.col("`" + id_col.replace("`", "``") + "`")
-    gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, q.cast("long") == F.col("__gone"), "left_anti")
-    again = groups.where("kept AND n_links > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__again"))
-    again = written(again, "repeated-ids")
+    own, other = F.col("`" + id_col.replace("`", "``") + "`").cast("long"), free_name(docs, "__other")
+    gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias(other)).distinct()
+    kept = docs.join(gone, own == F.col(other), "left_anti")
+    again = groups.where("kept AND n_links > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"))
+    again = written(again.where("n > 1").select(F.col("doc_id").alias(other)), "repeated-ids")
     if again.isEmpty():
         return kept
-    once = kept.join(again, q.cast("long") == F.col("__again"), "left_semi").dropDuplicates([id_col])
-    return kept.join(again, q.cast("long") == F.col("__again"), "left_anti").unionByName(once)
+    once = kept.join(again, own == F.col(other), "left_semi").dropDuplicates([id_col])
+    return kept.join(again, own == F.col(other), "left_anti").unionByName(once)
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

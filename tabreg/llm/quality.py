@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import chunks, id_and_bytes, table, written
+from .common import chunks, free_name, id_and_bytes, map_columns, table, written
 from .language_id import held_out
 
 TRAIN_ROWS = 20_000
@@ -73,9 +73,9 @@ def with_statistics(docs: DataFrame, text_col: str = "text", name: str = STATS_C
             for part, texts in chunks(iter([rows]), "__bytes"):
                 values = np.array([statistics(t) for t in texts]).T
                 stats = pa.StructArray.from_arrays([pa.array(v) for v in values], fields=list(arrow))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], stats], names=[*batch.schema.names, name])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], stats], names=[*batch.schema.names, f"c{len(batch.schema)}"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, struct)]))
+    return map_columns(docs, run, StructType([*docs.schema.fields, StructField(name, struct)]))
 
 
 Rule = tuple[tuple[int, str, float], ...]
@@ -132,8 +132,10 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model: str, text_col: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` with its score as the last column."""
-    return with_statistics(docs, text_col).withColumn(name, F.expr(model)).drop(STATS_COL)
+    """``docs`` with its score as the last column (it replaces a column of that name)."""
+    scratch = free_name(docs, STATS_COL)
+    scored = with_statistics(docs, text_col, scratch).withColumn(name, F.expr(model.replace(STATS_COL, scratch)))
+    return scored.drop(scratch)
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, gram_hashes, hash_words, id_and_bytes, plain_words, record_batch, table, written
+from .common import chunks, gram_hashes, hash_words, id_and_bytes, map_columns, plain_words, record_batch, table, written
 
 WINDOW = 35
 #: No level is shorter than this.
@@ -210,9 +210,9 @@ def cut_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 columns[at] = pa.array(new, columns[at].type)
                 if sizes is not None:
                     columns[size_at] = pa.array(sizes, columns[size_at].type)
-                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+                yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[: len(schema)])
 
-    return joined.mapInArrow(run, schema)
+    return map_columns(joined, run, schema)
 
 
 QUERIES = {"op4_substring_dedup": op4_substring_dedup}
