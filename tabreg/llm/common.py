@@ -60,9 +60,9 @@ def id_and_bytes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def chunks(batches: Iterator[pa.RecordBatch], col: str = "__text",
-           limit: int = BATCH_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
-    """Slices of the batches of about ``limit`` bytes of text (at least one row), each with its
-    texts; a very long text is a slice of its own."""
+           limit: int = BATCH_BYTES, rows: int = 1 << 30) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+    """Slices of the batches of about ``limit`` bytes of text and ``rows`` rows (at least one row),
+    each with its texts; a very long text is a slice of its own."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(col))
         sizes = np.zeros(len(column) + 1, dtype=np.int64)
@@ -70,6 +70,7 @@ def chunks(batches: Iterator[pa.RecordBatch], col: str = "__text",
         a = 0
         while a < len(column):
             b = max(a + 1, int(np.searchsorted(sizes, sizes[a] + limit, side="right")) - 1)
+            b = min(b, a + rows)
             yield batch.slice(a, b - a), column.slice(a, b - a).to_pylist()
             a = b
 

@@ -36,7 +36,8 @@ SAMPLE = 1000
 CLUSTERS = 4
 MAX_LANGUAGES = 4096
 UNKNOWN = "und"
-SLICE_BYTES = 2 << 20
+#: Text and rows (each with a vector) that a task handles at a time.
+SLICE_BYTES, SLICE_ROWS = 2 << 20, 256
 
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or 97 <= b <= 122 else 32 for b in range(256))
 _ANY_ASCII = re.compile(rb"[A-Za-z]").search
@@ -71,8 +72,11 @@ def counts(texts: list[bytes | None]) -> np.ndarray:
 
 
 def vectors(texts: list[bytes | None], idf: np.ndarray) -> np.ndarray:
-    v = np.log1p(counts(texts)) * idf
-    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    v = counts(texts)
+    np.log1p(v, out=v)
+    v *= idf
+    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    return v
 
 
 def _learnable(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
@@ -86,7 +90,7 @@ def corpus_statistics(rows: DataFrame) -> tuple[np.ndarray, dict[str, int]]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, langs = np.zeros(DIMENSIONS, dtype=np.int64), Counter()
-        for batch, texts in chunks(batches, limit=SLICE_BYTES):
+        for batch, texts in chunks(batches, limit=SLICE_BYTES, rows=SLICE_ROWS):
             seen += (counts(texts) > 0).sum(axis=0)
             langs.update(batch.column(batch.schema.get_field_index("__lang")).to_pylist())
         yield record_batch(out, np.zeros(DIMENSIONS, np.int32), np.arange(DIMENSIONS, dtype=np.int32), [None] * DIMENSIONS, seen)
@@ -137,7 +141,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     sketch = pa.schema([("lang", pa.string()), ("h", pa.int64()), ("v", pa.binary())])
 
     def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in chunks(batches, limit=SLICE_BYTES):
+        for batch, texts in chunks(batches, limit=SLICE_BYTES, rows=SLICE_ROWS):
             get = lambda c: batch.column(batch.schema.get_field_index(c))
             yield record_batch(sketch, get("__lang"), get("__h"), [v.tobytes() for v in vectors(texts, idf).astype(np.float32)])
 
@@ -160,7 +164,7 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, limits, centroids, idf = (fitted.value[k] for k in ("langs", "limits", "centroids", "idf"))
-        for batch, texts in chunks(batches, limit=SLICE_BYTES):
+        for batch, texts in chunks(batches, limit=SLICE_BYTES, rows=SLICE_ROWS):
             letters = np.array([has_letter(t) for t in texts]) & bool(langs)
             near = vectors(texts, idf) @ centroids.T if langs else np.zeros((len(texts), 1), np.float32)
             best = near.argmax(axis=1)

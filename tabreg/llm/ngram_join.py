@@ -45,9 +45,10 @@ def band_shape(threshold: float, recall: float, most: int = MAX_ROWS) -> tuple[i
     the threshold need at most ``most`` MinHash values."""
     best = (1, 1)
     for rows in range(1, most + 1):
-        bands = math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows)) if threshold < 1 else 1
-        if bands * rows <= most:
-            best = (bands, rows)
+        bands = math.ceil(math.log(1 - recall) / math.log1p(-(threshold**rows))) if threshold < 1 else 1
+        if bands * rows > most:
+            break
+        best = (bands, rows)
     return best
 
 

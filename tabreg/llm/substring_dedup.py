@@ -45,7 +45,7 @@ _CUT = pa.schema([("rid", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256"
 
 def level_lengths(window: int, first: int = FIRST) -> list[int]:
     out = [window]
-    while (out[0] + 1) // 2 >= first:
+    while first <= (out[0] + 1) // 2 < out[0]:
         out.insert(0, (out[0] + 1) // 2)
     return out
 
