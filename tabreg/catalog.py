@@ -456,7 +456,7 @@ def _hash_sql(seed: int) -> str:
     return f"('0x' || substr(md5(CAST(doc_id AS VARCHAR) || ':{seed}'), 1, 8))::BIGINT"
 
 
-SPLIT_SQL = f"CASE WHEN {_hash_sql(SEED)} % 100 < 20 THEN 'test' ELSE 'train' END"
+SPLIT_SQL = f"CASE WHEN {_hash_sql(SEED)} < 0.2 * 4294967296 THEN 'test' ELSE 'train' END"
 
 FIXED_PRED_SQL = FILLED_SQL + f""",
 t AS (SELECT doc_id, label, 7.0 * n_words AS prediction FROM f WHERE {SPLIT_SQL} = 'test')"""

@@ -41,3 +41,20 @@ class DummyNameClash(TabregError):
 
 class UnknownModel(TabregError):
     """A model name that the registry does not know."""
+
+
+class UnsupportedColumn(TabregError):
+    """Feature columns whose type is neither a number, text nor boolean."""
+
+    def __init__(self, columns):
+        self.columns = dict(columns)
+        super().__init__("no encoding for feature columns: " + ", ".join(f"{c} ({t})" for c, t in self.columns.items())
+                         + "; drop or cast them")
+
+
+class DuplicateKeys(TabregError):
+    """An exact count cannot be cut because several rows share the key at the cut."""
+
+
+class RaggedRows(TabregError):
+    """CSV rows with more or fewer fields than the header (strict mode)."""

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import MissingColumns, MissingLabel
+from ..names import column
 
 # The columns the reference pipeline drops before modelling, and its label.
 REFERENCE_DROP = ["Id", "Alley", "PoolQC", "Fence", "MiscFeature", "FireplaceQu", "MasVnrType"]
@@ -38,8 +38,8 @@ def split_label(df: DataFrame, label: str, key: str | None = None) -> tuple[Data
     if label not in df.columns:
         raise MissingLabel(f"label column {label!r} not found")
     features = [c for c in df.columns if c not in (label, key)]
-    cols = ([F.col(f"`{key}`")] if key else []) + [F.col(f"`{label}`").cast("double").alias(label)]
-    return df.select(*cols, *[F.col(f"`{c}`") for c in features]), features
+    cols = ([column(key)] if key else []) + [column(label).cast("double").alias(label)]
+    return df.select(*cols, *[column(c) for c in features]), features
 
 
 def column_roles(df: DataFrame, features: list[str] | None = None) -> dict[str, str]:
@@ -66,5 +66,9 @@ def feature_name_frame(spark, names: list[str]) -> DataFrame:
 
 
 def assemble(df: DataFrame, features: list[str], out: str = "features") -> DataFrame:
-    """Feature vector for Spark ML; any null or NaN is an error, as in the reference's fit."""
-    return VectorAssembler(inputCols=features, outputCol=out, handleInvalid="error").transform(df)
+    """Feature vector for Spark ML; any null or NaN is an error, as in the reference's fit. Slots
+    stand in the order of ``features``; the assembler sees positional names, since it can't read
+    names that hold dots."""
+    slots = [f"__slot{i}" for i in range(len(features))]
+    rows = df.select("*", *[column(c).alias(s) for c, s in zip(features, slots)])
+    return VectorAssembler(inputCols=slots, outputCol=out, handleInvalid="error").transform(rows).drop(*slots)

@@ -13,25 +13,22 @@ Booleans without gaps pass through as 0/1; booleans with gaps are treated as tex
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import DummyNameClash
+from ..errors import DummyNameClash, UnsupportedColumn
+from ..names import column as _q
+from ..names import number
 from ..session import spread
 from . import columns as C
 from . import stats as S
 
 
-def _q(c: str) -> Column:
-    return F.col(f"`{c}`")
-
-
 def fill_median_expr(c: str, median: float) -> Column:
-    return F.coalesce(_q(c).cast("double"), F.lit(float(median)))
+    return F.coalesce(number(c), F.lit(float(median)))
 
 
 def fill_mode_expr(c: str, mode: str) -> Column:
@@ -118,19 +115,15 @@ class FittedPrep:
         head = [c for c in (self.key, self.label) if c and c in df.columns] + list(keep or [])
         if not sparse or not self.categorical:
             dense = self.transform(df, keep=keep)
-            return VectorAssembler(inputCols=self.feature_names, outputCol=out,
-                                   handleInvalid="error").transform(dense).select(*head, out)
+            return C.assemble(dense, self.feature_names, out).select(*[_q(c) for c in head], out)
         num, passing = set(self.numeric), set(self.passthrough)
         cols = [_q(c) for c in head]
         kept = []
         for c in self.feature_names:
-            if c in num:
-                v = fill_median_expr(c, self.medians[c])
-                cols.append((scale_expr(v, *self.scale[c]) if self.scaled else v).alias(c))
-                kept.append(c)
-            elif c in passing:
-                cols.append(_q(c).cast("double").alias(c))
-                kept.append(c)
+            if c in num or c in passing:
+                kept.append(f"_num{len(kept)}")
+                v = fill_median_expr(c, self.medians[c]) if c in num else _q(c).cast("double")
+                cols.append((scale_expr(v, *self.scale[c]) if c in num and self.scaled else v).alias(kept[-1]))
         txt = [f"_txt{i}" for i in range(len(self.categorical))]
         cols += [F.coalesce(self._text(c), F.lit(self.modes[c])).alias(t) for c, t in zip(self.categorical, txt)]
         rows = df.select(*cols)
@@ -144,20 +137,7 @@ class FittedPrep:
         # this fit reads no rows; dropLast removes exactly that slot: unseen values are all zeros.
         enc = OneHotEncoder(inputCols=idx, outputCols=vec, dropLast=True, handleInvalid="error")
         rows = enc.fit(rows).transform(rows)
-        return VectorAssembler(inputCols=kept + vec, outputCol=out, handleInvalid="error").transform(rows).select(*head, out)
-
-    def stats_rows(self) -> list[tuple]:
-        """(column, kind, value) rows of everything fitted, as text."""
-        rows = []
-        for c in self.numeric:
-            rows.append((c, "median", repr(self.medians[c])))
-            if self.scaled:
-                rows.append((c, "mean", repr(self.scale[c][0])))
-                rows.append((c, "std", repr(self.scale[c][1])))
-        for c in self.categorical:
-            rows.append((c, "mode", self.modes[c]))
-            rows.append((c, "domain", json.dumps(self.domains[c])))
-        return rows
+        return VectorAssembler(inputCols=kept + vec, outputCol=out, handleInvalid="error").transform(rows).select(*[_q(c) for c in head], out)
 
 
 class Preparer:
@@ -171,7 +151,7 @@ class Preparer:
 
     def __init__(self, label: str = C.REFERENCE_LABEL, key: str | None = None, drop=C.REFERENCE_DROP,
                  strict_drop: bool = False, scale: bool = True, approx_median: bool = False,
-                 max_categories: int = 1000, drop_last: bool = False):
+                 max_categories: int | None = None, drop_last: bool = False):
         self.drop_last = drop_last
         self.label, self.key, self.drop = label, key, list(drop)
         self.strict_drop, self.scale = strict_drop, scale
@@ -198,6 +178,8 @@ class Preparer:
 
     def _fit(self, df: DataFrame, features: list[str]) -> FittedPrep:
         roles = C.column_roles(df, features)
+        if other := {c: t for c, t in df.dtypes if c in roles and roles[c] == "other"}:
+            raise UnsupportedColumn(other)
         numeric = [c for c in features if roles[c] == "numeric"]
         text = [c for c in features if roles[c] == "categorical"]
         bools = [c for c in features if roles[c] == "boolean"]

@@ -7,9 +7,8 @@ Scale notes
 * ``F.median`` merges every distinct value of a column into the single final task of a global
   aggregate, so its memory grows with the data. The exact median here is an order statistic found by
   range refinement: each pass is a ``groupBy(target, bucket)`` with map-side partial aggregation
-  (at most ``targets x buckets`` rows reach the driver), and values are only collected once the
-  remaining range holds at most ``collect_limit`` rows. ``approx=True`` gives the one-pass
-  ``percentile_approx`` instead.
+  (at most ``targets x buckets`` rows reach the driver), until the range is one value: the same
+  way for few rows as for many. ``approx=True`` gives the one-pass ``percentile_approx`` instead.
 * Mode and domain go through ``groupBy(column, value).count()``: a hot value (a third of all rows)
   is collapsed map-side before the shuffle, so skew costs nothing.
 """
@@ -17,19 +16,17 @@ Scale notes
 from __future__ import annotations
 
 import math
+import sys
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import AllNullColumn, TooManyCategories
+from ..names import column as _q
+from ..names import number
 
 BUCKETS = 1024
-COLLECT_LIMIT = 50_000
-
-
-def _q(c: str):
-    return F.col(f"`{c}`")
 
 
 @dataclass
@@ -39,31 +36,30 @@ class _Target:
     lo: float
     hi: float
     below: int         # non-null values of the column strictly below ``lo``
-    inside: int        # non-null values within [lo, hi]
-    value: float | None = None
+    inside: int        # values within [lo, hi]
 
 
 def column_ranges(df: DataFrame, columns: list[str]) -> dict[str, tuple[int, float | None, float | None]]:
-    """(non-null count, min, max) of every column, one aggregate job."""
+    """(count, min, max) of every column's values (neither null nor NaN), one aggregate job."""
     if not columns:
         return {}
     aggs = []
     for i, c in enumerate(columns):
-        v = _q(c).cast("double")
+        v = number(c)
         aggs += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
     row = df.agg(*aggs).collect()[0]
     return {c: (row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(columns)}
 
 
-def order_statistics(df: DataFrame, ranks: dict[str, list[int]], ranges=None,
-                     buckets: int = BUCKETS, collect_limit: int = COLLECT_LIMIT) -> dict[tuple[str, int], float]:
-    """Exact k-th smallest non-null value of each column for each requested 0-based rank.
+def order_statistics(df: DataFrame, ranks: dict[str, list[int]], ranges=None, buckets: int = BUCKETS,
+                     below: bool = False) -> dict[tuple[str, int], float | tuple[float, int]]:
+    """Exact k-th smallest value of each column for each requested 0-based rank; with ``below``
+    also how many values are smaller.
 
     Range refinement: the target's value lies in [lo, hi]; one pass counts the rows of that range
-    per equal-width bucket (with each bucket's min and max), and the target moves into the bucket
-    that holds its rank. Min and max of a range fall into different buckets, so each pass strictly
-    shrinks the set of distinct values; it ends when the range is one value or small enough to
-    collect.
+    per bucket (with each bucket's min and max), and the target moves into the bucket that holds its
+    rank. The ends of a range fall into different buckets, so each pass leaves fewer distinct values;
+    it ends when the range is one value. Infinities have buckets of their own.
     """
     ranges = ranges or column_ranges(df, list(ranks))
     targets = []
@@ -73,72 +69,63 @@ def order_statistics(df: DataFrame, ranks: dict[str, list[int]], ranges=None,
             if not 0 <= k < n:
                 raise ValueError(f"rank {k} out of range for column {c!r} with {n} values")
             targets.append(_Target(c, k, lo, hi, 0, n))
-    while True:
-        for t in targets:
-            if t.value is None and t.lo == t.hi:
-                t.value = t.lo
-        open_ = [t for t in targets if t.value is None]
-        if not open_:
-            break
-        small = [t for t in open_ if t.inside <= collect_limit]
-        big = [t for t in open_ if t.inside > collect_limit]
-        if small:
-            _collect_pass(df, small)
-        if big:
-            _bucket_pass(df, big, buckets)
-    return {(t.column, t.rank): t.value for t in targets}
-
-
-def _tagged_values(df: DataFrame, targets: list[_Target], with_bucket: int | None) -> DataFrame:
-    items = []
-    for i, t in enumerate(targets):
-        v = _q(t.column).cast("double")
-        fields = [F.lit(i).alias("t"), v.alias("v")]
-        if with_bucket:
-            width = t.hi - t.lo
-            b = F.least(F.floor((v - F.lit(t.lo)) / F.lit(width) * F.lit(with_bucket)), F.lit(with_bucket - 1))
-            fields.append(b.cast("int").alias("b"))
-        items.append(F.when(v.between(t.lo, t.hi), F.struct(*fields)))
-    arr = F.filter(F.array(*items), lambda x: x.isNotNull())
-    return df.select(F.explode(arr).alias("s")).select("s.*")
+    while open_ := [t for t in targets if t.lo != t.hi]:
+        _bucket_pass(df, open_, buckets)
+    return {(t.column, t.rank): (t.lo, t.below) if below else t.lo for t in targets}
+
+
+def _magnitude(x: float) -> float:
+    """Grows with x over all finite doubles, by the power of two of its size."""
+    return 0.0 if x == 0 else math.copysign(math.log2(abs(x)) + 1100, x)
+
+
+def _bucket(v, t: _Target, buckets: int):
+    """Bucket of a value of the range: -1 and ``buckets`` for infinities, else by equal widths, of
+    magnitudes while the range holds several powers of two, so that few passes do whatever the
+    distribution: some four powers of two are left after the first, and then a 1,024th each time."""
+    lo, hi = max(t.lo, -sys.float_info.max), min(t.hi, sys.float_info.max)
+    if _magnitude(hi) - _magnitude(lo) > 5:
+        size = F.log2(F.abs(v)) + 1100
+        at = F.when(v == 0, 0.0).when(v > 0, size).otherwise(-size)
+        first, last = _magnitude(lo), _magnitude(hi)
+    else:    # halves, since the width of a range may be beyond the largest double
+        at, first, last = v / 2, lo / 2, hi / 2
+    if last > first:
+        at = F.floor((at - F.lit(first)) / F.lit(last - first) * F.lit(buckets))
+        at = F.when(v >= F.lit(hi), buckets - 1).when(v <= F.lit(lo), 0).otherwise(F.least(F.greatest(at, F.lit(0)), F.lit(buckets - 1)))
+    else:    # neighbours among the smallest numbers, or infinities around one value
+        at = F.when(v <= F.lit(lo), 0).otherwise(buckets - 1)
+    return F.when(v == float("-inf"), -1).when(v == float("inf"), buckets).otherwise(at).cast("int")
 
 
 def _bucket_pass(df: DataFrame, targets: list[_Target], buckets: int) -> None:
-    hist = (_tagged_values(df, targets, buckets)
-            .groupBy("t", "b")
-            .agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-            .collect())
+    items = []
+    for i, t in enumerate(targets):
+        v = number(t.column)
+        items.append(F.when(v.between(t.lo, t.hi), F.struct(F.lit(i).alias("t"), v.alias("v"), _bucket(v, t, buckets).alias("b"))))
+    values = df.select(F.explode(F.filter(F.array(*items), lambda x: x.isNotNull())).alias("s")).select("s.*")
+    hist = values.groupBy("t", "b").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
     per = {}
     for r in hist:
         per.setdefault(r["t"], []).append(r)
     for i, t in enumerate(targets):
-        rows = sorted(per[i], key=lambda r: r["b"])
-        seen = t.below
-        for r in rows:
-            if seen + r["n"] > t.rank:
-                t.below, t.inside, t.lo, t.hi = seen, r["n"], r["lo"], r["hi"]
+        was = (t.lo, t.hi, t.inside)
+        for r in sorted(per[i], key=lambda r: r["b"]):
+            if t.below + r["n"] > t.rank:
+                t.inside, t.lo, t.hi = r["n"], r["lo"], r["hi"]
                 break
-            seen += r["n"]
-
-
-def _collect_pass(df: DataFrame, targets: list[_Target]) -> None:
-    rows = _tagged_values(df, targets, None).collect()
-    per = {}
-    for r in rows:
-        per.setdefault(r["t"], []).append(r["v"])
-    for i, t in enumerate(targets):
-        vals = sorted(per[i])
-        t.value = vals[t.rank - t.below]
+            t.below += r["n"]
+        if was == (t.lo, t.hi, t.inside):
+            raise RuntimeError(f"no progress in the order statistic of column {t.column!r}: {was}")
 
 
 def fit_medians(df: DataFrame, columns: list[str], approx: bool = False, accuracy: int = 10_000,
-                allow_all_null: bool = False, buckets: int = BUCKETS,
-                collect_limit: int = COLLECT_LIMIT, ranges=None) -> dict[str, float | None]:
+                allow_all_null: bool = False, buckets: int = BUCKETS, ranges=None) -> dict[str, float | None]:
     """Median of each column over its non-null values; an even count averages the two middle values."""
     if not columns:
         return {}
     if approx:
-        row = df.agg(*[F.percentile_approx(_q(c).cast("double"), 0.5, accuracy).alias(f"m{i}")
+        row = df.agg(*[F.percentile_approx(number(c), 0.5, accuracy).alias(f"m{i}")
                        for i, c in enumerate(columns)]).collect()[0]
         out = {c: row[f"m{i}"] for i, c in enumerate(columns)}
     else:
@@ -148,7 +135,7 @@ def fit_medians(df: DataFrame, columns: list[str], approx: bool = False, accurac
             n = ranges[c][0]
             if n:
                 ranks[c] = sorted({(n - 1) // 2, n // 2})
-        stats = order_statistics(df, ranks, ranges, buckets, collect_limit)
+        stats = order_statistics(df, ranks, ranges, buckets)
         out = {}
         for c in columns:
             n = ranges[c][0]
@@ -156,7 +143,7 @@ def fit_medians(df: DataFrame, columns: list[str], approx: bool = False, accurac
                 out[c] = None
                 continue
             a, b = stats[(c, (n - 1) // 2)], stats[(c, n // 2)]
-            out[c] = a + (b - a) / 2.0
+            out[c] = a if a == b else a / 2.0 + b / 2.0 if math.isinf(b - a) else a + (b - a) / 2.0
     for c, v in out.items():
         if v is None and not allow_all_null:
             raise AllNullColumn(c)
@@ -188,18 +175,18 @@ def fit_modes(df: DataFrame, columns: list[str]) -> dict[str, str]:
     return {c: got[c] for c in columns}
 
 
-def fit_modes_and_domains(df: DataFrame, columns: list[str], max_categories: int = 1000):
+def fit_modes_and_domains(df: DataFrame, columns: list[str], max_categories: int | None = None):
     """Modes and sorted category domains from one ``groupBy(column, value)`` job.
 
-    The driver receives at most ``columns x max_categories`` rows: the job takes one row beyond
-    the bound and raises if it arrives, so an unexpectedly wide column fails loudly instead of
-    flooding the driver.
+    The driver receives one row per category (they become feature names). With ``max_categories``
+    it takes at most ``columns x max_categories`` rows and raises if there is one more.
     """
     if not columns:
         return {}, {}
-    bound = len(columns) * max_categories
-    rows = value_counts(df, columns).limit(bound + 1).collect()
-    if len(rows) > bound:
+    counted = value_counts(df, columns)
+    bound = None if max_categories is None else len(columns) * max_categories
+    rows = (counted if bound is None else counted.limit(bound + 1)).collect()
+    if bound is not None and len(rows) > bound:
         raise TooManyCategories(f"more than {max_categories} categories per column on average in {columns}")
     per = {c: [] for c in columns}
     for r in rows:
@@ -209,7 +196,7 @@ def fit_modes_and_domains(df: DataFrame, columns: list[str], max_categories: int
         vals = per[c]
         if not vals:
             raise AllNullColumn(c)
-        if len(vals) > max_categories:
+        if max_categories is not None and len(vals) > max_categories:
             raise TooManyCategories(f"column {c!r} has {len(vals)} categories (limit {max_categories})")
         modes[c] = min(vals, key=lambda vn: (-vn[1], vn[0]))[0]
         domains[c] = sorted(v for v, _ in vals)
@@ -228,21 +215,21 @@ def fit_scale(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float
         return {}
     aggs = []
     for i, c in enumerate(columns):
-        v = _q(c).cast("double")
+        v = number(c)
         aggs += [F.avg(v).alias(f"m{i}"), F.stddev_pop(v).alias(f"s{i}")]
     row = df.agg(*aggs).collect()[0]
     return {c: (row[f"m{i}"], row[f"s{i}"]) for i, c in enumerate(columns)}
 
 
-def profile(df: DataFrame, numeric: list[str], text: list[str], max_categories: int = 1000):
+def profile(df: DataFrame, numeric: list[str], text: list[str], max_categories: int | None = None):
     """One job for everything the preparation fits besides the median refinement.
 
     Rows are unpivoted to (column, text value, number) and grouped by (column, text value): a
     numeric column forms one group (its text value is NULL) carrying count, min, max, mean and
     the population variance of its non-null values; a text column forms one group per distinct
     value carrying its count. Partial aggregation runs map-side, so the shuffle and the collected
-    result hold at most ``numeric + text x max_categories`` rows; one row beyond that bound
-    raises instead of flooding the driver.
+    result hold one row per numeric column and per category; with ``max_categories`` one row beyond
+    ``numeric + text x max_categories`` raises instead of reaching the driver.
 
     Returns (ranges, moments, value counts, rows): ranges[c] = (n, min, max), moments[c] =
     (n, mean, var_pop), counts[c] = [(value, n), ...], rows = row count (None without numerics).
@@ -250,7 +237,7 @@ def profile(df: DataFrame, numeric: list[str], text: list[str], max_categories:
     if not numeric and not text:
         return {}, {}, {}, None
     items = [F.struct(F.lit(c).alias("c"), F.lit(True).alias("num"), F.lit(None).cast("string").alias("t"),
-                      _q(c).cast("double").alias("x")) for c in numeric]
+                      number(c).alias("x")) for c in numeric]
     items += [F.struct(F.lit(c).alias("c"), F.lit(False).alias("num"), _q(c).cast("string").alias("t"),
                        F.lit(None).cast("double").alias("x")) for c in text]
     long = df.select(F.explode(F.array(*items)).alias("s")).select("s.*")
@@ -258,9 +245,9 @@ def profile(df: DataFrame, numeric: list[str], text: list[str], max_categories:
                .groupBy("c", "t")
                .agg(F.count("*").alias("rows"), F.count("x").alias("n"), F.min("x").alias("lo"),
                     F.max("x").alias("hi"), F.avg("x").alias("mean"), F.var_pop("x").alias("var")))
-    bound = len(numeric) + len(text) * max_categories
-    got = grouped.limit(bound + 1).collect()
-    if len(got) > bound:
+    bound = None if max_categories is None else len(numeric) + len(text) * max_categories
+    got = (grouped if bound is None else grouped.limit(bound + 1)).collect()
+    if bound is not None and len(got) > bound:
         raise TooManyCategories(f"more than {max_categories} categories per column on average in {text}")
     ranges, moments, counts, total = {}, {}, {c: [] for c in text}, None
     num = set(numeric)
@@ -274,13 +261,13 @@ def profile(df: DataFrame, numeric: list[str], text: list[str], max_categories:
     return ranges, moments, counts, total
 
 
-def modes_and_domains(counts: dict[str, list[tuple[str, int]]], max_categories: int = 1000):
+def modes_and_domains(counts: dict[str, list[tuple[str, int]]], max_categories: int | None = None):
     """Mode (most rows, ties to the smallest value) and sorted domain of each text column."""
     modes, domains = {}, {}
     for c, vals in counts.items():
         if not vals:
             raise AllNullColumn(c)
-        if len(vals) > max_categories:
+        if max_categories is not None and len(vals) > max_categories:
             raise TooManyCategories(f"column {c!r} has {len(vals)} categories (limit {max_categories})")
         modes[c] = min(vals, key=lambda vn: (-vn[1], vn[0]))[0]
         domains[c] = sorted(v for v, _ in vals)

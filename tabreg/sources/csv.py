@@ -13,29 +13,52 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import SourceNotFound
+from ..errors import RaggedRows, SourceNotFound
+from ..names import column as _q
+from ..names import quoted
 
-# Texts read as missing (pandas' default NA set, less the ones that only differ in case or sign).
+# Texts read as missing (pandas' default NA set).
 NA_MARKERS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
               "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
 
-def _q(c: str):
-    return F.col(f"`{c}`")
+#: A plain decimal number: no type suffix, hexadecimal or blanks.
+NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$|^[+-]?(inf|infinity)$"
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, na_values=NA_MARKERS,
-             infer: bool = True) -> DataFrame:
-    """Header CSV -> typed DataFrame with NA markers as NULL. A missing path raises ``SourceNotFound``."""
+             infer: bool = True, multi_line: bool = False, strict: bool = False) -> DataFrame:
+    """Header CSV -> typed DataFrame with NA markers as NULL. A missing path raises ``SourceNotFound``.
+
+    Quotes inside quoted fields are doubled. ``multi_line`` allows line breaks inside quoted fields,
+    at a cost: a file is then read by one task. ``strict`` raises ``RaggedRows`` if a row has more or
+    fewer fields than the header (one more pass); else missing fields are NULL and extra ones are lost.
+    """
+    def reader(**more):
+        options = {"header": True, "quote": '"', "escape": '"', "multiLine": multi_line, **more}
+        return spark.read.options(**options)
+
     try:
-        raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+        raw = reader(inferSchema=False).csv(path)
         cols = raw.columns
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
             raise SourceNotFound(f"source not found: {path}") from e
         raise
+    if strict:
+        bad = free = "_bad"
+        while bad in cols:
+            bad += free
+        kept = T.StructType([*raw.schema.fields, T.StructField(bad, T.StringType())])
+        n = reader(mode="PERMISSIVE", columnNameOfCorruptRecord=bad).schema(kept).csv(path).cache()
+        try:
+            ragged = n.where(_q(bad).isNotNull()).count()
+        finally:
+            n.unpersist()
+        if ragged:
+            raise RaggedRows(f"{ragged} rows of {path} don't have the header's {len(cols)} fields")
     markers = F.array(*[F.lit(m) for m in na_values])
-    clean = raw.select(*[F.when(F.array_contains(markers, F.trim(_q(c))) | _q(c).isNull(), F.lit(None))
+    clean = raw.select(*[F.when(F.array_contains(markers, _q(c)) | _q(c).isNull(), F.lit(None))
                          .otherwise(_q(c)).alias(c) for c in cols])
     if schema is not None:
         return clean.select(*[_q(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
@@ -45,16 +68,17 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
 
 
 def infer_types(df: DataFrame, cols: list[str]) -> dict[str, str]:
-    """Per column: ``bigint`` if every value parses as an integer, else ``double`` if every value
-    parses as a number, else ``boolean`` for true/false text, else ``string``."""
+    """Per column: ``bigint`` if every value is an integer in its range, else ``double`` if every
+    value is a decimal number, else ``boolean`` for true/false text, else ``string``."""
     aggs = []
     for i, c in enumerate(cols):
         v = _q(c)
         present = v.isNotNull()
+        integer = v.rlike(r"^[+-]?\d+$") & F.expr(f"try_cast({quoted(c)} AS bigint)").isNotNull()
         aggs += [
-            F.count(F.when(present & ~v.rlike(r"^\s*[+-]?\d+\s*$"), 1)).alias(f"ni{i}"),
-            F.count(F.when(present & F.expr(f"try_cast(`{c}` as double)").isNull(), 1)).alias(f"nd{i}"),
-            F.count(F.when(present & ~F.lower(F.trim(v)).isin("true", "false"), 1)).alias(f"nb{i}"),
+            F.count(F.when(present & ~integer, 1)).alias(f"ni{i}"),
+            F.count(F.when(present & ~F.lower(v).rlike(NUMBER), 1)).alias(f"nd{i}"),
+            F.count(F.when(present & ~F.lower(v).isin("true", "false"), 1)).alias(f"nb{i}"),
             F.count(v).alias(f"n{i}"),
         ]
     row = df.agg(*aggs).collect()[0]
@@ -75,4 +99,4 @@ def infer_types(df: DataFrame, cols: list[str]) -> dict[str, str]:
 
 def write_csv(df: DataFrame, path: str, na: str = "NA") -> None:
     """Header CSV with gaps written as ``na`` (so a round trip exercises the marker mapping)."""
-    df.write.mode("overwrite").option("header", True).option("nullValue", na).option("emptyValue", "").csv(path)
+    df.write.mode("overwrite").option("header", True).option("nullValue", na).option("emptyValue", "").option("quote", '"').option("escape", '"').csv(path)

@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -21,6 +22,7 @@ PARAMS_SCHEMA = T.StructType([
     T.StructField("n_estimators", T.IntegerType()),
     T.StructField("num_leaves", T.IntegerType()),
     T.StructField("min_samples_leaf", T.IntegerType()),
+    T.StructField("min_child_samples", T.IntegerType()),
 ])
 PARAM_KEYS = [f.name for f in PARAMS_SCHEMA.fields]
 
@@ -35,11 +37,13 @@ def params_frame(spark: SparkSession, params: dict) -> DataFrame:
 
 
 def write_params(spark: SparkSession, params: dict, path: str) -> bool:
-    """Write the winning parameters; a failed write only warns (returns False), as in the reference."""
+    """Write the winning parameters. Unknown names raise; a failed write only warns (returns
+    False), as in the reference."""
+    row = params_frame(spark, params)
     try:
-        params_frame(spark, params).coalesce(1).write.mode("overwrite").json(path)
+        row.coalesce(1).write.mode("overwrite").json(path)
         return True
-    except Exception as e:  # noqa: BLE001 - the reference keeps going after a failed save
+    except (Py4JError, PySparkException) as e:
         warnings.warn(f"parameters not saved to {path}: {e}")
         return False
 

@@ -44,7 +44,7 @@ def test_order_statistics_match_numpy(spark, parts):
     df = spark.createDataFrame([(float(v),) for v in vals], "x double").repartition(parts)
     ranks = [0, 17, 2750, 3000, 4000, len(vals) - 1]
     # Tiny buckets and collect limit force several refinement passes.
-    got = S.order_statistics(df, {"x": ranks}, buckets=8, collect_limit=50)
+    got = S.order_statistics(df, {"x": ranks}, buckets=8)
     srt = np.sort(vals)
     for k in ranks:
         assert got[("x", k)] == srt[k]
@@ -54,7 +54,7 @@ def test_median_with_skewed_hot_value(spark):
     # A third of the rows share one value; the refinement collapses it without collecting it.
     vals = [1.0] * 3000 + [float(v) for v in np.linspace(-5, 5, 6001)]
     df = spark.createDataFrame([(v,) for v in vals], "x double")
-    got = S.fit_medians(df, ["x"], buckets=16, collect_limit=100)
+    got = S.fit_medians(df, ["x"], buckets=16)
     assert got == {"x": float(np.median(vals))}
 
 
