@@ -4,21 +4,22 @@ Spark ML has no leaf-count-limited (best-first) booster, so this one is built fr
 operations (after Ke et al., NeurIPS 2017, and the distributed histogram scheme of Panda et al.,
 VLDB 2009):
 
-1. **Binning, once.** Features with at most ``max_bin`` distinct values get one bin per value; the
-   rest get ``approxQuantile`` edges. A JVM ``Bucketizer`` turns values into bin numbers, and the
-   (label, bins, prediction) rows are persisted.
-2. **Histograms.** A job routes each row to the open node it reaches (a generated nested ``CASE``
-   on bins), explodes (feature, bin) and runs ``groupBy(node, feature, bin).agg(sum(g), count)``
-   with map-side partial aggregation, so at most nodes x features x bins rows are shuffled and
-   collected, whatever the row count. A hot bin or node is combined per task before the shuffle.
+1. **Binning, once.** A feature with at most ``max_bin`` distinct values gets one bin per value
+   (told exactly, feature by feature); the others get ``approxQuantile`` edges. Rows are packed
+   into blocks (small unsigned bins, label, prediction), persisted and never rewritten while
+   trees grow.
+2. **Histograms.** A job routes each block's rows to the open nodes and adds up gradients and
+   counts per (node, feature, bin) with ``np.bincount``; a task emits its non-zero cells once, and
+   ``groupBy(cell)`` adds the tasks' partial sums, whatever their number and size. A feature takes
+   as many cells as it has bins. A hot bin or node is summed inside each task.
 3. **Best-first growth.** A node's best split depends only on its own rows, so one job can compute
    the children of the best leaf *and* of the other leaves that could still be split; the driver
    then replays best-first growth exactly and only runs another job when it needs unknown
    children. Of two siblings, only the smaller is aggregated; the other is parent minus it.
-4. **Update.** ``prediction += learning_rate * leaf_value`` is a projection over the persisted
-   rows, materialised by the next tree's first job. Every ``checkpoint_every`` trees the rows are
-   checkpointed to the shared checkpoint folder, so lineage stays short and a lost executor only
-   recomputes from the last checkpoint.
+4. **Update.** The trees since the last materialised prediction travel with each job as node
+   arrays and are added inside the task. Every ``checkpoint_every`` trees the blocks are written
+   with the new prediction into the shared folder, the root histogram is computed afresh, and the
+   blocks written before are deleted; a lost executor only recomputes from there.
 
 Loss is squared error, the start score the label mean, leaf value the mean residual, gain
 ``G_l^2/n_l + G_r^2/n_r - G^2/n``, a split needs ``min_child_samples`` rows on each side and a
@@ -32,23 +33,17 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..names import column
+from ..session import delete_dir, fresh_dir
 
-
-def _dlit(x: float) -> str:
-    """A double literal in Spark SQL text."""
-    x = float(x)
-    if math.isfinite(x):
-        return f"{x!r}D"
-    return f"CAST('{'NaN' if math.isnan(x) else ('Infinity' if x > 0 else '-Infinity')}' AS DOUBLE)"
-
-TREES_PER_COLUMN = 10
-ARROW_MAX_CELLS = 4_000_000
+#: Cells that a task holds at a time (two float64 arrays); more open nodes are done in several rounds.
+TASK_CELLS = 4_000_000
 
 
 @dataclass
@@ -88,29 +83,24 @@ class LeafwiseModel:
         self.edges = edges
         self.learning_rate = learning_rate
 
-    def _tree_sql(self, tree: Tree, node: int, raw: bool) -> str:
-        if node in tree.leaves:
-            return _dlit(self.learning_rate * tree.leaves[node])
-        f, b, thr, left, right = tree.splits[node]
-        name = self.feature_names[f].replace("`", "``")
-        cond = f"`{name}` <= {_dlit(thr)}" if raw else f"_b{f} <= {b}"
-        return (f"CASE WHEN {cond} THEN {self._tree_sql(tree, left, raw)} "
-                f"ELSE {self._tree_sql(tree, right, raw)} END")
-
-    def tree_sql(self, i: int, raw: bool = True) -> str:
-        return self._tree_sql(self.trees[i], 0, raw)
-
-    def tree_expr(self, i: int, raw: bool = True) -> Column:
-        return F.expr(self.tree_sql(i, raw))
-
     def transform(self, df: DataFrame, out: str = "prediction") -> DataFrame:
-        """Adds the prediction; trees are summed in chunks of columns to keep each generated
-        method small for whole-stage codegen."""
-        parts = [_dlit(self.init)]
-        for s in range(0, len(self.trees), TREES_PER_COLUMN):
-            chunk = [self.tree_sql(i) for i in range(s, min(s + TREES_PER_COLUMN, len(self.trees)))]
-            parts.append("(" + " + ".join(chunk) + ")")
-        return df.withColumn(out, F.expr(" + ".join(parts)).cast("double"))
+        """Adds the prediction: Arrow batches walk down all trees, level by level."""
+        walkers = [_walker(t) for t in self.trees]
+        init, rate, used = self.init, self.learning_rate, sorted({f for t in self.trees for f, *_ in t.splits.values()})
+        if not used:
+            return df.withColumn(out, F.lit(init + sum(rate * t.leaves[0] for t in self.trees)))
+        place = {f: i for i, f in enumerate(used)}
+
+        @F.pandas_udf("double")
+        def score(rows: pd.DataFrame) -> pd.Series:
+            x = rows.to_numpy(dtype=np.float64)
+            total = np.full(len(x), init)
+            for feature, threshold, left, right, value in walkers:
+                at = np.array([place.get(f, 0) for f in feature.tolist()])
+                total += rate * value[_walk(x, at, threshold, left, right)]
+            return pd.Series(total)
+
+        return df.withColumn(out, score(F.struct(*[column(self.feature_names[f]).cast("double").alias(f"x{f}") for f in used])))
 
     def importances(self, kind: str = "split") -> list[float]:
         out = [0.0] * len(self.feature_names)
@@ -136,23 +126,34 @@ class LeafwiseModel:
                          None if lv is None else float(lv), None if rv is None else float(rv), float(t.gains[0])))
         return rows
 
-    def split_rows(self) -> list[tuple]:
-        """(tree, node, feature, threshold, gain, left, right) of every actual split."""
-        rows = []
-        for ti, t in enumerate(self.trees):
-            for node, (f, _b, thr, left, right) in sorted(t.splits.items()):
-                rows.append((ti, node, self.feature_names[f], float(thr), float(t.gains[node]), left, right))
-        return rows
+
+def _walker(tree: Tree, binned: bool = False) -> tuple:
+    """The tree as arrays over node numbers: feature (-1: leaf), threshold or bin, children, value."""
+    n = 1 + max([0, *tree.splits, *tree.leaves])
+    feature, left, right = np.full(n, -1), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    threshold, value = np.zeros(n), np.zeros(n)
+    for node, (f, b, thr, lo, hi) in tree.splits.items():
+        feature[node], threshold[node], left[node], right[node] = f, b if binned else thr, lo, hi
+    for node, v in tree.leaves.items():
+        value[node] = v
+    left[feature < 0] = right[feature < 0] = np.flatnonzero(feature < 0)
+    return feature, threshold, left, right, value
+
+
+def _walk(x: np.ndarray, feature: np.ndarray, threshold: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The leaf of each row; a gap goes right, as in ``CASE WHEN x <= threshold``."""
+    rows, at = np.arange(len(x)), np.zeros(len(x), np.int64)
+    while True:
+        to = np.where(x[rows, np.maximum(feature[at], 0)] <= threshold[at], left[at], right[at])
+        if np.array_equal(to, at):
+            return at
+        at = to
 
 
 class LeafwiseBooster:
     def __init__(self, feature_names, label: str = "label", n_estimators: int = 100, learning_rate: float = 0.1,
                  num_leaves: int = 31, min_child_samples: int = 20, max_bin: int = 255,
-                 checkpoint_every: int = 10, quantile_error: float = 1e-3, histogram: str = "arrow",
-                 driver_merge_cells: int = 4_000_000, max_depth: int | None = None):
-        if histogram not in ("arrow", "sql"):
-            raise ValueError("histogram must be 'arrow' or 'sql'")
-        self.histogram, self.driver_merge_cells = histogram, driver_merge_cells
+                 checkpoint_every: int = 10, quantile_error: float = 1e-3, max_depth: int | None = None):
         self.max_depth = None if max_depth is None or max_depth <= 0 else int(max_depth)
         self.feature_names = list(feature_names)
         self.label = label
@@ -164,52 +165,53 @@ class LeafwiseBooster:
     # ------------------------------------------------------------------ binning
 
     def _edges(self, data: DataFrame, nf: int) -> tuple[list[list[float]], float, int]:
-        """Bin edges per feature, from one ``approxQuantile`` pass (Greenwald-Khanna sketches,
-        bounded memory). A feature whose quantiles take fewer than ``max_bin`` values may have
-        few distinct values; those features get one exact, bounded distinct job, and if they do
-        have at most ``max_bin`` values each value becomes an edge (one bin per value)."""
-        xs = [f"_x{i}" for i in range(nf)]
+        """Bin edges per feature. A task keeps at most ``max_bin + 1`` distinct values per feature
+        and so does the merge, which tells exactly which features have at most ``max_bin`` values:
+        each value becomes an edge there. The others get one ``approxQuantile`` pass
+        (Greenwald-Khanna sketches, bounded memory)."""
+        most = self.max_bin + 1
+
+        def distinct(batches):
+            seen: list[set] = [set() for _ in range(nf)]
+            for batch in batches:
+                for i in range(nf):
+                    if len(seen[i]) < most:
+                        x = batch.column(i + 1).to_numpy(zero_copy_only=False)
+                        seen[i].update(np.unique(x[~np.isnan(x)])[:most].tolist())
+            pairs = [(i, v) for i in range(nf) for v in sorted(seen[i])[:most]]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in pairs], pa.int32()), pa.array([v for _, v in pairs], pa.float64())], names=["f", "v"])
+
         row = data.agg(F.avg("_y").alias("m"), F.count("*").alias("n")).collect()[0]
-        probs = [k / self.max_bin for k in range(1, self.max_bin)]
-        qs = data.approxQuantile(xs, probs, self.quantile_error)
-        edges = {i: sorted(set(q)) for i, q in enumerate(qs)}
-        few = [i for i in range(nf) if len(edges[i]) < self.max_bin // 2]
-        if few:
-            bound = len(few) * self.max_bin
-            pairs = ", ".join(f"named_struct('f', {i}, 'v', _x{i})" for i in few)
-            vals = (data.selectExpr(f"inline(array({pairs}))").where("v IS NOT NULL")
-                    .distinct().limit(bound + 1).collect())
-            if len(vals) <= bound:
-                per = {i: [] for i in few}
-                for r in vals:
-                    per[r["f"]].append(r["v"])
-                for i in few:
-                    if len(per[i]) <= self.max_bin:
-                        edges[i] = sorted(per[i])
-        return [edges[i] or [0.0] for i in range(nf)], row["m"], row["n"]
-
-    @staticmethod
-    def _splits(e: list[float]) -> list[float]:
-        # bin(x) = #{edges < x}: Bucketizer counts splits <= x, so use the next double above each edge.
-        ups = [math.nextafter(v, math.inf) for v in e]
-        ups = [u for u in ups if u != math.inf]
-        return [-math.inf] + ups + [math.inf]
+        found = data.mapInArrow(distinct, "f int, v double").groupBy("f").agg(F.slice(F.array_sort(F.collect_set("v")), 1, most).alias("values"))
+        values = {r["f"]: r["values"] for r in found.collect()}
+        edges = {i: values.get(i) or [0.0] for i in range(nf)}
+        many = [i for i in range(nf) if len(edges[i]) > self.max_bin]
+        if many:
+            probs = [k / self.max_bin for k in range(1, self.max_bin)]
+            for i, q in zip(many, data.approxQuantile([f"_x{i}" for i in many], probs, self.quantile_error), strict=True):
+                edges[i] = sorted(set(q))
+        return [edges[i] for i in range(nf)], row["m"], row["n"]
+
+    def _blocks(self, data: DataFrame, edges, init: float) -> DataFrame:
+        """Rows in blocks: bins (rows x features), label, prediction."""
+        small = np.uint8 if max(map(len, edges)) < 256 else np.uint16
+        cuts = [np.array(e) for e in edges]
+
+        def pack(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    x = [batch.column(i + 1).to_numpy(zero_copy_only=False) for i in range(len(cuts))]
+                    # bin(x) = number of edges below x; a gap has the last bin, as it goes right
+                    bins = np.stack([np.searchsorted(c, v, side="left") for c, v in zip(cuts, x, strict=True)], axis=1).astype(small)
+                    y = np.ascontiguousarray(batch.column(0).to_numpy(zero_copy_only=False))
+                    yield pa.RecordBatch.from_arrays([pa.array([bins.tobytes()]), pa.array([y.tobytes()]), pa.array([np.full(len(y), init).tobytes()])], names=["bins", "y", "p"])
+
+        self._small = small
+        return data.mapInArrow(pack, "bins binary, y binary, p binary")
 
     # ------------------------------------------------------------------ histograms
 
-    def _route(self, nodes: dict, node: int, targets: set) -> str | None:
-        """SQL text routing a row to the target node it reaches, NULL elsewhere; subtrees without
-        targets are pruned."""
-        n = nodes[node]
-        if n.children is None:
-            return str(node) if node in targets else None
-        left = self._route(nodes, n.children[0], targets)
-        right = self._route(nodes, n.children[1], targets)
-        if left is None and right is None:
-            return None
-        return f"CASE WHEN _b{n.feature} <= {n.bin} THEN {left or 'NULL'} ELSE {right or 'NULL'} END"
-
-    def _hist_job(self, data: DataFrame, nodes: dict, targets: list[int], nf: int, nb: int) -> None:
+    def _hist_job(self, data: DataFrame, nodes: dict, targets: list[int]) -> None:
         direct, derived = [], []
         tset = set(targets)
         for t in targets:
@@ -226,15 +228,10 @@ class LeafwiseBooster:
                 (direct if small else derived).append(t)
             else:
                 direct.append(t)
-        # The Arrow path holds two dense float64 arrays of targets x features x bins per task;
-        # past 4M cells (64 MB) the JVM path (spilling hash aggregation) takes over.
-        if self.histogram == "arrow" and len(direct) * nf * nb <= ARROW_MAX_CELLS:
-            arrays = self._hist_arrow(data, nodes, direct, nf, nb)
-        else:
-            arrays = self._hist_sql(data, nodes, direct, nf, nb)
-        self.jobs += 1
-        for t in direct:
-            self._set_hist(nodes[t], *arrays[t])
+        step = max(1, TASK_CELLS // self._offsets[-1])
+        for i in range(0, len(direct), step):
+            for t, hist in self._histograms(data, nodes, direct[i: i + step]).items():
+                self._set_hist(nodes[t], *hist)
         for t in derived:
             parent = nodes[nodes[t].parent]
             sib = parent.children[1] if parent.children[0] == t else parent.children[0]
@@ -242,94 +239,62 @@ class LeafwiseBooster:
             sg, sn = nodes[sib].hist
             self._set_hist(nodes[t], pg - sg, pn - sn)
 
-    def _hist_sql(self, data: DataFrame, nodes: dict, direct: list[int], nf: int, nb: int) -> dict:
-        """JVM path: route with a generated CASE, explode (feature, bin), ``groupBy`` with map-side
-        partial aggregation."""
-        route = self._route(nodes, 0, set(direct))
-        bins = ", ".join(f"_b{i}" for i in range(nf))
-        hist = (data.selectExpr(f"CAST({route} AS INT) AS node", "_y - _p AS g", f"array({bins}) AS bins")
-                .where("node IS NOT NULL")
-                .selectExpr("node", "g", "posexplode(bins) AS (f, b)")
-                .groupBy("node", "f", "b").agg(F.sum("g").alias("G"), F.count("*").alias("n"))
-                .toPandas())       # Arrow transfer of at most nodes x features x bins rows
-        arrays = {t: (np.zeros((nf, nb)), np.zeros((nf, nb))) for t in direct}
-        node_ids = hist["node"].to_numpy()
-        fs, bs = hist["f"].to_numpy(), hist["b"].to_numpy()
-        gs, ns = hist["G"].to_numpy(dtype=float), hist["n"].to_numpy(dtype=float)
-        for t in direct:
-            m = node_ids == t
-            g, c = arrays[t]
-            g[fs[m], bs[m]] = gs[m]
-            c[fs[m], bs[m]] = ns[m]
-        return arrays
-
-    def _hist_arrow(self, data: DataFrame, nodes: dict, direct: list[int], nf: int, nb: int) -> dict:
-        """Arrow path: each task routes its rows and bins them with ``np.bincount`` into one
-        (targets x features x bins) array, emitted once per partition as its non-zero cells.
-        Partials are merged on the driver when partitions x cells is small, else by a ``groupBy``
-        on the cell (a shuffle of partial histograms only)."""
-        import pyarrow as pa
-
-        table = [(n.id, n.feature, n.bin, n.children[0], n.children[1]) for n in nodes.values() if n.children]
+    def _histograms(self, data: DataFrame, nodes: dict, direct: list[int]) -> dict:
+        """Gradient sums and counts of the nodes, over all cells; one job."""
+        open_tree = Tree({n.id: (n.feature, n.bin, 0.0, *n.children) for n in nodes.values() if n.children}, {n.id: 0.0 for n in nodes.values() if not n.children})
+        route, recent = _walker(open_tree, binned=True), [_walker(t, binned=True) for t in self._recent]
         slot = np.full(max(nodes) + 1, -1, dtype=np.int64)
         slot[direct] = np.arange(len(direct))
-        size = len(direct) * nf * nb
-        cols = [f"_b{i}" for i in range(nf)]
+        offsets, rate, small = self._offsets, self.learning_rate, self._small
+        size, nf = len(direct) * offsets[-1], len(offsets) - 1
+        # a target may have been split already in the open tree: stop there
+        stop = np.isin(np.arange(max(nodes) + 1), direct)
+        feature, threshold, left, right, _ = route
+        own = np.arange(max(nodes) + 1)
+        left, right = np.where(stop, own, left), np.where(stop, own, right)
 
         def partial(batches):
-            G = np.zeros(size)
-            N = np.zeros(size)
+            sums, counts = np.zeros(size), np.zeros(size)
             for batch in batches:
-                if batch.num_rows == 0:
-                    continue
-                y = batch.column("_y").to_numpy(zero_copy_only=False)
-                p = batch.column("_p").to_numpy(zero_copy_only=False)
-                B = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in cols], axis=1).astype(np.int64)
-                node = np.zeros(len(y), dtype=np.int64)
-                for nid, f, b, left, right in table:       # parents before children
-                    m = node == nid
-                    if m.any():
-                        node[m] = np.where(B[m, f] <= b, left, right)
-                t = slot[node]
-                keep = t >= 0
-                if not keep.any():
-                    continue
-                cell = (t[keep, None] * nf + np.arange(nf)[None, :]) * nb + B[keep]
-                G += np.bincount(cell.ravel(), weights=np.repeat((y - p)[keep], nf), minlength=size)
-                N += np.bincount(cell.ravel(), minlength=size)
-            nz = np.nonzero(N)[0]
-            yield pa.RecordBatch.from_arrays([pa.array(nz, pa.int64()), pa.array(G[nz]), pa.array(N[nz])],
-                                             names=["cell", "G", "n"])
-
-        parts = data.mapInArrow(partial, "cell long, G double, n double")
-        if self._partitions * size > self.driver_merge_cells:
-            parts = parts.groupBy("cell").agg(F.sum("G").alias("G"), F.sum("n").alias("n"))
-        pdf = parts.toPandas()
-        cells = pdf["cell"].to_numpy()
-        G = np.bincount(cells, weights=pdf["G"].to_numpy(), minlength=size).reshape(len(direct), nf, nb)
-        N = np.bincount(cells, weights=pdf["n"].to_numpy(), minlength=size).reshape(len(direct), nf, nb)
-        return {t: (G[i], N[i]) for i, t in enumerate(direct)}
+                for bins, y, p in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    g = np.frombuffer(y) - np.frombuffer(p)
+                    bins = np.frombuffer(bins, small).reshape(len(g), nf)
+                    for f, b, lo, hi, value in recent:
+                        g = g - rate * value[_walk(bins, f, b, lo, hi)]
+                    t = slot[_walk(bins, feature, threshold, left, right)]
+                    keep = t >= 0
+                    cell = t[keep, None] * offsets[-1] + offsets[:-1] + bins[keep]
+                    sums += np.bincount(cell.ravel(), weights=np.repeat(g[keep], nf), minlength=size)
+                    counts += np.bincount(cell.ravel(), minlength=size)
+            at = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(sums[at]), pa.array(counts[at])], names=["cell", "g", "n"])
+
+        self.jobs += 1
+        merged = data.mapInArrow(partial, "cell long, g double, n double").groupBy("cell").agg(F.sum("g").alias("g"), F.sum("n").alias("n")).toPandas()
+        cells = merged["cell"].to_numpy()
+        g, n = np.zeros(size), np.zeros(size)
+        g[cells], n[cells] = merged["g"].to_numpy(), merged["n"].to_numpy()
+        return {t: (a, b) for t, a, b in zip(direct, g.reshape(len(direct), -1), n.reshape(len(direct), -1), strict=True)}
 
     def _set_hist(self, node: _Node, g: np.ndarray, c: np.ndarray) -> None:
         node.hist = (g, c)
-        node.G, node.n = float(g[0].sum()), float(c[0].sum())
-        cg, cn = np.cumsum(g, axis=1)[:, :-1], np.cumsum(c, axis=1)[:, :-1]
-        nl, gl = cn, cg
-        nr, gr = node.n - nl, node.G - gl
-        ok = (nl >= self.min_child) & (nr >= self.min_child)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            gain = np.where(ok, gl * gl / nl + gr * gr / nr - node.G * node.G / node.n, -np.inf)
-        if gain.size == 0 or not np.isfinite(gain).any():
-            node.gain = -math.inf
-            return
-        k = int(np.argmax(gain))       # first maximum: lowest feature, then lowest bin
-        f, b = divmod(k, gain.shape[1])
-        node.gain, node.feature, node.bin = float(gain[f, b]), f, b
-        node.n_left, node.n_right = float(nl[f, b]), float(nr[f, b])
+        offsets = self._offsets
+        first, last = offsets[0], offsets[1]
+        node.G, node.n = float(g[first:last].sum()), float(c[first:last].sum())
+        node.gain = -math.inf
+        for f in range(len(offsets) - 1):      # first maximum: lowest feature, then lowest bin
+            nl, gl = np.cumsum(c[offsets[f]: offsets[f + 1]])[:-1], np.cumsum(g[offsets[f]: offsets[f + 1]])[:-1]
+            nr, gr = node.n - nl, node.G - gl
+            with np.errstate(divide="ignore", invalid="ignore"):
+                gain = np.where((nl >= self.min_child) & (nr >= self.min_child), gl * gl / nl + gr * gr / nr - node.G * node.G / node.n, -np.inf)
+            if gain.size and (best := float(gain.max())) > node.gain:
+                b = int(np.argmax(gain))
+                node.gain, node.feature, node.bin = best, f, b
+                node.n_left, node.n_right = float(nl[b]), float(nr[b])
 
     # ------------------------------------------------------------------ growth
 
-    def _grow(self, data: DataFrame, nf: int, nb: int, edges, root_hist=None) -> tuple[Tree, tuple]:
+    def _grow(self, data: DataFrame, edges, root_hist=None) -> tuple[Tree, tuple]:
         """Grow one tree; returns it with the root histogram of the *next* tree.
 
         The next root histogram needs no job: every row's gradient drops by ``learning_rate x``
@@ -338,7 +303,7 @@ class LeafwiseBooster:
         nodes = {0: _Node(0, None)}
         next_id = 1
         if root_hist is None:
-            self._hist_job(data, nodes, [0], nf, nb)
+            self._hist_job(data, nodes, [0])
         else:
             self._set_hist(nodes[0], *root_hist)
         root_g, root_n = nodes[0].hist
@@ -361,7 +326,7 @@ class LeafwiseBooster:
                         nodes[c] = _Node(c, l, nodes[l].depth + 1)
                         targets.append(c)
                     next_id += 2
-                self._hist_job(data, nodes, targets, nf, nb)
+                self._hist_job(data, nodes, targets)
             b = nodes[best]
             tree.splits[best] = (b.feature, b.bin, edges[b.feature][b.bin], *b.children)
             tree.gains[best] = b.gain
@@ -379,36 +344,48 @@ class LeafwiseBooster:
     # ------------------------------------------------------------------ fit
 
     def fit(self, df: DataFrame) -> LeafwiseModel:
-        spark = df.sparkSession
-        shared_dir(spark)   # checkpoints go to the session's shared folder
-        nf = len(self.feature_names)
-        data = df.select(F.col(f"`{self.label}`").cast("double").alias("_y"),
-                         *[F.col(f"`{c}`").cast("double").alias(f"_x{i}") for i, c in enumerate(self.feature_names)])
+        spark, nf = df.sparkSession, len(self.feature_names)
+        data = df.select(column(self.label).cast("double").alias("_y"),
+                         *[column(c).cast("double").alias(f"_x{i}") for i, c in enumerate(self.feature_names)])
         edges, init, _n = self._edges(data, nf)
-        nb = max(len(e) for e in edges) + 1
-        bucketizer = Bucketizer(splitsArray=[self._splits(e) for e in edges],
-                                inputCols=[f"_x{i}" for i in range(nf)], outputCols=[f"_bd{i}" for i in range(nf)])
-        bins = [F.col(f"_bd{i}").cast("int").alias(f"_b{i}") for i in range(nf)]
-        rows = bucketizer.transform(data).select("_y", *bins, F.lit(float(init)).alias("_p"))
-        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-        self._partitions = rows.rdd.getNumPartitions()
+        self._offsets = np.concatenate(([0], np.cumsum([len(e) + 1 for e in edges])))
+        self._recent: list[Tree] = []
         model = LeafwiseModel(self.feature_names, init, [], edges, self.learning_rate)
-        bin_cols = [f"_b{i}" for i in range(nf)]
-        root_hist = None
-        for t in range(self.n_estimators):
-            if t > 0:
-                step = model._tree_sql(model.trees[-1], 0, raw=False)
-                nxt = rows.selectExpr("_y", *bin_cols, f"_p + {step} AS _p")
-                if self.checkpoint_every and t % self.checkpoint_every == 0:
-                    nxt = nxt.checkpoint(eager=True)
-                nxt = nxt.persist(StorageLevel.MEMORY_AND_DISK)
-                tree, root_hist = self._grow(nxt, nf, nb, edges, root_hist)
-                rows.unpersist()
-                rows = nxt
-            else:
-                tree, root_hist = self._grow(rows, nf, nb, edges)
-            model.trees.append(tree)
-            if not tree.splits:
-                break    # no leaf can be split any more; further trees would be the same constant
-        rows.unpersist()
+        blocks, written, root_hist = self._blocks(data, edges, float(init)).persist(StorageLevel.MEMORY_AND_DISK), None, None
+        try:
+            for t in range(self.n_estimators):
+                if t and self.checkpoint_every and t % self.checkpoint_every == 0:
+                    blocks, written, root_hist = *self._materialised(spark, blocks, written), None
+                tree, root_hist = self._grow(blocks, edges, root_hist)
+                model.trees.append(tree)
+                self._recent.append(tree)
+                if not tree.splits:
+                    break    # no leaf can be split any more; further trees would be the same constant
+        finally:
+            blocks.unpersist()
+            if written:
+                delete_dir(spark, written)
         return model
+
+    def _materialised(self, spark, blocks: DataFrame, before: str | None) -> tuple[DataFrame, str]:
+        """The blocks with the recent trees in their prediction, in a folder of their own."""
+        recent, rate, small, nf = [_walker(t, binned=True) for t in self._recent], self.learning_rate, self._small, len(self._offsets) - 1
+
+        def update(batches):
+            for batch in batches:
+                out = []
+                for bins, p in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                    p = np.frombuffer(p).copy()
+                    x = np.frombuffer(bins, small).reshape(len(p), nf)
+                    for f, b, lo, hi, value in recent:
+                        p += rate * value[_walk(x, f, b, lo, hi)]
+                    out.append(p.tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["bins", "y", "p"])
+
+        path = fresh_dir(spark, "leafwise")
+        blocks.mapInArrow(update, blocks.schema).write.parquet(path)
+        blocks.unpersist()
+        if before:
+            delete_dir(spark, before)
+        self._recent = []
+        return spark.read.schema(blocks.schema).parquet(path).persist(StorageLevel.MEMORY_AND_DISK), path

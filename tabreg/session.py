@@ -71,6 +71,13 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return shared_dir(spark, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+def delete_dir(spark: SparkSession, path: str) -> None:
+    """Remove a folder that ``fresh_dir`` named, through the file system it lies on."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def spread(df):
     """Round-robin the rows over the cluster's cores when the source arrived in fewer input
     partitions than twice the default parallelism (small or unsplittable files, e.g. one parquet

@@ -92,14 +92,14 @@ def _brute_tree(X, g, num_leaves, min_child):
     return sorted(splits), leaves
 
 
-@pytest.mark.parametrize("seed,histogram", [(0, "arrow"), (1, "arrow"), (0, "sql")])
-def test_leafwise_tree_equals_brute_force(spark, seed, histogram):
+@pytest.mark.parametrize("seed,cells", [(0, 4_000_000), (1, 4_000_000), (0, 40)])
+def test_leafwise_tree_equals_brute_force(spark, seed, cells, monkeypatch):
+    monkeypatch.setattr("tabreg.plans.leafwise.TASK_CELLS", cells)    # several rounds when small
     rng = np.random.default_rng(seed)
     X = rng.integers(0, 10, size=(400, 3)).astype(float)
     y = np.where(X[:, 0] > 4, 8.0, 0.0) + X[:, 1] ** 1.3 + rng.normal(0, 1, 400)
     pdf = pd.DataFrame(X, columns=["a", "b", "c"]).assign(label=y)
-    m = LeafwiseBooster(["a", "b", "c"], n_estimators=1, num_leaves=7, min_child_samples=15,
-                        histogram=histogram).fit(spark.createDataFrame(pdf))
+    m = LeafwiseBooster(["a", "b", "c"], n_estimators=1, num_leaves=7, min_child_samples=15).fit(spark.createDataFrame(pdf))
     t = m.trees[0]
     mine = sorted((f, thr, round(t.gains[node], 6)) for node, (f, _b, thr, _l, _r) in t.splits.items())
     splits, leaves = _brute_tree(X, y - y.mean(), 7, 15)
