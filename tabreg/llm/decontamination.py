@@ -256,4 +256,17 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 QUERIES = {"op9_benchmark_decontamination": op9_benchmark_decontamination}
-ORACLE_SQL: dict[str, str] = {}
+_SQL_WORDS = r"""coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"""
+ORACLE_SQL = {"op9_benchmark_decontamination": f"""
+    WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_SQL_WORDS} AS words FROM documents),
+    i AS (SELECT item_id, words, least(13, len(words)) AS n FROM (SELECT item_id, {_SQL_WORDS} AS words FROM benchmark) WHERE len(words) > 0),
+    s AS (SELECT item_id, words, n, unnest(range(1, len(words) - n + 2)) AS s FROM i),
+    g AS (SELECT DISTINCT item_id, n, array_to_string(words[s:s + n - 1], ' ') AS run FROM s),
+    p AS (SELECT r, words, n, unnest(range(1, len(words) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM i) WHERE len(words) >= n),
+    h AS (SELECT r, s, p.n, item_id FROM p JOIN g ON g.n = p.n AND g.run = array_to_string(words[s:s + p.n - 1], ' ')),
+    w AS (SELECT r, count(DISTINCT i) AS n_hit FROM (SELECT r, unnest(range(s, s + n)) AS i FROM h) GROUP BY r),
+    t AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items
+          FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item_id FROM h WHERE item_id IS NOT NULL) GROUP BY r)
+    SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+    FROM d LEFT JOIN w USING (r) LEFT JOIN t USING (r)"""}
