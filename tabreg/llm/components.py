@@ -53,10 +53,15 @@ def pair_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return root
 
 
+def tile_count(size: F.Column, limit: int) -> F.Column:
+    """Work units that each row of a group of ``size`` rows goes to."""
+    return F.when(size <= limit, F.lit(1)).otherwise(F.ceil(size / F.lit(limit // 2))).cast("int")
+
+
 def tiles(size: F.Column, hashed: F.Column, limit: int) -> F.Column:
     """Work units of a row in a group of ``size`` rows: one if the group fits ``limit`` rows, else
     the group is dealt into tiles of about half that, and the row goes to each pair of tiles that
-    has its own. ``unit`` is (smaller, larger, own) tile."""
-    n = F.when(size <= limit, F.lit(1)).otherwise(F.ceil(size / F.lit(limit // 2))).cast("int")
+    has its own. A unit is (smaller, larger, own) tile."""
+    n = tile_count(size, limit)
     own = F.pmod(hashed, n).cast("int")
     return F.transform(F.sequence(F.lit(0), n - 1), lambda t: F.struct(F.least(t, own).alias("low"), F.greatest(t, own).alias("high"), own.alias("own")))

@@ -3,10 +3,11 @@
 A document's set holds its runs of ``WORDS`` normalised words. Documents of equal sets are one
 class. Classes share a band if their MinHash rows in it are equal; bands are shuffled by their hash,
 and bands and rows are chosen so that a pair at the threshold meets with probability ``RECALL``.
-Classes joined by shared bands are verified together: a set of up to ``UNIT_ROWS`` joined classes is
-one unit of work; larger ones are verified band by band, a pair in the first band where it meets,
-and a band beyond ``UNIT_ROWS`` classes in pairs of tiles. Units recompute the full sets from the
-texts and return a row per class (links, and the first class it is joined with), never pairs.
+Classes joined by shared bands are verified together, in units of at most about ``UNIT_ROWS``
+classes: larger sets are dealt into pairs of tiles. Where that would repeat the texts more often
+(long chains), joined classes are verified band by band instead, a pair in the first band where it
+meets, with tiles in the same way. Units recompute the full sets from the texts and return a row per
+class (links, and the first class it is joined with), never pairs.
 
 Defined results: texts without a word (null, empty) have no set and link with nothing; texts of
 fewer than ``WORDS`` words have one n-gram, all their words; rows with a null id link with nothing
@@ -26,13 +27,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import chunks, free_name, gram_hashes, hash_words, id_and_bytes, mix, normal_words, record_batch, table, written
-from .components import connected_components, pair_roots, tiles
+from .components import connected_components, pair_roots, tile_count, tiles
 
 WORDS = 5
 THRESHOLD = 0.8
 RECALL = 0.9995
 MAX_ROWS = 128
-UNIT_ROWS = 128
+UNIT_ROWS = 512
 SEED = 17
 BLOCK = 4096
 
@@ -167,12 +168,16 @@ def _units(classes: DataFrame) -> DataFrame:
     shared = places.groupBy("t", "bucket").agg(F.min("rep").alias("first"), F.count("*").alias("size")).where("size > 1")
     members = written(places.join(written(shared, "shared-bands"), ["t", "bucket"]), "band-members")
     joined = connected_components(members.where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct())
-    sized = written(joined.join(joined.groupBy("component").agg(F.count("*").alias("joined")), "component"), "joined-classes")
-    small = sized.where(F.col("joined") <= UNIT_ROWS).select(F.col("node").alias("rep"), F.lit(-1).alias("t"), F.col("component").alias("bucket"),
-                                                            F.lit(0).alias("low"), F.lit(0).alias("high"), F.lit(0).alias("own"))
-    large = sized.where(F.col("joined") > UNIT_ROWS).select(F.col("node").alias("rep"))
-    in_bands = members.join(large, "rep").select("rep", "t", "bucket", F.explode(tiles(F.col("size"), F.xxhash64("rep"), UNIT_ROWS)).alias("u"))
-    return small.unionByName(in_bands.select("rep", "t", "bucket", "u.*"))
+    sizes = written(joined.groupBy("component").agg(F.count("*").alias("joined")), "component-sizes")
+    sized = written(joined.withColumnRenamed("node", "rep").join(sizes, "component"), "joined-classes")
+    # how often the texts would be repeated: by component, or by band
+    rows = members.join(sized, "rep").groupBy("component").agg(F.sum(tile_count(F.col("size"), UNIT_ROWS)).alias("by_band"))
+    by_component = F.col("joined") * tile_count(F.col("joined"), UNIT_ROWS)
+    chosen = written(sizes.join(rows, "component").select("component", (by_component <= F.col("by_band")).alias("together")), "unit-choice")
+    dealt = written(sized.join(chosen, "component"), "dealt-classes")
+    together = dealt.where("together").select("rep", F.lit(-1).alias("t"), F.col("component").alias("bucket"), F.explode(tiles(F.col("joined"), F.xxhash64("rep"), UNIT_ROWS)).alias("u"))
+    by_band = members.join(dealt.where("NOT together").select("rep"), "rep").select("rep", "t", "bucket", F.explode(tiles(F.col("size"), F.xxhash64("rep"), UNIT_ROWS)).alias("u"))
+    return together.unionByName(by_band).select("rep", "t", "bucket", "u.*")
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,

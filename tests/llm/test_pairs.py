@@ -144,9 +144,11 @@ def brute_jaccard(rows):
     return links, groups_of({i for i, _ in rows if i is not None}, pairs)
 
 
-@pytest.mark.parametrize("unit", [2, 6, 128])
-def test_ngram_join(spark, monkeypatch, unit):
+@pytest.mark.parametrize(("unit", "bands"), [(2, False), (6, True), (2, True), (128, False)])
+def test_ngram_join(spark, monkeypatch, unit, bands):
     monkeypatch.setattr(ngram_join, "UNIT_ROWS", unit)
+    if bands:    # the way of long chains
+        monkeypatch.setattr(ngram_join, "tile_count", lambda size, limit: -size)
     rows = near_texts()
     links, group = brute_jaccard(rows)
     got = {r["doc_id"]: r for r in ngram_join.jaccard_groups(docs(spark, rows)).collect()}
