@@ -288,10 +288,10 @@ _SEARCH = {}
 
 
 def _search(spark, d):
-    """The grid search of frame A (boosted trees, small grid), once per session and folder."""
+    """The grid search of frame A (boosted trees, small grid), once per application and folder."""
     from .plans.runs import search_run
 
-    k = (id(spark), d)
+    k = (spark.sparkContext.applicationId, d)
     if k not in _SEARCH:
         _SEARCH[k] = search_run(_a(spark, d), BOOSTED, A_KEY, QUICK_GRID, drop=A_DROP, parallelism=4)
     return _SEARCH[k]
@@ -347,19 +347,17 @@ def q_run_log(spark, d):
 
 
 def q_inspect_run(spark, d):
-    """Unscaled preparation, leaf-wise boosting, the worst five predictions."""
+    """Strict drop, unscaled preparation, leaf-wise boosting, the best and worst five."""
     from .plans.runs import inspect_run
 
-    _res, _best, worst = inspect_run(_a(spark, d), LEAFWISE, A_KEY, drop=A_DROP, params=QUICK[LEAFWISE])
-    return worst
+    return inspect_run(_a(spark, d), LEAFWISE, A_KEY, drop=A_DROP, params=QUICK[LEAFWISE])[1]
 
 
 def q_inspect_search(spark, d):
-    """E5: unscaled preparation, small boosted grid search, then the worst five test predictions."""
-    from .plans.runs import search_run
+    """E5: the same after a small boosted grid search."""
+    from .plans.runs import inspect_search
 
-    res = search_run(_a(spark, d), BOOSTED, A_KEY, QUICK_GRID, drop=A_DROP, scale=False, parallelism=4)
-    return reports.worst_k(res.scored, A_KEY, 5)
+    return inspect_search(_a(spark, d), BOOSTED, A_KEY, QUICK_GRID, drop=A_DROP, parallelism=4)[1]
 
 
 def q_lines_linear(spark, d):

@@ -1,20 +1,26 @@
-"""Model registry (M1, M2, M4-M8): name -> estimator with the reference's factory settings.
-
-Spark ML's own defaults differ from the reference's libraries (GBT 20 iterations, forest 20 trees
-of depth 5 with feature subsampling), so every setting is passed explicitly. Tree models bin
-features (``maxBins``) where the reference splits exactly, so scores are near, not equal.
+"""Model registry (M1-M8): name -> estimator with the reference's factory settings.
+
+Both boosted models run on the histogram booster of ``leafwise``: it starts from the label mean and
+shrinks every tree, as the reference does (Spark ML's GBT gives its first tree full weight). M2
+limits the depth, M3 the leaves. Linear regression and the forest are Spark ML's, with every
+setting passed explicitly, since its defaults differ (20 trees of depth 5, feature subsampling).
+Trees bin features (``max_bins``) where the reference splits exactly, so scores are near, not equal;
+a feature of at most that many values is split exactly.
 """
 
 from __future__ import annotations
 
 import json
+import warnings
 from dataclasses import dataclass, field
 
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import UnknownModel
+from ..names import column
 from ..operators.columns import assemble
 from ..session import shared_dir
 
@@ -29,7 +35,12 @@ FACTORY = {
 }
 DEFAULT_RUN_NAMES = {LINEAR: "LR_Default", BOOSTED: "GBR_Default", LEAFWISE: "LGBM_Default", FOREST: "RF_Default"}
 SEED = 42
-MAX_DEPTH_UNBOUNDED = 30   # Spark's deepest tree; the reference's ``max_depth=None``
+MAX_DEPTH_UNBOUNDED = 30   # Spark's deepest tree; the reference's ``max_depth=None`` (a warning tells if one gets there)
+#: Bins a feature: the booster's, and the forest's (Spark ML picks its candidates from a sample of rows).
+BOOSTER_BINS, FOREST_BINS = 255, 128
+#: Partitions of the forest's training rows. Its bootstrap draws by partition and place, so rows are
+#: dealt by their values into this fixed number and sorted; the input's partitioning then has no say.
+FOREST_PARTITIONS = 32
 
 
 def final_run_name(model: str) -> str:
@@ -55,7 +66,7 @@ def _depth(d):
     return MAX_DEPTH_UNBOUNDED if d is None else int(d)
 
 
-def spark_estimator(model: str, params: dict | None = None, seed: int = SEED, max_bins: int = 128,
+def spark_estimator(model: str, params: dict | None = None, seed: int = SEED, max_bins: int = FOREST_BINS,
                     features: str = "features", label: str = "label"):
     """The Spark ML estimator for ``model`` with reference parameter names translated."""
     p = dict(FACTORY.get(model, {}))
@@ -63,11 +74,6 @@ def spark_estimator(model: str, params: dict | None = None, seed: int = SEED, ma
     common = dict(featuresCol=features, labelCol=label, predictionCol="prediction")
     if model == LINEAR:
         return LinearRegression(regParam=0.0, elasticNetParam=0.0, fitIntercept=True, solver="auto", **common)
-    if model == BOOSTED:
-        return GBTRegressor(maxIter=int(p["n_estimators"]), maxDepth=_depth(p["max_depth"]),
-                            stepSize=float(p["learning_rate"]), lossType="squared", subsamplingRate=1.0,
-                            featureSubsetStrategy="all", minInstancesPerNode=int(p.get("min_samples_leaf", 1)),
-                            maxBins=max_bins, seed=seed, cacheNodeIds=False, checkpointInterval=10, **common)
     if model == FOREST:
         return RandomForestRegressor(numTrees=int(p["n_estimators"]), maxDepth=_depth(p["max_depth"]),
                                      minInstancesPerNode=int(p["min_samples_leaf"]), featureSubsetStrategy="all",
@@ -87,8 +93,8 @@ class FittedModel:
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Adds ``prediction`` (double) to rows holding the named feature columns."""
-        if self.model == LEAFWISE:
-            return self.inner.transform(df)
+        if self.model in (LEAFWISE, BOOSTED):
+            return self.inner.transform(_feature_columns(df, self.feature_names))
         if "features" not in df.columns:
             df = assemble(df, self.feature_names)
         return self.inner.transform(df).drop("features")
@@ -99,6 +105,8 @@ class FittedModel:
             vals = [abs(v) for v in self.inner.coefficients.toArray()]
         elif self.model == LEAFWISE:
             vals = self.inner.importances(kind)
+        elif self.model == BOOSTED:
+            vals = self.inner.importances("gain")
         else:
             vals = list(self.inner.featureImportances.toArray())
         return list(zip(self.feature_names, [float(v) for v in vals]))
@@ -107,9 +115,18 @@ class FittedModel:
         return json.dumps(self.params, sort_keys=True)
 
 
+def _feature_columns(df: DataFrame, names: list[str]) -> DataFrame:
+    """The named feature columns, taken out of a ``features`` vector if there is one."""
+    if "features" not in df.columns:
+        return df
+    rows = df.withColumn("features", vector_to_array("features"))
+    return rows.select("*", *[F.col("features")[i].alias(n) for i, n in enumerate(names)]).drop("features")
+
+
 def fit_model(model: str, train: DataFrame, feature_names: list[str], params: dict | None = None,
-              label: str = "label", seed: int = SEED, max_bins: int = 128) -> FittedModel:
-    """Fit ``model`` on rows holding the label and the named feature columns."""
+              label: str = "label", seed: int = SEED, max_bins: int | None = None,
+              partitions: int = FOREST_PARTITIONS) -> FittedModel:
+    """Fit ``model`` on rows holding the label and the named feature columns (or their vector)."""
     import time
 
     if model not in FACTORY:
@@ -117,23 +134,26 @@ def fit_model(model: str, train: DataFrame, feature_names: list[str], params: di
     p = dict(FACTORY[model])
     p.update(params or {})
     t0 = time.monotonic()
-    if model == LEAFWISE:
+    if model in (LEAFWISE, BOOSTED):
         from .leafwise import LeafwiseBooster
 
-        inner = LeafwiseBooster(feature_names, label=label, **_leafwise_args(p)).fit(train)
+        inner = LeafwiseBooster(feature_names, label=label, max_bin=max_bins or BOOSTER_BINS, **_booster_args(model, p))
+        inner = inner.fit(_feature_columns(train, feature_names))
     else:
-        shared_dir(train.sparkSession)   # tree models checkpoint node ids there
+        shared_dir(train.sparkSession)   # the forest checkpoints node ids there
+        if model == FOREST:
+            by = [column(c) for c in train.columns if c == label or c in set(feature_names)]
+            train = train.repartition(partitions, *by) if by[1:] else train.repartition(partitions, label)
+            train = train.sortWithinPartitions(*by)
         data = train if "features" in train.columns else assemble(train, feature_names)
-        inner = spark_estimator(model, p, seed, max_bins, label=label).fit(data)
+        inner = spark_estimator(model, p, seed, max_bins or FOREST_BINS, label=label).fit(data)
+        if model == FOREST and p["max_depth"] is None and any(t.depth >= MAX_DEPTH_UNBOUNDED for t in inner.trees):
+            warnings.warn(f"a tree reached depth {MAX_DEPTH_UNBOUNDED}, Spark's largest; the reference's trees are unbounded")
     return FittedModel(model, {k: v for k, v in p.items()}, list(feature_names), inner, time.monotonic() - t0)
 
 
-def _leafwise_args(p: dict) -> dict:
-    return dict(n_estimators=int(p["n_estimators"]), learning_rate=float(p["learning_rate"]),
-                num_leaves=int(p["num_leaves"]), min_child_samples=int(p.get("min_child_samples", 20)),
-                max_depth=p.get("max_depth"))
-
-
-def prediction_frame(fitted: FittedModel, df: DataFrame, key: str, label: str = "label") -> DataFrame:
-    """(key, label, prediction) for scored rows."""
-    return fitted.transform(df).select(F.col(key), F.col(label), F.col("prediction"))
+def _booster_args(model: str, p: dict) -> dict:
+    common = dict(n_estimators=int(p["n_estimators"]), learning_rate=float(p["learning_rate"]))
+    if model == BOOSTED:      # depth alone ends growth, and a leaf may hold one row
+        return common | dict(max_depth=int(p["max_depth"]), num_leaves=2 ** int(p["max_depth"]), min_child_samples=int(p.get("min_samples_leaf") or 1))
+    return common | dict(num_leaves=int(p["num_leaves"]), min_child_samples=int(p.get("min_child_samples", 20)), max_depth=p.get("max_depth"))

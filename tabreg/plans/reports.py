@@ -11,23 +11,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.metrics import abs_error, residual
+from ..names import column
 
 
 def residual_rows(scored: DataFrame, key: str, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """(key, label, prediction, residual, abs_error): the rows behind the actual-vs-predicted and
     residual charts (R5, R7)."""
-    return scored.select(F.col(key), F.col(label), F.col(prediction), residual(label, prediction),
+    return scored.select(column(key), column(label), F.col(prediction), residual(label, prediction),
                          abs_error(label, prediction))
 
 
 def best_k(scored: DataFrame, key: str, k: int = 5, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """The k predictions with the smallest absolute error."""
-    return residual_rows(scored, key, label, prediction).orderBy(F.col("abs_error").asc(), F.col(key).asc()).limit(k)
+    return residual_rows(scored, key, label, prediction).orderBy(F.col("abs_error").asc(), column(key).asc()).limit(k)
 
 
 def worst_k(scored: DataFrame, key: str, k: int = 5, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """The k predictions with the largest absolute error."""
-    return residual_rows(scored, key, label, prediction).orderBy(F.col("abs_error").desc(), F.col(key).asc()).limit(k)
+    return residual_rows(scored, key, label, prediction).orderBy(F.col("abs_error").desc(), column(key).asc()).limit(k)
+
+
+def best_and_worst(scored: DataFrame, key: str, k: int = 5, label: str = "label", prediction: str = "prediction") -> DataFrame:
+    """The k best and the k worst predictions, told apart by ``kind`` (R3 and R4 in one table)."""
+    best = best_k(scored, key, k, label, prediction).withColumn("kind", F.lit("best"))
+    return best.unionByName(worst_k(scored, key, k, label, prediction).withColumn("kind", F.lit("worst")))
 
 
 def ideal_line(scored: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:

@@ -4,10 +4,14 @@ Each run persists its prepared rows once (fit and scoring both read them), times
 the scores like the reference does (load, preparation, split, fit, predict; not the log or
 reports), and returns everything as DataFrames. Nothing row-sized reaches the driver: only fitted
 statistics, trees, coefficients and scores do.
+
+Every run takes the preparation's options too (``prep``): ``strict_drop``, ``approx_median``,
+``max_categories``, ``drop_last``; and ``max_bins`` for the trees.
 """
 
 from __future__ import annotations
 
+import json
 import time
 from dataclasses import dataclass
 
@@ -16,14 +20,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.metrics import evaluate
+from ..names import column
 from ..operators.columns import REFERENCE_DROP
-from ..operators.prepare import FittedPrep, Preparer
+from ..operators.prepare import FittedPrep, Preparer, fill_median_expr
 from ..operators.split import TEST, TRAIN, train_test_split
+from ..operators.stats import fit_medians
 from ..sources.params import read_params, write_params
 from ..session import spread
 from ..sources.runlog import append_run_log, log_row
 from . import reports
-from .models import (DEFAULT_RUN_NAMES, FittedModel, final_run_name, fit_model, infer_model,
+from .models import (DEFAULT_RUN_NAMES, LEAFWISE, FittedModel, final_run_name, fit_model, infer_model,
                      search_run_name)
 from .tuning import FOLDS, best_candidate, cv_scores
 
@@ -64,7 +70,7 @@ class RunResult:
 
 
 def _prepare_split(df: DataFrame, key: str, label: str, drop, scale: bool, test_size: float, seed: int,
-                   fit_scope: str = "all", sparse: bool = False):
+                   fit_scope: str = "all", sparse: bool = False, fill_label: bool = False, **prep):
     """Project the source to key, label and features once and persist that (the fit statistics,
     the transform and every model pass then read it instead of rescanning and re-deriving the
     source), then tag the seeded split on the prepared rows, also persisted.
@@ -73,10 +79,16 @@ def _prepare_split(df: DataFrame, key: str, label: str, drop, scale: bool, test_
     ``'train'`` fits it on the training rows only (the split depends on the key alone)."""
     if fit_scope not in ("all", "train"):
         raise ValueError("fit_scope must be 'all' or 'train'")
-    base, _ = Preparer(label=label, key=key, drop=drop).select_features(df)
+    if fill_label:     # the oldest scripts fill the label like any number, before it is split off
+        df = df.withColumn(label, fill_median_expr(label, fit_medians(df, [label])[label]))
+    base, _ = Preparer(label=label, key=key, drop=drop, strict_drop=prep.pop("strict_drop", False)).select_features(df)
     base = spread(train_test_split(base, key, test_size, seed)).persist(StorageLevel.MEMORY_AND_DISK)
     fit_rows = base if fit_scope == "all" else base.where(F.col("split") == TRAIN)
-    prep = Preparer(label=label, key=key, drop=["split"], scale=scale).fit(fit_rows)
+    try:
+        prep = Preparer(label=label, key=key, drop=["split"], scale=scale, **prep).fit(fit_rows)
+    except BaseException:
+        base.unpersist()
+        raise
     prepared = prep.to_vector(base, keep=["split"]) if sparse else prep.transform(base, keep=["split"])
     rows = prepared.persist(StorageLevel.MEMORY_AND_DISK)
     train = rows.where(F.col("split") == TRAIN).drop("split")
@@ -94,23 +106,24 @@ class _Persisted:
 
 
 def _score(fitted: FittedModel, test: DataFrame, key: str, label: str):
-    scored = fitted.transform(test).select(key, label, "prediction").persist(StorageLevel.MEMORY_AND_DISK)
+    scored = fitted.transform(test).select(column(key), column(label), "prediction").persist(StorageLevel.MEMORY_AND_DISK)
     return scored, evaluate(scored, label)
 
 
 def fit_and_score(df: DataFrame, model: str, key: str, label: str = "label", drop=REFERENCE_DROP,
                   params: dict | None = None, name: str | None = None, scale: bool = True,
-                  test_size: float = 0.2, seed: int = 42, fit_scope: str = "all", sparse: bool = False) -> RunResult:
-    """``sparse=True`` feeds Spark ML models one sparse vector (wide text columns) instead of one
-    column per category; the leaf-wise booster needs the named columns."""
-    if sparse and model == "LGBM":
-        raise ValueError("the leaf-wise booster reads named feature columns; use sparse=False")
+                  test_size: float = 0.2, seed: int = 42, fit_scope: str = "all", sparse: bool = False,
+                  max_bins: int | None = None, **options) -> RunResult:
+    """``sparse=True`` prepares one sparse vector (wide text columns) instead of one column per
+    category."""
     t0 = time.monotonic()
-    prep, rows, train, test = _prepare_split(df, key, label, drop, scale, test_size, seed, fit_scope, sparse)
-    fitted = fit_model(model, train, prep.feature_names, params, label=label, seed=seed)
-    scored, metrics = _score(fitted, test, key, label)
-    total = time.monotonic() - t0
-    rows.unpersist()
+    prep, rows, train, test = _prepare_split(df, key, label, drop, scale, test_size, seed, fit_scope, sparse, **options)
+    try:
+        fitted = fit_model(model, train, prep.feature_names, params, label=label, seed=seed, max_bins=max_bins)
+        scored, metrics = _score(fitted, test, key, label)
+        total = time.monotonic() - t0
+    finally:
+        rows.unpersist()
     return RunResult(name or DEFAULT_RUN_NAMES[model], model, prep, fitted, scored, metrics, total)
 
 
@@ -129,22 +142,22 @@ def default_run(df: DataFrame, model: str, key: str, label: str = "label", drop=
 def search_run(df: DataFrame, model: str, key: str, grid: dict, label: str = "label", drop=REFERENCE_DROP,
                params_path: str | None = None, log_path: str | None = None, folds: int = FOLDS,
                parallelism: int = 4, scale: bool = True, test_size: float = 0.2, seed: int = 42,
-               fit_scope: str = "all", report_path: str | None = None) -> RunResult:
+               fit_scope: str = "all", report_path: str | None = None, sparse: bool = False,
+               max_bins: int | None = None, **options) -> RunResult:
     """Grid search with k folds on the training rows, refit the winner, score the test rows."""
     t0 = time.monotonic()
-    prep, rows, train, test = _prepare_split(df, key, label, drop, scale, test_size, seed, fit_scope)
-    scores = cv_scores(model, train, prep.feature_names, grid, key, folds, parallelism=parallelism, label=label)
-    scores = scores.cache()
-    best = best_candidate(scores).collect()[0]
-    import json
-
-    best_params = json.loads(best["params"])
-    if params_path:
-        write_params(df.sparkSession, best_params, params_path)
-    fitted = fit_model(model, train, prep.feature_names, best_params, label=label, seed=seed)
-    scored, metrics = _score(fitted, test, key, label)
-    total = time.monotonic() - t0
-    rows.unpersist()
+    prep, rows, train, test = _prepare_split(df, key, label, drop, scale, test_size, seed, fit_scope, sparse, **options)
+    try:
+        scores = cv_scores(model, train, prep.feature_names, grid, key, folds, parallelism=parallelism, label=label, max_bins=max_bins)
+        best = best_candidate(scores).collect()[0]
+        best_params = json.loads(best["params"])
+        if params_path:
+            write_params(df.sparkSession, best_params, params_path)
+        fitted = fit_model(model, train, prep.feature_names, best_params, label=label, seed=seed, max_bins=max_bins)
+        scored, metrics = _score(fitted, test, key, label)
+        total = time.monotonic() - t0
+    finally:
+        rows.unpersist()
     res = RunResult(search_run_name(model), model, prep, fitted, scored, metrics, total,
                     cv_mae=float(best["cv_mae"]), scores=scores)
     if log_path:
@@ -173,7 +186,18 @@ def final_run(df: DataFrame, model: str | None, key: str, params_path: str, labe
 
 
 def inspect_run(df: DataFrame, model: str, key: str, label: str = "label", drop=REFERENCE_DROP,
-                params: dict | None = None, k: int = 5):
-    """Unscaled preparation, fit, then best and worst k predictions with residuals."""
-    res = fit_and_score(df, model, key, label, drop, params=params, scale=False)
-    return res, reports.best_k(res.scored, key, k, label), reports.worst_k(res.scored, key, k, label)
+                params: dict | None = None, k: int = 5, strict_drop: bool = True, fill_label: bool | None = None):
+    """Strict drop, unscaled preparation, fit, then the best and worst k predictions. Returns
+    (run, rows with ``kind``). ``fill_label`` (None: for the leaf-wise model, as in the reference's
+    old scripts) fills gaps of the label by its median."""
+    fill = model == LEAFWISE if fill_label is None else fill_label
+    res = fit_and_score(df, model, key, label, drop, params=params, scale=False, strict_drop=strict_drop, fill_label=fill)
+    return res, reports.best_and_worst(res.scored, key, k, label)
+
+
+def inspect_search(df: DataFrame, model: str, key: str, grid: dict, label: str = "label", drop=REFERENCE_DROP,
+                   k: int = 5, strict_drop: bool = True, fill_label: bool | None = None, **kw):
+    """E5: the same inspection after a grid search. Returns (run, rows with ``kind``)."""
+    fill = model == LEAFWISE if fill_label is None else fill_label
+    res = search_run(df, model, key, grid, label, drop, scale=False, strict_drop=strict_drop, fill_label=fill, **kw)
+    return res, reports.best_and_worst(res.scored, key, k, label)

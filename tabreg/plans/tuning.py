@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.metrics import mae_frame
+from ..names import column
 from ..operators.split import k_fold
 from .models import BOOSTED, FOREST, LEAFWISE, fit_model
 
@@ -36,23 +37,19 @@ def param_grid(grid: dict[str, list]) -> list[dict]:
     return [dict(zip(keys, vals)) for vals in itertools.product(*[grid[k] for k in keys])]
 
 
-def candidates_frame(spark: SparkSession, grid: dict[str, list]) -> DataFrame:
-    """(candidate, params json) rows of the grid."""
-    return spark.createDataFrame([(i, json.dumps(p, sort_keys=True)) for i, p in enumerate(param_grid(grid))],
-                                 "candidate int, params string")
-
-
 def cv_scores(model: str, train: DataFrame, feature_names: list[str], grid: dict[str, list], key: str,
-              folds: int = FOLDS, fold_seed: int = 43, parallelism: int = 4, label: str = "label") -> DataFrame:
+              folds: int = FOLDS, fold_seed: int = 43, parallelism: int = 4, label: str = "label",
+              max_bins: int | None = None) -> DataFrame:
     """(candidate, params, fold, mae) for every candidate x fold, fitted on the other folds."""
     spark = train.sparkSession
     cands = param_grid(grid)
-    data = k_fold(train.select(key, label, *[F.col(f"`{c}`") for c in feature_names]), key, folds, fold_seed)
+    features = ["features"] if "features" in train.columns else [column(c) for c in feature_names]
+    data = k_fold(train.select(column(key), column(label), *features), key, folds, fold_seed)
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
 
     def one(job):
         ci, f = job
-        fit = fit_model(model, data.where(F.col("fold") != f), feature_names, cands[ci], label=label)
+        fit = fit_model(model, data.where(F.col("fold") != f), feature_names, cands[ci], label=label, max_bins=max_bins)
         mae = mae_frame(fit.transform(data.where(F.col("fold") == f)), label).collect()[0]["mae"]
         return ci, json.dumps(cands[ci], sort_keys=True), f, float(mae)
 
