@@ -121,22 +121,19 @@ def q_assemble(spark, d):
 # ---------------------------------------------------------------- fitted statistics
 
 def q_fit_median(spark, d):
-    med = _a_medians(_a(spark, d))
-    return spark.createDataFrame([(c, float(v)) for c, v in med.items()], "feature string, median double")
+    prep, _ = _a_prepared(spark, d)
+    return spark.createDataFrame([(c, float(v)) for c, v in prep.medians.items()], "feature string, median double")
 
 
 def q_fit_mode(spark, d):
-    return S.mode_table(_a(spark, d), A_TEXT).select(F.col("column").alias("feature"), "mode")
+    prep, _ = _a_prepared(spark, d)
+    return spark.createDataFrame(list(prep.modes.items()), "feature string, mode string")
 
 
 def q_fit_scale(spark, d):
-    a = _a(spark, d)
-    med = _a_medians(a)
-    filled = a.select(fill_median_expr("n_words", med["n_words"]).alias("n_words"))
-    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("v")) for c in A_NUMERIC])
-    long = filled.select(F.explode(pairs).alias("s")).select("s.*")
-    return (long.groupBy("feature").agg(F.round(F.avg("v"), 6).alias("mean"),
-                                        F.round(F.stddev_pop("v"), 6).alias("std")))
+    prep, _ = _a_prepared(spark, d)
+    rows = spark.createDataFrame([(c, *v) for c, v in prep.scale.items()], "feature string, mean double, std double")
+    return rows.select("feature", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
 
 def q_category_domain(spark, d):
@@ -165,7 +162,7 @@ def q_standard_scale(spark, d):
 
 def q_one_hot(spark, d):
     a = _a(spark, d)
-    _, domains = S.fit_modes_and_domains(a, A_TEXT)
+    domains = _a_prepared(spark, d)[0].domains
     return a.select(A_KEY, *[e for c in A_TEXT for e in one_hot_exprs(c, F.col(c), domains[c])])
 
 
@@ -217,6 +214,17 @@ def q_ideal_line(spark, d):
     return reports.ideal_line(_a_fixed_prediction(spark, d))
 
 
+def q_report_tables(spark, d):
+    """The rows behind the charts, written as tables and read back."""
+    path = fresh_dir(spark, "reports")
+    reports.write_report_tables(path, _a_fixed_prediction(spark, d), A_KEY)
+    return spark.read.parquet(f"{path}/residuals")
+
+
+def q_best_and_worst(spark, d):
+    return reports.best_and_worst(_a_fixed_prediction(spark, d), A_KEY, 5)
+
+
 def q_format_fields(spark, d):
     a = _a(spark, d)
     x = F.col("label") / F.lit(7.0)
@@ -284,6 +292,14 @@ def q_stump_split(spark, d):
                                        "left_value double, right_value double, gain double")
 
 
+def q_boosted_rounds(spark, d):
+    """M2 and M5: two rounds of depth-1 boosting of ``p_retailprice`` by ``p_size``, and what it
+    predicts for each size: the label mean plus shrunk leaf values."""
+    raw = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_retailprice").alias("label"), "p_size")
+    fitted = fit_model(BOOSTED, raw, ["p_size"], {"n_estimators": 2, "max_depth": 1})
+    return fitted.transform(raw.select("p_size").distinct()).select("p_size", F.round("prediction", 6).alias("prediction"))
+
+
 _SEARCH = {}
 
 
@@ -394,6 +410,9 @@ QUERIES = {
     "worst_k": q_worst_k,
     "ideal_line": q_ideal_line,
     "format_fields": q_format_fields,
+    "report_tables": q_report_tables,
+    "best_and_worst": q_best_and_worst,
+    "boosted_rounds": q_boosted_rounds,
     "linear_one": q_linear_one,
     "linear_fit": q_linear_fit,
     "gbt_fit": q_gbt_fit,
@@ -540,6 +559,25 @@ ORACLE_SQL = {
                round(gl * gl / nl + gr * gr / nr - gt * gt / nt, 2) AS gain
         FROM s ORDER BY gl * gl / nl + gr * gr / nr - gt * gt / nt DESC, v LIMIT 1""",
 }
+ORACLE_SQL["report_tables"] = ORACLE_SQL["residuals"]
+ORACLE_SQL["best_and_worst"] = f"""SELECT *, 'best' AS kind FROM ({ORACLE_SQL["best_k"]})
+    UNION ALL SELECT *, 'worst' AS kind FROM ({ORACLE_SQL["worst_k"]})"""
+
+
+def _round_sql(k: int) -> str:
+    """One boosting round in SQL: the best split of the residual sums in ``r{k}`` and its leaf
+    values, then the residual sums after the shrunk update."""
+    return f"""c{k} AS (SELECT v, g, n, sum(g) OVER (ORDER BY v) AS gl, sum(n) OVER (ORDER BY v) AS nl, sum(g) OVER () AS gt, sum(n) OVER () AS nt FROM r{k}),
+    b{k} AS (SELECT v AS cut, gl / nl AS lo, (gt - gl) / (nt - nl) AS hi FROM c{k} WHERE nl < nt
+             ORDER BY gl * gl / nl + (gt - gl) * (gt - gl) / (nt - nl) DESC, v LIMIT 1),
+    r{k + 1} AS (SELECT v, g - n * 0.1 * CASE WHEN v <= cut THEN lo ELSE hi END AS g, n,
+                 p + 0.1 * CASE WHEN v <= cut THEN lo ELSE hi END AS p FROM r{k}, b{k})"""
+
+
+ORACLE_SQL["boosted_rounds"] = f"""WITH h AS (SELECT p_size AS v, sum(p_retailprice) AS g, CAST(count(*) AS DOUBLE) AS n FROM part GROUP BY p_size),
+    m AS (SELECT sum(g) / sum(n) AS m FROM h), r1 AS (SELECT v, g - n * m AS g, n, m AS p FROM h, m),
+    {_round_sql(1)}, {_round_sql(2)}
+    SELECT v AS p_size, round(p, 6) AS prediction FROM r3"""
 
 
 def queries():

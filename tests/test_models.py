@@ -167,3 +167,32 @@ def test_leafwise_several_trees_equal_brute_force(spark):
             pred[idx] += 0.1 * (y[idx] - pred[idx]).mean()
     got = m.transform(spark.createDataFrame(pdf)).toPandas()
     assert np.allclose(got["prediction"].to_numpy(), pred)
+
+
+def test_boosting_starts_from_the_mean_and_shrinks_every_tree(spark):
+    pdf = pd.DataFrame({"x": np.arange(100, dtype=float)})
+    pdf["label"] = np.where(pdf["x"] <= 36, 1.0, 5.0)
+    df = spark.createDataFrame(pdf)
+    fitted = fit_model(BOOSTED, df, ["x"], {"n_estimators": 1, "max_depth": 1, "learning_rate": 0.1})
+    mean = pdf["label"].mean()
+    got = sorted({round(r["prediction"], 9) for r in fitted.transform(df).collect()})
+    assert got == [round(mean + 0.1 * (1 - mean), 9), round(mean + 0.1 * (5 - mean), 9)]
+
+
+def test_forest_does_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame(rng.normal(size=(300, 2)), columns=["a", "b"]).assign(label=rng.normal(size=300))
+    df = spark.createDataFrame(pdf)
+    sums = []
+    for n in (2, 8):
+        fitted = fit_model(FOREST, df.repartition(n), ["a", "b"], {"n_estimators": 4, "max_depth": 4})
+        sums.append([round(r["prediction"], 9) for r in fitted.transform(df).orderBy("a").collect()])
+    assert sums[0] == sums[1]
+
+
+def test_scores_keep_missing_values_on_the_right(spark):
+    pdf = pd.DataFrame({"x": np.arange(40, dtype=float)})
+    pdf["label"] = np.where(pdf["x"] <= 19, 0.0, 9.0)
+    m = LeafwiseBooster(["x"], n_estimators=2, num_leaves=2, min_child_samples=1).fit(spark.createDataFrame(pdf))
+    got = m.transform(spark.createDataFrame([(None,), (float("nan"),), (39.0,)], "x double")).collect()
+    assert len({r["prediction"] for r in got}) == 1
