@@ -8,6 +8,8 @@ same way on both sides. Model fits and searches are checked by row count and by
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +21,8 @@ from .operators import stats as S
 from .operators.prepare import Preparer, fill_median_expr, fill_mode_expr, one_hot_exprs, scale_expr
 from .operators.split import TEST, TRAIN, k_fold, train_test_exact, train_test_split
 from .plans import reports
-from .plans.models import BOOSTED, FOREST, LEAFWISE, LINEAR, fit_model
+from .plans.models import BOOSTED, FOREST, LEAFWISE, LINEAR, MODELS, fit_model
+from .plans.tuning import REFERENCE_GRIDS
 from .session import fresh_dir
 from .sources.csv import read_csv, write_csv
 
@@ -28,12 +31,6 @@ A_DROP = ["text"]
 A_NUMERIC, A_TEXT = ["n_words"], ["lang", "source"]
 B_DROP = ["p_name", "Id", "Alley"]         # two names are absent: the lenient drop ignores them
 SEED, FOLD_SEED = 42, 43
-# Small model settings for the registered queries (the factory settings are in plans.models).
-QUICK = {BOOSTED: {"n_estimators": 10, "max_depth": 3, "learning_rate": 0.1},
-         FOREST: {"n_estimators": 10, "max_depth": 8, "min_samples_leaf": 1},
-         LEAFWISE: {"n_estimators": 10, "learning_rate": 0.1, "num_leaves": 10},
-         LINEAR: {}}
-QUICK_GRID = {"n_estimators": [5, 10], "max_depth": [2, 3], "learning_rate": [0.1]}
 
 
 # ---------------------------------------------------------------- shared pieces
@@ -72,9 +69,10 @@ def _rounded(df: DataFrame, cols: list[str], digits: int) -> DataFrame:
 
 
 def _run(spark, d, model):
+    """E1 on frame A with the model's factory settings."""
     from .plans.runs import default_run
 
-    return default_run(_a(spark, d), model, A_KEY, drop=A_DROP, params=QUICK[model])
+    return default_run(_a(spark, d), model, A_KEY, drop=A_DROP)
 
 
 # ---------------------------------------------------------------- sources, projections
@@ -265,7 +263,9 @@ def q_leafwise_fit(spark, d):
 
 
 def q_predict(spark, d):
-    return _run(spark, d, LINEAR).scored
+    """M5: the test rows scored by each of the four models."""
+    scored = [_run(spark, d, model).scored.withColumn("model", F.lit(model)) for model in MODELS]
+    return reduce(DataFrame.unionByName, scored)
 
 
 def q_importances(spark, d):
@@ -277,7 +277,8 @@ def q_importances_top(spark, d):
 
 
 def q_default_run(spark, d):
-    return _run(spark, d, LINEAR).log()
+    """M6: the log rows of the factory runs of the four models."""
+    return reduce(DataFrame.unionByName, [_run(spark, d, model).log() for model in MODELS])
 
 
 def q_stump_split(spark, d):
@@ -304,12 +305,12 @@ _SEARCH = {}
 
 
 def _search(spark, d):
-    """The grid search of frame A (boosted trees, small grid), once per application and folder."""
+    """The reference's grid search of boosted trees on frame A, once per application and folder."""
     from .plans.runs import search_run
 
     k = (spark.sparkContext.applicationId, d)
     if k not in _SEARCH:
-        _SEARCH[k] = search_run(_a(spark, d), BOOSTED, A_KEY, QUICK_GRID, drop=A_DROP, parallelism=4)
+        _SEARCH[k] = search_run(_a(spark, d), BOOSTED, A_KEY, REFERENCE_GRIDS[BOOSTED], drop=A_DROP, parallelism=4)
     return _SEARCH[k]
 
 
@@ -366,14 +367,14 @@ def q_inspect_run(spark, d):
     """Strict drop, unscaled preparation, leaf-wise boosting, the best and worst five."""
     from .plans.runs import inspect_run
 
-    return inspect_run(_a(spark, d), LEAFWISE, A_KEY, drop=A_DROP, params=QUICK[LEAFWISE])[1]
+    return inspect_run(_a(spark, d), LEAFWISE, A_KEY, drop=A_DROP)[1]
 
 
 def q_inspect_search(spark, d):
-    """E5: the same after a small boosted grid search."""
+    """E5: the same after the reference's boosted grid search."""
     from .plans.runs import inspect_search
 
-    return inspect_search(_a(spark, d), BOOSTED, A_KEY, QUICK_GRID, drop=A_DROP, parallelism=4)[1]
+    return inspect_search(_a(spark, d), BOOSTED, A_KEY, REFERENCE_GRIDS[BOOSTED], drop=A_DROP, parallelism=4)[1]
 
 
 def q_lines_linear(spark, d):
