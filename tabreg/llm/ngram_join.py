@@ -7,12 +7,15 @@ Classes joined by shared bands are verified together, in units of at most about
 classes: larger sets are dealt into pairs of tiles. Where that would repeat the texts more often
 (long chains), joined classes are verified band by band instead, a pair in the first band where it
 meets, with tiles in the same way. Units recompute the full sets from the texts and return a row per
-class (links, and the first class it is joined with), never pairs.
+class (links, and the first class it is joined with), never pairs. Classes go by a written number
+(``key``) and rows by id and text hash (``mark``), since an id may stand on several texts; ids are only
+reported.
 
 Defined results: texts without a word (null, empty) have no set and link with nothing; texts of
 fewer than ``WORDS`` words have one n-gram, all their words; rows with a null id link with nothing
-(null class, not kept apart); rows with equal ids and equal sets are copies, with different sets
-they share links; an empty table gives no rows; other columns are not read.
+(null class, not kept apart); rows of equal sets are copies, whatever their ids; rows with equal ids but
+different sets are rows like any others, each with its own class, links and decision; rows equal in id
+and text share one decision; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -37,8 +40,8 @@ UNIT_ROWS = 512
 SEED = 17
 BLOCK = 4096
 
-_SKETCH = pa.schema([("doc_id", pa.int64()), ("print", pa.binary()), ("bands", pa.list_(pa.int64()))])
-_LINKS = pa.schema([("rep", pa.int64()), ("root", pa.int64()), ("links", pa.int64())])
+_SKETCH = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("print", pa.binary()), ("bands", pa.list_(pa.int64()))])
+_LINKS = pa.schema([("key", pa.int64()), ("root", pa.int64()), ("links", pa.int64())])
 
 
 def band_shape(threshold: float, recall: float, most: int = MAX_ROWS) -> tuple[int, int]:
@@ -76,8 +79,13 @@ def band_hashes(grams: np.ndarray, bands: int, rows: int, scale: np.ndarray, shi
     return out.view(np.int64)
 
 
+def _marked(texts: DataFrame) -> DataFrame:
+    """The rows with ``__mark``, a hash of the text: it tells rows of one id apart."""
+    return texts.select("__id", F.xxhash64("__text").alias("__mark"), "__text")
+
+
 def sketches(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """``doc_id, print, bands`` of ``__id, __text`` rows (no print: no words)."""
+    """``doc_id, mark, print, bands`` of ``__id, __mark, __text`` rows (no print: no words)."""
     bands, rows = band_shape(threshold, recall)
     rng = np.random.default_rng(SEED)
     scale = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -90,9 +98,9 @@ def sketches(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD,
                 grams = ngrams(text, words)
                 prints.append(fingerprint(grams) if len(grams) else None)
                 hashes.append(band_hashes(grams, bands, rows, scale, shift) if len(grams) else [])
-            yield record_batch(_SKETCH, batch.column(0), prints, hashes)
+            yield record_batch(_SKETCH, batch.column(0), batch.column(1), prints, hashes)
 
-    return docs.mapInArrow(run, "doc_id long, print binary, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, mark long, print binary, bands array<long>")
 
 
 def shared_grams(sets: list[np.ndarray]) -> np.ndarray:
@@ -114,14 +122,14 @@ def shared_grams(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _verified(units: DataFrame, words: int, threshold: float) -> DataFrame:
-    """``rep, root, links`` of the classes of each unit that have a link; rows come ordered by unit."""
+    """``key, root, links`` of the classes of each unit that have a link; rows come ordered by unit."""
 
     def unit(rows: list[dict]) -> tuple[list, list, list]:
         sets, own_rows, met = [], [], set()
         for r in rows:
             grams = ngrams(r["__text"], words)
-            if r["rep"] not in met and fingerprint(grams) == r["print"]:  # else another row of that id
-                met.add(r["rep"])
+            if r["key"] not in met and fingerprint(grams) == r["print"]:  # else a copy, or a text of equal id and hash
+                met.add(r["key"])
                 sets.append(grams)
                 own_rows.append(r)
         rows = own_rows
@@ -142,8 +150,8 @@ def _verified(units: DataFrame, words: int, threshold: float) -> DataFrame:
         copies = np.array([r["copies"] for r in rows])
         links = np.bincount(i, copies[j], len(rows)) + np.bincount(j, copies[i], len(rows))
         root, at = pair_roots(len(rows), i, j), np.flatnonzero(links)
-        rep = np.array([r["rep"] for r in rows])
-        return rep[at].tolist(), rep[root[at]].tolist(), links[at].astype(np.int64).tolist()
+        keys = np.array([r["key"] for r in rows])
+        return keys[at].tolist(), keys[root[at]].tolist(), links[at].astype(np.int64).tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
@@ -159,66 +167,83 @@ def _verified(units: DataFrame, words: int, threshold: float) -> DataFrame:
         if len(rows) > 1:
             yield record_batch(_LINKS, *unit(rows))
 
-    return units.mapInArrow(run, "rep long, root long, links long")
+    return units.mapInArrow(run, "key long, root long, links long")
 
 
 def _units(classes: DataFrame) -> DataFrame:
-    """``rep, t, bucket, low, high, own``: the units in which each candidate class is verified."""
-    places = written(classes.select("rep", F.posexplode("bands").alias("t", "bucket")), "band-rows")
-    shared = places.groupBy("t", "bucket").agg(F.min("rep").alias("first"), F.count("*").alias("size")).where("size > 1")
+    """``key, t, bucket, low, high, own``: the units in which each candidate class is verified."""
+    places = written(classes.select("key", F.posexplode("bands").alias("t", "bucket")), "band-rows")
+    shared = places.groupBy("t", "bucket").agg(F.min("key").alias("first"), F.count("*").alias("size")).where("size > 1")
     members = written(places.join(written(shared, "shared-bands"), ["t", "bucket"]), "band-members")
-    joined = connected_components(members.where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct())
+    joined = connected_components(members.where("key <> first").select(F.col("key").alias("a"), F.col("first").alias("b")).distinct())
     sizes = written(joined.groupBy("component").agg(F.count("*").alias("joined")), "component-sizes")
-    sized = written(joined.withColumnRenamed("node", "rep").join(sizes, "component"), "joined-classes")
+    sized = written(joined.withColumnRenamed("node", "key").join(sizes, "component"), "joined-classes")
     # how often the texts would be repeated: by component, or by band
-    rows = members.join(sized, "rep").groupBy("component").agg(F.sum(tile_count(F.col("size"), UNIT_ROWS)).alias("by_band"))
+    rows = members.join(sized, "key").groupBy("component").agg(F.sum(tile_count(F.col("size"), UNIT_ROWS)).alias("by_band"))
     by_component = F.col("joined") * tile_count(F.col("joined"), UNIT_ROWS)
     chosen = written(sizes.join(rows, "component").select("component", (by_component <= F.col("by_band")).alias("together")), "unit-choice")
     dealt = written(sized.join(chosen, "component"), "dealt-classes")
-    together = dealt.where("together").select("rep", F.lit(-1).alias("t"), F.col("component").alias("bucket"), F.explode(tiles(F.col("joined"), F.xxhash64("rep"), UNIT_ROWS)).alias("u"))
-    by_band = members.join(dealt.where("NOT together").select("rep"), "rep").select("rep", "t", "bucket", F.explode(tiles(F.col("size"), F.xxhash64("rep"), UNIT_ROWS)).alias("u"))
-    return together.unionByName(by_band).select("rep", "t", "bucket", "u.*")
+    together = dealt.where("together").select("key", F.lit(-1).alias("t"), F.col("component").alias("bucket"), F.explode(tiles(F.col("joined"), F.xxhash64("key"), UNIT_ROWS)).alias("u"))
+    by_band = members.join(dealt.where("NOT together").select("key"), "key").select("key", "t", "bucket", F.explode(tiles(F.col("size"), F.xxhash64("key"), UNIT_ROWS)).alias("u"))
+    return together.unionByName(by_band).select("key", "t", "bucket", "u.*")
 
 
-def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
-                   threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """``doc_id, class_id, n_links, component_id, kept`` of every row: the smallest id with an equal
-    set, the other documents linked directly, the smallest id reachable by links, and whether this
-    is it."""
-    texts = id_and_bytes(docs, id_col, text_col)
+def _decided(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS, threshold: float = THRESHOLD,
+             recall: float = RECALL) -> DataFrame:
+    """The columns of ``jaccard_groups`` and ``mark``: rows that share id and mark are equal."""
+    texts = _marked(id_and_bytes(docs, id_col, text_col))
     sketch = written(sketches(texts, words, threshold, recall), "sketches")
     usable = sketch.where("print IS NOT NULL AND doc_id IS NOT NULL")
-    classes = written(usable.groupBy("print").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "classes")
+    classes = usable.groupBy("print").agg(F.min(F.struct("doc_id", "mark")).alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    classes = written(classes.withColumn("key", F.monotonically_increasing_id()), "classes")
     units = written(_units(classes), "verification-units")
-    grouped = units.groupBy("rep").agg(F.collect_list(F.struct("t", "bucket", "low", "high", "own")).alias("units"))
-    candidates = written(classes.join(grouped, "rep"), "candidates")
-    loaded = texts.join(candidates, texts["__id"] == candidates["rep"]).select("rep", "print", "copies", "bands", "__text", F.explode("units").alias("u"))
-    flat = loaded.select("rep", "print", "copies", "bands", "__text", "u.*")
+    grouped = units.groupBy("key").agg(F.collect_list(F.struct("t", "bucket", "low", "high", "own")).alias("units"))
+    candidates = written(classes.join(grouped, "key"), "candidates")
+    loaded = texts.join(candidates, (F.col("__id") == F.col("rep.doc_id")) & (F.col("__mark") == F.col("rep.mark"))).select("key", "print", "copies", "bands", "__text", F.explode("units").alias("u"))
+    flat = loaded.select("key", "print", "copies", "bands", "__text", "u.*")
     dealt = flat.repartition("t", "bucket", "low", "high").sortWithinPartitions("t", "bucket", "low", "high")
     found = written(_verified(dealt, words, threshold), "verified-links")
 
-    groups = connected_components(found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    known = classes.select("print", "rep", "copies").join(links, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "print", F.col("rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    rows = sketch.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("print")).alias("print"))
+    groups = connected_components(found.where("key <> root").select(F.col("key").alias("a"), F.col("root").alias("b")))
+    joined = groups.withColumnRenamed("node", "key")
+    firsts = joined.join(classes.select("key", "rep"), "key").groupBy("component").agg(F.min("rep").alias("first"))
+    joined = joined.join(firsts, "component").select("key", "first")
+    links = found.groupBy("key").agg(F.sum("links").alias("links"))
+    known = classes.select("print", "key", "rep", "copies").join(links, "key", "left").join(joined, "key", "left").select(
+        "print", F.col("rep.doc_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("first", "rep").alias("first"))
+    rows = sketch.select("doc_id", "mark", F.when(F.col("doc_id").isNotNull(), F.col("print")).alias("print"))
     return rows.join(written(known, "class-groups"), "print", "left").select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        F.coalesce("first.doc_id", "doc_id").alias("component_id"),
+        (F.col("first").isNull() | (F.struct("doc_id", "mark") == F.col("first"))).alias("kept"), "mark")
+
+
+def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
+                   threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """``doc_id, class_id, n_links, component_id, kept`` of every row: the smallest id with an equal
+    set, the other documents linked directly, the smallest id reachable by links, and whether this
+    is it (of several texts of that id, one)."""
+    return _decided(docs, id_col, text_col, words, threshold, recall).drop("mark")
 
 
 def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each group: the smallest id, and one row of that id."""
-    groups = written(jaccard_groups(docs, id_col, text_col, **options), "groups")
-    own, other = F.col("`" + id_col.replace("`", "``") + "`").cast("long"), free_name(docs, "__other")
-    gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias(other)).distinct()
-    kept = docs.join(gone, own == F.col(other), "left_anti")
-    again = groups.where("kept AND n_links > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"))
-    again = written(again.where("n > 1").select(F.col("doc_id").alias(other)), "repeated-ids")
+    """``docs`` with one document of each group: the smallest id, and one row of that id. Rows go by
+    id and text, so other texts of an id that goes or stays are not touched."""
+    groups = written(_decided(docs, id_col, text_col, **options), "groups")
+    q = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    own, mark = free_name(docs, "__own"), free_name(docs, "__mark")
+    other, other_mark = free_name(docs, "__other"), free_name(docs, "__other_mark")
+    rows = docs.withColumn(own, q(id_col).cast("long")).withColumn(mark, F.xxhash64(q(text_col).cast("string").cast("binary")))
+    same = (F.col(own) == F.col(other)) & (F.col(mark) == F.col(other_mark))
+    named = [F.col("doc_id").alias(other), F.col("mark").alias(other_mark)]
+    gone = groups.where(~F.col("kept")).select(*named).distinct()
+    kept = rows.join(gone, same, "left_anti")
+    again = groups.where("kept AND n_links > 0 AND doc_id IS NOT NULL").groupBy("doc_id", "mark").agg(F.count("*").alias("n"))
+    again = written(again.where("n > 1").select(*named), "repeated-rows")
     if again.isEmpty():
-        return kept
-    once = kept.join(again, own == F.col(other), "left_semi").dropDuplicates([id_col])
-    return kept.join(again, own == F.col(other), "left_anti").unionByName(once)
+        return kept.drop(own, mark)
+    once = kept.join(again, same, "left_semi").dropDuplicates([own, mark])
+    return kept.join(again, same, "left_anti").unionByName(once).drop(own, mark)
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
