@@ -4,16 +4,18 @@ Equal vectors of a label are one class first, so copies are never paired. Each c
 signatures of ``bits`` signs; classes with an equal signature in some table are candidates, and
 their cosine is verified in double precision. A pair counts in the first table where it meets, so it
 is counted once though it may meet in many. Buckets beyond ``UNIT_ROWS`` rows are dealt into pairs of
-tiles; nothing is capped. A unit of work returns a row per vector (links, and the smallest vector it
-is joined with), never pairs; connected components over those rows give the groups.
+tiles; nothing is capped. A unit of work returns a row per vector (links, and the first vector it is
+joined with), never pairs; connected components over those rows give the groups. Classes go by a
+written number (``key``), since an id may stand on several; ids are only reported.
 
 ``bits`` follows the number of classes and ``tables`` follows from ``bits``, the threshold and
 ``RECALL``, the chance that a pair exactly at the threshold meets at all (closer pairs: more).
 
 Defined results: null labels, null ids, and vectors that are null, empty, zero or hold null or
 non-finite components link with nothing (component: own id, kept); vectors of different length never
-link; rows with equal ids and equal vectors are copies of each other, with different vectors they
-share links; an empty table gives no rows; other columns are not read.
+link; rows of equal label and vector are copies of each other, whatever their ids; rows with equal ids
+but another label or vector are rows like any others, each with its own links, component and decision;
+an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -43,7 +45,7 @@ def hash_shape(classes: int, threshold: float, recall: float) -> tuple[int, int]
 
 
 def _signatures(classes: DataFrame, bits: int, tables: int) -> DataFrame:
-    out = pa.schema([("rep", pa.int64()), ("label", pa.string()), ("copies", pa.int64()), ("unit_vector", pa.binary()),
+    out = pa.schema([("key", pa.int64()), ("label", pa.string()), ("copies", pa.int64()), ("unit_vector", pa.binary()),
                      ("signs", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,14 +62,14 @@ def _signatures(classes: DataFrame, bits: int, tables: int) -> DataFrame:
                     planes[len(x)] = np.random.default_rng(SEED).standard_normal((tables * bits, len(x)))
                 unit.append(x.tobytes())
                 signs.append(((planes[len(x)] @ x > 0).reshape(tables, bits) @ weights).tolist())
-            yield record_batch(out, rows["rep"], rows["label"], rows["copies"], unit, signs)
+            yield record_batch(out, rows["key"], rows["label"], rows["copies"], unit, signs)
 
-    return classes.mapInArrow(run, "rep long, label string, copies long, unit_vector binary, signs array<long>")
+    return classes.mapInArrow(run, "key long, label string, copies long, unit_vector binary, signs array<long>")
 
 
 def _verified(units: DataFrame, threshold: float) -> DataFrame:
-    """``rep, root, links`` of each row of each unit with a link; rows come ordered by unit."""
-    out = pa.schema([("rep", pa.int64()), ("root", pa.int64()), ("links", pa.int64())])
+    """``key, root, links`` of each row of each unit with a link; rows come ordered by unit."""
+    out = pa.schema([("key", pa.int64()), ("root", pa.int64()), ("links", pa.int64())])
 
     def unit(rows: list[dict]) -> tuple[list, list, list]:
         x = np.stack([np.frombuffer(r["unit_vector"]) for r in rows])
@@ -81,8 +83,8 @@ def _verified(units: DataFrame, threshold: float) -> DataFrame:
         i, j = i[keep], j[keep]
         links = np.bincount(i, copies[j], len(rows)) + np.bincount(j, copies[i], len(rows))
         root, at = pair_roots(len(rows), i, j), np.flatnonzero(links)
-        rep = np.array([r["rep"] for r in rows])
-        return rep[at].tolist(), rep[root[at]].tolist(), links[at].astype(np.int64).tolist()
+        keys = np.array([r["key"] for r in rows])
+        return keys[at].tolist(), keys[root[at]].tolist(), links[at].astype(np.int64).tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
@@ -97,38 +99,47 @@ def _verified(units: DataFrame, threshold: float) -> DataFrame:
         if len(rows) > 1:
             yield record_batch(out, *unit(rows))
 
-    return units.mapInArrow(run, "rep long, root long, links long")
+    return units.mapInArrow(run, "key long, root long, links long")
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
                     threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """``vec_id, n_links, component_id, kept`` of every row."""
+    """``vec_id, n_links, component_id, kept`` of every row: the other rows linked directly, the smallest
+    id reachable by links, and whether the row is that one (of the component's vectors of that id, one)."""
     q = lambda c: F.col("`" + c.replace("`", "``") + "`")
     rows = vectors.select(q(id_col).cast("long").alias("vec_id"), q(label_col).cast("string").alias("label"), q(vector_col).cast("array<double>").alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.coalesce(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("usable", usable)
-    classes = written(rows.where("usable").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "vector-classes")
+    classes = written(rows.where("usable").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).withColumn("key", F.monotonically_increasing_id()), "vector-classes")
     bits, tables = hash_shape(classes.count(), threshold, recall)
 
-    signed = written(_signatures(classes.repartition("rep").select("rep", "label", "copies", "embedding"), bits, tables), "signatures")
+    signed = written(_signatures(classes.repartition("key").select("key", "label", "copies", "embedding"), bits, tables), "signatures")
     # the text form of a signature's place: label, length and table keep vectors apart that can't link
     spot = F.xxhash64("label", F.octet_length("unit_vector"), "t", F.col("sign"))
-    places = signed.select("rep", "label", "unit_vector", F.posexplode("signs").alias("t", "sign")).select("rep", "t", spot.alias("bucket"))
+    places = signed.select("key", "label", "unit_vector", F.posexplode("signs").alias("t", "sign")).select("key", "t", spot.alias("bucket"))
     full = places.groupBy("t", "bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = written(places.join(full, ["t", "bucket"]), "bucket-members")
-    units = members.select("rep", "t", "bucket", F.explode(tiles(F.col("size"), F.xxhash64("rep"), UNIT_ROWS)).alias("u")).select("rep", "t", "bucket", "u.*")
-    loaded = written(units, "units").join(signed.drop("label"), "rep")
+    units = members.select("key", "t", "bucket", F.explode(tiles(F.col("size"), F.xxhash64("key"), UNIT_ROWS)).alias("u")).select("key", "t", "bucket", "u.*")
+    loaded = written(units, "units").join(signed.drop("label"), "key")
     dealt = loaded.repartition("t", "bucket", "low", "high").sortWithinPartitions("t", "bucket", "low", "high")
     found = written(_verified(dealt, threshold), "vector-links")
 
-    groups = connected_components(found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    known = classes.join(links, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    groups = connected_components(found.where("key <> root").select(F.col("key").alias("a"), F.col("root").alias("b")))
+    # the first class of each component: the smallest id, then the vector's hash
+    place = F.struct("rep", F.xxhash64("embedding").alias("mark"), "key")
+    joined = groups.withColumnRenamed("node", "key")
+    firsts = joined.join(classes.select("key", place.alias("place")), "key").groupBy("component").agg(F.min("place").alias("first"))
+    joined = joined.join(firsts, "component").select("key", "first")
+    links = found.groupBy("key").agg(F.sum("links").alias("links"))
+    known = classes.join(links, "key", "left").join(joined, "key", "left").select(
+        "label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+        F.coalesce("first.rep", "rep").alias("component_id"), F.coalesce(F.col("first.key") == F.col("key"), F.lit(True)).alias("leads"))
     return rows.join(written(known, "vector-groups"), ["label", "embedding"], "left").select(
         "vec_id", F.when(F.col("usable"), F.col("n_links")).otherwise(0).cast("long").alias("n_links"),
-        F.when(F.col("usable"), F.col("component_id")).otherwise(F.col("vec_id")).alias("component_id")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+        F.when(F.col("usable"), F.col("component_id")).otherwise(F.col("vec_id")).alias("component_id"),
+        (~F.col("usable") | F.col("leads")).alias("leads")).select(
+        "vec_id", "n_links", "component_id", (F.col("leads") & F.col("vec_id").eqNullSafe(F.col("component_id"))).alias("kept"))
 
 
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

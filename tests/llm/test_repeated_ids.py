@@ -1,9 +1,10 @@
 """An id on rows of different texts or vectors: each row has its own links, component and decision."""
 
+import numpy as np
 import pytest
-from tabreg.llm import ngram_join
+from tabreg.llm import embeddings, ngram_join
 from tabreg.llm.common import normal_words
-from test_pairs import docs, groups_of, near_texts
+from test_pairs import VECTORS, docs, groups_of, near_texts
 
 
 def brute_rows(ids, linked):
@@ -42,3 +43,23 @@ def test_ngram_join_repeated_ids(spark, monkeypatch, unit, bands):
     at = {r: k for k, r in enumerate(rows)}
     assert sorted(root[at[r]] for r in left) == sorted(set(root.values()))    # one row of each group
     assert all(i == component[at[i, t]] for i, t in left)                     # of its smallest id
+
+
+@pytest.mark.parametrize("unit", [8, 1024])
+def test_embeddings_repeated_ids(spark, monkeypatch, unit):
+    monkeypatch.setattr(embeddings, "UNIT_ROWS", unit)
+    rng = np.random.default_rng(9)
+    rows = []
+    for c in range(6):
+        centre = rng.standard_normal(16)
+        for _ in range(8):
+            rows.append((5 * len(rows) % 17, (centre + rng.standard_normal(16) * 0.12).astype(np.float32).tolist(), c % 3))
+    rows += [(i, v, (lab + 1) % 3) for i, v, lab in rows[:12]]                # the same under another label
+    rows += [(i, v[:4], lab) for i, v, lab in rows[:6]] + [rows[0], rows[0]]  # and of another length
+    unit_vectors = [np.array(v) / np.linalg.norm(v) for _, v, _ in rows]
+    links, component, root = brute_rows([i for i, _, _ in rows], lambda a, b: rows[a][2] == rows[b][2] and len(rows[a][1]) == len(rows[b][1])
+                                        and unit_vectors[a] @ unit_vectors[b] >= 0.98 - 1e-12)
+    out = embeddings.near_duplicates(spark.createDataFrame([(*r, "", "") for r in rows], VECTORS).repartition(3)).collect()
+    assert sorted(tuple(r)[:3] for r in out) == sorted(zip([i for i, _, _ in rows], links, component, strict=True))
+    assert sum(r["kept"] for r in out) == len(set(root.values())) + 2         # rows[0] stands there three times
+    assert all(r["vec_id"] == r["component_id"] for r in out if r["kept"])
