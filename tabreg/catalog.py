@@ -301,17 +301,11 @@ def q_boosted_rounds(spark, d):
     return fitted.transform(raw.select("p_size").distinct()).select("p_size", F.round("prediction", 6).alias("prediction"))
 
 
-_SEARCH = {}
-
-
 def _search(spark, d):
-    """The reference's grid search of boosted trees on frame A, once per application and folder."""
+    """The reference's grid search of boosted trees on frame A."""
     from .plans.runs import search_run
 
-    k = (spark.sparkContext.applicationId, d)
-    if k not in _SEARCH:
-        _SEARCH[k] = search_run(_a(spark, d), BOOSTED, A_KEY, REFERENCE_GRIDS[BOOSTED], drop=A_DROP, parallelism=4)
-    return _SEARCH[k]
+    return search_run(_a(spark, d), BOOSTED, A_KEY, REFERENCE_GRIDS[BOOSTED], drop=A_DROP, parallelism=4)
 
 
 def q_cv_scores(spark, d):

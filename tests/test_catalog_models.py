@@ -51,3 +51,10 @@ def test_reference_grid(spark, seen, name):
     E.queries()[name](spark, SF001).collect()
     assert seen[1] == [(BOOSTED, REFERENCE_GRIDS[BOOSTED], 5)]
     assert seen[0] == [(BOOSTED, param_grid(REFERENCE_GRIDS[BOOSTED])[0])]
+
+
+def test_each_search_query_searches(spark, seen):
+    names = ["cv_scores", "cv_best", "search_run", "params_roundtrip", "tuned_run"]
+    for name in names:
+        E.queries()[name](spark, SF001).collect()
+    assert seen[1] == [(BOOSTED, REFERENCE_GRIDS[BOOSTED], 5)] * len(names)
