@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, embeddings, language_id, ngram_join, packing, quality, substring_dedup, suffix_dedup, token_counts, warc
+from . import chat, decontamination, embeddings, language_id, lexical_search, ngram_join, packing, quality, spelling, substring_dedup, suffix_dedup, token_counts, warc
 
-MODULES = (token_counts, chat, embeddings, substring_dedup, warc, packing, ngram_join, quality, decontamination, language_id, suffix_dedup)
+MODULES = (token_counts, chat, embeddings, substring_dedup, warc, packing, ngram_join, quality, decontamination, language_id, spelling, suffix_dedup, lexical_search)
 
 
 def queries() -> dict:
