@@ -305,7 +305,7 @@ def _search(spark, d):
     """The reference's grid search of boosted trees on frame A."""
     from .plans.runs import search_run
 
-    return search_run(_a(spark, d), BOOSTED, A_KEY, REFERENCE_GRIDS[BOOSTED], drop=A_DROP, parallelism=4)
+    return search_run(_a(spark, d), BOOSTED, A_KEY, REFERENCE_GRIDS[BOOSTED], drop=A_DROP)
 
 
 def q_cv_scores(spark, d):
@@ -368,7 +368,7 @@ def q_inspect_search(spark, d):
     """E5: the same after the reference's boosted grid search."""
     from .plans.runs import inspect_search
 
-    return inspect_search(_a(spark, d), BOOSTED, A_KEY, REFERENCE_GRIDS[BOOSTED], drop=A_DROP, parallelism=4)[1]
+    return inspect_search(_a(spark, d), BOOSTED, A_KEY, REFERENCE_GRIDS[BOOSTED], drop=A_DROP)[1]
 
 
 def q_lines_linear(spark, d):

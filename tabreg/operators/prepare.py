@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from ..errors import DummyNameClash, UnsupportedColumn
 from ..names import column as _q
 from ..names import number
-from ..session import spread
 from . import columns as C
 from . import stats as S
 
@@ -165,11 +164,11 @@ class Preparer:
 
     def fit(self, df: DataFrame) -> FittedPrep:
         # Like Spark ML's multi-pass estimators: an input that is not persisted is projected to
-        # the features, spread if under-partitioned, and persisted for the fit's passes only.
+        # the features and persisted for the fit's passes only.
         own_cache = df.storageLevel == StorageLevel.NONE
         df, features = self.select_features(df)
         if own_cache:
-            df = spread(df).persist(StorageLevel.MEMORY_AND_DISK)
+            df = df.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             return self._fit(df, features)
         finally:

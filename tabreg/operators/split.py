@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from ..errors import DuplicateKeys
 from ..names import column
-from ..session import spread
 from .stats import order_statistics
 
 TEST = "test"
@@ -63,7 +62,7 @@ def train_test_exact(df: DataFrame, key: str, test_size: float = 0.2, seed: int
     """
     # The narrow (key, hash) frame feeds a few small jobs; persist it instead of rehashing the source.
     hashed = df.select(row_key(key).alias("_k")).withColumn("_h", key_hash(F.col("_k"), seed))
-    hashed = spread(hashed).persist(StorageLevel.MEMORY_AND_DISK)
+    hashed = hashed.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         n = hashed.count()
         n_test = math.ceil(test_size * n)

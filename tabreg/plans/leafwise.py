@@ -1,81 +1,29 @@
-"""Leaf-wise histogram gradient boosting (M3) written as Spark jobs.
+"""The boosted models (M2, M3) and the forest (M4) as fitted by ``growing``.
 
-Spark ML has no leaf-count-limited (best-first) booster, so this one is built from DataFrame
-operations (after Ke et al., NeurIPS 2017, and the distributed histogram scheme of Panda et al.,
-VLDB 2009):
-
-1. **Binning, once.** A feature with at most ``max_bin`` distinct values gets one bin per value
-   (told exactly, feature by feature); the others get ``approxQuantile`` edges. Rows are packed
-   into blocks (small unsigned bins, label, prediction), persisted and never rewritten while
-   trees grow.
-2. **Histograms.** A job routes each block's rows to the open nodes and adds up gradients and
-   counts per (node, feature, bin) with ``np.bincount``; a task emits its non-zero cells once, and
-   ``groupBy(cell)`` adds the tasks' partial sums, whatever their number and size. A feature takes
-   as many cells as it has bins. A hot bin or node is summed inside each task.
-3. **Best-first growth.** A node's best split depends only on its own rows, so one job can compute
-   the children of the best leaf *and* of the other leaves that could still be split; the driver
-   then replays best-first growth exactly and only runs another job when it needs unknown
-   children. Of two siblings, only the smaller is aggregated; the other is parent minus it.
-4. **Update.** The trees since the last materialised prediction travel with each job as node
-   arrays and are added inside the task. Every ``checkpoint_every`` trees the blocks are written
-   with the new prediction into the shared folder, the root histogram is computed afresh, and the
-   blocks written before are deleted; a lost executor only recomputes from there.
-
-Loss is squared error, the start score the label mean, leaf value the mean residual, gain
-``G_l^2/n_l + G_r^2/n_r - G^2/n``, a split needs ``min_child_samples`` rows on each side and a
-positive gain. Ties go to the lowest feature, then the lowest bin, then the lowest node id.
-Prediction on new rows uses the raw thresholds (``x <= edge``), no binning.
+``LeafwiseBooster`` grows shrunken trees from the label mean, with a limit of leaves (M3) or of depth (M2);
+``Forest`` averages trees that are each grown on a Poisson bootstrap of the rows. Loss is squared
+error, a leaf's value the mean residual. Prediction on new rows uses the raw thresholds (``x <= edge``; a gap
+goes right), no binning.
 """
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass, field
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..names import column
-from ..session import delete_dir, fresh_dir
-
-#: Cells that a task holds at a time (two float64 arrays); more open nodes are done in several rounds.
-TASK_CELLS = 4_000_000
-
-
-@dataclass
-class _Node:
-    id: int
-    parent: int | None
-    depth: int = 0
-    n: float = 0.0
-    G: float = 0.0
-    hist: tuple | None = None          # (G[F, B], n[F, B]) while children may still be needed
-    gain: float = -math.inf
-    feature: int = -1
-    bin: int = -1
-    n_left: float = 0.0
-    n_right: float = 0.0
-    children: tuple | None = None
-
-    @property
-    def value(self) -> float:
-        return self.G / self.n if self.n else 0.0
+from .growing import Spec, TreeRows, fit_models
+from .trees import Limits, Tree, stacked
 
+#: (row, tree) pairs that a scoring step handles at a time.
+PAIRS = 1 << 20
 
-@dataclass
-class Tree:
-    """Actual splits of one tree: node id -> (feature, bin, threshold, left, right); leaves -> value."""
-    splits: dict = field(default_factory=dict)
-    leaves: dict = field(default_factory=dict)
-    gains: dict = field(default_factory=dict)
-    counts: dict = field(default_factory=dict)
 
+class TreeModel:
+    """Trees whose values are added (``rate``; boosting) or averaged (None; forest)."""
 
-class LeafwiseModel:
     def __init__(self, feature_names, init, trees, edges, learning_rate):
         self.feature_names = list(feature_names)
         self.init = float(init)
@@ -84,308 +32,94 @@ class LeafwiseModel:
         self.learning_rate = learning_rate
 
     def transform(self, df: DataFrame, out: str = "prediction") -> DataFrame:
-        """Adds the prediction: Arrow batches walk down all trees, level by level."""
-        walkers = [_walker(t) for t in self.trees]
-        init, rate, used = self.init, self.learning_rate, sorted({f for t in self.trees for f, *_ in t.splits.values()})
+        """Adds the prediction: each row of an Arrow batch walks down all trees at once."""
+        init, rate, many = self.init, self.learning_rate, len(self.trees)
+        if not many:
+            return df.withColumn(out, F.lit(init))
+        roots, feature, threshold, left, right, value = stacked(self.trees, "feature", "threshold", "left", "right", "value")
+        used = np.unique(feature[feature >= 0]).tolist()
         if not used:
-            return df.withColumn(out, F.lit(init + sum(rate * t.leaves[0] for t in self.trees)))
-        place = {f: i for i, f in enumerate(used)}
+            return df.withColumn(out, F.lit(init + rate * float(value.sum()) if rate is not None else float(value.mean())))
+        place = np.zeros(max(used) + 1, np.int64)
+        place[used] = np.arange(len(used))
+        sent = df.sparkSession.sparkContext.broadcast((roots, np.where(feature >= 0, place[np.maximum(feature, 0)], -1), threshold, left, right, value))
 
         @F.pandas_udf("double")
         def score(rows: pd.DataFrame) -> pd.Series:
-            x = rows.to_numpy(dtype=np.float64)
-            total = np.full(len(x), init)
-            for feature, threshold, left, right, value in walkers:
-                at = np.array([place.get(f, 0) for f in feature.tolist()])
-                total += rate * value[_walk(x, at, threshold, left, right)]
+            roots, feature, threshold, left, right, value = sent.value
+            x, total = rows.to_numpy(dtype=np.float64), np.empty(len(rows))
+            step = max(1, PAIRS // many)
+            for i in range(0, len(x), step):
+                part = x[i: i + step]
+                row, at = np.repeat(np.arange(len(part)), many), np.tile(roots, len(part))
+                moving = np.flatnonzero(feature[at] >= 0)
+                while len(moving):
+                    node = at[moving]
+                    at[moving] = np.where(part[row[moving], feature[node]] <= threshold[node], left[node], right[node])
+                    moving = moving[feature[at[moving]] >= 0]
+                values = value[at].reshape(len(part), many)
+                total[i: i + step] = values.mean(axis=1) if rate is None else init + rate * values.sum(axis=1)
             return pd.Series(total)
 
         return df.withColumn(out, score(F.struct(*[column(self.feature_names[f]).cast("double").alias(f"x{f}") for f in used])))
 
+    def used_features(self) -> list[int]:
+        return sorted({f for t in self.trees for f in t.feature[t.feature >= 0].tolist()})
+
     def importances(self, kind: str = "split") -> list[float]:
-        out = [0.0] * len(self.feature_names)
+        """By feature: number of splits, or each tree's share of the gain, averaged over trees (forest)
+        or summed over them and divided by the sum (boosting)."""
+        out = np.zeros(len(self.feature_names))
         for t in self.trees:
-            for node, (f, *_rest) in t.splits.items():
-                out[f] += 1.0 if kind == "split" else t.gains[node]
-        if kind == "gain":
-            tot = sum(out)
-            out = [v / tot if tot else 0.0 for v in out]
-        return out
+            inner = t.feature >= 0
+            amount = np.bincount(t.feature[inner], np.ones(inner.sum()) if kind == "split" else t.gain[inner], len(out))
+            out += amount / amount.sum() if kind != "split" and self.learning_rate is None and amount.sum() else amount
+        if kind != "split" and out.sum():
+            out /= out.sum()
+        return out.tolist()
 
     def stump_rows(self) -> list[tuple]:
         """(feature, threshold, n_left, n_right, left_value, right_value, gain) of each tree's root
-        split; leaf values are mean residuals before the learning rate."""
+        split; values are mean residuals before the learning rate."""
         rows = []
         for t in self.trees:
-            if 0 not in t.splits:
-                continue
-            f, _b, thr, left, right = t.splits[0]
-            lv = t.leaves.get(left)
-            rv = t.leaves.get(right)
-            rows.append((self.feature_names[f], float(thr), int(t.counts[left]), int(t.counts[right]),
-                         None if lv is None else float(lv), None if rv is None else float(rv), float(t.gains[0])))
+            if t.feature[0] >= 0:
+                a, b = int(t.left[0]), int(t.right[0])
+                lv, rv = (float(t.value[i]) if t.feature[i] < 0 else None for i in (a, b))
+                rows.append((self.feature_names[t.feature[0]], float(t.threshold[0]), int(t.n[a]), int(t.n[b]), lv, rv, float(t.gain[0])))
         return rows
 
 
-def _walker(tree: Tree, binned: bool = False) -> tuple:
-    """The tree as arrays over node numbers: feature (-1: leaf), threshold or bin, children, value."""
-    n = 1 + max([0, *tree.splits, *tree.leaves])
-    feature, left, right = np.full(n, -1), np.zeros(n, np.int64), np.zeros(n, np.int64)
-    threshold, value = np.zeros(n), np.zeros(n)
-    for node, (f, b, thr, lo, hi) in tree.splits.items():
-        feature[node], threshold[node], left[node], right[node] = f, b if binned else thr, lo, hi
-    for node, v in tree.leaves.items():
-        value[node] = v
-    left[feature < 0] = right[feature < 0] = np.flatnonzero(feature < 0)
-    return feature, threshold, left, right, value
-
-
-def _walk(x: np.ndarray, feature: np.ndarray, threshold: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The leaf of each row; a gap goes right, as in ``CASE WHEN x <= threshold``."""
-    rows, at = np.arange(len(x)), np.zeros(len(x), np.int64)
-    while True:
-        to = np.where(x[rows, np.maximum(feature[at], 0)] <= threshold[at], left[at], right[at])
-        if np.array_equal(to, at):
-            return at
-        at = to
+LeafwiseModel = TreeModel
 
 
 class LeafwiseBooster:
     def __init__(self, feature_names, label: str = "label", n_estimators: int = 100, learning_rate: float = 0.1,
-                 num_leaves: int = 31, min_child_samples: int = 20, max_bin: int = 255,
-                 checkpoint_every: int = 10, quantile_error: float = 1e-3, max_depth: int | None = None):
-        self.max_depth = None if max_depth is None or max_depth <= 0 else int(max_depth)
-        self.feature_names = list(feature_names)
-        self.label = label
-        self.n_estimators, self.learning_rate = n_estimators, learning_rate
-        self.num_leaves, self.min_child = num_leaves, max(1, min_child_samples)
-        self.max_bin, self.checkpoint_every, self.quantile_error = max_bin, checkpoint_every, quantile_error
-        self.jobs = 0
-
-    # ------------------------------------------------------------------ binning
-
-    def _edges(self, data: DataFrame, nf: int) -> tuple[list[list[float]], float, int]:
-        """Bin edges per feature. A task keeps at most ``max_bin + 1`` distinct values per feature
-        and so does the merge, which tells exactly which features have at most ``max_bin`` values:
-        each value becomes an edge there. The others get one ``approxQuantile`` pass
-        (Greenwald-Khanna sketches, bounded memory)."""
-        most = self.max_bin + 1
-
-        def distinct(batches):
-            seen: list[set] = [set() for _ in range(nf)]
-            for batch in batches:
-                for i in range(nf):
-                    if len(seen[i]) < most:
-                        x = batch.column(i + 1).to_numpy(zero_copy_only=False)
-                        seen[i].update(np.unique(x[~np.isnan(x)])[:most].tolist())
-            pairs = [(i, v) for i in range(nf) for v in sorted(seen[i])[:most]]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in pairs], pa.int32()), pa.array([v for _, v in pairs], pa.float64())], names=["f", "v"])
-
-        row = data.agg(F.avg("_y").alias("m"), F.count("*").alias("n")).collect()[0]
-        found = data.mapInArrow(distinct, "f int, v double").groupBy("f").agg(F.slice(F.array_sort(F.collect_set("v")), 1, most).alias("values"))
-        values = {r["f"]: r["values"] for r in found.collect()}
-        edges = {i: values.get(i) or [0.0] for i in range(nf)}
-        many = [i for i in range(nf) if len(edges[i]) > self.max_bin]
-        if many:
-            probs = [k / self.max_bin for k in range(1, self.max_bin)]
-            for i, q in zip(many, data.approxQuantile([f"_x{i}" for i in many], probs, self.quantile_error), strict=True):
-                edges[i] = sorted(set(q))
-        return [edges[i] for i in range(nf)], row["m"], row["n"]
-
-    def _blocks(self, data: DataFrame, edges, init: float) -> DataFrame:
-        """Rows in blocks: bins (rows x features), label, prediction."""
-        small = np.uint8 if max(map(len, edges)) < 256 else np.uint16
-        cuts = [np.array(e) for e in edges]
-
-        def pack(batches):
-            for batch in batches:
-                if batch.num_rows:
-                    x = [batch.column(i + 1).to_numpy(zero_copy_only=False) for i in range(len(cuts))]
-                    # bin(x) = number of edges below x; a gap has the last bin, as it goes right
-                    bins = np.stack([np.searchsorted(c, v, side="left") for c, v in zip(cuts, x, strict=True)], axis=1).astype(small)
-                    y = np.ascontiguousarray(batch.column(0).to_numpy(zero_copy_only=False))
-                    yield pa.RecordBatch.from_arrays([pa.array([bins.tobytes()]), pa.array([y.tobytes()]), pa.array([np.full(len(y), init).tobytes()])], names=["bins", "y", "p"])
-
-        self._small = small
-        return data.mapInArrow(pack, "bins binary, y binary, p binary")
-
-    # ------------------------------------------------------------------ histograms
-
-    def _hist_job(self, data: DataFrame, nodes: dict, targets: list[int]) -> None:
-        direct, derived = [], []
-        tset = set(targets)
-        for t in targets:
-            node = nodes[t]
-            if node.parent is None:
-                direct.append(t)
-                continue
-            parent = nodes[node.parent]
-            sib = parent.children[1] if parent.children[0] == t else parent.children[0]
-            if parent.hist is not None and sib in tset:
-                mine = parent.n_left if parent.children[0] == t else parent.n_right
-                theirs = parent.n_right if parent.children[0] == t else parent.n_left
-                small = mine < theirs or (mine == theirs and parent.children[0] == t)
-                (direct if small else derived).append(t)
-            else:
-                direct.append(t)
-        step = max(1, TASK_CELLS // self._offsets[-1])
-        for i in range(0, len(direct), step):
-            for t, hist in self._histograms(data, nodes, direct[i: i + step]).items():
-                self._set_hist(nodes[t], *hist)
-        for t in derived:
-            parent = nodes[nodes[t].parent]
-            sib = parent.children[1] if parent.children[0] == t else parent.children[0]
-            pg, pn = parent.hist
-            sg, sn = nodes[sib].hist
-            self._set_hist(nodes[t], pg - sg, pn - sn)
-
-    def _histograms(self, data: DataFrame, nodes: dict, direct: list[int]) -> dict:
-        """Gradient sums and counts of the nodes, over all cells; one job."""
-        open_tree = Tree({n.id: (n.feature, n.bin, 0.0, *n.children) for n in nodes.values() if n.children}, {n.id: 0.0 for n in nodes.values() if not n.children})
-        route, recent = _walker(open_tree, binned=True), [_walker(t, binned=True) for t in self._recent]
-        slot = np.full(max(nodes) + 1, -1, dtype=np.int64)
-        slot[direct] = np.arange(len(direct))
-        offsets, rate, small = self._offsets, self.learning_rate, self._small
-        size, nf = len(direct) * offsets[-1], len(offsets) - 1
-        # a target may have been split already in the open tree: stop there
-        stop = np.isin(np.arange(max(nodes) + 1), direct)
-        feature, threshold, left, right, _ = route
-        own = np.arange(max(nodes) + 1)
-        left, right = np.where(stop, own, left), np.where(stop, own, right)
-
-        def partial(batches):
-            sums, counts = np.zeros(size), np.zeros(size)
-            for batch in batches:
-                for bins, y, p in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    g = np.frombuffer(y) - np.frombuffer(p)
-                    bins = np.frombuffer(bins, small).reshape(len(g), nf)
-                    for f, b, lo, hi, value in recent:
-                        g = g - rate * value[_walk(bins, f, b, lo, hi)]
-                    t = slot[_walk(bins, feature, threshold, left, right)]
-                    keep = t >= 0
-                    cell = t[keep, None] * offsets[-1] + offsets[:-1] + bins[keep]
-                    sums += np.bincount(cell.ravel(), weights=np.repeat(g[keep], nf), minlength=size)
-                    counts += np.bincount(cell.ravel(), minlength=size)
-            at = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(sums[at]), pa.array(counts[at])], names=["cell", "g", "n"])
-
-        self.jobs += 1
-        merged = data.mapInArrow(partial, "cell long, g double, n double").groupBy("cell").agg(F.sum("g").alias("g"), F.sum("n").alias("n")).toPandas()
-        cells = merged["cell"].to_numpy()
-        g, n = np.zeros(size), np.zeros(size)
-        g[cells], n[cells] = merged["g"].to_numpy(), merged["n"].to_numpy()
-        return {t: (a, b) for t, a, b in zip(direct, g.reshape(len(direct), -1), n.reshape(len(direct), -1), strict=True)}
-
-    def _set_hist(self, node: _Node, g: np.ndarray, c: np.ndarray) -> None:
-        node.hist = (g, c)
-        offsets = self._offsets
-        first, last = offsets[0], offsets[1]
-        node.G, node.n = float(g[first:last].sum()), float(c[first:last].sum())
-        node.gain = -math.inf
-        for f in range(len(offsets) - 1):      # first maximum: lowest feature, then lowest bin
-            nl, gl = np.cumsum(c[offsets[f]: offsets[f + 1]])[:-1], np.cumsum(g[offsets[f]: offsets[f + 1]])[:-1]
-            nr, gr = node.n - nl, node.G - gl
-            with np.errstate(divide="ignore", invalid="ignore"):
-                gain = np.where((nl >= self.min_child) & (nr >= self.min_child), gl * gl / nl + gr * gr / nr - node.G * node.G / node.n, -np.inf)
-            if gain.size and (best := float(gain.max())) > node.gain:
-                b = int(np.argmax(gain))
-                node.gain, node.feature, node.bin = best, f, b
-                node.n_left, node.n_right = float(nl[b]), float(nr[b])
-
-    # ------------------------------------------------------------------ growth
+                 num_leaves: int | None = 31, min_child_samples: int = 20, max_bin: int = 255, max_depth: int | None = None):
+        depth = None if max_depth is None or max_depth <= 0 else int(max_depth)
+        self.feature_names, self.label, self.max_bin = list(feature_names), label, max_bin
+        self.spec = Spec(Limits(num_leaves, depth, max(1, min_child_samples)), n_estimators, learning_rate)
 
-    def _grow(self, data: DataFrame, edges, root_hist=None) -> tuple[Tree, tuple]:
-        """Grow one tree; returns it with the root histogram of the *next* tree.
+    def fit(self, df: DataFrame) -> TreeModel:
+        return _fitted(TreeRows(df, self.feature_names, self.label, max_bin=self.max_bin), self.spec)
 
-        The next root histogram needs no job: every row's gradient drops by ``learning_rate x``
-        its leaf value, so G_root' = G_root - lr * sum over leaves of value x N_leaf, with the
-        count histograms N_leaf already at hand; N_root does not change."""
-        nodes = {0: _Node(0, None)}
-        next_id = 1
-        if root_hist is None:
-            self._hist_job(data, nodes, [0])
-        else:
-            self._set_hist(nodes[0], *root_hist)
-        root_g, root_n = nodes[0].hist
-        leaves = [0]
-        tree = Tree()
-        while len(leaves) < self.num_leaves:
-            cands = [l for l in leaves if nodes[l].gain > 0
-                     and (self.max_depth is None or nodes[l].depth < self.max_depth)]
-            if not cands:
-                break
-            best = min(cands, key=lambda l: (-nodes[l].gain, l))
-            if nodes[best].children is None:
-                remaining = self.num_leaves - len(leaves)
-                others = sorted((l for l in cands if l != best and nodes[l].children is None),
-                                key=lambda l: (-nodes[l].gain, l))[:remaining - 1]
-                targets = []
-                for l in [best] + others:
-                    nodes[l].children = (next_id, next_id + 1)
-                    for c in nodes[l].children:
-                        nodes[c] = _Node(c, l, nodes[l].depth + 1)
-                        targets.append(c)
-                    next_id += 2
-                self._hist_job(data, nodes, targets)
-            b = nodes[best]
-            tree.splits[best] = (b.feature, b.bin, edges[b.feature][b.bin], *b.children)
-            tree.gains[best] = b.gain
-            tree.counts[best] = b.n
-            leaves.remove(best)
-            leaves.extend(b.children)
-            b.hist = None      # both children hold their own histograms now
-        next_g = root_g.copy()
-        for l in leaves:
-            tree.leaves[l] = nodes[l].value
-            tree.counts[l] = nodes[l].n
-            next_g -= self.learning_rate * nodes[l].value * nodes[l].hist[1]
-        return tree, (next_g, root_n)
 
-    # ------------------------------------------------------------------ fit
+class Forest:
+    """Trees of any depth on all features; ``key`` names the rows for the bootstrap (None: their values do, and
+    equal rows are drawn together)."""
 
-    def fit(self, df: DataFrame) -> LeafwiseModel:
-        spark, nf = df.sparkSession, len(self.feature_names)
-        data = df.select(column(self.label).cast("double").alias("_y"),
-                         *[column(c).cast("double").alias(f"_x{i}") for i, c in enumerate(self.feature_names)])
-        edges, init, _n = self._edges(data, nf)
-        self._offsets = np.concatenate(([0], np.cumsum([len(e) + 1 for e in edges])))
-        self._recent: list[Tree] = []
-        model = LeafwiseModel(self.feature_names, init, [], edges, self.learning_rate)
-        blocks, written, root_hist = self._blocks(data, edges, float(init)).persist(StorageLevel.MEMORY_AND_DISK), None, None
-        try:
-            for t in range(self.n_estimators):
-                if t and self.checkpoint_every and t % self.checkpoint_every == 0:
-                    blocks, written, root_hist = *self._materialised(spark, blocks, written), None
-                tree, root_hist = self._grow(blocks, edges, root_hist)
-                model.trees.append(tree)
-                self._recent.append(tree)
-                if not tree.splits:
-                    break    # no leaf can be split any more; further trees would be the same constant
-        finally:
-            blocks.unpersist()
-            if written:
-                delete_dir(spark, written)
-        return model
+    def __init__(self, feature_names, label: str = "label", n_estimators: int = 100, max_depth: int | None = None, min_samples_leaf: int = 1,
+                 bootstrap: bool = True, max_bin: int = 255, seed: int = 42, key: str | None = None):
+        self.feature_names, self.label, self.max_bin, self.seed, self.key = list(feature_names), label, max_bin, seed, key
+        self.spec = Spec(Limits(None, max_depth, max(1, min_samples_leaf)), n_estimators, None, bootstrap=bootstrap)
 
-    def _materialised(self, spark, blocks: DataFrame, before: str | None) -> tuple[DataFrame, str]:
-        """The blocks with the recent trees in their prediction, in a folder of their own."""
-        recent, rate, small, nf = [_walker(t, binned=True) for t in self._recent], self.learning_rate, self._small, len(self._offsets) - 1
+    def fit(self, df: DataFrame) -> TreeModel:
+        return _fitted(TreeRows(df, self.feature_names, self.label, key=self.key, max_bin=self.max_bin), self.spec, self.seed)
 
-        def update(batches):
-            for batch in batches:
-                out = []
-                for bins, p in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                    p = np.frombuffer(p).copy()
-                    x = np.frombuffer(bins, small).reshape(len(p), nf)
-                    for f, b, lo, hi, value in recent:
-                        p += rate * value[_walk(x, f, b, lo, hi)]
-                    out.append(p.tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["bins", "y", "p"])
 
-        path = fresh_dir(spark, "leafwise")
-        blocks.mapInArrow(update, blocks.schema).write.parquet(path)
-        blocks.unpersist()
-        if before:
-            delete_dir(spark, before)
-        self._recent = []
-        return spark.read.schema(blocks.schema).parquet(path).persist(StorageLevel.MEMORY_AND_DISK), path
+def _fitted(data: TreeRows, spec: Spec, seed: int = 42) -> TreeModel:
+    try:
+        trees = fit_models(data, [spec], seed)[0]
+    finally:
+        data.release()
+    return TreeModel(data.features, data.start(spec), trees, data.layout.edges, spec.rate)

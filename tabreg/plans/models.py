@@ -1,28 +1,25 @@
-"""Model registry (M1-M8): name -> estimator with the reference's factory settings.
-
-Both boosted models run on the histogram booster of ``leafwise``: it starts from the label mean and
-shrinks every tree, as the reference does (Spark ML's GBT gives its first tree full weight). M2
-limits the depth, M3 the leaves. Linear regression and the forest are Spark ML's, with every
-setting passed explicitly, since its defaults differ (20 trees of depth 5, feature subsampling).
-Trees bin features (``max_bins``) where the reference splits exactly, so scores are near, not equal;
-a feature of at most that many values is split exactly.
+"""Model registry (M1-M8): name -> fit with the reference's factory settings.
+
+The tree models run on ``growing``: both boosted ones start from the label mean and shrink every tree (M2
+limits the depth, M3 the leaves), the forest averages trees of any depth on bootstraps of the rows. Linear
+regression is the least-squares solution of minimum norm. Trees bin features (``max_bins``): one of at
+most that many values is split exactly as the reference does, others at bounds of equal shares.
 """
 
 from __future__ import annotations
 
 import json
-import warnings
 from dataclasses import dataclass, field
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import UnknownModel
-from ..names import column
-from ..operators.columns import assemble
-from ..session import shared_dir
+from .growing import Spec
+from .leafwise import Forest, LeafwiseBooster
+from .linear import fit_linear
+from .trees import Limits
 
 # The reference's model names and the factory settings of the libraries it calls.
 LINEAR, BOOSTED, LEAFWISE, FOREST = "LinearRegression", "GradientBoosting", "LGBM", "RandomForest"
@@ -35,12 +32,8 @@ FACTORY = {
 }
 DEFAULT_RUN_NAMES = {LINEAR: "LR_Default", BOOSTED: "GBR_Default", LEAFWISE: "LGBM_Default", FOREST: "RF_Default"}
 SEED = 42
-MAX_DEPTH_UNBOUNDED = 30   # Spark's deepest tree; the reference's ``max_depth=None`` (a warning tells if one gets there)
-#: Bins a feature: the booster's, and the forest's (Spark ML picks its candidates from a sample of rows).
-BOOSTER_BINS, FOREST_BINS = 255, 128
-#: Partitions of the forest's training rows. Its bootstrap draws by partition and place, so rows are
-#: dealt by their values into this fixed number and sorted; the input's partitioning then has no say.
-FOREST_PARTITIONS = 32
+#: Bins a feature.
+BINS = 255
 
 
 def final_run_name(model: str) -> str:
@@ -62,26 +55,6 @@ def infer_model(params: dict) -> tuple[str, str]:
     return BOOSTED, f"GBR_FINAL_{n}"
 
 
-def _depth(d):
-    return MAX_DEPTH_UNBOUNDED if d is None else int(d)
-
-
-def spark_estimator(model: str, params: dict | None = None, seed: int = SEED, max_bins: int = FOREST_BINS,
-                    features: str = "features", label: str = "label"):
-    """The Spark ML estimator for ``model`` with reference parameter names translated."""
-    p = dict(FACTORY.get(model, {}))
-    p.update(params or {})
-    common = dict(featuresCol=features, labelCol=label, predictionCol="prediction")
-    if model == LINEAR:
-        return LinearRegression(regParam=0.0, elasticNetParam=0.0, fitIntercept=True, solver="auto", **common)
-    if model == FOREST:
-        return RandomForestRegressor(numTrees=int(p["n_estimators"]), maxDepth=_depth(p["max_depth"]),
-                                     minInstancesPerNode=int(p["min_samples_leaf"]), featureSubsetStrategy="all",
-                                     bootstrap=True, subsamplingRate=1.0, maxBins=max_bins, seed=seed,
-                                     cacheNodeIds=True, checkpointInterval=10, maxMemoryInMB=1024, **common)
-    raise UnknownModel(f"unknown model {model!r}; known: {MODELS}")
-
-
 @dataclass
 class FittedModel:
     model: str
@@ -93,40 +66,36 @@ class FittedModel:
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Adds ``prediction`` (double) to rows holding the named feature columns."""
-        if self.model in (LEAFWISE, BOOSTED):
-            return self.inner.transform(_feature_columns(df, self.feature_names))
-        if "features" not in df.columns:
-            df = assemble(df, self.feature_names)
-        return self.inner.transform(df).drop("features")
+        if self.model == LINEAR:
+            return self.inner.transform(df)
+        return self.inner.transform(_used_columns(df, self.feature_names, self.inner.used_features()))
 
     def importances(self, kind: str = "split") -> list[tuple[str, float]]:
         """Tree importances, or absolute coefficients for the linear model, by feature name."""
         if self.model == LINEAR:
-            vals = [abs(v) for v in self.inner.coefficients.toArray()]
+            vals = [abs(v) for v in self.inner.coefficients]
         elif self.model == LEAFWISE:
             vals = self.inner.importances(kind)
-        elif self.model == BOOSTED:
-            vals = self.inner.importances("gain")
         else:
-            vals = list(self.inner.featureImportances.toArray())
+            vals = self.inner.importances("gain")
         return list(zip(self.feature_names, [float(v) for v in vals]))
 
     def params_json(self) -> str:
         return json.dumps(self.params, sort_keys=True)
 
 
-def _feature_columns(df: DataFrame, names: list[str]) -> DataFrame:
-    """The named feature columns, taken out of a ``features`` vector if there is one."""
-    if "features" not in df.columns:
+def _used_columns(df: DataFrame, names: list[str], used: list[int]) -> DataFrame:
+    """The feature columns that trees ask for, taken out of a ``features`` vector if there is one."""
+    if "features" not in df.columns or "features" in names:
         return df
     rows = df.withColumn("features", vector_to_array("features"))
-    return rows.select("*", *[F.col("features")[i].alias(n) for i, n in enumerate(names)]).drop("features")
+    return rows.select("*", *[F.col("features")[i].alias(names[i]) for i in used]).drop("features")
 
 
 def fit_model(model: str, train: DataFrame, feature_names: list[str], params: dict | None = None,
-              label: str = "label", seed: int = SEED, max_bins: int | None = None,
-              partitions: int = FOREST_PARTITIONS) -> FittedModel:
-    """Fit ``model`` on rows holding the label and the named feature columns (or their vector)."""
+              label: str = "label", seed: int = SEED, max_bins: int | None = None, key: str | None = None) -> FittedModel:
+    """Fit ``model`` on rows holding the label and the named feature columns (or their vector).
+    ``key`` names the rows for the forest's bootstrap (None: their values do)."""
     import time
 
     if model not in FACTORY:
@@ -134,26 +103,28 @@ def fit_model(model: str, train: DataFrame, feature_names: list[str], params: di
     p = dict(FACTORY[model])
     p.update(params or {})
     t0 = time.monotonic()
-    if model in (LEAFWISE, BOOSTED):
-        from .leafwise import LeafwiseBooster
-
-        inner = LeafwiseBooster(feature_names, label=label, max_bin=max_bins or BOOSTER_BINS, **_booster_args(model, p))
-        inner = inner.fit(_feature_columns(train, feature_names))
+    if model == LINEAR:
+        inner = fit_linear(train, feature_names, label)
+    elif model == FOREST:
+        inner = Forest(feature_names, label, int(p["n_estimators"]), p["max_depth"], int(p["min_samples_leaf"]), max_bin=max_bins or BINS, seed=seed, key=key).fit(train)
     else:
-        shared_dir(train.sparkSession)   # the forest checkpoints node ids there
-        if model == FOREST:
-            by = [column(c) for c in train.columns if c == label or c in set(feature_names)]
-            train = train.repartition(partitions, *by) if by[1:] else train.repartition(partitions, label)
-            train = train.sortWithinPartitions(*by)
-        data = train if "features" in train.columns else assemble(train, feature_names)
-        inner = spark_estimator(model, p, seed, max_bins or FOREST_BINS, label=label).fit(data)
-        if model == FOREST and p["max_depth"] is None and any(t.depth >= MAX_DEPTH_UNBOUNDED for t in inner.trees):
-            warnings.warn(f"a tree reached depth {MAX_DEPTH_UNBOUNDED}, Spark's largest; the reference's trees are unbounded")
+        limits, trees, rate = _boosting(model, p)
+        inner = LeafwiseBooster(feature_names, label, trees, rate, limits.num_leaves, limits.min_child, max_bins or BINS, limits.max_depth).fit(train)
     return FittedModel(model, {k: v for k, v in p.items()}, list(feature_names), inner, time.monotonic() - t0)
 
 
-def _booster_args(model: str, p: dict) -> dict:
-    common = dict(n_estimators=int(p["n_estimators"]), learning_rate=float(p["learning_rate"]))
+def _boosting(model: str, p: dict) -> tuple[Limits, int, float]:
     if model == BOOSTED:      # depth alone ends growth, and a leaf may hold one row
-        return common | dict(max_depth=int(p["max_depth"]), num_leaves=2 ** int(p["max_depth"]), min_child_samples=int(p.get("min_samples_leaf") or 1))
-    return common | dict(num_leaves=int(p["num_leaves"]), min_child_samples=int(p.get("min_child_samples", 20)), max_depth=p.get("max_depth"))
+        limits = Limits(2 ** int(p["max_depth"]), int(p["max_depth"]), int(p.get("min_samples_leaf") or 1))
+    else:
+        limits = Limits(int(p["num_leaves"]), p.get("max_depth"), int(p.get("min_child_samples", 20)))
+    return limits, int(p["n_estimators"]), float(p["learning_rate"])
+
+
+def tree_spec(model: str, params: dict, held_out: int = -1) -> Spec:
+    """What a tree model with these parameters grows, without the rows of the fold ``held_out``."""
+    p = FACTORY[model] | params
+    if model == FOREST:
+        return Spec(Limits(None, p["max_depth"], max(1, int(p["min_samples_leaf"]))), int(p["n_estimators"]), None, held_out)
+    limits, trees, rate = _boosting(model, p)
+    return Spec(limits, trees, rate, held_out)

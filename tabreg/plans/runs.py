@@ -26,7 +26,6 @@ from ..operators.prepare import FittedPrep, Preparer, fill_median_expr
 from ..operators.split import TEST, TRAIN, train_test_split
 from ..operators.stats import fit_medians
 from ..sources.params import read_params, write_params
-from ..session import spread
 from ..sources.runlog import append_run_log, log_row
 from . import reports
 from .models import (DEFAULT_RUN_NAMES, LEAFWISE, FittedModel, final_run_name, fit_model, infer_model,
@@ -82,7 +81,7 @@ def _prepare_split(df: DataFrame, key: str, label: str, drop, scale: bool, test_
     if fill_label:     # the oldest scripts fill the label like any number, before it is split off
         df = df.withColumn(label, fill_median_expr(label, fit_medians(df, [label])[label]))
     base, _ = Preparer(label=label, key=key, drop=drop, strict_drop=prep.pop("strict_drop", False)).select_features(df)
-    base = spread(train_test_split(base, key, test_size, seed)).persist(StorageLevel.MEMORY_AND_DISK)
+    base = train_test_split(base, key, test_size, seed).persist(StorageLevel.MEMORY_AND_DISK)
     fit_rows = base if fit_scope == "all" else base.where(F.col("split") == TRAIN)
     try:
         prep = Preparer(label=label, key=key, drop=["split"], scale=scale, **prep).fit(fit_rows)
@@ -119,7 +118,7 @@ def fit_and_score(df: DataFrame, model: str, key: str, label: str = "label", dro
     t0 = time.monotonic()
     prep, rows, train, test = _prepare_split(df, key, label, drop, scale, test_size, seed, fit_scope, sparse, **options)
     try:
-        fitted = fit_model(model, train, prep.feature_names, params, label=label, seed=seed, max_bins=max_bins)
+        fitted = fit_model(model, train, prep.feature_names, params, label=label, seed=seed, max_bins=max_bins, key=key)
         scored, metrics = _score(fitted, test, key, label)
         total = time.monotonic() - t0
     finally:
@@ -141,19 +140,19 @@ def default_run(df: DataFrame, model: str, key: str, label: str = "label", drop=
 
 def search_run(df: DataFrame, model: str, key: str, grid: dict, label: str = "label", drop=REFERENCE_DROP,
                params_path: str | None = None, log_path: str | None = None, folds: int = FOLDS,
-               parallelism: int = 4, scale: bool = True, test_size: float = 0.2, seed: int = 42,
+               scale: bool = True, test_size: float = 0.2, seed: int = 42,
                fit_scope: str = "all", report_path: str | None = None, sparse: bool = False,
                max_bins: int | None = None, **options) -> RunResult:
     """Grid search with k folds on the training rows, refit the winner, score the test rows."""
     t0 = time.monotonic()
     prep, rows, train, test = _prepare_split(df, key, label, drop, scale, test_size, seed, fit_scope, sparse, **options)
     try:
-        scores = cv_scores(model, train, prep.feature_names, grid, key, folds, parallelism=parallelism, label=label, max_bins=max_bins)
+        scores = cv_scores(model, train, prep.feature_names, grid, key, folds, label=label, max_bins=max_bins, seed=seed)
         best = best_candidate(scores).collect()[0]
         best_params = json.loads(best["params"])
         if params_path:
             write_params(df.sparkSession, best_params, params_path)
-        fitted = fit_model(model, train, prep.feature_names, best_params, label=label, seed=seed, max_bins=max_bins)
+        fitted = fit_model(model, train, prep.feature_names, best_params, label=label, seed=seed, max_bins=max_bins, key=key)
         scored, metrics = _score(fitted, test, key, label)
         total = time.monotonic() - t0
     finally:

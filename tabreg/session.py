@@ -77,11 +77,3 @@ def delete_dir(spark: SparkSession, path: str) -> None:
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
-
-def spread(df):
-    """Round-robin the rows over the cluster's cores when the source arrived in fewer input
-    partitions than twice the default parallelism (small or unsplittable files, e.g. one parquet
-    row group). Used only before a frame is persisted for many passes; at scale the input has far
-    more splits than cores and this is a no-op, so it adds no shuffle there."""
-    p = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(p) if df.rdd.getNumPartitions() < 2 * p else df

@@ -94,7 +94,9 @@ def _brute_tree(X, g, num_leaves, min_child):
 
 @pytest.mark.parametrize("seed,cells", [(0, 4_000_000), (1, 4_000_000), (0, 40)])
 def test_leafwise_tree_equals_brute_force(spark, seed, cells, monkeypatch):
-    monkeypatch.setattr("tabreg.plans.leafwise.TASK_CELLS", cells)    # several rounds when small
+    monkeypatch.setattr("tabreg.plans.trees.TASK_CELLS", cells)    # several rounds when small
+    if cells == 40:
+        monkeypatch.setattr("tabreg.plans.growing.UNIT_BYTES", 10)    # histograms as jobs
     rng = np.random.default_rng(seed)
     X = rng.integers(0, 10, size=(400, 3)).astype(float)
     y = np.where(X[:, 0] > 4, 8.0, 0.0) + X[:, 1] ** 1.3 + rng.normal(0, 1, 400)
@@ -125,7 +127,7 @@ def test_boosting_train_loss_never_rises(spark):
     X = rng.normal(size=(500, 2))
     y = np.sin(X[:, 0] * 2) + X[:, 1] + rng.normal(0, 0.1, 500)
     df = spark.createDataFrame(pd.DataFrame(X, columns=["a", "b"]).assign(label=y))
-    m = LeafwiseBooster(["a", "b"], n_estimators=6, num_leaves=6, min_child_samples=10, checkpoint_every=3).fit(df)
+    m = LeafwiseBooster(["a", "b"], n_estimators=6, num_leaves=6, min_child_samples=10).fit(df)
     losses = []
     for k in range(1, len(m.trees) + 1):
         sub = type(m)(m.feature_names, m.init, m.trees[:k], m.edges, m.learning_rate)
@@ -149,15 +151,18 @@ def test_leafwise_max_depth_limits_tree(spark):
     assert set(t.splits) == {0, 1, 2}
 
 
-def test_leafwise_several_trees_equal_brute_force(spark):
-    """Trees after the first start from the root histogram derived on the driver; every tree and
-    the final predictions must still equal brute-force best-first boosting."""
+@pytest.mark.parametrize("unit_bytes", [32 << 20, 2000, 10])
+def test_leafwise_several_trees_equal_brute_force(spark, unit_bytes, monkeypatch):
+    """Every tree and the final predictions equal brute-force best-first boosting, whether models, small
+    nodes or no rows go to a task of their own."""
+    monkeypatch.setattr("tabreg.plans.growing.UNIT_BYTES", unit_bytes)
+    monkeypatch.setattr("tabreg.plans.growing.CHECKPOINT", 2)
     rng = np.random.default_rng(11)
     X = rng.integers(0, 12, size=(300, 3)).astype(float)
     y = np.where(X[:, 0] > 5, 10.0, 0.0) + X[:, 1] ** 1.5 + rng.normal(0, 1, 300)
     pdf = pd.DataFrame(X, columns=["a", "b", "c"]).assign(label=y)
     m = LeafwiseBooster(["a", "b", "c"], n_estimators=3, learning_rate=0.1, num_leaves=6,
-                        min_child_samples=15, checkpoint_every=2).fit(spark.createDataFrame(pdf))
+                        min_child_samples=15).fit(spark.createDataFrame(pdf))
     pred = np.full(len(y), y.mean())
     for tree in m.trees:
         splits, leaves = _brute_tree(X, y - pred, 6, 15)
@@ -184,9 +189,9 @@ def test_forest_does_not_depend_on_partitions(spark):
     pdf = pd.DataFrame(rng.normal(size=(300, 2)), columns=["a", "b"]).assign(label=rng.normal(size=300))
     df = spark.createDataFrame(pdf)
     sums = []
-    for n in (2, 8):
-        fitted = fit_model(FOREST, df.repartition(n), ["a", "b"], {"n_estimators": 4, "max_depth": 4})
-        sums.append([round(r["prediction"], 9) for r in fitted.transform(df).orderBy("a").collect()])
+    for n in (1, 16):
+        fitted = fit_model(FOREST, df.repartition(n), ["a", "b"], {"n_estimators": 4})
+        sums.append([r["prediction"] for r in fitted.transform(df).orderBy("a").collect()])
     assert sums[0] == sums[1]
 
 
