@@ -3,13 +3,17 @@
 Every query reads the driver tables (through the frames of FIXTURES.md) and returns a DataFrame.
 ``ORACLE_SQL`` holds the DuckDB statement for each query that SQL can express; computed columns
 carry the same aliases on both sides, and doubles that depend on summation order are rounded the
-same way on both sides. Model fits and searches are checked by row count and by unit tests.
+same way on both sides. Boosting is checked round by round on stumps, a forest by one tree on all rows,
+and least squares by elimination; what SQL can't express of the larger fits is checked by row count here and
+against brute force in the tests.
 """
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +26,8 @@ from .operators.prepare import Preparer, fill_median_expr, fill_mode_expr, one_h
 from .operators.split import TEST, TRAIN, k_fold, train_test_exact, train_test_split
 from .plans import reports
 from .plans.models import BOOSTED, FOREST, LEAFWISE, LINEAR, MODELS, fit_model
-from .plans.tuning import REFERENCE_GRIDS
+from .plans.leafwise import Forest
+from .plans.tuning import REFERENCE_GRIDS, best_candidate, mean_scores
 from .session import fresh_dir
 from .sources.csv import read_csv, write_csv
 
@@ -31,6 +36,10 @@ A_DROP = ["text"]
 A_NUMERIC, A_TEXT = ["n_words"], ["lang", "source"]
 B_DROP = ["p_name", "Id", "Alley"]         # two names are absent: the lenient drop ignores them
 SEED, FOLD_SEED = 42, 43
+STUMPS = {"n_estimators": 2, "max_depth": 1, "learning_rate": 0.1}
+#: Bins that tell all word counts apart, as SQL does.
+EXACT = 32_000
+STUMP_GRID = {"n_estimators": [1, 2], "max_depth": [1], "learning_rate": [0.1, 0.5]}
 
 
 # ---------------------------------------------------------------- shared pieces
@@ -112,8 +121,10 @@ def q_feature_names(spark, d):
 
 
 def q_assemble(spark, d):
+    """The vector's slots, a row each, rounded as in ``prepare``."""
     prep, rows = _a_prepared(spark, d)
-    return C.assemble(rows, prep.feature_names).select(A_KEY, "label", "features")
+    vectors = C.assemble(rows, prep.feature_names).select(A_KEY, vector_to_array("features").alias("slots"))
+    return vectors.select(A_KEY, F.posexplode("slots").alias("slot", "value")).withColumn("value", F.round("value", 9))
 
 
 # ---------------------------------------------------------------- fitted statistics
@@ -213,10 +224,15 @@ def q_ideal_line(spark, d):
 
 
 def q_report_tables(spark, d):
-    """The rows behind the charts, written as tables and read back."""
+    """The three tables behind the charts (residuals, ideal line, importances of least squares),
+    written and read back, as rows of one shape."""
     path = fresh_dir(spark, "reports")
-    reports.write_report_tables(path, _a_fixed_prediction(spark, d), A_KEY)
-    return spark.read.parquet(f"{path}/residuals")
+    reports.write_report_tables(path, _a_fixed_prediction(spark, d), A_KEY, _run(spark, d, LINEAR).importances())
+    text, none = F.lit(None).cast("string"), F.lit(None).cast("double")
+    residuals = spark.read.parquet(f"{path}/residuals").select(F.lit("residuals").alias("chart"), F.col(A_KEY).cast("string").alias("name"), F.col("label").alias("x"), F.col("residual").alias("y"))
+    line = spark.read.parquet(f"{path}/ideal_line").select(F.lit("ideal_line"), text, "line_min", "line_max")
+    bars = spark.read.parquet(f"{path}/importances").select(F.lit("importances"), "feature", F.round("importance", 5), none)
+    return residuals.union(line).union(bars)
 
 
 def q_best_and_worst(spark, d):
@@ -246,8 +262,12 @@ def q_linear_one(spark, d):
             .select("n", F.round(F.lit(coef), 6).alias("slope"), F.round(F.lit(icpt), 4).alias("intercept")))
 
 
+def _rounded_scores(df):
+    return _rounded(_rounded(df, ["mae"], 5), ["r2"], 8)
+
+
 def q_linear_fit(spark, d):
-    return _run(spark, d, LINEAR).summary()
+    return _rounded_scores(_run(spark, d, LINEAR).summary())
 
 
 def q_gbt_fit(spark, d):
@@ -273,7 +293,7 @@ def q_importances(spark, d):
 
 
 def q_importances_top(spark, d):
-    return reports.top_importances(_run(spark, d, LINEAR).importances(), 20)
+    return _rounded(reports.top_importances(_run(spark, d, LINEAR).importances(), 20), ["importance"], 5)
 
 
 def q_default_run(spark, d):
@@ -313,8 +333,6 @@ def q_cv_scores(spark, d):
 
 
 def q_cv_best(spark, d):
-    from .plans.tuning import best_candidate
-
     return best_candidate(_search(spark, d).scores)
 
 
@@ -323,15 +341,16 @@ def q_search_run(spark, d):
 
 
 def q_params_roundtrip(spark, d):
-    """The search's best parameters written as JSON (S3) and read back."""
-    import json
+    """A parameter set for each source, derived from its documents, written as JSON (S3) and read back."""
+    from .sources.params import read_params_rows, write_params_rows
 
-    from .sources.params import read_params_frame, write_params
-
-    res = _search(spark, d)
+    rows = _a(spark, d).groupBy("source").agg(F.count("*").alias("n"), F.max("label").alias("top"))
+    few = F.col("n") % 2 == 0
+    rows = rows.select((F.lit(1.0) / (F.lit(1.0) + F.col("n"))).alias("learning_rate"), F.when(few, (F.col("top") % 7).cast("int")).alias("max_depth"),
+                       F.col("n").cast("int").alias("n_estimators"), F.when(~few, (F.col("top") % 31).cast("int")).alias("num_leaves"))
     path = fresh_dir(spark, "params")
-    write_params(spark, json.loads(res.fitted.params_json()), path)
-    return read_params_frame(spark, path)
+    write_params_rows(rows, path)
+    return read_params_rows(spark, path)
 
 
 def q_tuned_run(spark, d):
@@ -348,13 +367,58 @@ def q_tuned_run(spark, d):
 
 
 def q_run_log(spark, d):
-    """E1 runs of two models appended to one fresh log and read back."""
+    """E1 runs of two models (least squares, two boosted stumps) appended to one fresh log and read back
+    (S5); the clock's columns are only looked at for sense."""
+    from .plans.runs import default_run
     from .sources.runlog import append_run_log, read_run_log
 
     path = fresh_dir(spark, "run_log")
-    for model in (LINEAR, FOREST):
-        append_run_log(_run(spark, d, model).log(), path)
-    return read_run_log(spark, path)
+    append_run_log(_run(spark, d, LINEAR).log(), path)
+    append_run_log(default_run(_a(spark, d), BOOSTED, A_KEY, drop=A_DROP, params=STUMPS, name="GBR_Stumps", max_bins=EXACT).log(), path)
+    sensible = (F.col("total_seconds") >= 0) & F.col("run_at").isNotNull()
+    return _rounded_scores(read_run_log(spark, path).select("model", "mae", "r2", "params", "cv_mae", sensible.alias("timed")))
+
+
+def q_boosted_stumps(spark, d):
+    """M2, M5: two rounds of boosted stumps over all prepared features of frame A, and the test rows' predictions."""
+    from .plans.runs import default_run
+
+    scored = default_run(_a(spark, d), BOOSTED, A_KEY, drop=A_DROP, params=STUMPS, max_bins=EXACT).scored
+    return _rounded(scored, ["prediction"], 5)
+
+
+def q_search_stumps(spark, d):
+    """Fold scores of a grid of boosted stumps (rounds x rate), all grown together."""
+    from .plans.runs import search_run
+
+    res = search_run(_a(spark, d), BOOSTED, A_KEY, STUMP_GRID, drop=A_DROP, max_bins=EXACT)
+    return _rounded(res.scores.select("candidate", "params", "fold", "mae"), ["mae"], 5)
+
+
+def q_forest_tree(spark, d):
+    """M4: one tree of a forest on all rows of ``part`` (no bootstrap), two levels deep, and what it says of each size."""
+    raw = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_retailprice").alias("label"), "p_size")
+    tree = Forest(["p_size"], n_estimators=1, max_depth=2, bootstrap=False).fit(raw)
+    return _rounded(tree.transform(raw.select("p_size").distinct()), ["prediction"], 6)
+
+
+def _fold_scores(spark, d) -> DataFrame:
+    """Fold scores of fixed predictors (5 to 9 characters a word) on the training rows."""
+    rows = k_fold(train_test_split(_a_filled(_a(spark, d)), A_KEY, 0.2, SEED).where(F.col("split") == TRAIN), A_KEY, 5, FOLD_SEED)
+    cands = F.array(*[F.struct(F.lit(i).alias("candidate"), F.lit(5.0 + i).alias("rate")) for i in range(5)])
+    rows = rows.withColumn("c", F.explode(cands)).select("c.*", "fold", "label", "n_words")
+    error = F.abs(F.col("label") - F.col("rate") * F.col("n_words"))
+    return rows.groupBy("candidate", F.format_string("{\"rate\": %.1f}", "rate").alias("params"), "fold").agg(F.avg(error).alias("mae"))
+
+
+def q_fold_means(spark, d):
+    """Mean score of each fixed predictor over the folds."""
+    return _rounded(mean_scores(_fold_scores(spark, d)), ["cv_mae"], 6)
+
+
+def q_fold_best(spark, d):
+    """The predictor of the lowest mean score."""
+    return _rounded(best_candidate(_fold_scores(spark, d)), ["cv_mae"], 6)
 
 
 def q_inspect_run(spark, d):
@@ -372,10 +436,10 @@ def q_inspect_search(spark, d):
 
 
 def q_lines_linear(spark, d):
-    """Frame L (volume): default linear run over all line items."""
+    """Frame L (volume): default linear run over all line items; rows of one order line share a split."""
     from .plans.runs import default_run
 
-    return default_run(frame_l(spark, d), LINEAR, "row_key", drop=[]).summary()
+    return _rounded_scores(default_run(frame_l(spark, d, by_line=True), LINEAR, "row_key", drop=[]).summary())
 
 
 QUERIES = {
@@ -419,6 +483,11 @@ QUERIES = {
     "default_run": q_default_run,
     "lines_linear": q_lines_linear,
     "stump_split": q_stump_split,
+    "boosted_stumps": q_boosted_stumps,
+    "search_stumps": q_search_stumps,
+    "forest_tree": q_forest_tree,
+    "fold_means": q_fold_means,
+    "fold_best": q_fold_best,
     "cv_scores": q_cv_scores,
     "cv_best": q_cv_best,
     "search_run": q_search_run,
@@ -554,7 +623,116 @@ ORACLE_SQL = {
                round(gl * gl / nl + gr * gr / nr - gt * gt / nt, 2) AS gain
         FROM s ORDER BY gl * gl / nl + gr * gr / nr - gt * gt / nt DESC, v LIMIT 1""",
 }
-ORACLE_SQL["report_tables"] = ORACLE_SQL["residuals"]
+# ---- least squares: normal equations without the last category of each text column, by elimination
+_SCALED_SQL = FILLED_SQL + """,
+s AS (SELECT avg(n_words) AS m, stddev_pop(n_words) AS sd FROM f)"""
+
+
+def _solved_sql(rows: str) -> str:
+    """The least-squares coefficients ``beta`` of the rows ``(label, v)``, v a list that starts with 1."""
+    return f"""q AS (SELECT list_append(v, label) AS v FROM ({rows})),
+    pairs AS (SELECT i, j, sum(v[i] * v[j]) AS a FROM q, (SELECT unnest(range(1, len(v) + 1)) AS i FROM (SELECT v FROM q LIMIT 1)) x,
+              (SELECT unnest(range(1, len(v) + 1)) AS j FROM (SELECT v FROM q LIMIT 1)) y WHERE i < len(v) GROUP BY i, j),
+    lines AS (SELECT i, list(a ORDER BY j) AS line FROM pairs GROUP BY i),
+    e AS (SELECT 1 AS k, list(line ORDER BY i) AS a FROM lines
+          UNION ALL SELECT k + 1, list_transform(a, lambda line, i: CASE WHEN i = k THEN list_transform(line, lambda x: x / line[k])
+              ELSE list_transform(line, lambda x, j: x - line[k] * a[k][j] / a[k][k]) END) FROM e WHERE k <= len(a)),
+    beta AS (SELECT list_transform(a, lambda line: line[len(line)]) AS b FROM e WHERE k > len(a))"""
+
+
+def _design_sql(numeric: list[str], text: dict[str, list[str]]) -> str:
+    """Constant, numbers and dummies of a row, without the last category of each column."""
+    return "[1.0, " + ", ".join(numeric + [f"CASE WHEN {c} = '{v}' THEN 1.0 ELSE 0.0 END" for c, vs in text.items() for v in vs[:-1]]) + "]"
+
+
+_A_DESIGN = _design_sql(["(n_words - (SELECT m FROM s)) / (SELECT sd FROM s)"], {"lang": LANGS, "source": SOURCES})
+_A_SOLVED = f"""WITH RECURSIVE {_SCALED_SQL}, {_solved_sql(f"SELECT label, {_A_DESIGN} AS v FROM f WHERE {SPLIT_SQL} = 'train'")}"""
+_SUMMARY_SQL = """count(*) AS n_test, round(avg(abs(label - p)), 5) AS mae,
+    round(1 - sum((label - p) * (label - p)) / (var_pop(label) * count(*)), 8) AS r2"""
+_A_TESTED = f"SELECT label, list_dot_product({_A_DESIGN}, b) AS p FROM f, beta WHERE {SPLIT_SQL} = 'test'"
+ORACLE_SQL["linear_fit"] = f"{_A_SOLVED} SELECT 'LR_Default' AS model, {_SUMMARY_SQL} FROM ({_A_TESTED})"
+# Of all solutions the one of least norm: within a text column the coefficients have mean 0.
+_A_IMPORTANCES = f"""c AS (SELECT [b[2]] || list_transform(l, lambda x: x - list_avg(l)) || list_transform(z, lambda x: x - list_avg(z)) AS c FROM (
+        SELECT b, list_append(b[3:{len(LANGS) + 1}], 0.0) AS l, list_append(b[{len(LANGS) + 2}:], 0.0) AS z FROM beta)),
+    names AS (SELECT list_prepend('n_words', list_concat({["lang_" + v for v in LANGS]}, list_transform(list_sort({SOURCES}), lambda v: 'source_' || v))) AS names),
+    imp AS (SELECT CAST(pos - 1 AS INTEGER) AS pos, names[pos] AS feature, round(abs(c[1 + CASE WHEN pos <= {len(LANGS) + 1} THEN pos - 1
+              ELSE {len(LANGS)} + list_position({SOURCES}, substr(names[pos], 8)) END]), 5) AS importance
+            FROM c, names, (SELECT unnest(range(1, {len(LANGS) + len(SOURCES) + 2})) AS pos))"""
+ORACLE_SQL["importances_top"] = f"{_A_SOLVED}, {_A_IMPORTANCES} SELECT * FROM imp ORDER BY importance DESC, feature LIMIT 20"
+ORACLE_SQL["report_tables"] = f"""{_A_SOLVED}, {_A_IMPORTANCES},
+    t AS (SELECT doc_id, label, 7.0 * n_words AS prediction FROM f WHERE {SPLIT_SQL} = 'test')
+    SELECT 'residuals' AS chart, CAST(doc_id AS VARCHAR) AS name, label AS x, label - prediction AS y FROM t
+    UNION ALL SELECT 'ideal_line', NULL, least(min(label), min(prediction)), greatest(max(label), max(prediction)) FROM t
+    UNION ALL SELECT 'importances', feature, importance, NULL FROM imp"""
+_L_TEXT = {"l_returnflag": ["A", "N", "R"], "l_linestatus": ["F", "O"]}    # fixed values: the domains of these columns
+_L_DESIGN = _design_sql([f"({c} - m_{c}) / d_{c}" for c in ("l_quantity", "l_discount", "l_tax")], _L_TEXT)
+_L_HASH = f"('0x' || substr(md5(CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) || ':{SEED}'), 1, 8))::BIGINT < 0.2 * 4294967296"
+_L_STATS = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS d_{c}" for c in ("l_quantity", "l_discount", "l_tax"))
+ORACLE_SQL["lines_linear"] = f"""WITH RECURSIVE st AS (SELECT {_L_STATS} FROM lineitem),
+    l AS (SELECT l_extendedprice AS label, {_L_DESIGN} AS v, {_L_HASH} AS test FROM lineitem, st),
+    {_solved_sql("SELECT label, v FROM l WHERE NOT test")}
+    SELECT 'LR_Default' AS model, {_SUMMARY_SQL} FROM (SELECT label, list_dot_product(v, b) AS p FROM l, beta WHERE test)"""
+_SLOTS = [f"CASE WHEN lang = '{v}' THEN 1.0 ELSE 0.0 END" for v in LANGS] + [f"CASE WHEN source = '{v}' THEN 1.0 ELSE 0.0 END" for v in sorted(SOURCES)]
+ORACLE_SQL["assemble"] = f"""WITH {_SCALED_SQL},
+    v AS (SELECT doc_id, [round((n_words - (SELECT m FROM s)) / (SELECT sd FROM s), 9), {", ".join(_SLOTS)}]::DOUBLE[] AS slots FROM f)
+    SELECT doc_id, CAST(i - 1 AS INTEGER) AS slot, slots[i] AS value FROM v, (SELECT unnest(range(1, {len(_SLOTS) + 2})) AS i)"""
+ORACLE_SQL["params_roundtrip"] = f"""WITH {FRAME_A_SQL}, p AS (SELECT source, count(*) AS n, max(label) AS top FROM a GROUP BY source)
+    SELECT 1.0::DOUBLE / (1.0::DOUBLE + n) AS learning_rate, CASE WHEN n % 2 = 0 THEN CAST(top % 7 AS INTEGER) END AS max_depth, CAST(n AS INTEGER) AS n_estimators,
+           CASE WHEN n % 2 = 1 THEN CAST(top % 31 AS INTEGER) END AS num_leaves, NULL::INTEGER AS min_samples_leaf, NULL::INTEGER AS min_child_samples FROM p"""
+_FOLDS_SQL = f"""{FILLED_SQL},
+    sc AS (SELECT CAST(c AS INTEGER) AS candidate, format('{{{{"rate": {{:.1f}}}}}}', 5.0 + c) AS params, {_hash_sql(FOLD_SEED)} % 5 AS fold, avg(abs(label - (5.0 + c) * n_words)) AS mae
+           FROM f, (SELECT unnest(range(0, 5)) AS c) WHERE {SPLIT_SQL} = 'train' GROUP BY ALL),
+    me AS (SELECT candidate, params, avg(mae) AS cv_mae FROM sc GROUP BY candidate, params)"""
+ORACLE_SQL["fold_means"] = f"WITH {_FOLDS_SQL} SELECT candidate, params, round(cv_mae, 6) AS cv_mae FROM me"
+ORACLE_SQL["fold_best"] = f"WITH {_FOLDS_SQL} SELECT candidate, params, round(cv_mae, 6) AS cv_mae FROM me ORDER BY me.cv_mae, candidate LIMIT 1"
+
+
+# ---- boosted stumps over all features of frame A, for several models (k: rate, rows that they see)
+def _stumps_sql(models: str, seen: str) -> str:
+    """``p2``: for each model k and row the predictions after one and after two rounds. A feature's
+    place in the order of names settles ties, then the lower value."""
+    out = f"""{_SCALED_SQL}, models AS ({models}),
+    names AS (SELECT feature, row_number() OVER (ORDER BY o, feature) AS place FROM (
+        SELECT DISTINCT 'lang_' || lang AS feature, 1 AS o FROM f UNION SELECT DISTINCT 'source_' || source, 2 FROM f)),
+    x AS (SELECT doc_id, 0 AS place, (n_words - (SELECT m FROM s)) / (SELECT sd FROM s) AS v FROM f
+          UNION ALL SELECT doc_id, place, CASE WHEN feature IN ('lang_' || lang, 'source_' || source) THEN 1.0 ELSE 0.0 END FROM f, names),
+    base AS (SELECT k, rate, doc_id, label, {seen} AS seen FROM f, models),
+    p0 AS (SELECT k, rate, doc_id, label, seen, avg(label) FILTER (seen) OVER (PARTITION BY k) AS p FROM base)"""
+    for r in (1, 2):
+        out += f""",
+    h{r} AS (SELECT k, place, v, sum(label - p) AS g, CAST(count(*) AS DOUBLE) AS n FROM p{r - 1} JOIN x USING (doc_id) WHERE seen GROUP BY k, place, v),
+    c{r} AS (SELECT k, place, v, sum(g) OVER w AS gl, sum(n) OVER w AS nl, sum(g) OVER (PARTITION BY k, place) AS gt, sum(n) OVER (PARTITION BY k, place) AS nt
+             FROM h{r} WINDOW w AS (PARTITION BY k, place ORDER BY v)),
+    b{r} AS (SELECT k, place, v AS cut, gl / nl AS lo, (gt - gl) / (nt - nl) AS hi FROM c{r} WHERE nl < nt
+             QUALIFY row_number() OVER (PARTITION BY k ORDER BY round(gl * gl / nl + (gt - gl) * (gt - gl) / (nt - nl) - gt * gt / nt, 3) DESC, place, v) = 1),
+    p{r} AS (SELECT p{r - 1}.* EXCLUDE (p), p + rate * CASE WHEN v <= cut THEN lo ELSE hi END AS p{"" if r == 2 else ", p + rate * CASE WHEN v <= cut THEN lo ELSE hi END AS once"}
+             FROM p{r - 1} JOIN b{r} USING (k) JOIN x USING (doc_id, place))"""
+    return out
+
+
+_STUMPS = _stumps_sql("SELECT 0 AS k, 0.1 AS rate", f"{SPLIT_SQL} = 'train'")
+ORACLE_SQL["boosted_stumps"] = f"WITH {_STUMPS} SELECT doc_id, label, round(p, 5) AS prediction FROM p2 WHERE NOT seen"
+ORACLE_SQL["run_log"] = f"""SELECT model, mae, r2, NULL::VARCHAR AS params, NULL::DOUBLE AS cv_mae, true AS timed FROM ({ORACLE_SQL["linear_fit"]})
+    UNION ALL SELECT 'GBR_Stumps', mae, r2, '{json.dumps(STUMPS, sort_keys=True)}', NULL, true FROM (WITH {_STUMPS} SELECT {_SUMMARY_SQL} FROM p2 WHERE NOT seen)"""
+_GRID_STUMPS = _stumps_sql(f"SELECT c * 5 + fold AS k, c, fold, CASE c WHEN 0 THEN 0.1 ELSE 0.5 END AS rate FROM (SELECT unnest([0, 1]) AS c), (SELECT unnest(range(0, 5)) AS fold)",
+                           f"{SPLIT_SQL} = 'train' AND {_hash_sql(FOLD_SEED)} % 5 <> k % 5")
+ORACLE_SQL["search_stumps"] = f"""WITH {_GRID_STUMPS}
+    SELECT CAST(2 * (k // 5) + rounds - 1 AS INTEGER) AS candidate, format('{{{{"learning_rate": {{}}, "max_depth": 1, "n_estimators": {{}}}}}}', CASE WHEN k < 5 THEN '0.1' ELSE '0.5' END, rounds) AS params,
+           CAST(k % 5 AS INTEGER) AS fold, round(avg(abs(label - CASE rounds WHEN 1 THEN once ELSE p END)), 5) AS mae
+    FROM p2, (SELECT unnest([1, 2]) AS rounds) WHERE {SPLIT_SQL} = 'train' AND NOT seen GROUP BY k, rounds"""
+
+
+def _level_sql(k: int) -> str:
+    """One level of a tree on ``p_size``: the best split of each node of ``n{k}`` (node, v, g, n), and the nodes below."""
+    return f"""c{k} AS (SELECT *, sum(g) OVER w AS gl, sum(n) OVER w AS nl, sum(g) OVER (PARTITION BY node) AS gt, sum(n) OVER (PARTITION BY node) AS nt FROM n{k} WINDOW w AS (PARTITION BY node ORDER BY v)),
+    b{k} AS (SELECT node, v AS cut FROM c{k} WHERE nl < nt AND gl * gl / nl + (gt - gl) * (gt - gl) / (nt - nl) > gt * gt / nt
+             QUALIFY row_number() OVER (PARTITION BY node ORDER BY gl * gl / nl + (gt - gl) * (gt - gl) / (nt - nl) DESC, v) = 1),
+    n{k + 1} AS (SELECT 2 * node + CASE WHEN v <= cut THEN 0 ELSE 1 END AS node, v, g, n FROM n{k} LEFT JOIN b{k} USING (node))"""
+
+
+ORACLE_SQL["forest_tree"] = f"""WITH n0 AS (SELECT 1 AS node, p_size AS v, sum(p_retailprice - 1000) AS g, CAST(count(*) AS DOUBLE) AS n FROM part GROUP BY p_size),
+    {_level_sql(0)}, {_level_sql(1)}
+    SELECT v AS p_size, round(1000 + sum(g) OVER (PARTITION BY node) / sum(n) OVER (PARTITION BY node), 6) AS prediction FROM n2"""
 ORACLE_SQL["best_and_worst"] = f"""SELECT *, 'best' AS kind FROM ({ORACLE_SQL["best_k"]})
     UNION ALL SELECT *, 'worst' AS kind FROM ({ORACLE_SQL["worst_k"]})"""
 

@@ -48,11 +48,12 @@ def frame_b(spark: SparkSession, sf_dir: str) -> DataFrame:
 L_FEATURES = ["l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
 
 
-def frame_l(spark: SparkSession, sf_dir: str) -> DataFrame:
+def frame_l(spark: SparkSession, sf_dir: str, by_line: bool = False) -> DataFrame:
     """Line items, volume only. ``(l_orderkey, l_linenumber)`` is not unique, so the row key hashes
-    every column: exact copies share a key and therefore always land in the same split."""
+    every column: exact copies share a key and therefore always land in the same split. ``by_line``
+    takes order and line number as the key, which SQL can repeat."""
     li = table(spark, sf_dir, "lineitem")
-    key = F.xxhash64(*[F.col(c) for c in li.columns])
+    key = F.concat_ws("-", "l_orderkey", "l_linenumber") if by_line else F.xxhash64(*[F.col(c) for c in li.columns])
     return li.select(
         key.alias("row_key"),
         F.col("l_extendedprice").alias("label"),

@@ -12,6 +12,7 @@ import warnings
 from py4j.protocol import Py4JError
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import SourceNotFound
@@ -48,6 +49,20 @@ def write_params(spark: SparkSession, params: dict, path: str) -> bool:
         return False
 
 
+def write_params_rows(rows: DataFrame, path: str) -> None:
+    """Parameter sets, one a row, as JSON; a name that ``rows`` lacks is NULL."""
+    if unknown := set(rows.columns) - set(PARAM_KEYS):
+        raise ValueError(f"unknown parameter names: {sorted(unknown)}")
+    kinds = {f.name: f.dataType for f in PARAMS_SCHEMA.fields}
+    columns = [F.col(k) if k in rows.columns else F.lit(None).alias(k) for k in PARAM_KEYS]
+    rows.select(*[c.cast(kinds[k]).alias(k) for k, c in zip(PARAM_KEYS, columns, strict=True)]).write.mode("overwrite").json(path)
+
+
+def read_params_rows(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_params_rows`` wrote: a parameter set a row."""
+    return spark.read.schema(PARAMS_SCHEMA).json(path)
+
+
 def read_params_frame(spark: SparkSession, path: str) -> DataFrame:
     try:
         return spark.read.schema(PARAMS_SCHEMA).option("multiLine", True).json(path)
