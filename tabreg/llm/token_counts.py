@@ -32,6 +32,8 @@ from .common import chunks, id_and_bytes, record_batch, scratch_path, table, wri
 #: <|endoftext|> of word_bpe_49k.json; its string inside a text is ordinary text.
 END_OF_DOCUMENT = 49407
 BLOCK_TOKENS = 1 << 20
+#: Blocks that a task scans.
+BLOCKS_A_TASK = 8
 #: Blocks in a group of the two-level prefix scan.
 GROUP = 1024
 
@@ -86,7 +88,10 @@ def _scan_blocks(files: DataFrame, end: int, block_tokens: int, width: int) -> D
                 ends = np.flatnonzero(ids == end) + block * block_tokens
                 yield record_batch(_SCANNED, [name], [block], [len(ends)], [int(ends[-1]) if len(ends) else None], [ends])
 
-    return blocks.repartition("file", "block").mapInArrow(run, "file string, block long, n long, last long, ends array<long>")
+    # a set number of tasks: by the few bytes of their names adaptive execution would put all blocks in one
+    found = files.where("bytes > 0").agg(F.sum(F.expr(f"(bytes - 1) div {step} + 1"))).first()[0] or 0
+    tasks = max(1, -(-int(found) // BLOCKS_A_TASK))
+    return blocks.repartition(tasks, "file", "block").mapInArrow(run, "file string, block long, n long, last long, ends array<long>")
 
 
 def _stitched(scan: DataFrame) -> DataFrame:
