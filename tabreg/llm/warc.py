@@ -186,7 +186,8 @@ def read_runs(files: DataFrame) -> DataFrame:
                     part = rows[a: a + 10_000]
                     yield record_batch(_CAPTURES, *map(list, zip(*part, strict=True)), list(range(a, a + len(part))))
 
-    return files.select("file").repartition("file").mapInArrow(run, _CAPTURES_DDL)
+    # a set number of tasks: by the few bytes of their names adaptive execution would put all files in one
+    return files.select("file").repartition(max(1, files.count()), "file").mapInArrow(run, _CAPTURES_DDL)
 
 
 def loser_tree(runs: list[list]) -> Iterator[int]:
@@ -224,18 +225,22 @@ def loser_tree(runs: list[list]) -> Iterator[int]:
         top = play(top) if k > 1 else top
 
 
+#: Captures of a key range, which a task holds to merge their runs; there are as many ranges as this asks for.
+RANGE_ROWS = 200_000
+
+
 def merge_runs(runs: DataFrame, partitions: int | None = None) -> DataFrame:
     """All captures in order of URL key, time and page; ``position`` counts from 0."""
     spark = runs.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = runs.repartitionByRange(n, "url_key", "captured", F.col("page_id").asc_nulls_first(), "file", "offset")
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // RANGE_ROWS))
+    dealt = runs.repartitionByRange(n, "url_key", "captured", F.col("page_id").asc_nulls_first(), "file", "offset").sortWithinPartitions("file", "seq")
     out = pa.schema([*_CAPTURES, ("part", pa.int32()), ("place", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = list(batches)
         if not got:
             return
-        rows = pa.Table.from_batches(got).sort_by([("file", "ascending"), ("seq", "ascending")])
+        rows = pa.Table.from_batches(got)      # slices of runs, one after the other
         keys = list(map(_key, zip(*(c.to_pylist() for c in rows.columns), strict=True)))
         files = rows.column("file").to_pylist()
         starts = [i for i, f in enumerate(files) if not i or f != files[i - 1]]
