@@ -6,7 +6,7 @@ and bands and rows are chosen so that a pair at the threshold meets with probabi
 Classes joined by shared bands are verified together, in units of at most about ``UNIT_ROWS``
 classes: larger sets are dealt into pairs of tiles. Where that would repeat the texts more often
 (long chains), joined classes are verified band by band instead, a pair in the first band where it
-meets, with tiles in the same way. Units recompute the full sets from the texts and return a row per
+meets, with tiles in the same way. Both ways link the same pairs: those at the threshold that share a band. Units recompute the full sets from the texts and return a row per
 class (links, and the first class it is joined with), never pairs. Classes go by a written number
 (``key``) and rows by id and text hash (``mark``), since an id may stand on several texts; ids are only
 reported.
@@ -34,9 +34,11 @@ from .components import connected_components, pair_roots, tile_count, tiles
 
 WORDS = 5
 THRESHOLD = 0.8
-RECALL = 0.9995
+RECALL = 0.9999
 MAX_ROWS = 128
 UNIT_ROWS = 512
+#: How often texts may be repeated in units by component, times that in units by band.
+TOGETHER = 1.0
 SEED = 17
 BLOCK = 4096
 
@@ -139,10 +141,10 @@ def _verified(units: DataFrame, words: int, threshold: float) -> DataFrame:
         both = sizes[:, None] + sizes[None, :]
         shared = shared_grams(sets)
         i, j = np.nonzero(np.triu(shared >= threshold * (both - shared) - 1e-9, 1))
-        t, keep = rows[0]["t"], np.ones(len(i), dtype=bool)
-        if t >= 0:
-            bands = np.array([r["bands"] for r in rows])
-            keep = (bands[i, t] == bands[j, t]) & ~(bands[i, :t] == bands[j, :t]).any(axis=1)
+        # a pair is linked if it meets in a band, whichever way the unit came about; by bands, in its first one
+        t, bands = rows[0]["t"], np.array([r["bands"] for r in rows])
+        meet = bands[i] == bands[j]
+        keep = meet.any(axis=1) if t < 0 else meet[:, t] & ~meet[:, :t].any(axis=1)
         if rows[0]["low"] != rows[0]["high"]:
             own = np.array([r["own"] for r in rows])
             keep &= own[i] != own[j]
@@ -181,7 +183,7 @@ def _units(classes: DataFrame) -> DataFrame:
     # how often the texts would be repeated: by component, or by band
     rows = members.join(sized, "key").groupBy("component").agg(F.sum(tile_count(F.col("size"), UNIT_ROWS)).alias("by_band"))
     by_component = F.col("joined") * tile_count(F.col("joined"), UNIT_ROWS)
-    chosen = written(sizes.join(rows, "component").select("component", (by_component <= F.col("by_band")).alias("together")), "unit-choice")
+    chosen = written(sizes.join(rows, "component").select("component", (by_component <= F.col("by_band") * TOGETHER).alias("together")), "unit-choice")
     dealt = written(sized.join(chosen, "component"), "dealt-classes")
     together = dealt.where("together").select("key", F.lit(-1).alias("t"), F.col("component").alias("bucket"), F.explode(tiles(F.col("joined"), F.xxhash64("key"), UNIT_ROWS)).alias("u"))
     by_band = members.join(dealt.where("NOT together").select("key"), "key").select("key", "t", "bucket", F.explode(tiles(F.col("size"), F.xxhash64("key"), UNIT_ROWS)).alias("u"))
