@@ -80,7 +80,8 @@ def vectors(texts: list[bytes | None], idf: np.ndarray) -> np.ndarray:
 
 
 def _learnable(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("binary").alias("__text"), F.col(lang_col).cast("string").alias("__lang"))
+    q = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    rows = docs.select(q(id_col).cast("long").alias("__id"), q(text_col).cast("string").cast("binary").alias("__text"), q(lang_col).cast("string").alias("__lang"))
     return rows.where(~held_out("__id") & F.col("__lang").isNotNull() & F.col("__text").isNotNull())
 
 
