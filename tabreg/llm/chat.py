@@ -12,8 +12,8 @@ conversation.
 each, are under the mask; marks never are.
 
 Defined results: a null role or text is empty; null turns come first; equal turns are ordered by
-role, then text; repeated rows stay repeated turns; rows without a conversation id form one
-conversation with a null id; an empty table gives no rows; other columns are not read. A
+role, then text; repeated rows stay repeated turns; a row without a conversation id is a conversation
+of its own with a null id, so that however many there are, no group of them forms; an empty table gives no rows; other columns are not read. A
 conversation becomes one string, so it must fit in one row (2 GB), as the format demands.
 """
 
@@ -48,10 +48,11 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
     """``conv_id, formatted, segments``."""
     q = lambda c: F.col("`" + c.replace("`", "``") + "`")
     empty = F.lit("")
-    rows = turns.select(q(conv_col).cast("long").alias("conv_id"), F.struct(
+    own = F.when(q(conv_col).cast("long").isNull(), F.monotonically_increasing_id())
+    rows = turns.select(q(conv_col).cast("long").alias("conv_id"), own.alias("own"), F.struct(
         q(turn_col).cast("long").alias("turn"), F.coalesce(q(role_col).cast("string"), empty).alias("role"),
         F.coalesce(q(text_col).cast("string"), empty).alias("text")).alias("t"))
-    sorted_turns = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    sorted_turns = rows.groupBy("conv_id", "own").agg(F.array_sort(F.collect_list("t")).alias("turns"))
 
     def pieces(t: Column, i: Column) -> Column:
         before = F.get(F.col("turns"), i - 1)
@@ -97,17 +98,17 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op2_chat_formatting": op2_chat_formatting}
 ORACLE_SQL = {"op2_chat_formatting": r"""
-    WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-               UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+    WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS own FROM conversations
+               UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]', NULL), (-7, 1, 'assistant', '</s>[INST] ok [/INST]', NULL)),
     e AS (SELECT *, """ + "{esc_role} AS esc_role, {esc_text} AS esc_text".format(**{
         f"esc_{c}": "".join("replace(" for _ in range(len(CONTROL) + 1)) + c + f", chr(27), chr(27) || '0')"
         + "".join(f", '{s}', '{s[0]}' || chr(27) || '1{s[1:]}')" for s in CONTROL) for c in ("role", "text")}) + r""",
         coalesce(lag(role) OVER w <> role, true) AS opens, coalesce(lead(role) OVER w <> role, true) AS closes
-        FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+        FROM r WINDOW w AS (PARTITION BY conv_id, own ORDER BY turn NULLS FIRST, role, text)),
     c AS (SELECT conv_id, count(*) AS n_turns,
         string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS lines,
         coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
         sum(CASE WHEN opens THEN 17 + length(esc_role) ELSE 8 END + length(esc_text) + CASE WHEN closes THEN 8 ELSE 0 END) AS n
-        FROM e GROUP BY conv_id)
+        FROM e GROUP BY conv_id, own)
     SELECT conv_id, n_turns, sha256(lines) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
            CAST(n AS BIGINT) AS formatted_chars FROM c"""}

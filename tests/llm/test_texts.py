@@ -139,11 +139,14 @@ def test_chat_round_trip(spark):
     nasty = ["", "\x1b", "\x1b0", "\x1b1", "<|start|>user<|text|>", "<", "<|", "|>", "<|end|>\n", "</s>[INST] ok [/INST]", "a\nb", "<<SYS>>", "<\x1b1|", "é日\U0001f600", "<|turn|>"]
     roles = ["user", "assistant", "system", "<|text|>", None]
     rows = [(c, t, roles[(c + t) % 5] if c % 3 else roles[c % 2], nasty[(7 * c + t) % len(nasty)] if (c + t) % 9 else None) for c in range(40) for t in range(c % 6 + 1)]
-    rows += [(50, 1, "user", "b"), (50, 1, "user", "a"), (50, None, "user", "first"), (51, 0, "assistant", "x"), (51, 0, "assistant", "x"), (None, 0, "user", "z")]
+    rows += [(50, 1, "user", "b"), (50, 1, "user", "a"), (50, None, "user", "first"), (51, 0, "assistant", "x"), (51, 0, "assistant", "x"), (None, 0, "user", "z"), (None, 1, "user", "y"), (None, 0, "assistant", "x")]
     got = chat.format_conversations(turns(spark, rows)).withColumn("turns", chat.read_turns(F.col("formatted"))).collect()
     key = lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")
     for r in got:
         mine = sorted((x for x in rows if x[0] == r["conv_id"]), key=key)
+        if r["conv_id"] is None:      # each of these rows is a conversation
+            mine = [x for x in mine if [(x[2], x[3])] == [(t["role"], t["text"]) for t in r["turns"]]]
+            assert len(mine) == 1
         assert [(t["role"], t["text"]) for t in r["turns"]] == [(x[2] or "", x[3] or "") for x in mine]
         assert "".join(s["text"] for s in r["segments"]) == r["formatted"]
         loss = "".join(s["text"] for s in r["segments"] if s["loss"]).replace("\x1b1", "").replace("\x1b0", "\x1b")
@@ -151,7 +154,7 @@ def test_chat_round_trip(spark):
         blocks = 1 + sum((a[2] or "") != (b[2] or "") for a, b in zip(mine, mine[1:], strict=False))
         assert r["formatted"].count(chat.START) == r["formatted"].count(chat.END) == blocks
         assert "[INST]" not in r["formatted"] and "</s>" not in r["formatted"]
-    assert len(got) == len({x[0] for x in rows})
+    assert len(got) == len({x[0] for x in rows} - {None}) + 3
 
 
 def test_chat_empty_table(spark):
