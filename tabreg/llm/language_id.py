@@ -64,7 +64,7 @@ def counts(texts: list[bytes | None]) -> np.ndarray:
     out = np.zeros((len(texts), DIMENSIONS), dtype=np.float32)
     for i, text in enumerate(texts):
         data = b" " + b" ".join(text.translate(_LETTERS).split()) + b" " if text else b""
-        for a in range(0, max(len(data) - 2, 0), SLICE_BYTES):
+        for a in range(0, max(len(data) - 1, 0), SLICE_BYTES):
             two, three = _bins(data[a: a + SLICE_BYTES + 2])
             both = np.concatenate((two[: SLICE_BYTES], three))
             out[i] += np.bincount(both, minlength=DIMENSIONS)
