@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from tabreg.session import shared_dir
+from tabreg.session import delete_dir, shared_dir
 
 #: Bytes of text that one step inside a task handles at a time.
 BATCH_BYTES = 4 << 20
@@ -34,7 +36,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[id(out)] = (weakref.ref(out, lambda _, key=id(out): _WRITTEN.pop(key, None)), path)
+    return out
+
+
+#: Where the frames that ``written`` returned are stored.
+_WRITTEN: dict[int, tuple] = {}
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the tables of frames from ``written`` that no later step reads, and let Spark drop the
+    shuffle files of the steps before: its cleaner does so when the driver's JVM collects garbage."""
+    for df in frames:
+        delete_dir(df.sparkSession, _WRITTEN.pop(id(df))[1])
+    gc.collect()
+    frames[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def free_name(df: DataFrame, name: str) -> str:

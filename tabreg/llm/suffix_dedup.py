@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, id_and_bytes, mix, record_batch, table, written
+from .common import chunks, discard, id_and_bytes, mix, record_batch, table, written
 
 WINDOW = 50
 GRAM = 16
@@ -166,8 +166,13 @@ def _decided(rows: DataFrame, key: str, smaller: bool) -> DataFrame:
     members = _members(rows, key)
     buckets = members.groupBy("id").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("largest")).where("least < largest")
     buckets = written(buckets.select("id", "least"), "buckets")
-    kept = members.join(buckets, "id").where("least < doc_id") if smaller else members.join(buckets, "id", "left_semi")
-    return written(kept.groupBy(key).agg(F.array_sort(F.collect_list("place")).alias("decided")), "decided")
+    # a bucket is one row, so its side of the join has no hot key and fits a hash table by partition
+    known = buckets.hint("shuffle_hash")
+    kept = members.join(known, "id").where("least < doc_id") if smaller else members.join(known, "id", "left_semi")
+    out = written(kept.groupBy(key).agg(F.array_sort(F.collect_list("place")).alias("decided")), "decided")
+    del members, known, kept
+    discard(buckets)
+    return out
 
 
 def _stretches(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -342,20 +347,28 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     info = written(_first_level(texts), "suffix-info")
     classes = info.where("doc_id IS NOT NULL").groupBy("key").agg(F.min(F.struct("doc_id", "rid")).alias("least"))
     classes = written(classes.select("key", F.col("least.doc_id").alias("rep"), F.col("least.rid").alias("rid")), "suffix-classes")
-    left = _decided(info, "rid", smaller=False).join(classes, "rid")
+    rows = written(info.select("doc_id", "key", "n_bytes", "sha"), "suffix-rows")
+    decided = _decided(info, "rid", smaller=False)
+    discard(info)
+    left = decided.join(classes, "rid")
     # one row of each text goes on: equal texts meet at the same key, and only the smallest id passes
     wanted = texts.join(left, "key").where(F.col("__id") == F.col("rep"))
     pieces = written(_run_level(wanted), "suffix-pieces")
+    del left, wanted
+    discard(decided)
     runs = _decided(pieces, "piece", smaller=True)
     halves = written(_half_level(pieces.join(runs, "piece", "left").select("rid", "doc_id", "base", "bytes", "places", "ends", "decided")), "suffix-halves")
+    discard(pieces, runs)
     open_pieces = halves.where("length(bytes) > 0")
-    windows = written(_window_level(open_pieces.join(_decided(open_pieces, "piece", smaller=False), "piece")), "suffix-windows")
+    decided = _decided(open_pieces, "piece", smaller=False)
+    windows = written(_window_level(open_pieces.join(decided, "piece")), "suffix-windows")
+    discard(decided)
     last = _decided(windows, "piece", smaller=True).join(windows.select("piece", "rid_base.*"), "piece")
     begins = F.transform("decided", lambda p: p + F.col("base"))
     last = last.select("rid", begins.alias("begins"), F.transform("decided", lambda p: p + F.col("base") + WINDOW).alias("ends"))
     runs = halves.where("size(begins) > 0").select("rid", *[F.transform(c, lambda p: p + F.col("base")).alias(c) for c in ("begins", "ends")])
     ranges = last.unionByName(runs).groupBy("rid").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("begins", "ends")])
-    return info.select("doc_id", "key", "n_bytes", "sha"), written(ranges.join(classes, "rid").select("key", "rep", "begins", "ends"), "suffix-ranges")
+    return rows, written(ranges.join(classes, "rid").select("key", "rep", "begins", "ends"), "suffix-ranges")
 
 
 def kept_ranges(n: int, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
