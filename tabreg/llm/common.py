@@ -30,12 +30,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), "llm", f"{name}-{uuid.uuid4().hex[:16]}")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, plain: bool = False) -> DataFrame:
     """``df`` written as a Parquet table in the shared folder and read again: the lineage ends
-    there, so a lost executor costs no recomputation of what came before."""
+    there, so a lost executor costs no recomputation of what came before. ``plain``: the columns
+    are mostly hashes, on which dictionaries and strong compression are lost effort."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    out = df.write.option("parquet.enable.dictionary", "false") if plain else df.write
+    out.option("compression", "snappy" if plain else "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _WRITTEN[id(out)] = (weakref.ref(out, lambda _, key=id(out): _WRITTEN.pop(key, None)), path)
     return out
@@ -46,12 +48,16 @@ _WRITTEN: dict[int, tuple] = {}
 
 
 def discard(*frames: DataFrame) -> None:
-    """Delete the tables of frames from ``written`` that no later step reads, and let Spark drop the
-    shuffle files of the steps before: its cleaner does so when the driver's JVM collects garbage."""
+    """Delete the tables of frames from ``written`` that no later step reads, and ``tidy``: let Spark drop
+    the shuffle files of the steps before; its cleaner does so when the driver's JVM collects garbage."""
     for df in frames:
         delete_dir(df.sparkSession, _WRITTEN.pop(id(df))[1])
+    tidy(frames[0].sparkSession)
+
+
+def tidy(spark: SparkSession) -> None:
     gc.collect()
-    frames[0].sparkSession.sparkContext._jvm.System.gc()
+    spark.sparkContext._jvm.System.gc()
 
 
 def free_name(df: DataFrame, name: str) -> str:

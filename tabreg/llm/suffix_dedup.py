@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, discard, id_and_bytes, mix, record_batch, table, written
+from .common import chunks, discard, id_and_bytes, mix, record_batch, table, tidy, written
 
 WINDOW = 50
 GRAM = 16
@@ -155,19 +155,15 @@ def _first_level(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "rid long, doc_id long, key binary, n_bytes long, sha string, ids array<long>, places array<int>")
 
 
-def _members(rows: DataFrame, key: str) -> DataFrame:
-    return rows.select(key, "doc_id", F.explode(F.arrays_zip("ids", "places")).alias("a")).select(
-        key, "doc_id", F.col("a.ids").alias("id"), F.col("a.places").alias("place"))
-
-
 def _decided(rows: DataFrame, key: str, smaller: bool) -> DataFrame:
     """``key, places``: the members of buckets of several documents; ``smaller``: only those with a
     smaller document in their bucket."""
-    members = _members(rows, key)
-    buckets = members.groupBy("id").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("largest")).where("least < largest")
-    buckets = written(buckets.select("id", "least"), "buckets")
+    buckets = rows.select("doc_id", F.explode("ids").alias("id")).groupBy("id").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("largest")).where("least < largest")
+    buckets = written(buckets.select("id", "least"), "buckets", plain=True)
+    tidy(rows.sparkSession)
     # a bucket is one row, so its side of the join has no hot key and fits a hash table by partition
     known = buckets.hint("shuffle_hash")
+    members = rows.select(key, "doc_id", "places", F.posexplode("ids").alias("at", "id")).select(key, "doc_id", "id", F.get("places", F.col("at")).alias("place"))
     kept = members.join(known, "id").where("least < doc_id") if smaller else members.join(known, "id", "left_semi")
     out = written(kept.groupBy(key).agg(F.array_sort(F.collect_list("place")).alias("decided")), "decided")
     del members, known, kept
@@ -344,7 +340,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """All rows (``doc_id, key, n_bytes, sha``: of the whole text), and for each text with bytes to
     remove ``key, rep, begins, ends``: ranges, which may overlap."""
     texts = id_and_bytes(docs, id_col, text_col).withColumn("key", F.unhex(F.md5(F.coalesce("__text", F.lit("").cast("binary")))))
-    info = written(_first_level(texts), "suffix-info")
+    info = written(_first_level(texts), "suffix-info", plain=True)
     classes = info.where("doc_id IS NOT NULL").groupBy("key").agg(F.min(F.struct("doc_id", "rid")).alias("least"))
     classes = written(classes.select("key", F.col("least.doc_id").alias("rep"), F.col("least.rid").alias("rid")), "suffix-classes")
     rows = written(info.select("doc_id", "key", "n_bytes", "sha"), "suffix-rows")
@@ -361,7 +357,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     discard(pieces, runs)
     open_pieces = halves.where("length(bytes) > 0")
     decided = _decided(open_pieces, "piece", smaller=False)
-    windows = written(_window_level(open_pieces.join(decided, "piece")), "suffix-windows")
+    windows = written(_window_level(open_pieces.join(decided, "piece")), "suffix-windows", plain=True)
     discard(decided)
     last = _decided(windows, "piece", smaller=True).join(windows.select("piece", "rid_base.*"), "piece")
     begins = F.transform("decided", lambda p: p + F.col("base"))
