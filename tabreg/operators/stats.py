@@ -221,43 +221,39 @@ def fit_scale(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float
     return {c: (row[f"m{i}"], row[f"s{i}"]) for i, c in enumerate(columns)}
 
 
+#: Categories of all text columns that may come to the driver, where they become feature names.
+CATEGORY_ROWS = 1_000_000
+
+
 def profile(df: DataFrame, numeric: list[str], text: list[str], max_categories: int | None = None):
-    """One job for everything the preparation fits besides the median refinement.
+    """What the preparation fits besides the median refinement, in two jobs.
 
-    Rows are unpivoted to (column, text value, number) and grouped by (column, text value): a
-    numeric column forms one group (its text value is NULL) carrying count, min, max, mean and
-    the population variance of its non-null values; a text column forms one group per distinct
-    value carrying its count. Partial aggregation runs map-side, so the shuffle and the collected
-    result hold one row per numeric column and per category; with ``max_categories`` one row beyond
-    ``numeric + text x max_categories`` raises instead of reaching the driver.
+    Numeric columns take one wide aggregate (count, min, max, mean and population variance of their
+    non-null values). Text columns alone are unpivoted to (column, value) and counted; partial
+    aggregation runs map-side, so the shuffle and the collected result hold one row per category. More
+    than ``text x max_categories`` of them (None: ``CATEGORY_ROWS`` in all) raise instead of reaching the driver.
 
     Returns (ranges, moments, value counts, rows): ranges[c] = (n, min, max), moments[c] =
     (n, mean, var_pop), counts[c] = [(value, n), ...], rows = row count (None without numerics).
     """
-    if not numeric and not text:
-        return {}, {}, {}, None
-    items = [F.struct(F.lit(c).alias("c"), F.lit(True).alias("num"), F.lit(None).cast("string").alias("t"),
-                      number(c).alias("x")) for c in numeric]
-    items += [F.struct(F.lit(c).alias("c"), F.lit(False).alias("num"), _q(c).cast("string").alias("t"),
-                       F.lit(None).cast("double").alias("x")) for c in text]
-    long = df.select(F.explode(F.array(*items)).alias("s")).select("s.*")
-    grouped = (long.where(F.col("num") | F.col("t").isNotNull())
-               .groupBy("c", "t")
-               .agg(F.count("*").alias("rows"), F.count("x").alias("n"), F.min("x").alias("lo"),
-                    F.max("x").alias("hi"), F.avg("x").alias("mean"), F.var_pop("x").alias("var")))
-    bound = None if max_categories is None else len(numeric) + len(text) * max_categories
-    got = (grouped if bound is None else grouped.limit(bound + 1)).collect()
-    if bound is not None and len(got) > bound:
-        raise TooManyCategories(f"more than {max_categories} categories per column on average in {text}")
     ranges, moments, counts, total = {}, {}, {c: [] for c in text}, None
-    num = set(numeric)
-    for r in got:
-        if r["c"] in num and r["t"] is None:
-            ranges[r["c"]] = (r["n"], r["lo"], r["hi"])
-            moments[r["c"]] = (r["n"], r["mean"], r["var"])
-            total = r["rows"]
-        elif r["t"] is not None:
-            counts[r["c"]].append((r["t"], r["rows"]))
+    if numeric:
+        aggs = [F.count("*").alias("rows")]
+        for i, c in enumerate(numeric):
+            x = number(c)
+            aggs += [f(x).alias(f"{name}{i}") for name, f in (("n", F.count), ("lo", F.min), ("hi", F.max), ("mean", F.avg), ("var", F.var_pop))]
+        row = df.agg(*aggs).first()
+        total = row["rows"]
+        for i, c in enumerate(numeric):
+            ranges[c] = (row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"])
+            moments[c] = (row[f"n{i}"], row[f"mean{i}"], row[f"var{i}"])
+    if text:
+        bound = CATEGORY_ROWS if max_categories is None else len(text) * max_categories
+        got = value_counts(df, text).limit(bound + 1).collect()
+        if len(got) > bound:
+            raise TooManyCategories(f"more than {bound} categories in {text}; drop columns that name rows, or set max_categories")
+        for r in got:
+            counts[r["column"]].append((r["value"], r["n"]))
     return ranges, moments, counts, total
 
 

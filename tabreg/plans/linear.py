@@ -88,8 +88,6 @@ def fit_linear(df: DataFrame, feature_names: list[str], label: str = "label") ->
         raise ValueError("no training rows")
     r = _factor(*(np.frombuffer(b).reshape(-1, d + 2) for _, b in found))
     r = np.concatenate([r, np.zeros((max(0, d + 2 - len(r)), d + 2))])
-    u, s, vt = np.linalg.svd(r[1: d + 1, 1: d + 1])
-    use = s > TOLERANCE * max(s.max(initial=0.0), 1e-300)
-    coefficients = vt[use].T @ ((u.T[use] @ r[1: d + 1, d + 1]) / s[use])
+    coefficients = np.linalg.lstsq(r[1: d + 1, 1: d + 1], r[1: d + 1, d + 1], rcond=TOLERANCE)[0] if d else np.zeros(0)
     means = r[0, 1:] / r[0, 0]
     return LinearModel(feature_names, coefficients, means[-1] - means[:-1] @ coefficients)

@@ -1,8 +1,8 @@
 """Best-parameter sink and source (S3, S4) as one-row JSON tables with a fixed schema.
 
-One schema covers all three models; a key a model does not use is NULL. The writer is a Spark
-write (atomic commit of the job's output), so a lost executor retries the task instead of leaving
-a half-written file.
+One schema covers all three models; a key a model does not use is NULL. A write adds a file to the folder,
+which Spark's commit makes visible as a whole, and then removes the older ones; readers take the newest. So
+a write that is killed at any time leaves parameters that are whole: the old ones, or the new.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import SourceNotFound
+from ..session import delete_dir
 
 PARAMS_SCHEMA = T.StructType([
     T.StructField("learning_rate", T.DoubleType()),
@@ -42,7 +43,10 @@ def write_params(spark: SparkSession, params: dict, path: str) -> bool:
     False), as in the reference."""
     row = params_frame(spark, params)
     try:
-        row.coalesce(1).write.mode("overwrite").json(path)
+        older = _files(spark, path)
+        row.coalesce(1).write.mode("append").json(path)
+        for file in older:
+            delete_dir(spark, file)
         return True
     except (Py4JError, PySparkException) as e:
         warnings.warn(f"parameters not saved to {path}: {e}")
@@ -58,6 +62,15 @@ def write_params_rows(rows: DataFrame, path: str) -> None:
     rows.select(*[c.cast(kinds[k]).alias(k) for k, c in zip(PARAM_KEYS, columns, strict=True)]).write.mode("overwrite").json(path)
 
 
+def _files(spark: SparkSession, path: str) -> list[str]:
+    """The parameter files in the folder, if there is one."""
+    try:
+        found = spark.read.text(path).select("_metadata.file_path").distinct().collect()
+    except AnalysisException:
+        return []
+    return [r[0] for r in found]
+
+
 def read_params_rows(spark: SparkSession, path: str) -> DataFrame:
     """What ``write_params_rows`` wrote: a parameter set a row."""
     return spark.read.schema(PARAMS_SCHEMA).json(path)
@@ -65,7 +78,9 @@ def read_params_rows(spark: SparkSession, path: str) -> DataFrame:
 
 def read_params_frame(spark: SparkSession, path: str) -> DataFrame:
     try:
-        return spark.read.schema(PARAMS_SCHEMA).option("multiLine", True).json(path)
+        rows = spark.read.schema(PARAMS_SCHEMA).option("multiLine", True).json(path)
+        age = [F.col("_metadata.file_modification_time").desc(), F.col("_metadata.file_name").desc()]
+        return rows.orderBy(*age).limit(1)
     except AnalysisException as e:
         raise SourceNotFound(f"parameter file not found: {path}; run the search for this model first") from e
 

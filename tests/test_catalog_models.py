@@ -1,6 +1,7 @@
-"""The registered model queries pass factory settings and the reference's grids to the runs."""
+"""The registered model queries, run as they are: factory settings, the reference's grid, all four models."""
 
 import json
+import math
 
 import pytest
 
@@ -13,48 +14,78 @@ SF001 = "/root/testdata/sf0.001"
 
 
 @pytest.fixture()
-def seen(monkeypatch):
-    """What the queries ask for: (model, settings) of each fit, and the grids. A linear fit stands in
-    for each model, and fold scores by candidate number for each search."""
-    fits, grids, fit_model = [], [], runs.fit_model
-
-    def fit(model, train, names, params=None, **kw):
-        fits.append((model, FACTORY[model] | (params or {})))
-        out = fit_model(LINEAR, train, names, label=kw.get("label", "label"))
-        out.params = fits[-1][1]
-        return out
+def fits(monkeypatch):
+    """(model, trees, leaves of the largest tree, depth of the deepest) of each real fit."""
+    seen, fit_model = [], runs.fit_model
 
-    def scores(model, train, names, grid, key, folds=5, **kw):
-        grids.append((model, grid, folds))
-        rows = [(c, json.dumps(p, sort_keys=True), f, float(c)) for c, p in enumerate(param_grid(grid)) for f in range(folds)]
-        return train.sparkSession.createDataFrame(rows, "candidate int, params string, fold int, mae double")
+    def fit(model, *args, **kw):
+        out = fit_model(model, *args, **kw)
+        trees = getattr(out.inner, "trees", [])
+        seen.append((model, len(trees), max((int((t.feature < 0).sum()) for t in trees), default=0), max((int(t.depth.max()) for t in trees), default=0)))
+        return out
 
     monkeypatch.setattr(runs, "fit_model", fit)
-    monkeypatch.setattr(runs, "cv_scores", scores)
-    return fits, grids
+    return seen
+
 
+def check(seen):
+    for model, trees, leaves, depth in seen:
+        if model == BOOSTED:
+            assert (trees, depth) == (FACTORY[model]["n_estimators"], FACTORY[model]["max_depth"])
+        if model == LEAFWISE:      # 160 rows, 20 a leaf: fewer leaves than the limit
+            assert trees == FACTORY[model]["n_estimators"] and 1 < leaves <= FACTORY[model]["num_leaves"]
+        if model == FOREST:        # grown until leaves are pure
+            assert trees == FACTORY[model]["n_estimators"] and leaves > 60 and depth > 7
 
-@pytest.mark.parametrize(("name", "models"), [
-    ("gbt_fit", [BOOSTED]), ("forest_fit", [FOREST]), ("leafwise_fit", [LEAFWISE]), ("importances", [BOOSTED]),
-    ("run_log", [LINEAR, FOREST]), ("inspect_run", [LEAFWISE]), ("default_run", MODELS), ("predict", MODELS)])
-def test_factory_settings(spark, seen, name, models):
+
+@pytest.mark.parametrize(("name", "models"), [("gbt_fit", [BOOSTED]), ("forest_fit", [FOREST]), ("leafwise_fit", [LEAFWISE]), ("importances", [BOOSTED]), ("inspect_run", [LEAFWISE])])
+def test_factory_settings(spark, fits, name, models):
     rows = E.queries()[name](spark, SF001).collect()
-    assert seen == ([(m, FACTORY[m]) for m in models], [])
-    if name == "default_run":
-        assert len(rows) == len(MODELS)
-    if name == "predict":
-        assert {r["model"] for r in rows} == set(MODELS) and len({(r["model"], r["doc_id"]) for r in rows}) == len(rows)
+    assert rows and [f[0] for f in fits] == models
+    check(fits)
+
+
+def test_default_run_and_predictions_agree(spark, fits):
+    log = {r["model"]: r for r in E.queries()["default_run"](spark, SF001).collect()}
+    rows = E.queries()["predict"](spark, SF001).toPandas()
+    assert [f[0] for f in fits] == MODELS * 2
+    check(fits)
+    for model, run in runs.DEFAULT_RUN_NAMES.items():
+        own = rows[rows.model == model]
+        assert len(own) == own.doc_id.nunique() > 20
+        assert log[run]["mae"] == pytest.approx((own.label - own.prediction).abs().mean(), rel=1e-9)
+        assert log[run]["r2"] < 1 and log[run]["total_seconds"] > 0
+
+
+def test_search_queries_tell_one_story(spark, fits):
+    q = E.queries()
+    scores = q["cv_scores"](spark, SF001).toPandas()
+    grid = param_grid(REFERENCE_GRIDS[BOOSTED])
+    assert len(scores) == 5 * len(grid) and [json.loads(p) for p in scores.sort_values(["candidate", "fold"]).params[::5]] == grid
+    means = scores.groupby("candidate").mae.mean()
+    best = q["cv_best"](spark, SF001).first()
+    assert best["candidate"] == means.idxmin() and math.isclose(best["cv_mae"], means.min(), rel_tol=1e-12)
+    log = q["search_run"](spark, SF001).first()
+    assert json.loads(log["params"]).items() >= json.loads(best["params"]).items() and math.isclose(log["cv_mae"], best["cv_mae"], rel_tol=1e-9)
+    tuned = q["tuned_run"](spark, SF001).first()
+    assert tuned["mae"] == pytest.approx(log["mae"], rel=1e-9)
+    assert q["inspect_search"](spark, SF001).count() == 10
+    assert {f[0] for f in fits} == {BOOSTED}
+
+
+@pytest.mark.parametrize("model", [LEAFWISE, FOREST])
+def test_other_reference_grids_end(spark, model):
+    """The leaf-wise and forest grids (18 candidates each) at their full sizes, on two folds."""
+    from tabreg.frames import frame_a
 
+    res = runs.search_run(frame_a(spark, SF001), model, "doc_id", REFERENCE_GRIDS[model], drop=["text"], folds=2)
+    assert res.scores.count() == 36 and res.cv_mae > 0
+    res.release()
 
-@pytest.mark.parametrize("name", ["search_run", "inspect_search"])
-def test_reference_grid(spark, seen, name):
-    E.queries()[name](spark, SF001).collect()
-    assert seen[1] == [(BOOSTED, REFERENCE_GRIDS[BOOSTED], 5)]
-    assert seen[0] == [(BOOSTED, param_grid(REFERENCE_GRIDS[BOOSTED])[0])]
 
+def test_linear_search_takes_the_same_way(spark):
+    from tabreg.frames import frame_a
 
-def test_each_search_query_searches(spark, seen):
-    names = ["cv_scores", "cv_best", "search_run", "params_roundtrip", "tuned_run"]
-    for name in names:
-        E.queries()[name](spark, SF001).collect()
-    assert seen[1] == [(BOOSTED, REFERENCE_GRIDS[BOOSTED], 5)] * len(names)
+    res = runs.search_run(frame_a(spark, SF001), LINEAR, "doc_id", {"unused": [0, 1]}, drop=["text"], folds=2)
+    assert res.scores.count() == 4
+    res.release()

@@ -1,17 +1,18 @@
 """Input as it comes: odd names, gaps of every kind, repeated keys, ordinary CSV."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
-from tabreg.errors import DuplicateKeys, RaggedRows, UnsupportedColumn
+from tabreg.errors import DuplicateKeys, RaggedRows, TooManyCategories, UnsupportedColumn
 from tabreg.operators import stats as S
 from tabreg.operators.columns import assemble
 from tabreg.operators.prepare import Preparer
 from tabreg.operators.split import k_fold, train_test_exact, train_test_split
 from tabreg.plans.runs import default_run, search_run
 from tabreg.sources.csv import read_csv
-from tabreg.sources.params import params_frame, write_params
+from tabreg.sources.params import params_frame, read_params, write_params
 
 
 def medians(spark, values):
@@ -111,9 +112,64 @@ def test_csv_line_breaks_in_quotes(spark, tmp_dir):
 
 def test_csv_strict(spark, tmp_dir):
     path = write(tmp_dir, "a,b\n1,2\n3,4,5\n6\n")
-    assert read_csv(spark, path).count() == 3
-    with pytest.raises(RaggedRows, match="2 rows"):
-        read_csv(spark, path, strict=True)
+    for multi_line in (False, True):
+        assert read_csv(spark, path, strict=False, multi_line=multi_line).count() == 3
+        with pytest.raises(RaggedRows, match="2 rows"):
+            read_csv(spark, path, multi_line=multi_line)
+
+
+@pytest.mark.parametrize("block", [64, 1 << 20])
+def test_quoted_csv_in_blocks_reads_like_the_whole(spark, tmp_dir, block):
+    rng = random.Random(1)
+    words = ["x", "two\nlines", 'he said ""hi""', "a,b", "", "\n\n", '""', "été", "long " * 30, "\r\nend"]
+    rows = [[str(i)] + [rng.choice(words) for _ in range(3)] for i in range(40)]
+    text = "id,b.c,d,e\n" + "".join(",".join(r[:1] + [f'"{v}"' for v in r[1:]]) + rng.choice(["\n", "\r\n"]) for r in rows)
+    path = write(tmp_dir, text)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in old:
+            spark.conf.set(k, str(block))
+        got = read_csv(spark, path, infer=False, multi_line=True, na_values=[]).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    expected = sorted(tuple(r[:1] + [v.replace('""', '"') for v in r[1:]]) for r in rows)
+    assert sorted(tuple(v or "" for v in r) for r in got) == expected
+
+
+def test_a_killed_write_leaves_the_old_parameters(spark, tmp_dir, monkeypatch):
+    path = f"{tmp_dir}/p"
+    assert write_params(spark, {"n_estimators": 5}, path)
+    monkeypatch.setattr("tabreg.sources.params.delete_dir", lambda *_: (_ for _ in ()).throw(KeyboardInterrupt))
+    with pytest.raises(KeyboardInterrupt):      # killed after the new file came to stand beside the old one
+        write_params(spark, {"n_estimators": 7}, path)
+    assert read_params(spark, path) == {"n_estimators": 7}
+    monkeypatch.undo()
+    monkeypatch.setattr("pyspark.sql.readwriter.DataFrameWriter.json", lambda *_a, **_k: (_ for _ in ()).throw(KeyboardInterrupt))
+    with pytest.raises(KeyboardInterrupt):      # killed before that
+        write_params(spark, {"n_estimators": 9}, path)
+    monkeypatch.undo()
+    assert read_params(spark, path) == {"n_estimators": 7}
+    assert write_params(spark, {"max_depth": 2}, path)
+    assert read_params(spark, path) == {"max_depth": 2} and spark.read.text(path).count() == 1
+
+
+def test_a_column_that_names_rows_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(S, "CATEGORY_ROWS", 100)
+    df = spark.range(500).select(F.col("id").alias("k"), F.col("id").cast("double").alias("label"), F.col("id").cast("string").alias("c"))
+    with pytest.raises(TooManyCategories):
+        Preparer(label="label", key="k", drop=[]).fit(df)
+
+
+@pytest.mark.parametrize("model", ["LinearRegression", "GradientBoosting", "RandomForest"])
+def test_runs_do_not_depend_on_input_partitions(spark, model):
+    params = {} if model == "LinearRegression" else {"n_estimators": 3}
+    maes = []
+    for parts in (2, 64):
+        res = default_run(house(spark).repartition(parts), model, "the.key", drop=[], params=params)
+        maes.append(res.metrics["mae"])
+        res.release()
+    assert maes[0] == pytest.approx(maes[1], rel=1e-9)
 
 
 def test_params_names(spark, tmp_dir):

@@ -58,9 +58,9 @@ def test_missing_source(spark, tmp_dir):
 
 
 def test_params_roundtrip(spark, tmp_dir):
-    for params in ({"learning_rate": 0.1, "max_depth": 3, "n_estimators": 500},
-                   {"learning_rate": 0.1, "n_estimators": 100, "num_leaves": 10},
-                   {"max_depth": 20, "min_samples_leaf": 2, "n_estimators": 100}):
+    from bench import BEST_PARAMS
+
+    for params in BEST_PARAMS.values():
         path = os.path.join(tmp_dir, f"p{len(params)}{sorted(params)[0]}")
         assert write_params(spark, params, path)
         assert read_params(spark, path) == params
