@@ -33,11 +33,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str, plain: bool = False) -> DataFrame:
     """``df`` written as a Parquet table in the shared folder and read again: the lineage ends
     there, so a lost executor costs no recomputation of what came before. ``plain``: the columns
-    are mostly hashes, on which dictionaries and strong compression are lost effort."""
+    are mostly hashes, on which dictionaries are lost effort."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     out = df.write.option("parquet.enable.dictionary", "false") if plain else df.write
-    out.option("compression", "snappy" if plain else "zstd").parquet(path)
+    out.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _WRITTEN[id(out)] = (weakref.ref(out, lambda _, key=id(out): _WRITTEN.pop(key, None)), path)
     return out
