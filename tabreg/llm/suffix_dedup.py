@@ -16,10 +16,11 @@ suffixes are sorted only as deep as ``window``, by refining buckets, and a suffi
    identifier 16 bytes later (for windows that start up to 17 bytes before the anchor) or earlier.
 4. *Depth 50*: the windows left, by the identifiers at offsets 0, 16, 32 and 34.
 
-A bucket is a group by a 64-bit identifier that keeps its least and largest document only: members are
-aggregated before the shuffle, and what a bucket decides goes back to its members by a join that
-Spark can split, so a bucket that holds a third of all rows is no task's burden. Equal texts are one
-class: the smallest id is judged, the others lose everything (from 50 bytes on). A window is
+Members travel in blocks. A block is the anchors of one slice of texts (about ``BATCH_BYTES``): its distinct identifiers
+are sorted, each with its least document there, and cut at ranges of the identifier. A range gathers one
+packed row of each block, sorts it in arrays, and sends back a bit for each identifier. So a bucket that holds a third of all
+rows is one identifier of each block, a range holds about ``RANGE_IDS`` identifiers however many there
+are, and a member costs some 12 bytes of shuffle instead of a row of its own. Equal texts are one class: the smallest id is judged, the others lose everything (from 50 bytes on). A window is
 wrongly removed only if two 64-bit identifiers collide: candidate windows / 2^64.
 
 Defined results: null text is empty text; texts under 50 bytes keep all; rows with equal ids are one
@@ -51,12 +52,21 @@ PART = 512 << 10
 _NOTHING = hashlib.sha256(b"").hexdigest()
 _SALT = [np.uint64(s) for s in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
-_INFO = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("key", pa.binary()), ("n_bytes", pa.int64()), ("sha", pa.string()),
-                   ("ids", pa.list_(pa.int64())), ("places", pa.list_(pa.int32()))])
+#: Identifiers that one range of buckets holds, about, and the least number of ranges.
+RANGE_IDS = 500_000
+LEAST_RANGES = 1024
+#: A block stands on the first of its rows (others: null), whose keys are consecutive: the anchors'
+#: identifiers and places, one row's after the other's, and each row's document and number of anchors.
+_BLOCK = [("ids", pa.binary()), ("places", pa.binary()), ("docs", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64()))]
+_BLOCK_SQL = "ids binary, places binary, docs array<long>, sizes array<long>"
+_INFO = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("key", pa.binary()), ("n_bytes", pa.int64()), ("sha", pa.string()), *_BLOCK])
 _PIECES = pa.schema([("piece", pa.int64()), ("rid", pa.int64()), ("doc_id", pa.int64()), ("base", pa.int64()), ("bytes", pa.binary()),
-                     ("open", pa.binary()), ("ids", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())),
-                     ("begins", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))])
-_PIECES_SQL = "piece long, rid long, doc_id long, base long, bytes binary, open binary, ids array<long>, places array<int>, begins array<long>, ends array<long>"
+                     ("open", pa.binary()), ("begins", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), *_BLOCK])
+_PIECES_SQL = "piece long, rid long, doc_id long, base long, bytes binary, open binary, begins array<long>, ends array<long>, " + _BLOCK_SQL
+_WINDOWS = pa.schema([("piece", pa.int64()), ("rid", pa.int64()), ("base", pa.int64()), *_BLOCK])
+_ASKED = pa.schema([("range", pa.int64()), ("block", pa.int64()), ("hashes", pa.binary()), ("least", pa.binary()), ("several", pa.binary())])
+_TOLD = pa.schema([("range", pa.int64()), ("block", pa.int64()), ("bits", pa.binary())])
+_DECIDED = pa.schema([("key", pa.int64()), ("decided", pa.list_(pa.int32()))])
 _CUT = pa.schema([("key", pa.binary()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("cut_sha", pa.string())])
 
 
@@ -147,27 +157,119 @@ def _first_level(texts: DataFrame) -> DataFrame:
                     mine = at[edges[k]: edges[k + 1]]
                     ids[number].append(grams[mine].view(np.int64))
                     places[number].append(mine - starts[k] + offsets[k])
+            sizes = [sum(map(len, x)) for x in ids]
+            ids, places = (np.concatenate([empty, *[x for row in rows for x in row]]) for rows in (ids, places))
             yield record_batch(_INFO, np.arange(rid, rid + len(found)), batch.column(0), batch.column(2), [len(t or b"") for t in found],
-                               [hashlib.sha256(t or b"").hexdigest() for t in found],
-                               [np.concatenate(x) if x else empty for x in ids], [(np.concatenate(x) if x else empty).astype(np.int32) for x in places])
+                               [hashlib.sha256(t or b"").hexdigest() for t in found], *_block(ids, places, batch.column(0).fill_null(0).to_numpy(), sizes))
             rid += len(found)
 
-    return texts.mapInArrow(run, "rid long, doc_id long, key binary, n_bytes long, sha string, ids array<long>, places array<int>")
+    return texts.mapInArrow(run, "rid long, doc_id long, key binary, n_bytes long, sha string, " + _BLOCK_SQL)
+
+
+def _block(ids: np.ndarray, places: np.ndarray, docs: np.ndarray, sizes: list | np.ndarray) -> list[pa.Array]:
+    """The columns of ``_BLOCK`` for rows of the documents ``docs`` with ``sizes`` anchors each."""
+    values = (ids.astype(np.int64).tobytes(), places.astype(np.int32).tobytes(), docs, sizes)
+    return [pa.array([v, *[None] * (len(docs) - 1)] if len(docs) else [], kind) for v, (_, kind) in zip(values, _BLOCK, strict=True)]
+
+
+class _Members:
+    """The anchors of a block by distinct identifier: ``hashes``, sorted, with the ``least`` and
+    ``largest`` document of each; ``of`` leads back from an anchor; ``ranges`` are cut at ``edges``."""
+
+    def __init__(self, ids: bytes, docs: list[int], sizes: list[int], n_ranges: int):
+        self.docs = np.repeat(np.array(docs, np.int64), sizes)
+        hashes = mix(np.frombuffer(ids, np.uint64))
+        order = np.argsort(hashes, kind="stable")
+        hashes, docs = hashes[order], self.docs[order]
+        new = np.concatenate(([True], hashes[1:] != hashes[:-1]))[: len(hashes)]
+        first = np.flatnonzero(new)
+        self.of = np.empty(len(order), np.int64)
+        self.of[order] = np.cumsum(new) - 1
+        self.hashes = hashes[first]
+        self.least = np.minimum.reduceat(docs, first) if len(first) else docs
+        self.largest = np.maximum.reduceat(docs, first) if len(first) else docs
+        number = ((self.hashes >> np.uint64(32)) * np.uint64(n_ranges) >> np.uint64(32)).astype(np.int64)
+        starts = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1]))[: len(number)])
+        self.ranges, self.edges = number[starts], np.append(starts, len(number))
+
+
+def _slices(values: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """One binary value for each range between ``edges``."""
+    offsets = (edges * values.itemsize).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])
+
+
+def _ask(blocks: DataFrame, n_ranges: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                block, ids, docs, sizes = (c[row].as_py() for c in batch.columns[:4])
+                m = _Members(ids, docs, sizes, n_ranges)
+                several = (m.least < m.largest).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(m.ranges), pa.array(np.full(len(m.ranges), block)), _slices(m.hashes, m.edges), _slices(m.least, m.edges), _slices(several, m.edges)], schema=_ASKED)
+
+    return blocks.select("block", "ids", "docs", "sizes").mapInArrow(run, "range long, block long, hashes binary, least binary, several binary")
+
+
+def _tell(asked: DataFrame, smaller: bool) -> DataFrame:
+    """For each row asked a bit for each identifier: whether its bucket has a document smaller than
+    the least of the block (``smaller``), or several documents."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        hashes, least, several = (np.frombuffer(b"".join(rows.column(c).to_pylist()), t) for c, t in (("hashes", np.uint64), ("least", np.int64), ("several", np.uint8)))
+        edges = np.cumsum([0] + [len(v) for v in rows.column("several").to_pylist()])
+        order = np.argsort(hashes, kind="stable")
+        new = np.concatenate(([True], hashes[order][1:] != hashes[order][:-1]))
+        first, bucket = np.flatnonzero(new), np.cumsum(new) - 1
+        low = np.minimum.reduceat(least[order], first)
+        if smaller:
+            found = low[bucket] < least[order]
+        else:
+            found = ((low < np.maximum.reduceat(least[order], first)) | (np.maximum.reduceat(several[order], first) > 0))[bucket]
+        told = np.empty(len(order), bool)
+        told[order] = found
+        bits = [np.packbits(told[a:b]).tobytes() if told[a:b].any() else None for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+        out = pa.Table.from_arrays([rows.column("range"), rows.column("block"), pa.array(bits, pa.binary())], schema=_TOLD)
+        return out.filter(out.column("bits").is_valid())
+
+    return asked.groupBy("range").applyInArrow(run, "range long, block long, bits binary")
 
 
 def _decided(rows: DataFrame, key: str, smaller: bool) -> DataFrame:
-    """``key, places``: the members of buckets of several documents; ``smaller``: only those with a
-    smaller document in their bucket."""
-    buckets = rows.select("doc_id", F.explode("ids").alias("id")).groupBy("id").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("largest")).where("least < largest")
-    buckets = written(buckets.select("id", "least"), "buckets", plain=True)
+    """``key, decided`` (places): the members of buckets of several documents; ``smaller``: only those
+    with a smaller document in their bucket."""
+    blocks = rows.where("ids IS NOT NULL").select(F.col(key).alias("block"), "ids", "docs", "sizes", "places")
+    total = blocks.select(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda x, y: x + y))).first()[0] or 0
+    n_ranges = max(LEAST_RANGES, -(-total // RANGE_IDS))
+    told = written(_tell(_ask(blocks, n_ranges), smaller), "told")
     tidy(rows.sparkSession)
-    # a bucket is one row, so its side of the join has no hot key and fits a hash table by partition
-    known = buckets.hint("shuffle_hash")
-    members = rows.select(key, "doc_id", "places", F.posexplode("ids").alias("at", "id")).select(key, "doc_id", "id", F.get("places", F.col("at")).alias("place"))
-    kept = members.join(known, "id").where("least < doc_id") if smaller else members.join(known, "id", "left_semi")
-    out = written(kept.groupBy(key).agg(F.array_sort(F.collect_list("place")).alias("decided")), "decided")
-    del members, known, kept
-    discard(buckets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                block, ids, docs, sizes, places, answers = (c[row].as_py() for c in batch.columns)
+                m = _Members(ids, docs, sizes, n_ranges)
+                flags = np.zeros(len(m.hashes), bool)
+                for answer in answers or ():
+                    i = np.searchsorted(m.ranges, answer["range"])
+                    a, b = m.edges[i: i + 2]
+                    flags[a:b] = np.unpackbits(np.frombuffer(answer["bits"], np.uint8), count=b - a)
+                mine = flags[m.of]
+                if smaller:
+                    mine |= m.docs > m.least[m.of]
+                owner, places = np.repeat(np.arange(len(sizes)), sizes)[mine], np.frombuffer(places, np.int32)[mine]
+                order = np.lexsort((places, owner))
+                owner, places = owner[order], places[order]
+                use = np.unique(owner)
+                yield pa.RecordBatch.from_arrays([pa.array(block + use), _lists(places, np.append(np.searchsorted(owner, use), len(owner)), pa.int32())], schema=_DECIDED)
+
+    # a block has one row on either side
+    answers = told.groupBy("block").agg(F.collect_list(F.struct("range", "bits")).alias("told")).hint("shuffle_hash")
+    joined = blocks.join(answers, "block", "left").select("block", "ids", "docs", "sizes", "places", "told")
+    out = written(joined.mapInArrow(run, "key long, decided array<int>").withColumnRenamed("key", key), "decided")
+    del answers, joined
+    discard(told)
     return out
 
 
@@ -235,8 +337,8 @@ def _run_level(texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.arange(piece, piece + size)), pa.array(rids[numbers[of]]), pa.array(docs[numbers[of]]), pa.array(first - starts[of] + offsets[of], pa.int64()),
                     pa.array([raw[i: j + WINDOW - 1] for i, j in zip(first.tolist(), last.tolist(), strict=True)], pa.binary()), pa.array([b""] * size, pa.binary()),
-                    _lists(ids.view(np.int64), edges, pa.int64()), _lists((begins - where).astype(np.int32), edges, pa.int32()),
-                    _lists(begins - where, edges, pa.int64()), _lists(ends - where, edges, pa.int64())], schema=_PIECES)
+                    _lists(begins - where, edges, pa.int64()), _lists(ends - where, edges, pa.int64()),
+                    *_block(ids, begins - where, docs[numbers[of]], np.diff(edges))], schema=_PIECES)
                 piece += size
 
     return texts.select("rid", "__id", "__text", "decided").mapInArrow(run, _PIECES_SQL)
@@ -304,18 +406,19 @@ def _half_level(pieces: DataFrame) -> DataFrame:
             opened = [np.packbits(still[a: b - WINDOW + 1]).tobytes() if o else b"" for a, b, o in zip(first.tolist(), last.tolist(), any_open.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.arange(number, number + len(found))), *batch.columns[:3], pa.array([t if o else b"" for t, o in zip(found, any_open.tolist(), strict=True)], pa.binary()),
-                pa.array(opened, pa.binary()), _lists(_side_ids(grams, sides).view(np.int64), side_edges, pa.int64()),
-                _lists((sides - 2 * np.repeat(first, np.diff(side_edges))).astype(np.int32), side_edges, pa.int32()),
-                _lists(lo - where, edges, pa.int64()), _lists(hi - where, edges, pa.int64())], schema=_PIECES)
+                pa.array(opened, pa.binary()),
+                _lists(lo - where, edges, pa.int64()), _lists(hi - where, edges, pa.int64()),
+                *_block(_side_ids(grams, sides), sides - 2 * np.repeat(first, np.diff(side_edges)), batch.column(1).to_numpy(), np.diff(side_edges))], schema=_PIECES)
             number += len(found)
 
-    return pieces.select("rid", "doc_id", "base", "bytes", "places", "ends", "decided").mapInArrow(run, _PIECES_SQL)
+    return pieces.select("rid", "doc_id", "base", "bytes", "begins", "ends", "decided").mapInArrow(run, _PIECES_SQL)
 
 
 def _window_level(pieces: DataFrame) -> DataFrame:
     """Depth 50 for the undecided windows whose bucket of depth 32 has several documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 33
         for batch, found in chunks(batches, "bytes", PART):
             data, first, last, inside = _row_of_pieces(found)
             still = np.zeros(len(inside), bool)
@@ -328,12 +431,11 @@ def _window_level(pieces: DataFrame) -> DataFrame:
             at = at[np.isin(_side(_own_anchor(grams))[at], decided + 2 * first[owner])]
             edges = np.searchsorted(at, np.append(first, len(data)))
             ids = chain(grams[at], grams[at + GRAM], grams[at + 2 * GRAM], grams[at + WINDOW - GRAM]).view(np.int64)
-            places = (at - np.repeat(first, np.diff(edges))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], _lists(ids, edges, pa.int64()), _lists(places, edges, pa.int32())],
-                                             names=["piece", "rid_base", "doc_id", "ids", "places"])
+            block = _block(ids, at - np.repeat(first, np.diff(edges)), batch.column(2).to_numpy(), np.diff(edges))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(number, number + len(found))), *batch.columns[:2], *block], schema=_WINDOWS)
+            number += len(found)
 
-    rows = pieces.select("piece", F.struct("rid", "base").alias("rid_base"), "doc_id", "bytes", "open", "decided")
-    return rows.mapInArrow(run, "piece long, rid_base struct<rid: long, base: long>, doc_id long, ids array<long>, places array<int>")
+    return pieces.select("rid", "base", "doc_id", "bytes", "open", "decided").mapInArrow(run, "piece long, rid long, base long, " + _BLOCK_SQL)
 
 
 def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -353,13 +455,13 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     del left, wanted
     discard(decided)
     runs = _decided(pieces, "piece", smaller=True)
-    halves = written(_half_level(pieces.join(runs, "piece", "left").select("rid", "doc_id", "base", "bytes", "places", "ends", "decided")), "suffix-halves")
+    halves = written(_half_level(pieces.join(runs, "piece", "left")), "suffix-halves")
     discard(pieces, runs)
     open_pieces = halves.where("length(bytes) > 0")
-    decided = _decided(open_pieces, "piece", smaller=False)
+    decided = _decided(halves, "piece", smaller=False)
     windows = written(_window_level(open_pieces.join(decided, "piece")), "suffix-windows", plain=True)
     discard(decided)
-    last = _decided(windows, "piece", smaller=True).join(windows.select("piece", "rid_base.*"), "piece")
+    last = _decided(windows, "piece", smaller=True).join(windows.select("piece", "rid", "base"), "piece")
     begins = F.transform("decided", lambda p: p + F.col("base"))
     last = last.select("rid", begins.alias("begins"), F.transform("decided", lambda p: p + F.col("base") + WINDOW).alias("ends"))
     runs = halves.where("size(begins) > 0").select("rid", *[F.transform(c, lambda p: p + F.col("base")).alias(c) for c in ("begins", "ends")])
