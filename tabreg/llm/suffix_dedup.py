@@ -60,13 +60,19 @@ LEAST_RANGES = 1024
 _BLOCK = [("ids", pa.binary()), ("places", pa.binary()), ("docs", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64()))]
 _BLOCK_SQL = "ids binary, places binary, docs array<long>, sizes array<long>"
 _INFO = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("key", pa.binary()), ("n_bytes", pa.int64()), ("sha", pa.string()), *_BLOCK])
-_PIECES = pa.schema([("piece", pa.int64()), ("rid", pa.int64()), ("doc_id", pa.int64()), ("base", pa.int64()), ("bytes", pa.binary()),
-                     ("open", pa.binary()), ("begins", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), *_BLOCK])
-_PIECES_SQL = "piece long, rid long, doc_id long, base long, bytes binary, open binary, begins array<long>, ends array<long>, " + _BLOCK_SQL
-_WINDOWS = pa.schema([("piece", pa.int64()), ("rid", pa.int64()), ("base", pa.int64()), *_BLOCK])
+#: Pieces of texts, a block a row: the pieces' bytes, a zero byte after each, and by piece its text, document,
+#: offset there, length and number of anchors; places and ends count in the block's bytes.
+_PIECES = pa.schema([("block", pa.int64()), ("rids", pa.list_(pa.int64())), ("bases", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())),
+                     ("bytes", pa.binary()), ("ends", pa.binary()), *_BLOCK])
+_PIECES_SQL = "block long, rids array<long>, bases array<long>, lengths array<long>, bytes binary, ends binary, " + _BLOCK_SQL
+#: The same with a bit for each open window, and ranges decided, one list a text.
+_HALVES = pa.schema([*_PIECES, ("open", pa.binary()), ("rid", pa.list_(pa.int64())), ("begin", pa.list_(pa.list_(pa.int64()))), ("end", pa.list_(pa.list_(pa.int64())))])
+_HALVES_SQL = _PIECES_SQL + ", open binary, rid array<long>, begin array<array<long>>, end array<array<long>>"
+_WINDOWS = pa.schema([("block", pa.int64()), ("rids", pa.list_(pa.int64())), ("bases", pa.list_(pa.int64())), *_BLOCK])
+_RANGES = pa.schema([("rid", pa.int64()), ("begins", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))])
 _ASKED = pa.schema([("range", pa.int64()), ("block", pa.int64()), ("hashes", pa.binary()), ("least", pa.binary()), ("several", pa.binary())])
 _TOLD = pa.schema([("range", pa.int64()), ("block", pa.int64()), ("bits", pa.binary())])
-_DECIDED = pa.schema([("key", pa.int64()), ("decided", pa.list_(pa.int32()))])
+_DECIDED = pa.schema([("rid", pa.int64()), ("decided", pa.list_(pa.int32()))])
 _CUT = pa.schema([("key", pa.binary()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("cut_sha", pa.string())])
 
 
@@ -160,16 +166,16 @@ def _first_level(texts: DataFrame) -> DataFrame:
             sizes = [sum(map(len, x)) for x in ids]
             ids, places = (np.concatenate([empty, *[x for row in rows for x in row]]) for rows in (ids, places))
             yield record_batch(_INFO, np.arange(rid, rid + len(found)), batch.column(0), batch.column(2), [len(t or b"") for t in found],
-                               [hashlib.sha256(t or b"").hexdigest() for t in found], *_block(ids, places, batch.column(0).fill_null(0).to_numpy(), sizes))
+                               [hashlib.sha256(t or b"").hexdigest() for t in found], *_block(ids, places, batch.column(0).fill_null(0).to_numpy(), sizes, rows=len(found)))
             rid += len(found)
 
     return texts.mapInArrow(run, "rid long, doc_id long, key binary, n_bytes long, sha string, " + _BLOCK_SQL)
 
 
-def _block(ids: np.ndarray, places: np.ndarray, docs: np.ndarray, sizes: list | np.ndarray) -> list[pa.Array]:
-    """The columns of ``_BLOCK`` for rows of the documents ``docs`` with ``sizes`` anchors each."""
+def _block(ids: np.ndarray, places: np.ndarray, docs: np.ndarray, sizes: list | np.ndarray, rows: int) -> list[pa.Array]:
+    """The columns of ``_BLOCK``, on the first of ``rows`` rows, for the documents ``docs`` with ``sizes`` anchors each."""
     values = (ids.astype(np.int64).tobytes(), places.astype(np.int32).tobytes(), docs, sizes)
-    return [pa.array([v, *[None] * (len(docs) - 1)] if len(docs) else [], kind) for v, (_, kind) in zip(values, _BLOCK, strict=True)]
+    return [pa.array([v, *[None] * (rows - 1)], kind) for v, (_, kind) in zip(values, _BLOCK, strict=True)]
 
 
 class _Members:
@@ -179,7 +185,7 @@ class _Members:
     def __init__(self, ids: bytes, docs: list[int], sizes: list[int], n_ranges: int):
         self.docs = np.repeat(np.array(docs, np.int64), sizes)
         hashes = mix(np.frombuffer(ids, np.uint64))
-        order = np.argsort(hashes, kind="stable")
+        order = np.argsort(hashes)
         hashes, docs = hashes[order], self.docs[order]
         new = np.concatenate(([True], hashes[1:] != hashes[:-1]))[: len(hashes)]
         first = np.flatnonzero(new)
@@ -236,39 +242,55 @@ def _tell(asked: DataFrame, smaller: bool) -> DataFrame:
     return asked.groupBy("range").applyInArrow(run, "range long, block long, bits binary")
 
 
-def _decided(rows: DataFrame, key: str, smaller: bool) -> DataFrame:
-    """``key, decided`` (places): the members of buckets of several documents; ``smaller``: only those
-    with a smaller document in their bucket."""
-    blocks = rows.where("ids IS NOT NULL").select(F.col(key).alias("block"), "ids", "docs", "sizes", "places")
+def _answered(blocks: DataFrame, smaller: bool) -> tuple[DataFrame, DataFrame, int]:
+    """Blocks with the answers to them in ``told``, the table of the answers, and the number of ranges."""
     total = blocks.select(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda x, y: x + y))).first()[0] or 0
     n_ranges = max(LEAST_RANGES, -(-total // RANGE_IDS))
     told = written(_tell(_ask(blocks, n_ranges), smaller), "told")
-    tidy(rows.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                block, ids, docs, sizes, places, answers = (c[row].as_py() for c in batch.columns)
-                m = _Members(ids, docs, sizes, n_ranges)
-                flags = np.zeros(len(m.hashes), bool)
-                for answer in answers or ():
-                    i = np.searchsorted(m.ranges, answer["range"])
-                    a, b = m.edges[i: i + 2]
-                    flags[a:b] = np.unpackbits(np.frombuffer(answer["bits"], np.uint8), count=b - a)
-                mine = flags[m.of]
-                if smaller:
-                    mine |= m.docs > m.least[m.of]
-                owner, places = np.repeat(np.arange(len(sizes)), sizes)[mine], np.frombuffer(places, np.int32)[mine]
-                order = np.lexsort((places, owner))
-                owner, places = owner[order], places[order]
-                use = np.unique(owner)
-                yield pa.RecordBatch.from_arrays([pa.array(block + use), _lists(places, np.append(np.searchsorted(owner, use), len(owner)), pa.int32())], schema=_DECIDED)
-
+    tidy(blocks.sparkSession)
     # a block has one row on either side
     answers = told.groupBy("block").agg(F.collect_list(F.struct("range", "bits")).alias("told")).hint("shuffle_hash")
-    joined = blocks.join(answers, "block", "left").select("block", "ids", "docs", "sizes", "places", "told")
-    out = written(joined.mapInArrow(run, "key long, decided array<int>").withColumnRenamed("key", key), "decided")
-    del answers, joined
+    return blocks.join(answers, "block", "left"), told, n_ranges
+
+
+def _decided(row: dict, n_ranges: int, smaller: bool) -> np.ndarray:
+    """Of each anchor of a block whether its bucket has several documents; ``smaller``: a smaller one."""
+    m = _Members(row["ids"], row["docs"], row["sizes"], n_ranges)
+    flags = np.zeros(len(m.hashes), bool)
+    for answer in row["told"] or ():
+        i = np.searchsorted(m.ranges, answer["range"])
+        a, b = m.edges[i: i + 2]
+        flags[a:b] = np.unpackbits(np.frombuffer(answer["bits"], np.uint8), count=b - a)
+    return flags[m.of] | (m.docs > m.least[m.of]) if smaller else flags[m.of]
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for row in range(batch.num_rows):
+            yield {name: column[row].as_py() for name, column in zip(batch.schema.names, batch.columns, strict=True)}
+
+
+def _by_text(rids: np.ndarray, *values: np.ndarray) -> list:
+    """The texts of a block in their order, and for each the list of its values (its rows are neighbours)."""
+    edges = np.flatnonzero(np.concatenate(([True], rids[1:] != rids[:-1]))[: len(rids)])
+    return [rids[edges], *[_lists(v, np.append(edges, len(rids)), pa.int64()) for v in values]]
+
+
+def _first_decided(info: DataFrame) -> DataFrame:
+    """``rid, decided``: places of the anchors whose bucket has several documents."""
+    blocks = info.where("ids IS NOT NULL").select(F.col("rid").alias("block"), *[n for n, _ in _BLOCK])
+    joined, told, n_ranges = _answered(blocks, smaller=False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            mine = _decided(row, n_ranges, smaller=False)
+            owner, places = np.repeat(np.arange(len(row["sizes"])), row["sizes"])[mine], np.frombuffer(row["places"], np.int32)[mine]
+            order = np.lexsort((places, owner))
+            use, decided = _by_text(owner[order], places[order])
+            yield pa.RecordBatch.from_arrays([pa.array(row["block"] + use), decided.cast(pa.list_(pa.int32()))], schema=_DECIDED)
+
+    out = written(joined.mapInArrow(run, "rid long, decided array<int>"), "decided")
+    del joined
     discard(told)
     return out
 
@@ -310,7 +332,7 @@ def _run_level(texts: DataFrame) -> DataFrame:
     """Pieces of ``key, rid, __id, __text, decided`` rows (places of the anchors left), with runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = TaskContext.get().partitionId() << 33
+        block = TaskContext.get().partitionId() << 33
         for batch, found in chunks(batches):
             rids, docs = (batch.column(i).to_numpy() for i in (0, 1))
             decided, owner = _flat(batch.column(3))
@@ -332,14 +354,14 @@ def _run_level(texts: DataFrame) -> DataFrame:
                 home = np.searchsorted(first, begins, side="right") - 1
                 use = ends <= last[home] + WINDOW - 1 if len(begins) else np.zeros(0, bool)
                 ids, begins, ends, home = ids[use], begins[use], ends[use], home[use]
-                edges, size = np.searchsorted(home, np.arange(len(first) + 1)), len(first)
-                raw, where = data.tobytes(), first[home] if len(home) else begins
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.arange(piece, piece + size)), pa.array(rids[numbers[of]]), pa.array(docs[numbers[of]]), pa.array(first - starts[of] + offsets[of], pa.int64()),
-                    pa.array([raw[i: j + WINDOW - 1] for i, j in zip(first.tolist(), last.tolist(), strict=True)], pa.binary()), pa.array([b""] * size, pa.binary()),
-                    _lists(begins - where, edges, pa.int64()), _lists(ends - where, edges, pa.int64()),
-                    *_block(ids, begins - where, docs[numbers[of]], np.diff(edges))], schema=_PIECES)
-                piece += size
+                if len(first):
+                    lengths, raw, mine = last - first + WINDOW - 1, data.tobytes(), numbers[of]
+                    shift = _starts(lengths) - first
+                    sizes = np.diff(np.searchsorted(home, np.arange(len(first) + 1)))
+                    joined = b"\0".join([*[raw[i: j + WINDOW - 1] for i, j in zip(first.tolist(), last.tolist(), strict=True)], b""])
+                    yield record_batch(_PIECES, [block], [rids[mine]], [first - starts[of] + offsets[of]], [lengths], [joined],
+                                       [(ends + shift[home]).astype(np.int32).tobytes()], *_block(ids, begins + shift[home], docs[mine], sizes, rows=1))
+                    block += 1
 
     return texts.select("rid", "__id", "__text", "decided").mapInArrow(run, _PIECES_SQL)
 
@@ -368,74 +390,88 @@ def _side_ids(grams: np.ndarray, places: np.ndarray) -> np.ndarray:
     return chain(grams[at - GRAM * before], grams[at + GRAM * (1 - before)], before.astype(np.uint64))
 
 
-def _row_of_pieces(found: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Pieces in a row, a byte between them: bytes, begins, ends, and windows that lie in one piece."""
-    data = np.frombuffer(b"\0".join([*found, b""]), np.uint8)
-    sizes = np.array([len(t) for t in found])
-    begins = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
-    n = max(0, len(data) - WINDOW + 1)
-    inside = np.arange(WINDOW, WINDOW + n) <= np.repeat(begins + sizes, sizes + 1)[:n]
-    return data, begins, begins + sizes, inside
+def _starts(lengths: np.ndarray) -> np.ndarray:
+    """Where pieces of these lengths begin in a row, a byte after each."""
+    return np.cumsum(lengths + 1) - lengths - 1
+
 
+def _inside_pieces(first: np.ndarray, lengths: np.ndarray, size: int) -> np.ndarray:
+    """Of each window of a row of pieces whether it lies in one piece."""
+    n = max(0, size - WINDOW + 1)
+    return np.arange(WINDOW, WINDOW + n) <= np.repeat(first + lengths, lengths + 1)[:n]
 
-def _half_level(pieces: DataFrame) -> DataFrame:
-    """Depth 32 for pieces with an undecided window; what is decided goes out as begins and ends."""
+
+def _half_level(pieces: DataFrame, n_ranges: int) -> DataFrame:
+    """Depth 32 for pieces with an undecided window; what is decided goes out as ranges of the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 33
-        for batch, found in chunks(batches, "bytes", PART):
-            data, first, last, still = _row_of_pieces(found)
-            decided, owner = _flat(batch.column(6))
-            places, home = _flat(batch.column(4))
-            use = np.searchsorted(places + first[home], decided + first[owner])
-            begins, ends = decided + first[owner], batch.column(5).flatten().to_numpy()[use] + first[owner]
+        for row in _rows(batches):
+            data, lengths = np.frombuffer(row["bytes"], np.uint8), np.array(row["lengths"])
+            rids, bases, docs = (np.array(row[c]) for c in ("rids", "bases", "docs"))
+            first, mine = _starts(lengths), _decided(row, n_ranges, smaller=True)
+            begins, ends = (np.frombuffer(row[c], np.int32)[mine].astype(np.int64) for c in ("places", "ends"))
             fits = ends - begins >= WINDOW
             begins, ends = begins[fits], ends[fits]
-            inner, bytes_gone = np.zeros(len(data) + 1, np.int64), np.zeros(len(data) + 1, np.int64)
-            for steps, stop in ((inner, ends - WINDOW + 1), (bytes_gone, ends)):
-                np.add.at(steps, begins, 1)
-                np.add.at(steps, stop, -1)
+            still, size = _inside_pieces(first, lengths, len(data)), len(data) + 1
+            inner = np.bincount(begins, minlength=size) - np.bincount(ends - WINDOW + 1, minlength=size)
+            gone = np.bincount(begins, minlength=size) - np.bincount(ends, minlength=size)
             still &= np.cumsum(inner[: len(still)]) == 0          # windows that lie in no decided run
-            lo, hi = _stretches(np.cumsum(bytes_gone[:-1]) > 0)
-            edges = np.searchsorted(lo, np.append(first, len(data)))
-            where = first[np.searchsorted(first, lo, side="right") - 1] if len(lo) else lo
+            lo, hi = _stretches(np.cumsum(gone[:-1]) > 0)
+            of = np.searchsorted(first, lo, side="right") - 1
+            texts, *ranges = _by_text(rids[of], lo - first[of] + bases[of], hi - first[of] + bases[of])
             grams = gram_ids(data)
             sides = np.unique(_side(_own_anchor(grams))[still])
-            side_edges = np.searchsorted(sides, 2 * np.append(first, len(data)))
-            any_open = np.diff(side_edges) > 0
-            opened = [np.packbits(still[a: b - WINDOW + 1]).tobytes() if o else b"" for a, b, o in zip(first.tolist(), last.tolist(), any_open.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.arange(number, number + len(found))), *batch.columns[:3], pa.array([t if o else b"" for t, o in zip(found, any_open.tolist(), strict=True)], pa.binary()),
-                pa.array(opened, pa.binary()),
-                _lists(lo - where, edges, pa.int64()), _lists(hi - where, edges, pa.int64()),
-                *_block(_side_ids(grams, sides), sides - 2 * np.repeat(first, np.diff(side_edges)), batch.column(1).to_numpy(), np.diff(side_edges))], schema=_PIECES)
-            number += len(found)
+            sizes = np.diff(np.searchsorted(sides, 2 * np.append(first, len(data))))
+            opened = sizes > 0                                     # only these pieces go on
+            keep = np.repeat(opened, lengths + 1)
+            moved = 2 * (np.cumsum(keep) - 1)[sides // 2] + sides % 2
+            bits = np.concatenate((still, np.zeros(len(data) - len(still), bool)))[keep]
+            yield record_batch(_HALVES, [row["block"]], [rids[opened]], [bases[opened]], [lengths[opened]], [data[keep].tobytes()], [b""],
+                               *_block(_side_ids(grams, sides), moved, docs[opened], sizes[opened], rows=1), [np.packbits(bits).tobytes()],
+                               [texts], *[_lists_of(r, _HALVES.field("begin").type) for r in ranges])
+
+    return pieces.select(*_PIECES.names, "told").mapInArrow(run, _HALVES_SQL)
 
-    return pieces.select("rid", "doc_id", "base", "bytes", "begins", "ends", "decided").mapInArrow(run, _PIECES_SQL)
 
+def _lists_of(values: pa.ListArray, kind: pa.DataType) -> pa.Array:
+    """One row that holds all these lists."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values).cast(kind)
 
-def _window_level(pieces: DataFrame) -> DataFrame:
+
+def _window_level(halves: DataFrame, n_ranges: int) -> DataFrame:
     """Depth 50 for the undecided windows whose bucket of depth 32 has several documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 33
-        for batch, found in chunks(batches, "bytes", PART):
-            data, first, last, inside = _row_of_pieces(found)
-            still = np.zeros(len(inside), bool)
-            for bits, a, b in zip(batch.column(4).to_pylist(), first.tolist(), last.tolist(), strict=True):
-                n = b - a - WINDOW + 1
-                still[a: a + n] = np.unpackbits(np.frombuffer(bits, np.uint8), count=n)
-            decided, owner = _flat(batch.column(5))
-            grams = gram_ids(data)
-            at = np.flatnonzero(still)
-            at = at[np.isin(_side(_own_anchor(grams))[at], decided + 2 * first[owner])]
-            edges = np.searchsorted(at, np.append(first, len(data)))
-            ids = chain(grams[at], grams[at + GRAM], grams[at + 2 * GRAM], grams[at + WINDOW - GRAM]).view(np.int64)
-            block = _block(ids, at - np.repeat(first, np.diff(edges)), batch.column(2).to_numpy(), np.diff(edges))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(number, number + len(found))), *batch.columns[:2], *block], schema=_WINDOWS)
-            number += len(found)
+        for row in _rows(batches):
+            data, first = np.frombuffer(row["bytes"], np.uint8), _starts(np.array(row["lengths"]))
+            still = np.unpackbits(np.frombuffer(row["open"], np.uint8), count=len(data))
+            kept = np.zeros(2 * len(data), bool)
+            kept[np.frombuffer(row["places"], np.int32)[_decided(row, n_ranges, smaller=False)]] = True
+            grams, at = gram_ids(data), np.flatnonzero(still)
+            at = at[kept[_side(_own_anchor(grams))[at]]]
+            sizes = np.diff(np.searchsorted(at, np.append(first, len(data))))
+            ids = chain(grams[at], grams[at + GRAM], grams[at + 2 * GRAM], grams[at + WINDOW - GRAM])
+            places = at - np.repeat(first, sizes)
+            yield record_batch(_WINDOWS, [row["block"]], [row["rids"]], [row["bases"]], *_block(ids, places, row["docs"], sizes, rows=1))
 
-    return pieces.select("rid", "base", "doc_id", "bytes", "open", "decided").mapInArrow(run, "piece long, rid long, base long, " + _BLOCK_SQL)
+    names = ["block", "lengths", "bytes", "open", "rids", "bases", "ids", "places", "docs", "sizes", "told"]
+    return halves.select(*names).mapInArrow(run, "block long, rids array<long>, bases array<long>, " + _BLOCK_SQL)
+
+
+def _last_ranges(windows: DataFrame, n_ranges: int) -> DataFrame:
+    """``rid, begins, ends``: the decided windows, put together where they meet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            mine = _decided(row, n_ranges, smaller=True)
+            rids, bases = (np.repeat(np.array(row[c], np.int64), row["sizes"])[mine] for c in ("rids", "bases"))
+            at = np.frombuffer(row["places"], np.int32)[mine] + bases
+            new = np.flatnonzero(np.concatenate(([True], (rids[1:] != rids[:-1]) | (np.diff(at) > WINDOW) | (np.diff(at) < 0)))[: len(at)])
+            last = np.append(new[1:], len(at))[: len(new)] - 1
+            texts, begins, ends = _by_text(rids[new], at[new], at[last] + WINDOW)
+            yield pa.RecordBatch.from_arrays([pa.array(texts), begins, ends], schema=_RANGES)
+
+    return windows.mapInArrow(run, "rid long, begins array<long>, ends array<long>")
 
 
 def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -446,7 +482,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     classes = info.where("doc_id IS NOT NULL").groupBy("key").agg(F.min(F.struct("doc_id", "rid")).alias("least"))
     classes = written(classes.select("key", F.col("least.doc_id").alias("rep"), F.col("least.rid").alias("rid")), "suffix-classes")
     rows = written(info.select("doc_id", "key", "n_bytes", "sha"), "suffix-rows")
-    decided = _decided(info, "rid", smaller=False)
+    decided = _first_decided(info)
     discard(info)
     left = decided.join(classes, "rid")
     # one row of each text goes on: equal texts meet at the same key, and only the smallest id passes
@@ -454,19 +490,22 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pieces = written(_run_level(wanted), "suffix-pieces")
     del left, wanted
     discard(decided)
-    runs = _decided(pieces, "piece", smaller=True)
-    halves = written(_half_level(pieces.join(runs, "piece", "left")), "suffix-halves")
-    discard(pieces, runs)
-    open_pieces = halves.where("length(bytes) > 0")
-    decided = _decided(halves, "piece", smaller=False)
-    windows = written(_window_level(open_pieces.join(decided, "piece")), "suffix-windows", plain=True)
-    discard(decided)
-    last = _decided(windows, "piece", smaller=True).join(windows.select("piece", "rid", "base"), "piece")
-    begins = F.transform("decided", lambda p: p + F.col("base"))
-    last = last.select("rid", begins.alias("begins"), F.transform("decided", lambda p: p + F.col("base") + WINDOW).alias("ends"))
-    runs = halves.where("size(begins) > 0").select("rid", *[F.transform(c, lambda p: p + F.col("base")).alias(c) for c in ("begins", "ends")])
+    joined, told, n_ranges = _answered(pieces, smaller=True)
+    halves = written(_half_level(joined, n_ranges), "suffix-halves")
+    del joined
+    discard(pieces, told)
+    joined, told, n_ranges = _answered(halves.where("length(bytes) > 0"), smaller=False)
+    windows = written(_window_level(joined, n_ranges), "suffix-windows")
+    del joined
+    discard(told)
+    joined, told, n_ranges = _answered(windows, smaller=True)
+    last = _last_ranges(joined, n_ranges)
+    runs = halves.select(F.inline(F.arrays_zip("rid", "begin", "end"))).toDF("rid", "begins", "ends")
     ranges = last.unionByName(runs).groupBy("rid").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("begins", "ends")])
-    return rows, written(ranges.join(classes, "rid").select("key", "rep", "begins", "ends"), "suffix-ranges")
+    ranges = written(ranges.join(classes, "rid").select("key", "rep", "begins", "ends"), "suffix-ranges")
+    del joined, last, runs
+    discard(halves, windows, told)
+    return rows, ranges
 
 
 def kept_ranges(n: int, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
