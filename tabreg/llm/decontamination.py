@@ -7,9 +7,11 @@ its items are known from the state. Only stretches whose neighbouring words all
 in some item can hold a match of two words or more, so the others are stepped over with array
 operations and the automaton walks the rest.
 
-Automata are built on the driver, one for every ``SHARD_WORDS`` item words, read item by item, and
-broadcast. Their size depends on the benchmark, not on the documents; a benchmark beyond one shard
-has several automata, of which a task holds one at a time, and the hits are merged per document.
+The items are dealt to shards of about ``SHARD_WORDS`` words; an item of many words is cut into parts
+that overlap by ``window - 1`` words, so each window stays whole. A task builds the automaton of a shard and
+stores it below ``spark.checkpoint.dir``; the driver gets the names of the files only. A task that searches
+loads one shard at a time (a single one stays loaded), and the hits are merged per document, so that
+memory is bounded whatever the benchmark's size; time grows with the number of shards.
 
 Defined results: null texts, and texts without a word, have no words and no hits; null item texts
 never match; null item ids match but are not listed; equal item ids count once; rows with equal
@@ -18,6 +20,8 @@ document ids are judged each on its own; empty tables give no rows, or no hits;
 
 from __future__ import annotations
 
+import pickle
+import uuid
 from collections.abc import Iterable, Iterator
 from itertools import repeat
 
@@ -26,18 +30,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BATCH_BYTES, chunks, id_and_bytes, map_columns, normal_words, record_batch, table, word_bounds
+from .common import BATCH_BYTES, chunks, id_and_bytes, map_columns, normal_words, record_batch, scratch_path, table, word_bounds, written
+from .token_counts import _filesystem
 
 WINDOW = 13
 #: A document is contaminated if hit words are at least one in so many.
 ONE_IN = 20
-SHARD_WORDS = 2_000_000
+#: Item words of one automaton, about (some 1.2 kB of memory a word).
+SHARD_WORDS = 250_000
 
 _FOUND = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()),
                     ("spans", pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))),
                     ("items", pa.list_(pa.int64()))])
 
 
+_PARTS = pa.schema([("item", pa.int64()), ("part", pa.int64()), ("words", pa.binary()), ("n", pa.int64())])
+
+
 class ItemAutomaton:
     """Suffix automaton over word numbers, with the items of each window."""
 
@@ -156,18 +165,59 @@ class ItemAutomaton:
         return found
 
 
+class Shard:
+    """The stored automaton of a part of the items."""
+
+    loaded: tuple[str, ItemAutomaton] | None = None
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def automaton(self) -> ItemAutomaton:
+        if Shard.loaded is None or Shard.loaded[0] != self.path:
+            Shard.loaded = None  # the one before goes first
+            where, local = _filesystem(self.path)
+            with where.open_input_file(local) as f:
+                Shard.loaded = self.path, pickle.loads(f.read_buffer())
+        return Shard.loaded[1]
+
+
+def _item_parts(items: DataFrame, window: int, step: int) -> DataFrame:
+    """``item, part, words, n``: items with words, cut after ``step`` windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in chunks(batches):
+            for item, text in zip(batch.column(0).to_pylist(), texts, strict=True):
+                words = normal_words(text)
+                for part, at in enumerate(range(0, max(1, len(words) - window + 1), step) if words else ()):
+                    mine = words[at: at + step + window - 1]
+                    yield record_batch(_PARTS, [item], [part], [b" ".join(mine)], [len(mine)])
+
+    return items.mapInArrow(run, "item long, part long, words binary, n long")
+
+
 def automata(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW,
-             shard_words: int = SHARD_WORDS) -> list:
-    """The benchmark's automata as broadcast variables; the driver holds one shard of items at a time."""
-    sc, out, items, n = benchmark.sparkSession.sparkContext, [], [], 0
-    for r in id_and_bytes(benchmark, id_col, text_col).toLocalIterator():
-        words = normal_words(None if r["__text"] is None else bytes(r["__text"]))
-        if n and n + len(words) > shard_words:
-            out.append(sc.broadcast(ItemAutomaton(items, window)))
-            items, n = [], 0
-        items.append((r["__id"], words))
-        n += len(words)
-    return [*out, sc.broadcast(ItemAutomaton(items, window))]
+             shard_words: int = SHARD_WORDS) -> list[Shard]:
+    """The benchmark's automata, built in tasks."""
+    spark = benchmark.sparkSession
+    items = id_and_bytes(benchmark, id_col, text_col).dropDuplicates()
+    parts = written(_item_parts(items, window, max(window, shard_words // 16)), "benchmark-parts")
+    total = parts.agg(F.sum("n")).first()[0] or 0
+    # dealt by hash, so a shard gets a little more or less than its share
+    n_shards = 1 if total <= shard_words else -(-5 * total // (4 * shard_words))
+    folder = scratch_path(spark, "automata")
+
+    def build(rows: pa.Table) -> pa.Table:
+        made = ItemAutomaton([(item, words.split()) for item, words in zip(rows.column("item").to_pylist(), rows.column("words").to_pylist(), strict=True)], window)
+        path = f"{folder}/{uuid.uuid4().hex}"
+        where, local = _filesystem(path)
+        where.create_dir(local.rpartition("/")[0], recursive=True)
+        with where.open_output_stream(local) as f:
+            pickle.dump(made, f, protocol=5)
+        return pa.table({"path": [path]})
+
+    dealt = parts.withColumn("shard", F.pmod(F.xxhash64("item", "part", "words"), F.lit(n_shards)))
+    return [Shard(r["path"]) for r in dealt.groupBy("shard").applyInArrow(build, "path string").collect()]
 
 
 def _merged(parts: list[list[tuple[int, int]]]) -> list[tuple[int, int]]:
@@ -180,21 +230,19 @@ def _merged(parts: list[list[tuple[int, int]]]) -> list[tuple[int, int]]:
     return out
 
 
-def _search(shards: list, texts: list[bytes | None]) -> list[tuple[int, list[tuple[int, int]], set]]:
+def _search(shards: list[Shard], texts: list[bytes | None]) -> list[tuple[int, list[tuple[int, int]], set]]:
     docs = [normal_words(t) for t in texts]
     found = []
     for shard in shards:
-        found.append(shard.value.search(docs))
-        if len(shards) > 1:
-            del shard._value  # read again from the worker's disk when its turn comes
+        found.append(shard.automaton().search(docs))
     return [(len(words), _merged([f[i][0] for f in found]), set().union(*(f[i][1] for f in found))) for i, words in enumerate(docs)]
 
 
-def _slice_bytes(shards: list) -> int:
-    return BATCH_BYTES if len(shards) == 1 else 16 * BATCH_BYTES
+def _slice_bytes(shards: list[Shard]) -> int:
+    return BATCH_BYTES if len(shards) <= 1 else 16 * BATCH_BYTES
 
 
-def find_items(docs: DataFrame, shards: list, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_items(docs: DataFrame, shards: list[Shard], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_words, n_hit, spans, items`` of every document (spans: first word, end)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +255,7 @@ def find_items(docs: DataFrame, shards: list, id_col: str = "doc_id", text_col:
     return id_and_bytes(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_words long, n_hit long, spans array<struct<first: long, end: long>>, items array<long>")
 
 
-def without_contaminated(docs: DataFrame, shards: list, text_col: str = "text", one_in: int = ONE_IN) -> DataFrame:
+def without_contaminated(docs: DataFrame, shards: list[Shard], text_col: str = "text", one_in: int = ONE_IN) -> DataFrame:
     """``docs`` without the rows in which at least one word in ``one_in`` is hit; others unchanged."""
     at, schema = docs.columns.index(text_col), docs.schema
 
@@ -223,7 +271,7 @@ def without_contaminated(docs: DataFrame, shards: list, text_col: str = "text",
     return map_columns(docs, run, schema)
 
 
-def cut_spans(docs: DataFrame, shards: list, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
+def cut_spans(docs: DataFrame, shards: list[Shard], id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
               one_in: int = ONE_IN) -> DataFrame:
     """``doc_id, text, n_removed``: the original text without hit stretches of at least ``window``
     words, or without any hit stretch where hits are one word in ``one_in`` or more."""

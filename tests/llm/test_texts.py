@@ -211,6 +211,22 @@ def test_decontamination(spark, shard_words):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(clean)
 
 
+def test_items_longer_than_a_shard(spark):
+    """Items of many words are cut into parts of several shards; no window is lost at a cut."""
+    rng = np.random.default_rng(11)
+    draw = lambda n: [b"%d" % x for x in rng.integers(0, 400, n)]
+    items = [(1, draw(3000)), (2, draw(700)), (3, draw(2)), (None, draw(300))]
+    pieces = [items[int(k)][1][a: a + int(n)] for k, a, n in zip(rng.integers(0, 2, 60), rng.integers(0, 600, 60), rng.integers(1, 90, 60), strict=True)]
+    texts = [(i, b" ".join(draw(5) + p + draw(30) + items[2][1]).decode(), None) for i, p in enumerate(pieces)]
+    texts += [(90, b" ".join(items[0][1]).decode(), None), (91, b" ".join(items[3][1][100:180]).decode(), None)]
+    bench = spark.createDataFrame([(i, b" ".join(w).decode(), "c") for i, w in items] * 2, ITEMS)
+    shards = decontamination.automata(bench, shard_words=320)
+    assert len(shards) > 4
+    for r in decontamination.find_items(docs(spark, texts), shards).collect():
+        hit, found = brute_hits([w.encode() for w in dict((i, t) for i, t, _ in texts)[r["doc_id"]].split()], items, 13)
+        assert r["n_hit"] == len(hit) and r["items"] == sorted(x for x in found if x is not None)
+
+
 def test_decontamination_without_items(spark):
     bench = spark.createDataFrame([], ITEMS)
     got = decontamination.find_items(docs(spark, odd_rows()), decontamination.automata(bench)).collect()
