@@ -36,8 +36,8 @@ from .token_counts import _filesystem
 WINDOW = 13
 #: A document is contaminated if hit words are at least one in so many.
 ONE_IN = 20
-#: Item words of one automaton, about (some 1.2 kB of memory a word).
-SHARD_WORDS = 250_000
+#: Item words of one automaton, about (a worker peaked at 3 kB a word).
+SHARD_WORDS = 125_000
 
 _FOUND = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()),
                     ("spans", pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))),
@@ -68,7 +68,8 @@ class ItemAutomaton:
         self.pairs = np.array(sorted(a * self.base + b for a, b in pairs), dtype=np.int64)
         self.shortest = min((len(ids) for _, ids in coded), default=window)
         self.shortest = min(self.shortest, window)
-        own: dict[tuple[int, int], set] = {}
+        own: dict[tuple[int, int], set | frozenset] = {}
+        alone = {item: frozenset((item,)) for item, _ in coded}   # most windows have one item; they share its set
         for item, ids in coded:
             size, state = min(window, len(ids)), 0
             for i, c in enumerate(ids):
@@ -76,14 +77,22 @@ class ItemAutomaton:
                 if i + 1 >= size:
                     while self.len[self.link[state]] >= size:
                         state = self.link[state]
-                    own.setdefault((state, size), set()).add(item)
+                    names = own.setdefault((state, size), alone[item])
+                    if item not in names:
+                        if isinstance(names, frozenset):
+                            own[state, size] = {*names, item}
+                        else:
+                            names.add(item)
         # of each state: the windows that are suffixes of it, shortest first
         at: dict[int, list[tuple[int, frozenset]]] = {}
-        for (state, size), names in own.items():
+        while own:
+            (state, size), names = own.popitem()
             at.setdefault(state, []).append((size, frozenset(names)))
         self.windows: list[tuple] = [()] * len(self.len)
+        same: dict[tuple, tuple] = {}
         for state in sorted(range(1, len(self.len)), key=self.len.__getitem__):
-            self.windows[state] = self.windows[self.link[state]] + tuple(sorted(at.get(state, ()), key=lambda x: x[0]))
+            found = self.windows[self.link[state]] + tuple(sorted(at.pop(state, ()), key=lambda x: x[0]))
+            self.windows[state] = same.setdefault(found, found)
 
     def _split(self, p: int, q: int, c: int) -> int:
         """The state of ``p``'s longest string followed by ``c``, parted from ``q``."""
