@@ -93,3 +93,13 @@ def test_a_common_passage_in_every_row(spark, tmp_dir):
     passage = words(rng, 20)
     rows = [(i, f"{i} {rng.random()} {passage} {rng.random()}") for i in range(300)]
     assert ran(spark, tmp_dir, rows) == brute(rows)
+
+
+@pytest.mark.parametrize("ranges", [1, 5])
+def test_any_number_of_ranges(spark, tmp_dir, monkeypatch, ranges):
+    """How buckets are dealt to ranges does not matter, nor how many blocks hold a bucket's members."""
+    monkeypatch.setattr(S, "LEAST_RANGES", ranges)
+    rng = random.Random(ranges)
+    passage, other = words(rng, 40), words(rng, 60)
+    rows = [(i, rng.choice([passage, other, passage + other, other[20:] + words(rng, 30) + passage[:90], words(rng, 50)])) for i in range(60)]
+    assert ran(spark, tmp_dir, rows) == brute(rows)
