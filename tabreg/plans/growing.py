@@ -4,6 +4,10 @@
   equal shares, found by counting value ranges; never by a sample or a sketch that depends on partitions),
   rows are packed in blocks of cells and persisted. Columns may be named ones or one sparse vector, which
   is never unfolded.
+* **Groups, for boosting.** Rows of equal cells always share a leaf: they are shuffled together by a hash of the
+  cells, and each (cells, fold) becomes one weighted row, with the labels behind it for the scores. Trees are the
+  same as from single rows; rounds cost as many steps as there are different rows of cells. Bootstraps draw
+  single rows, so forests read the blocks.
 * **Large nodes.** One job makes the histograms that all models want next: a task routes its rows through
   the trees as known, adds up whole numbers per (model, node, cell) and emits each cell once;
   ``groupBy(cell)`` adds the tasks' sums.
@@ -36,10 +40,14 @@ from .trees import Growth, Layout, Limits, Tree
 
 #: Rows of one node, or of one model, that a single task may take.
 UNIT_BYTES = 32 << 20
+#: Rows shuffled to one partition of groups (as planned), and groups in a block of them.
+PART_BYTES, BLOCK_GROUPS = 8 << 20, 1 << 13
 #: Rows in a block, rounds between checkpoints, nodes of all trees of a fit.
 BLOCK_ROWS, CHECKPOINT, MAX_NODES = 1 << 16, 10, 50_000_000
 
 _BLOCK = "n int, cells binary, y binary, fold binary, key binary, p binary"
+#: The same for groups of ``w`` rows: ``s`` sums their whole-number labels.
+_GROUPS = "n int, cells binary, s binary, fold binary, w binary, p binary"
 _TREE_SQL = "unit long, tree int, cell array<int>, left array<int>, right array<int>, value array<double>, gain array<double>, n array<long>, depth array<int>"
 _TREE = pa.schema([("unit", pa.int64()), ("tree", pa.int32()), ("cell", pa.list_(pa.int32())), ("left", pa.list_(pa.int32())), ("right", pa.list_(pa.int32())),
                    ("value", pa.list_(pa.float64())), ("gain", pa.list_(pa.float64())), ("n", pa.list_(pa.int64())), ("depth", pa.list_(pa.int32()))])
@@ -76,9 +84,12 @@ class TreeRows:
         self.layout = Layout(self._edges(rows, values, stored, max_bin))
         self.blocks = self._packed(rows).persist(StorageLevel.MEMORY_AND_DISK)
         self.row_bytes, self.folds = self._folds()
+        self._groups = None
 
     def release(self) -> None:
         self.blocks.unpersist()
+        if self._groups is not None:
+            self._groups.unpersist()
 
     def _values(self, rows: DataFrame, max_bin: int) -> tuple[float, float, int, dict, dict]:
         """Label bounds, row count, and for each feature its values other than 0 (more than ``max_bin``
@@ -212,6 +223,69 @@ class TreeRows:
         found = self.blocks.mapInArrow(run, "fold int, n long, s long, bytes long").groupBy("fold").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.max("bytes").alias("bytes")).collect()
         return max(r["bytes"] for r in found), {r["fold"]: (r["n"], r["s"]) for r in found}
 
+    @property
+    def groups(self) -> DataFrame:
+        """Blocks of groups: rows of equal cells and fold, with their labels one group after the other (``y``)."""
+        if self._groups is None:
+            self._groups = self._grouped().persist(StorageLevel.MEMORY_AND_DISK)
+        return self._groups
+
+    def boosting_blocks(self) -> DataFrame:
+        return self.groups.select("n", "cells", "s", "fold", "w", F.lit(b"").alias("p"))
+
+    def _grouped(self) -> DataFrame:
+        layout, middle, scale, most = self.layout, self.middle, self.scale, 4 * PART_BYTES
+        spark = self.blocks.sparkSession
+        parts = min(4096, max(spark.sparkContext.defaultParallelism, -(-self.n * self.row_bytes // PART_BYTES)))
+        columns, kinds = ["y", "fold"], [np.float64, np.int32]
+
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for cells, y, fold, _key, _p in _blocks(batches, layout.kind):
+                to = (_hashed(cells, layout.cells) % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(to, kind="stable")
+                edges = np.searchsorted(to[order], np.arange(parts + 1))
+                used = np.flatnonzero(np.diff(edges))
+                rows = [order[edges[i]: edges[i + 1]] for i in used]
+                packed = [[x[r].tobytes() for r in rows] for x in (cells, y, fold)]
+                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([len(r) for r in rows], pa.int32()), *(pa.array(x, pa.binary()) for x in packed)], names=["part", "n", "cells", *columns])
+
+        def together(pieces: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            cells, y, fold = _joined(layout.kind, layout.cells, pa.Table.from_batches(pieces), columns, kinds)
+            order, first = T.grouped(cells, fold)
+            y, ends = y[order], np.append(first, len(order))
+            s, w = np.add.reduceat(T.whole(y - middle, scale), first), np.diff(ends)
+            for a in range(0, len(first), BLOCK_GROUPS):
+                b = min(a + BLOCK_GROUPS, len(first))
+                own = order[first[a:b]]
+                packed = (cells[own], s[a:b], fold[own], w[a:b], y[ends[a]: ends[b]])
+                yield pa.RecordBatch.from_arrays([pa.array([b - a], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in packed)], names=["n", "cells", "s", "fold", "w", "y"])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            pieces, size = [], 0
+            for batch in batches:
+                if batch.num_rows:
+                    pieces.append(batch)
+                    size += batch.nbytes
+                if size > most:
+                    yield from together(pieces)
+                    pieces, size = [], 0
+            if pieces:
+                yield from together(pieces)
+
+        sent = self.blocks.mapInArrow(send, "part int, n int, cells binary, y binary, fold binary")
+        return sent.repartitionById(parts, F.col("part")).mapInArrow(run, "n int, cells binary, s binary, fold binary, w binary, y binary")
+
+    def boosting_bytes(self) -> dict[int, int]:
+        """For each fold the bytes of its groups."""
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for fold in batch.column(0).to_pylist():
+                    f, n = np.unique(np.frombuffer(fold, np.int32), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(f, pa.int32()), pa.array(n, pa.int64())], names=["fold", "n"])
+
+        found = self.groups.select("fold").mapInArrow(run, "fold int, n long").groupBy("fold").agg(F.sum("n").alias("n")).collect()
+        return {r["fold"]: r["n"] * self.row_bytes for r in found}
+
     def seen(self, spec: Spec) -> tuple[int, int]:
         """Rows that a model sees, and the sum of their whole-number labels."""
         own = [v for f, v in self.folds.items() if f != spec.held_out]
@@ -255,12 +329,23 @@ def _counted(k: np.ndarray, n: np.ndarray, top: np.ndarray) -> tuple[np.ndarray,
     return k[first], np.add.reduceat(n, first) if len(first) else n, top[np.append(first[1:], len(k)) - 1] if len(first) else top
 
 
+def _hashed(cells: np.ndarray, pad: int) -> np.ndarray:
+    """A number for each row of cells, whatever its padding."""
+    out = np.zeros(len(cells), np.uint64)
+    for column in cells.T:
+        x = (out ^ column.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        out = np.where(column != pad, x ^ (x >> np.uint64(29)), out)
+    return out
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], kind: type) -> Iterator[tuple]:
-    """cells, label, fold, key, predictions (models x rows, or empty) of each block."""
+    """cells, label, fold, key, predictions (models x rows, or empty) of each block; of groups, their sums
+    and sizes in place of label and key."""
     for batch in batches:
+        number = np.int64 if batch.schema.names[2] == "s" else np.float64
         for n, cells, y, fold, key, p in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             p = np.frombuffer(p)
-            yield np.frombuffer(cells, kind).reshape(n, -1), np.frombuffer(y), np.frombuffer(fold, np.int32), np.frombuffer(key, np.int64), p.reshape(-1, n) if len(p) else None
+            yield np.frombuffer(cells, kind).reshape(n, -1), np.frombuffer(y, number), np.frombuffer(fold, np.int32), np.frombuffer(key, np.int64), p.reshape(-1, n) if len(p) else None
 
 
 def _joined(kind: type, pad: int, table: pa.Table, names: list[str], kinds: list) -> list[np.ndarray]:
@@ -279,7 +364,8 @@ def _dealt(rows: DataFrame, units: int) -> DataFrame:
 def fit_models(data: TreeRows, specs: list[Spec], seed: int = 42) -> list[list[Tree]]:
     """The trees of each model."""
     out: list[list[Tree]] = [[] for _ in specs]
-    fits = [data.seen(s)[0] * data.row_bytes <= UNIT_BYTES for s in specs]
+    groups = data.boosting_bytes() if any(s.rate is not None for s in specs) else {}
+    fits = [(data.seen(s)[0] * data.row_bytes if s.rate is None else sum(b for f, b in groups.items() if f != s.held_out)) <= UNIT_BYTES for s in specs]
     for boosted in (True, False):
         mine = [i for i, s in enumerate(specs) if (s.rate is not None) == boosted]
         small, large = [i for i in mine if fits[i]], [i for i in mine if not fits[i]]
@@ -293,13 +379,16 @@ def fit_models(data: TreeRows, specs: list[Spec], seed: int = 42) -> list[list[T
 def _whole_models(data: TreeRows, specs: list[Spec], mine: list[int], seed: int, out: list[list[Tree]]) -> None:
     """Each model (boosting) or tree (forest) in one task."""
     layout, middle, scale = data.layout, data.middle, data.scale
+    boosted = specs[mine[0]].rate is not None
     units = [(i, t) for i in mine for t in (range(1) if specs[i].rate is not None else range(specs[i].trees))]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cells, y, fold, key, _ in _blocks(batches, layout.kind):
             for u, (i, t) in enumerate(units):
                 use, w = fold != specs[i].held_out, b""
-                if specs[i].rate is None and specs[i].bootstrap:
+                if boosted:
+                    w = key[use].tobytes()
+                elif specs[i].bootstrap:
                     w = T.bootstrap_weights(key, t, seed)
                     use, w = use & (w > 0), w[use & (w > 0)].tobytes()
                 n = int(use.sum())
@@ -309,15 +398,15 @@ def _whole_models(data: TreeRows, specs: list[Spec], mine: list[int], seed: int,
     def run(table: pa.Table) -> pa.Table:
         unit = table["unit"][0].as_py()
         spec = specs[units[unit][0]]
-        cells, y, w = _joined(layout.kind, layout.cells, table, ["y", "w"], [np.float64, np.int64])
-        if spec.rate is not None:
-            grown = T.boost(layout, cells, y, spec.limits, spec.trees, spec.rate, middle, scale)
+        cells, y, w = _joined(layout.kind, layout.cells, table, ["y", "w"], [np.int64 if boosted else np.float64, np.int64])
+        if boosted:
+            grown = T.boost(layout, cells, y, w, spec.limits, spec.trees, spec.rate, middle, scale)
         else:
             grown = [T.grow(layout, cells, T.whole(y - middle, scale) * (w if len(w) else 1), w if len(w) else None, spec.limits)[0].tree(layout, scale)]
         columns = [[getattr(t, c) for t in grown] for c in ("cell", "left", "right", "value", "gain", "n", "depth")]
         return pa.table([pa.array([unit] * len(grown), pa.int64()), pa.array(range(len(grown)), pa.int32()), *(pa.array(c, f.type) for c, f in zip(columns, list(_TREE)[2:], strict=True))], schema=_TREE)
 
-    sent = data.blocks.mapInArrow(send, "unit long, n int, cells binary, y binary, w binary")
+    sent = (data.boosting_blocks() if boosted else data.blocks).mapInArrow(send, "unit long, n int, cells binary, y binary, w binary")
     found = _dealt(sent, len(units)).applyInArrow(run, _TREE_SQL)
     nodes, grown = 0, []
     for batch in found.toArrow().to_batches():
@@ -379,7 +468,7 @@ def _row_state(data: TreeRows, specs: list[Spec], jobs: list[_Growing], starts:
             at = p[place[job.model]] if p is not None else np.full(len(y), starts[job.model])
             for tree in job.recent:
                 at = at + spec.rate * tree.value[T.route(layout, cells, tree.cell, tree.left, tree.right)]
-            g = T.whole(y - at, scale)
+            w, g = key, T.residuals(y, key, at, middle, scale)
         cut, left = cuts[k]
         return use, g, w, T.route(layout, cells, cut, left, left + 1)
 
@@ -484,7 +573,7 @@ def _grow_small(data, blocks, specs, jobs, starts, place, seed, targets) -> None
 
 def _boost_rounds(data: TreeRows, specs: list[Spec], mine: list[int], seed: int, out: list[list[Tree]]) -> None:
     starts = [data.start(s) for s in specs]
-    place, recent, blocks, written = {i: k for k, i in enumerate(mine)}, {i: [] for i in mine}, data.blocks, None
+    place, recent, blocks, written = {i: k for k, i in enumerate(mine)}, {i: [] for i in mine}, data.boosting_blocks(), None
     try:
         for number in range(max(specs[i].trees for i in mine)):
             going = [i for i in mine if number < specs[i].trees and (not out[i] or len(out[i][-1].cell) > 1)]
@@ -523,7 +612,7 @@ def _with_predictions(data: TreeRows, blocks: DataFrame, before: str | None, spe
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(new, pa.binary())], names=batch.schema.names)
 
     path = fresh_dir(spark, "predictions")
-    blocks.mapInArrow(run, _BLOCK).write.parquet(path)
+    blocks.mapInArrow(run, _GROUPS).write.parquet(path)
     if before:
         blocks.unpersist()
         delete_dir(spark, before)
@@ -547,23 +636,41 @@ def _forest_trees(data: TreeRows, specs: list[Spec], mine: list[int], seed: int,
 
 def held_out_errors(data: TreeRows, specs: list[Spec], grown: list[list[Tree]], stages: list[list[int]]) -> dict[tuple[int, int], float]:
     """(model, trees used) -> mean absolute error on the rows of the fold that the model didn't see.
-    Errors are added as whole numbers, so means do not depend on partitions."""
+    Errors are added as whole numbers, so means do not depend on partitions. Boosted models predict once
+    for a group."""
     layout, scale = data.layout, data.scale
     starts = [data.start(s) for s in specs]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cells, y, fold, _key, _p in _blocks(batches, layout.kind):
-            rows = []
-            for i, spec in enumerate(specs):
-                own = fold == spec.held_out
-                if not own.any():
-                    continue
-                values = T.leaf_values(layout, cells[own], grown[i])
-                for stage in stages[i]:
-                    used = values[:, :stage]
-                    p = used.mean(axis=1) if spec.rate is None else starts[i] + spec.rate * used.sum(axis=1)
-                    rows.append((i, stage, int(T.whole(np.abs(y[own] - p), scale).sum()), int(own.sum())))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 4)], names=["model", "stage", "error", "n"])
-
-    found = data.blocks.mapInArrow(run, "model long, stage long, error long, n long").groupBy("model", "stage").agg(F.sum("error").alias("error"), F.sum("n").alias("n")).collect()
-    return {(r["model"], r["stage"]): r["error"] / scale / r["n"] for r in found}
+    def errors(mine: list[int], cells: np.ndarray, fold: np.ndarray, w: np.ndarray | None, y: np.ndarray) -> pa.RecordBatch:
+        rows = []
+        for i in mine:
+            spec, own = specs[i], fold == specs[i].held_out
+            if not own.any():
+                continue
+            values, label = T.leaf_values(layout, cells[own], grown[i]), y[own if w is None else np.repeat(own, w)]
+            for stage in stages[i]:
+                used = values[:, :stage]
+                p = used.mean(axis=1) if spec.rate is None else starts[i] + spec.rate * used.sum(axis=1)
+                p = p if w is None else np.repeat(p, w[own])
+                rows.append((i, stage, int(T.whole(np.abs(label - p), scale).sum()), len(label)))
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 4)], names=["model", "stage", "error", "n"])
+
+    out = {}
+    for boosted in (True, False):
+        mine = [i for i, s in enumerate(specs) if (s.rate is not None) == boosted]
+        if not mine:
+            continue
+
+        def run(batches: Iterator[pa.RecordBatch], mine=mine, boosted=boosted) -> Iterator[pa.RecordBatch]:
+            if not boosted:
+                for cells, y, fold, _key, _p in _blocks(batches, layout.kind):
+                    yield errors(mine, cells, fold, None, y)
+                return
+            for batch in batches:
+                for n, cells, fold, w, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    yield errors(mine, np.frombuffer(cells, layout.kind).reshape(n, -1), np.frombuffer(fold, np.int32), np.frombuffer(w, np.int64), np.frombuffer(y))
+
+        rows = data.groups.select("n", "cells", "fold", "w", "y") if boosted else data.blocks
+        found = rows.mapInArrow(run, "model long, stage long, error long, n long").groupBy("model", "stage").agg(F.sum("error").alias("error"), F.sum("n").alias("n")).collect()
+        out |= {(r["model"], r["stage"]): r["error"] / scale / r["n"] for r in found}
+    return out

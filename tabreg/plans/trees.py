@@ -6,8 +6,10 @@ Published bases: Ke et al. (NeurIPS 2017) for best-first histogram trees and exc
 * **Cells.** Every (feature, bin) is a cell. A row is the list of its cells, without those of the value
   0: dummies cost one entry for each text column, not one for each category. What a node's histogram
   lacks in a feature's cells is in the bin of 0.
-* **Whole numbers.** Residuals are scaled to integers once for a fit, so a histogram is the same whatever
-  order its parts arrive in, and trees do not depend on partitions or on where they were grown.
+* **Whole numbers.** Labels and predictions are scaled to integers once for a fit, so a histogram is the same
+  whatever order its parts arrive in, and trees do not depend on partitions or on where they were grown.
+* **Groups.** Rows of equal cells come to the same leaf of every tree, so boosting needs their number and the sum
+  of their whole-number labels only; a group's residual is exactly the sum of its rows' ones.
 * **Growth.** ``Growth`` holds the nodes known so far and replays best-first growth over them; it names
   the nodes whose histograms it needs next, for several leaves at once.
 
@@ -39,6 +41,11 @@ def whole(x: np.ndarray, scale: float) -> np.ndarray:
     return np.rint(x * scale).astype(np.int64)
 
 
+def residuals(s: np.ndarray, w: np.ndarray, p: np.ndarray, middle: float, scale: float) -> np.ndarray:
+    """Whole-number residuals of groups of ``w`` rows with one prediction ``p`` and labels that sum to ``s``."""
+    return s - w * whole(p - middle, scale)
+
+
 @dataclass
 class Layout:
     """Edges of each feature's bins: ``x`` is in the first bin whose edge is not below it, a gap in the
@@ -88,16 +95,16 @@ def _sums(at: np.ndarray, g: np.ndarray, size: int) -> np.ndarray:
 
 
 def histograms(layout: Layout, cells: np.ndarray, slot: np.ndarray, g: np.ndarray, w: np.ndarray | None, slots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sums of ``g`` and of weights in (slot, cell) without the bins of 0, and (slot, 2) totals. Rows
+    """Sums of ``g`` and of weights (exact in doubles, as rows are fewer than 2^53) in (slot, cell) without the bins of 0, and (slot, 2) totals. Rows
     without a slot have -1."""
     use = slot >= 0
     if not use.all():
         cells, slot, g, w = cells[use], slot[use], g[use], None if w is None else w[use]
     width, stride = cells.shape[1], layout.cells + 1
     at = (slot[:, None] * stride + cells).ravel()
-    total = np.stack([_sums(slot, g, slots), _sums(slot, w, slots) if w is not None else np.bincount(slot, minlength=slots)], axis=1)
+    total = np.stack([_sums(slot, g, slots), np.bincount(slot, w, slots).astype(np.int64) if w is not None else np.bincount(slot, minlength=slots)], axis=1)
     sums = _sums(at, np.repeat(g, width), slots * stride).reshape(slots, stride)[:, :-1]
-    counts = (_sums(at, np.repeat(w, width), slots * stride) if w is not None else np.bincount(at, minlength=slots * stride)).reshape(slots, stride)[:, :-1]
+    counts = (np.bincount(at, np.repeat(w, width), slots * stride).astype(np.int64) if w is not None else np.bincount(at, minlength=slots * stride)).reshape(slots, stride)[:, :-1]
     return sums, counts, total
 
 
@@ -302,19 +309,55 @@ def stacked(trees: list[Tree], *names: str) -> tuple[np.ndarray, ...]:
 def leaf_values(layout: Layout, cells: np.ndarray, trees: list[Tree]) -> np.ndarray:
     """The value of each row's leaf in each tree."""
     roots, cut, left, right, value = stacked(trees, "cell", "left", "right", "value")
-    out, step = np.empty((len(cells), len(trees))), max(1, TASK_CELLS // 4 // len(trees))
+    used = np.unique(layout.feature_of[cut[cut >= 0]])
+    place = np.zeros(len(layout.edges) + 1, np.int64)
+    place[used] = np.arange(len(used))
+    column = np.where(cut >= 0, place[layout.feature_of[np.maximum(cut, 0)]], 0)
+    out, step = np.empty((len(cells), len(trees))), max(1, TASK_CELLS // 4 // max(len(trees), len(used)))
     for i in range(0, len(cells), step):
-        part = cells[i: i + step]
-        at = route(layout, part, cut, left, right, np.repeat(np.arange(len(part)), len(trees)), np.tile(roots, len(part)))
-        out[i: i + step] = value[at].reshape(len(part), len(trees))
+        part = _dense(layout, cells[i: i + step], used)
+        row, at = np.repeat(np.arange(len(part)) * part.shape[1], len(trees)), np.tile(roots, len(part))
+        part, moving = part.ravel(), np.flatnonzero(cut[at] >= 0)
+        while len(moving):
+            node = at[moving]
+            at[moving] = np.where(part[row[moving] + column[node]] <= cut[node], left[node], right[node])
+            moving = moving[cut[at[moving]] >= 0]
+        out[i: i + step] = value[at].reshape(-1, len(trees))
     return out
 
 
-def boost(layout: Layout, cells: np.ndarray, y: np.ndarray, limits: Limits, trees: int, rate: float, middle: float, scale: float) -> list[Tree]:
-    """All rounds of boosting over rows in memory; growth ends with a tree that can't be split."""
-    p, out = np.full(len(y), start_of(int(whole(y - middle, scale).sum()), len(y), middle, scale)), []
+def _dense(layout: Layout, cells: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """The cell of each row in each used feature."""
+    out = np.tile((layout.offsets[:-1] + layout.default)[used], (len(cells), 1))
+    place = np.full(len(layout.edges), -1)
+    place[used] = np.arange(len(used))
+    of_cell = np.append(place[layout.feature_of], -1)     # the last: padding
+    for column in cells.T:
+        to = of_cell[column]
+        rows = np.flatnonzero(to >= 0)
+        out[rows, to[rows]] = column[rows]
+    return out
+
+
+def grouped(cells: np.ndarray, fold: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in an order that puts those of equal cells and fold together, and where each group begins in it."""
+    parts = [np.ascontiguousarray(cells).view(np.uint8).reshape(len(cells), -1)]
+    if fold is not None:
+        parts.append(np.ascontiguousarray(fold).view(np.uint8).reshape(len(cells), -1))
+    size = sum(x.shape[1] for x in parts)
+    words = np.concatenate([*parts, np.zeros((len(cells), -size % 8), np.uint8)], axis=1).view(np.uint64)
+    order = np.lexsort(words.T)
+    words = words[order]
+    return order, np.flatnonzero(np.concatenate((np.ones(min(1, len(cells)), bool), (words[1:] != words[:-1]).any(axis=1))))
+
+
+def boost(layout: Layout, cells: np.ndarray, s: np.ndarray, w: np.ndarray, limits: Limits, trees: int, rate: float, middle: float, scale: float) -> list[Tree]:
+    """All rounds of boosting over groups of rows in memory; growth ends with a tree that can't be split."""
+    order, first = grouped(cells)       # the same cells in several folds
+    cells, s, w = cells[order[first]], np.add.reduceat(s[order], first), np.add.reduceat(w[order], first)
+    p, out = np.full(len(s), start_of(int(s.sum()), int(w.sum()), middle, scale)), []
     while len(out) < trees:
-        growth, at = grow(layout, cells, whole(y - p, scale), None, limits)
+        growth, at = grow(layout, cells, residuals(s, w, p, middle, scale), w, limits)
         tree = growth.tree(layout, scale)
         out.append(tree)
         if len(tree.cell) == 1:

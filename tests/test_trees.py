@@ -53,6 +53,67 @@ def test_near_ties_are_settled_the_same_way(spark):
     assert fits[0].trees[0].feature[0] == 0
 
 
+def by_rows(x, y, rounds, rate, depth):
+    """Predictions after boosting over single rows in plain NumPy, after each round."""
+    p, out = np.full(len(y), y.mean()), []
+    for _ in range(rounds):
+        tree = brute(x, y - p, np.ones(len(y)), depth, 1)
+        p = p + rate * np.array([walked(tree, row) for row in x])
+        out.append(p)
+    return out
+
+
+@pytest.mark.parametrize("pieces", [False, True])
+def test_boosting_costs_as_many_steps_as_there_are_different_rows(spark, pieces, monkeypatch):
+    """3,000 rows of 12 kinds, in a unit that holds 40 rows: no rounds of jobs, and the trees of single rows."""
+    rng = np.random.default_rng(5)
+    x = np.column_stack([rng.integers(0, 4, 3000), rng.integers(-1, 2, 3000)]).astype(float)
+    y = x[:, 0] ** 2 + 3 * x[:, 1] + rng.normal(0, 1, 3000).round(3)
+    df = spark.createDataFrame(pd.DataFrame(x, columns=["a", "b"]).assign(label=y, key=range(3000))).repartition(5)
+    monkeypatch.setattr(growing, "UNIT_BYTES", 40 * 32)
+    if pieces:              # groups come in several blocks, and again in another one
+        monkeypatch.setattr(growing, "PART_BYTES", 2000)
+        monkeypatch.setattr(growing, "BLOCK_GROUPS", 2)
+
+    def refused(*_):
+        raise AssertionError("rounds of jobs")
+
+    if not pieces:
+        monkeypatch.setattr(growing, "_boost_rounds", refused)
+    model = fit_model(BOOSTED, df, ["a", "b"], {"n_estimators": 4})
+    got = model.transform(df).toPandas().sort_values("key")["prediction"].to_numpy()
+    assert np.allclose(got, by_rows(x, y, 4, 0.1, 3)[-1], atol=1e-6)
+    data = growing.TreeRows(df, ["a", "b"])
+    groups = data.groups.collect()
+    data.release()
+    sizes = np.concatenate([np.frombuffer(r["w"], np.int64) for r in groups])
+    assert sizes.sum() == sum(len(r["y"]) // 8 for r in groups) == 3000 and (pieces or len(sizes) == 12)
+
+
+def test_scores_by_groups_are_those_of_single_rows(spark, monkeypatch):
+    """Absolute errors need every label: labels differ within a group, and folds share groups."""
+    from tabreg.operators.split import k_fold
+
+    monkeypatch.setattr(growing, "UNIT_BYTES", 60 * 32)
+    monkeypatch.setattr(growing, "_boost_rounds", lambda *_: pytest.fail("rounds of jobs"))
+    rng = np.random.default_rng(6)
+    x = np.column_stack([rng.integers(0, 5, 1500), rng.integers(0, 3, 1500)]).astype(float)
+    pdf = pd.DataFrame(x, columns=["a", "b"]).assign(label=x[:, 0] * x[:, 1] + rng.exponential(2, 1500).round(2), key=range(1500))
+    df = spark.createDataFrame(pdf)
+    scores = cv_scores(BOOSTED, df.repartition(3), ["a", "b"], {"n_estimators": [2, 4], "max_depth": [2], "learning_rate": [0.3]}, "key", folds=2).collect()
+    fold = k_fold(df, "key", 2, 43).toPandas().sort_values("key")["fold"].to_numpy()
+    y = pdf.label.to_numpy()
+    for r in scores:
+        seen, n = fold != r["fold"], json.loads(r["params"])["n_estimators"]
+        p, left = np.full(len(y), y[seen].mean()), y[seen] - y[seen].mean()
+        for _ in range(n):
+            tree = brute(x[seen], left, np.ones(seen.sum()), 2, 1)
+            step = 0.3 * np.array([walked(tree, row) for row in x])
+            p, left = p + step, left - step[seen]
+        assert r["mae"] == pytest.approx(np.abs(y - p)[~seen].mean(), abs=1e-6)
+    assert len(scores) == 4
+
+
 def brute(x, y, w, depth, min_leaf, at=0):
     """A tree of largest gains on weighted rows, as nested tuples."""
     n, g = w.sum(), (w * y).sum()
