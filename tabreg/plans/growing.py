@@ -357,8 +357,9 @@ def _joined(kind: type, pad: int, table: pa.Table, names: list[str], kinds: list
 
 
 def _dealt(rows: DataFrame, units: int) -> DataFrame:
-    """Units dealt to tasks; the number of tasks is set, so that few bytes are not put in one task."""
-    return rows.repartition(min(units, 4096), "unit").groupBy("unit")
+    """Units dealt to tasks, one each as far as 4,096 go: a hash would put several models in one task."""
+    rows = rows.withColumn("unit", F.col("unit").cast("int"))
+    return (rows.repartitionById(units, F.col("unit")) if units <= 4096 else rows.repartition(4096, "unit")).groupBy("unit")
 
 
 def fit_models(data: TreeRows, specs: list[Spec], seed: int = 42) -> list[list[Tree]]:
