@@ -1,8 +1,8 @@
 """Grid search with k-fold cross-validation.
 
 Folds come from a seeded key hash (``operators.split.k_fold``) over the training rows only. Trees of
-all candidates and folds grow together (``growing.fit_models``): rows are binned and packed once, a job makes
-the histograms that all of them want next, and candidates that differ in ``n_estimators`` alone
+all candidates and folds grow together (``growing.fit_models``): rows are binned and packed once (for boosting,
+those of equal bins as one weighted row), a job makes the histograms that all of them want next, and candidates that differ in ``n_estimators`` alone
 are one model, scored after as many of its trees as each asks for. Bins are told from all training rows, so where a feature has
 more values than bins, a fold's cuts may differ from those of a fit on its rows alone; with one bin a
 value they are the same. Per-fold scores come back as a DataFrame, so the search can be inspected and
